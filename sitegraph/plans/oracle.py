@@ -25,6 +25,140 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first_ord) AS p
 FROM d QUALIFY pos <= 100
 """
 
+B1_COMPANIES = r"""
+  SELECT page_id AS _ord,
+         CASE WHEN page_id % 17 = 0 THEN '  '
+              ELSE (CASE WHEN page_id % 5 = 0 THEN ' ' ELSE '' END)
+                   || (CASE WHEN page_id % 2 = 0 THEN upper(host) ELSE host END) END AS company,
+         CASE WHEN page_id % 3 = 0 THEN host ELSE 'https://' || host END AS website
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)
+"""
+
+COMPANY_NORMALIZE = f"""
+WITH raw AS ({B1_COMPANIES}),
+t AS (SELECT _ord, trim(company) AS company, trim(website) AS website FROM raw),
+f AS (SELECT _ord, company,
+             CASE WHEN starts_with(website, 'http://') OR starts_with(website, 'https://') THEN website
+                  ELSE 'https://' || website END AS website_url
+      FROM t WHERE company IS NOT NULL AND website IS NOT NULL AND length(company) > 0 AND length(website) > 0)
+SELECT _ord, company, website_url, lower(company) || ':' || lower(website_url) AS unique_key FROM f
+"""
+
+COMPANY_DEDUPE = f"""
+SELECT _ord, company, website_url, unique_key FROM ({COMPANY_NORMALIZE})
+QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY _ord) = 1
+"""
+
+JOB_ACK = f"""
+SELECT _ord, company AS "Company", website_url AS "Website", 'Queued for processing' AS "Processing",
+       'job_' || sha256('upload-1:' || unique_key) AS "Job ID"
+FROM ({COMPANY_DEDUPE})
+"""
+
+PG = "SELECT page_id, url, html, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages"
+KINDS = f"SELECT DISTINCT host, length(host) % 3 AS kind FROM ({PG})"
+SITES = f"""SELECT DISTINCT regexp_extract(website_url, '^([^:/?#]+://[^/?#]*)', 1) AS base_domain,
+                   regexp_extract(website_url, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM ({COMPANY_DEDUPE})"""
+
+SITE_FRONTIER = f"""
+SELECT s.base_domain, p.path_pos, s.base_domain || p.path AS sitemap_url
+FROM ({SITES}) s CROSS JOIN (VALUES (0, '/sitemap.xml'), (1, '/sitemaps.xml'), (2, '/sitemap_index.xml'),
+  (3, '/sitemap-index.xml'), (4, '/wp-sitemap.xml'), (5, '/site-map.xml'), (6, '/sitemap.php'),
+  (7, '/sitemap.txt'), (8, '/sitemap/sitemap.xml')) AS p(path_pos, path)
+"""
+
+ROBOTS_DIRECTIVES = f"""
+SELECT s.base_domain, d.dir_pos, s.base_domain || d.path AS sitemap_url
+FROM ({SITES}) s JOIN ({KINDS}) k ON s.host = k.host AND k.kind = 0
+CROSS JOIN (VALUES (2, '/missing.xml'), (3, '/sm.xml')) AS d(dir_pos, path)
+"""
+
+
+def _urlset(cap: int, escaped: bool = False) -> str:
+    u = "replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')" if escaped else "url"
+    return f"""
+WITH pg AS ({PG}), u AS (SELECT host, {u} AS url, min(page_id) AS first_id FROM pg
+                          WHERE length(host) % 3 < 2 GROUP BY host, {u})
+SELECT 'https://' || host || '/sm.xml' AS sitemap_url,
+       row_number() OVER (PARTITION BY host ORDER BY first_id) AS pos, url
+FROM u QUALIFY pos <= {cap}
+"""
+
+
+DOMAIN_ENTRIES = rf"""
+SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain, host,
+       CASE WHEN kind < 2 THEN 'https://' || host || '/sm.xml' ELSE 'https://' || host || '/' END AS entry,
+       row_number() OVER (PARTITION BY regexp_extract(host, '([^.]+\.[^.]+)$', 1) ORDER BY host) AS epos
+FROM ({KINDS})
+"""
+
+INDEX_EXPAND = f"""
+SELECT 'https://' || domain || '/sitemap_index.xml' AS index_url, epos AS pos, entry AS child_url
+FROM ({DOMAIN_ENTRIES}) WHERE epos <= 3
+"""
+
+INDEX_MALFORMED = f"""
+WITH e AS ({DOMAIN_ENTRIES}),
+x AS (SELECT domain, epos, entry, sum(CASE WHEN ends_with(entry, '.xml') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY domain ORDER BY epos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
+SELECT 'https://' || domain || '/sitemap_index.xml' AS index_url, epos AS pos,
+       CASE WHEN ends_with(entry, '.xml') THEN 'child' ELSE 'page' END AS kind, entry AS url
+FROM x WHERE coalesce(before, 0) < 3
+"""
+
+SITEMAP_TREE = f"""
+WITH e AS ({DOMAIN_ENTRIES}),
+u AS ({_urlset(100)}),
+j AS (SELECT 'https://' || e.domain || '/sitemap_index.xml' AS root, e.epos, u.pos AS upos, u.url
+      FROM e JOIN u ON u.sitemap_url = e.entry WHERE e.epos <= 3),
+d AS (SELECT root, url, min(epos * 1000000 + upos) AS o FROM j GROUP BY root, url)
+SELECT root, row_number() OVER (PARTITION BY root ORDER BY o) AS pos, url FROM d
+"""
+
+HOME_LINKS = r"""
+WITH pg AS (SELECT page_id, html, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages),
+home AS (SELECT host, arg_min(html, page_id) AS html FROM pg WHERE length(host) % 3 = 2 GROUP BY host),
+p AS (SELECT host, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+           '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') AS h FROM home),
+a AS (SELECT host, t.href, t.ord
+      FROM p, unnest(regexp_extract_all(h, '<a\s[^>]*href="([^"]*)"', 1)) WITH ORDINALITY AS t(href, ord)),
+j AS (SELECT host, 'https://' || host || replace(href, '&amp;', '&') AS url, ord FROM a
+      WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')
+        AND NOT starts_with(href, 'mailto:') AND NOT starts_with(href, 'tel:')),
+d AS (SELECT host, url, min(ord) AS first_ord FROM j GROUP BY host, url)
+SELECT host, row_number() OVER (PARTITION BY host ORDER BY first_ord) AS pos, url FROM d QUALIFY pos <= 100
+"""
+
+SITE_LISTS = f"""
+WITH sm AS ({_urlset(100)}),
+allu AS (SELECT regexp_extract(sitemap_url, '^https://([^/]+)', 1) AS host, pos, url FROM sm
+         UNION ALL SELECT host, pos, url FROM ({HOME_LINKS}))
+SELECT host, count(*) AS n_urls, string_agg(url, ', ' ORDER BY pos) AS sitemap_complete FROM allu GROUP BY host
+"""
+
+SITE_URL_LISTS = f"""
+WITH cs AS (SELECT _ord, company, website_url, regexp_extract(website_url, '^[^:/?#]+://([^/?#]*)', 1) AS host
+            FROM ({COMPANY_DEDUPE})),
+agg AS ({SITE_LISTS})
+SELECT cs._ord, cs.company, cs.website_url,
+       CASE WHEN agg.host IS NULL THEN 'none' WHEN length(cs.host) % 3 = 0 THEN 'robots'
+            WHEN length(cs.host) % 3 = 1 THEN 'sitemap' ELSE 'html' END AS source,
+       coalesce(agg.n_urls, 0) AS n_urls, coalesce(agg.sitemap_complete, '') AS sitemap_complete
+FROM cs LEFT JOIN agg ON cs.host = agg.host
+"""
+
 ORACLE = {
+    "site_frontier": SITE_FRONTIER,
+    "robots_directives": ROBOTS_DIRECTIVES,
+    "urlset_expand": _urlset(100),
+    "urlset_expand_cap5": _urlset(5),
+    "urlset_malformed": _urlset(100, escaped=True),
+    "index_expand": INDEX_EXPAND,
+    "index_malformed": INDEX_MALFORMED,
+    "sitemap_tree": SITEMAP_TREE,
+    "site_url_lists": SITE_URL_LISTS,
+    "company_normalize": COMPANY_NORMALIZE,
+    "company_dedupe": COMPANY_DEDUPE,
+    "job_ack": JOB_ACK,
     "page_links": PAGE_LINKS,
 }

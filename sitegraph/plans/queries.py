@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_domain, url_netloc
 from ..operators.links import extract_links
+from ..operators.normalize import dedupe_companies, job_ack as _job_ack, normalize_companies
+from ..operators.frontier import latest_fetches, path_frontier, robots_directives as _robots, sites
+from ..operators.resolve import company_url_lists, site_url_lists as _site_url_lists
+from ..operators.sitemaps import (expand_sitemaps, index_children, malformed_index_items, ordered_lists,
+                                  urlset_urls)
+from . import bindings as B
 from .tables import table
 
 
@@ -22,6 +28,113 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", F.col("pos").cast("bigint").alias("pos"), "url")
 
 
+def company_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize_companies(B.companies_raw(spark, sf))
+
+
+def company_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    return dedupe_companies(company_normalize(spark, sf))
+
+
+def job_ack(spark: SparkSession, sf: str) -> DataFrame:
+    return _job_ack(company_dedupe(spark, sf), submission="upload-1")
+
+
+def _sites(spark: SparkSession, sf: str) -> DataFrame:
+    return sites(company_dedupe(spark, sf))
+
+
+def site_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """Every company site × the 9 well-known paths."""
+    return path_frontier(_sites(spark, sf)).select("base_domain", F.col("path_pos").cast("bigint"), "sitemap_url")
+
+
+def robots_directives(spark: SparkSession, sf: str) -> DataFrame:
+    """A3/X6/F2/J3 over the bound robots files."""
+    return _robots(_sites(spark, sf), B.fetches(spark, sf)).select(
+        "base_domain", F.col("dir_pos").cast("bigint"), "sitemap_url")
+
+
+def _docs(spark: SparkSession, sf: str, urls: DataFrame) -> DataFrame:
+    return latest_fetches(B.fetches(spark, sf), urls)
+
+
+def _explode(df: DataFrame, key: str, arr, names=("pos", "url")) -> DataFrame:
+    out = df.select(F.col(key), F.posexplode(arr).alias("_p", "_v"))
+    return out.select(key, (F.col("_p") + 1).cast("bigint").alias(names[0]), F.col("_v").alias(names[1]))
+
+
+def _urlset_expand(spark: SparkSession, sf: str, cap: int) -> DataFrame:
+    docs = _docs(spark, sf, B.urlset_files(spark, sf).select("url"))
+    return _explode(docs.withColumnRenamed("url", "sitemap_url"), "sitemap_url", urlset_urls(F.col("body"), cap))
+
+
+def urlset_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bound urlset, first 100 unique URLs."""
+    return _urlset_expand(spark, sf, 100)
+
+
+def urlset_expand_cap5(spark: SparkSession, sf: str) -> DataFrame:
+    """Same with a cap of 5, which bites at every scale."""
+    return _urlset_expand(spark, sf, 5)
+
+
+def urlset_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every bound urlset with its closing tag cut: line-scan fallback."""
+    docs = _docs(spark, sf, B.urlset_files(spark, sf).select("url"))
+    cut = F.regexp_replace("body", "</urlset>\\s*$", "")
+    return _explode(docs.withColumnRenamed("url", "sitemap_url"), "sitemap_url", urlset_urls(cut, 100))
+
+
+def index_expand(spark: SparkSession, sf: str) -> DataFrame:
+    """First 3 children of every bound domain index."""
+    docs = _docs(spark, sf, B.domain_index_files(spark, sf).select("url"))
+    return _explode(docs.withColumnRenamed("url", "index_url"), "index_url", index_children(F.col("body")),
+                    ("pos", "child_url"))
+
+
+def index_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every domain index with its closing tag cut: line scan with
+    ``.xml`` routing and the 3-children stop."""
+    docs = _docs(spark, sf, B.domain_index_files(spark, sf).select("url"))
+    cut = F.regexp_replace("body", "</sitemapindex>\\s*$", "")
+    e = _explode(docs.withColumnRenamed("url", "index_url"), "index_url", malformed_index_items(cut), ("pos", "item"))
+    return e.select("index_url", "pos", F.col("item.kind").alias("kind"), F.col("item.value").alias("url"))
+
+
+def sitemap_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Recursive expansion of every domain index."""
+    roots = B.domain_index_files(spark, sf).select(F.col("url").alias("root"))
+    lists = ordered_lists(expand_sitemaps(roots, B.fetches(spark, sf)), "root")
+    return _explode(lists, "root", F.col("urls"))
+
+
+def _company_lists(spark: SparkSession, sf: str) -> DataFrame:
+    companies = company_dedupe(spark, sf)
+    lists = _site_url_lists(sites(companies), B.fetches(spark, sf))
+    return company_url_lists(companies, lists)
+
+
+def site_url_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Flagship: U2/W2/G3/G5/J5/J8 — every company with the URL list of its
+    site's first non-empty source."""
+    c = _company_lists(spark, sf)
+    return c.select("_ord", "company", "website_url", "source", F.size("urls").cast("bigint").alias("n_urls"),
+                    F.array_join("urls", ", ").alias("sitemap_complete"))
+
+
 REGISTRY = {
+    "company_normalize": company_normalize,
+    "company_dedupe": company_dedupe,
+    "job_ack": job_ack,
+    "site_frontier": site_frontier,
+    "robots_directives": robots_directives,
+    "urlset_expand": urlset_expand,
+    "urlset_expand_cap5": urlset_expand_cap5,
+    "urlset_malformed": urlset_malformed,
+    "index_expand": index_expand,
+    "index_malformed": index_malformed,
+    "sitemap_tree": sitemap_tree,
+    "site_url_lists": site_url_lists,
     "page_links": page_links,
 }

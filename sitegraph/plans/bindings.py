@@ -158,3 +158,72 @@ def fetches(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.lit(XML_DECL + f'<urlset xmlns="{SITEMAP_NS}">\n</urlset>\n')).alias("body"),
         stale.alias("fetched_at"))
     return robots.unionByName(sm).unionByName(host_index).unionByName(dom).unionByName(home).unionByName(old)
+
+
+# ---------------------------------------------------------------------------
+# Store (B5) and jobs (B6) from ``events``
+# ---------------------------------------------------------------------------
+
+STORE_NOW = 1717200000.0
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.text import epoch_seconds
+
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return e.withColumn("ts_s", epoch_seconds(F.col("ts")))
+
+
+def store_events(spark: SparkSession, sf: str) -> DataFrame:
+    """B5 rows: company ``Company <user_id>`` (upper-cased on odd event ids),
+    with ``half``: 0 for the first half of the events by id (the stored
+    snapshot), 1 for the rest (the update batch)."""
+    e = _events(spark, sf)
+    n = e.agg(F.count(F.lit(1)).alias("_n"))
+    name = F.concat(F.lit("Company "), F.col("user_id").cast("string"))
+    name = F.when(F.col("event_id") % 2 == 1, F.upper(name)).otherwise(name)
+    return e.crossJoin(F.broadcast(n)).select(
+        "event_id", "user_id", "event_type", "ts_s", name.alias("company_name"),
+        F.when(F.col("event_id") * 2 < F.col("_n"), F.lit(0)).otherwise(F.lit(1)).alias("half"))
+
+
+def store_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored documents: per exact name the latest first-half event."""
+    e = store_events(spark, sf).filter(F.col("half") == 0)
+    web = F.concat(F.lit("https://c"), F.col("user_id").cast("string"), F.lit(".example.com/"), F.col("event_type"))
+    doc = F.struct(F.col("company_name"), web.alias("website_url"), F.array(web).alias("sitemap_urls"),
+                   F.col("event_type").alias("ai_insights"), F.col("ts_s").alias("last_updated"),
+                   F.lower("company_name").alias("company_name_normalized"))
+    return e.groupBy("company_name").agg(F.max_by(doc, F.struct("ts_s", "event_id")).alias("d")).select("d.*")
+
+
+def store_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """The update batch: supplies ``company_name, ai_insights, last_updated``
+    only; ``ai_insights`` is an explicit NULL for error events and
+    ``last_updated`` is missing (NULL → now) for signups; ``event_id`` orders
+    the batch."""
+    e = store_events(spark, sf).filter(F.col("half") == 1)
+    return e.select(
+        "company_name", F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
+        .otherwise(F.col("event_type")).alias("ai_insights"),
+        F.when(F.col("event_type") == "signup", F.lit(None).cast("double")).otherwise(F.col("ts_s"))
+        .alias("last_updated"), "event_id")
+
+
+def jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """One job per event: id ``job_<event_id>``, submission ``user_id``,
+    order ``event_id``; error → ``error``, signup → ``queued``, else
+    ``complete`` with result data for company ``Company <event_id % 500>``."""
+    e = _events(spark, sf)
+    status = (F.when(F.col("event_type") == "error", F.lit("error"))
+              .when(F.col("event_type") == "signup", F.lit("queued")).otherwise(F.lit("complete")))
+    n = (F.col("event_id") % 500).cast("string")
+    web = F.concat(F.lit("https://c"), n, F.lit(".example.com"))
+    data = F.struct(F.concat(F.lit("Company "), n).alias("Company"), web.alias("Website"),
+                    F.concat(web, F.lit("/"), F.col("event_type")).alias("Sitemap Complete"),
+                    F.col("props").alias("Insight from Prompt"))
+    return e.select(
+        F.concat(F.lit("job_"), F.col("event_id").cast("string")).alias("job_id"),
+        F.col("user_id").alias("batch_id"), F.col("event_id").alias("seq"), status.alias("status"),
+        F.when(status == "error", F.concat(F.lit("Worker error: "), F.col("props"))).alias("message"),
+        F.when(status == "complete", data).alias("data"), "ts_s")

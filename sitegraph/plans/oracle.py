@@ -133,7 +133,10 @@ SITE_LISTS = f"""
 WITH sm AS ({_urlset(100)}),
 allu AS (SELECT regexp_extract(sitemap_url, '^https://([^/]+)', 1) AS host, pos, url FROM sm
          UNION ALL SELECT host, pos, url FROM ({HOME_LINKS}))
-SELECT host, count(*) AS n_urls, string_agg(url, ', ' ORDER BY pos) AS sitemap_complete FROM allu GROUP BY host
+SELECT host, count(*) AS n_urls, string_agg(url, ', ' ORDER BY pos) AS sitemap_complete,
+       string_agg(url, ',' ORDER BY pos) FILTER (WHERE pos <= 100) AS key_urls,
+       string_agg(url, chr(10) ORDER BY pos) FILTER (WHERE pos <= 100) AS prompt_urls
+FROM allu GROUP BY host
 """
 
 SITE_URL_LISTS = f"""
@@ -147,7 +150,201 @@ SELECT cs._ord, cs.company, cs.website_url,
 FROM cs LEFT JOIN agg ON cs.host = agg.host
 """
 
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+from ..operators.insights import _PROMPT_HEAD, _PROMPT_TAIL  # noqa: E402
+from ..operators.jobs import ALL_DONE_TEXT as J_DONE, DONE_WITH_ERRORS_TEXT as J_DONE_ERR  # noqa: E402
+
+LISTS_FULL = f"""
+WITH cs AS (SELECT _ord, company, website_url, regexp_extract(website_url, '^[^:/?#]+://([^/?#]*)', 1) AS host
+            FROM ({COMPANY_DEDUPE})),
+agg AS ({SITE_LISTS})
+SELECT cs._ord, cs.company, cs.website_url, coalesce(agg.n_urls, 0) AS n_urls,
+       coalesce(agg.sitemap_complete, '') AS sitemap_complete,
+       md5(cs.company || ':' || coalesce(agg.key_urls, '')) AS key,
+       {_lit(_PROMPT_HEAD)} || coalesce(agg.prompt_urls, '') || {_lit(_PROMPT_TAIL)} AS prompt
+FROM cs LEFT JOIN agg ON cs.host = agg.host
+"""
+
+INSIGHT_PROMPTS = f"SELECT _ord, company, key, prompt FROM ({LISTS_FULL})"
+
+INSIGHT_ROWS = f"""
+SELECT *, substr(key, 1, 1) < '8' AS cached,
+       CASE WHEN substr(key, 1, 1) < '8' THEN 'cached:' || key
+            WHEN n_urls = 0 THEN 'Error: Error generating AI insights: no URLs to analyse. Please try again later.'
+            ELSE '- Company Overview: ' || length(prompt) || ' characters' END AS insight
+FROM ({LISTS_FULL})
+"""
+
+INSIGHT_CACHE_JOIN = f"SELECT _ord, company, key, cached, insight FROM ({INSIGHT_ROWS})"
+
+COMPANY_DOCUMENTS = f"""
+SELECT company AS company_name, website_url, n_urls, sitemap_complete, insight AS ai_insights,
+       1717200000.0::DOUBLE AS last_updated, lower(company) AS company_name_normalized
+FROM ({INSIGHT_ROWS})
+"""
+
+RESULTS_ROWS = f"""
+SELECT company AS "Company", website_url AS "Website", sitemap_complete AS "Sitemap Complete",
+       insight AS "Insight from Prompt" FROM ({INSIGHT_ROWS})
+"""
+
+B5 = """
+SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS ts_s,
+       CASE WHEN event_id % 2 = 1 THEN upper('Company ' || user_id) ELSE 'Company ' || user_id END AS company_name,
+       CASE WHEN event_id * 2 < count(*) OVER () THEN 0 ELSE 1 END AS half
+FROM events
+"""
+
+UPSERTED = f"""
+WITH e AS ({B5}),
+st AS (SELECT company_name, 'https://c' || user_id || '.example.com/' || event_type AS website_url,
+              'https://c' || user_id || '.example.com/' || event_type AS sitemap_complete,
+              event_type AS ai_insights, ts_s AS last_updated
+       FROM e WHERE half = 0
+       QUALIFY row_number() OVER (PARTITION BY company_name ORDER BY ts_s DESC, event_id DESC) = 1),
+up AS (SELECT company_name, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS ai_insights,
+              coalesce(CASE WHEN event_type = 'signup' THEN NULL ELSE ts_s END, 1717200000.0) AS last_updated
+       FROM e WHERE half = 1
+       QUALIFY row_number() OVER (PARTITION BY company_name ORDER BY event_id DESC) = 1)
+SELECT coalesce(up.company_name, st.company_name) AS company_name, st.website_url, st.sitemap_complete,
+       CASE WHEN up.company_name IS NOT NULL THEN up.ai_insights ELSE st.ai_insights END AS ai_insights,
+       CASE WHEN up.company_name IS NOT NULL THEN up.last_updated ELSE st.last_updated END AS last_updated,
+       lower(coalesce(up.company_name, st.company_name)) AS company_name_normalized,
+       st.company_name IS NOT NULL AND up.company_name IS NOT NULL AS matched,
+       st.company_name IS NULL AS inserted,
+       st.company_name IS NOT NULL AND up.company_name IS NOT NULL
+         AND (st.ai_insights IS DISTINCT FROM up.ai_insights OR st.last_updated IS DISTINCT FROM up.last_updated)
+         AS modified
+FROM st FULL OUTER JOIN up ON st.company_name = up.company_name
+"""
+
+STORE_UPSERT = f"""SELECT company_name, website_url, sitemap_complete, ai_insights, last_updated,
+                          company_name_normalized FROM ({UPSERTED})"""
+
+STORE_UPSERT_COUNTS = f"""
+SELECT count(*) FILTER (WHERE inserted) AS inserted, count(*) FILTER (WHERE modified) AS modified,
+       count(*) FILTER (WHERE matched) AS matched, count(*) AS total FROM ({UPSERTED})
+"""
+
+STORE_LATEST = f"""
+SELECT company_name, website_url, sitemap_complete, ai_insights, last_updated, company_name_normalized
+FROM ({STORE_UPSERT})
+QUALIFY row_number() OVER (PARTITION BY company_name_normalized
+                           ORDER BY last_updated DESC NULLS LAST, company_name) = 1
+"""
+
+STORE_LOOKUP = f"""
+WITH s AS ({STORE_UPSERT}),
+u AS (SELECT DISTINCT user_id FROM events),
+names AS (SELECT DISTINCT probe FROM (
+  SELECT 'Company ' || user_id AS probe FROM u UNION ALL SELECT upper('Company ' || user_id) FROM u
+  UNION ALL SELECT lower('Company ' || user_id) FROM u)),
+webs AS (SELECT DISTINCT probe FROM (
+  SELECT 'https://c' || user_id || '.example.com/view' AS probe FROM u
+  UNION ALL SELECT 'https://c' || user_id || '.example.com/none' FROM u)),
+w1 AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY website_url ORDER BY company_name) = 1)
+SELECT 'name' AS by, n.probe, s.company_name IS NOT NULL AS found, s.company_name, s.website_url, s.ai_insights,
+       s.last_updated
+FROM names n LEFT JOIN s ON n.probe = s.company_name
+UNION ALL
+SELECT 'website' AS by, w.probe, w1.company_name IS NOT NULL AS found, w1.company_name, w1.website_url,
+       w1.ai_insights, w1.last_updated
+FROM webs w LEFT JOIN w1 ON w.probe = w1.website_url
+"""
+
+JOBS = """
+SELECT 'job_' || event_id AS job_id, user_id AS batch_id, event_id AS seq,
+       CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'queued' ELSE 'complete' END
+         AS status,
+       'Company ' || (event_id % 500) AS company, 'https://c' || (event_id % 500) || '.example.com' AS website,
+       event_type, props, epoch_us(ts) / 1e6 AS ts_s
+FROM events
+"""
+
+RESULTS_DEDUPE = f"""
+SELECT min(seq) AS pos, company AS "Company", arg_max(website, seq) AS "Website",
+       arg_max(website || '/' || event_type, seq) AS "Sitemap Complete", arg_max(props, seq) AS "Insight from Prompt"
+FROM ({JOBS}) WHERE status = 'complete' GROUP BY company
+"""
+
+JOB_STATUS_LOOKUP = f"""
+WITH p AS (SELECT DISTINCT 'job_' || (event_id * 2) AS job_id FROM events)
+SELECT p.job_id, coalesce(j.status, 'not found') AS status,
+       CASE WHEN j.status = 'error' THEN 'Worker error: ' || j.props END AS message
+FROM p LEFT JOIN ({JOBS}) j ON p.job_id = j.job_id
+"""
+
+PROGRESS_AGG = f"""
+SELECT batch_id, count(*) AS total, count(*) FILTER (WHERE status IN ('complete', 'error')) AS completed,
+       coalesce(bool_or(status = 'error'), false) AS has_errors, min(ts_s) AS start_s, max(ts_s) AS now_s
+FROM ({JOBS}) GROUP BY batch_id
+"""
+
+JOB_PROGRESS = f"""
+SELECT batch_id, total, completed, has_errors, total - completed AS remaining,
+       CAST(floor(CASE WHEN total > 0 THEN completed / total * 100 ELSE 0.0 END + 0.5) AS BIGINT) AS percent,
+       'Completed: ' || completed || ' of ' || total || ' companies' AS completed_text,
+       CASE WHEN total - completed = 0 AND has_errors THEN {_lit(J_DONE_ERR)}
+            WHEN total - completed = 0 THEN {_lit(J_DONE)}
+            ELSE 'Processing... ' || (total - completed)
+                 || CASE WHEN total - completed = 1 THEN ' company' ELSE ' companies' END || ' remaining.' END
+         AS status_text
+FROM ({PROGRESS_AGG})
+"""
+
+
+def _unit(n: str, word: str) -> str:
+    return f"CAST({n} AS BIGINT) || ' {word}' || CASE WHEN {n} > 1 THEN 's' ELSE '' END"
+
+
+_REM = "((now_s - start_s) / completed * (total - completed))"
+_MIN = f"floor({_REM} / 60 + 0.5)"
+_HRS = f"floor({_REM} / 3600)"
+_HMIN = f"floor(({_REM} % 3600) / 60 + 0.5)"
+
+JOB_ETA = f"""
+SELECT batch_id, total, completed, CASE WHEN completed > 0 THEN {_REM} END AS remaining_seconds,
+       CASE WHEN total - completed = 0 THEN ''
+            WHEN completed = 0 THEN 'Estimated time remaining: Calculating...'
+            WHEN {_REM} < 60 THEN 'Estimated time remaining: Less than a minute'
+            WHEN {_REM} < 3600 THEN 'Estimated time remaining: About ' || {_unit(_MIN, 'minute')}
+            ELSE 'Estimated time remaining: About ' || {_unit(_HRS, 'hour')} || ' and ' || {_unit(_HMIN, 'minute')}
+       END AS eta_text
+FROM ({PROGRESS_AGG})
+"""
+
+QUEUE_SIZES = f"""
+SELECT count(*) FILTER (WHERE status = 'queued') AS queue_size,
+       count(*) FILTER (WHERE status <> 'queued') AS results_size FROM ({JOBS})
+"""
+
+STATUS_JSON = f"""
+SELECT job_id,
+       CASE WHEN status = 'complete' THEN
+         json_object('status', status, 'data', json_object('Company', company, 'Website', website,
+                     'Sitemap Complete', website || '/' || event_type, 'Insight from Prompt', props))::VARCHAR
+       ELSE json_object('status', status, 'message', 'Worker error: ' || props)::VARCHAR END AS json
+FROM ({JOBS}) WHERE status <> 'queued'
+"""
+
 ORACLE = {
+    "insight_prompts": INSIGHT_PROMPTS,
+    "insight_cache_join": INSIGHT_CACHE_JOIN,
+    "company_documents": COMPANY_DOCUMENTS,
+    "results_rows": RESULTS_ROWS,
+    "store_upsert": STORE_UPSERT,
+    "store_upsert_counts": STORE_UPSERT_COUNTS,
+    "store_latest": STORE_LATEST,
+    "store_lookup": STORE_LOOKUP,
+    "results_dedupe": RESULTS_DEDUPE,
+    "job_status_lookup": JOB_STATUS_LOOKUP,
+    "job_progress": JOB_PROGRESS,
+    "job_eta": JOB_ETA,
+    "queue_sizes": QUEUE_SIZES,
+    "status_json": STATUS_JSON,
     "site_frontier": SITE_FRONTIER,
     "robots_directives": ROBOTS_DIRECTIVES,
     "urlset_expand": _urlset(100),

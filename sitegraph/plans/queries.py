@@ -16,7 +16,12 @@ from ..operators.frontier import latest_fetches, path_frontier, robots_directive
 from ..operators.resolve import company_url_lists, site_url_lists as _site_url_lists
 from ..operators.sitemaps import (expand_sitemaps, index_children, malformed_index_items, ordered_lists,
                                   urlset_urls)
+from ..operators import jobs as J
+from ..operators import store as S
+from ..operators.insights import generate_insights, insight_requests
 from . import bindings as B
+from .pipeline import half_cache
+from .stubs import echo_model
 from .tables import table
 
 
@@ -123,6 +128,109 @@ def site_url_lists(spark: SparkSession, sf: str) -> DataFrame:
                     F.array_join("urls", ", ").alias("sitemap_complete"))
 
 
+def insight_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """M1/M2/H9 over the flagship lists."""
+    return insight_requests(_company_lists(spark, sf)).select("_ord", "company", "key", "prompt")
+
+
+def _insight_rows(spark: SparkSession, sf: str) -> DataFrame:
+    req = insight_requests(_company_lists(spark, sf))
+    rows, _ = generate_insights(req, half_cache(req), echo_model)
+    return rows
+
+
+def insight_cache_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the keys answered by the cache, the rest by the
+    (stub) model once per distinct key; failures become error text."""
+    return _insight_rows(spark, sf).select("_ord", "company", "key", "cached", "insight")
+
+
+def company_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The store record of every processed company."""
+    d = S.company_documents(_insight_rows(spark, sf), now=B.STORE_NOW)
+    return d.select("company_name", "website_url", F.size("sitemap_urls").cast("bigint").alias("n_urls"),
+                    F.array_join("sitemap_urls", ", ").alias("sitemap_complete"), "ai_insights", "last_updated",
+                    "company_name_normalized")
+
+
+def results_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The output rows of every processed company."""
+    return J.output_rows(_insight_rows(spark, sf))
+
+
+def _upserted(spark: SparkSession, sf: str) -> DataFrame:
+    u, supplied = S.prepare_updates(B.store_updates(spark, sf), now=B.STORE_NOW, order="event_id")
+    return S.upsert(B.store_snapshot(spark, sf), u, supplied)
+
+
+def _store_view(df: DataFrame) -> DataFrame:
+    return df.select("company_name", "website_url", F.array_join("sitemap_urls", ", ").alias("sitemap_complete"),
+                     "ai_insights", "last_updated", "company_name_normalized")
+
+
+def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after upserting the update batch."""
+    return _store_view(S.documents(_upserted(spark, sf)))
+
+
+def store_upsert_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Inserted / modified / matched counters of that upsert."""
+    return S.upsert_counts(_upserted(spark, sf))
+
+
+def store_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Freshest record per normalised name."""
+    return _store_view(S.latest_per_company(S.documents(_upserted(spark, sf))))
+
+
+def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """F8/L2: find-one by exact name (both spellings and an unknown
+    lower-case one per user) and by website."""
+    store = S.documents(_upserted(spark, sf))
+    users = table(spark, sf, "events").select("user_id").dropDuplicates()
+    base = F.concat(F.lit("Company "), F.col("user_id").cast("string"))
+    names = users.select(F.explode(F.array(base, F.upper(base), F.lower(base))).alias("probe"))
+    web = users.select(F.explode(F.array(
+        F.concat(F.lit("https://c"), F.col("user_id").cast("string"), F.lit(".example.com/view")),
+        F.concat(F.lit("https://c"), F.col("user_id").cast("string"), F.lit(".example.com/none")))).alias("probe"))
+    by_name = S.lookup(store, names, "probe", "company_name").withColumn("by", F.lit("name"))
+    by_web = S.lookup(store, web, "probe", "website_url").withColumn("by", F.lit("website"))
+    cols = ["by", "probe", "found", "company_name", "website_url", "ai_insights", "last_updated"]
+    return by_name.select(*cols).unionByName(by_web.select(*cols))
+
+
+def results_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Last completed result per company, first-completion position."""
+    return J.dedupe_results(B.jobs(spark, sf))
+
+
+def job_status_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Status of probed ids ``job_<2·event_id>`` (half unknown)."""
+    probes = table(spark, sf, "events").select(
+        F.concat(F.lit("job_"), (F.col("event_id") * 2).cast("string")).alias("job_id"))
+    return J.status_lookup(B.jobs(spark, sf), probes)
+
+
+def job_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """G6/H15/H16 per submission."""
+    return J.job_progress(B.jobs(spark, sf))
+
+
+def job_eta(spark: SparkSession, sf: str) -> DataFrame:
+    """G7/H14 per submission."""
+    return J.job_eta(B.jobs(spark, sf))
+
+
+def queue_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """G8."""
+    return J.queue_sizes(B.jobs(spark, sf))
+
+
+def status_json(spark: SparkSession, sf: str) -> DataFrame:
+    """One JSON document per job."""
+    return J.status_json(B.jobs(spark, sf))
+
+
 REGISTRY = {
     "company_normalize": company_normalize,
     "company_dedupe": company_dedupe,
@@ -136,5 +244,19 @@ REGISTRY = {
     "index_malformed": index_malformed,
     "sitemap_tree": sitemap_tree,
     "site_url_lists": site_url_lists,
+    "insight_prompts": insight_prompts,
+    "insight_cache_join": insight_cache_join,
+    "company_documents": company_documents,
+    "results_rows": results_rows,
+    "store_upsert": store_upsert,
+    "store_upsert_counts": store_upsert_counts,
+    "store_latest": store_latest,
+    "store_lookup": store_lookup,
+    "results_dedupe": results_dedupe,
+    "job_status_lookup": job_status_lookup,
+    "job_progress": job_progress,
+    "job_eta": job_eta,
+    "queue_sizes": queue_sizes,
+    "status_json": status_json,
     "page_links": page_links,
 }

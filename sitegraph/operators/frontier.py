@@ -43,15 +43,17 @@ def path_frontier(site_df: DataFrame) -> DataFrame:
         "base_domain", "path_pos", F.concat("base_domain", "path").alias("sitemap_url"))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when it has at most ``max_rows`` rows (counted
-    with an early-stopping limit); otherwise leave the join to the planner
-    (sort-merge or AQE's runtime choice)."""
-    n = df.limit(max_rows + 1).count()
+    with an early-stopping limit unless the caller knows an upper bound);
+    otherwise leave the join to the planner (sort-merge, or AQE's runtime
+    choice from real sizes)."""
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
-def latest_fetches(fetches: DataFrame, wanted_urls: DataFrame, url_col: str = "url") -> DataFrame:
+def latest_fetches(fetches: DataFrame, wanted_urls: DataFrame, url_col: str = "url",
+                   known_rows: int | None = None) -> DataFrame:
     """A3-A5: the newest fetch of each wanted URL.
 
     The wanted set (a frontier) is small next to the snapshot, so it is
@@ -59,7 +61,7 @@ def latest_fetches(fetches: DataFrame, wanted_urls: DataFrame, url_col: str = "u
     neither shuffled nor de-duplicated unless they are wanted.
     """
     wanted = wanted_urls.select(F.col(url_col).alias("url")).dropDuplicates()
-    hit = fetches.join(checked_broadcast(wanted), "url", "left_semi")
+    hit = fetches.join(checked_broadcast(wanted, known_rows=known_rows), "url", "left_semi")
     newest = F.max_by(F.struct("status", "content_type", "body", "fetched_at"), "fetched_at").alias("_f")
     return hit.groupBy("url").agg(newest).select("url", "_f.*")
 

@@ -88,6 +88,9 @@ def generate_insights(requests: DataFrame, cache: DataFrame, complete_fn: Callab
     model is never asked twice for a key, even when a task is retried later
     in the plan. ``call_partitions`` bounds the number of concurrent callers.
     """
+    # the request set is written once: the model input is then fixed even if
+    # a later stage is retried, and the lists are not recomputed per use
+    requests = requests.checkpoint()
     cache = cache.dropDuplicates(["key"])
     wanted = requests.select("key", "prompt", "company").dropDuplicates(["key"])
     misses = wanted.join(cache, "key", "left_anti")

@@ -137,22 +137,27 @@ def expand_sitemaps(roots: DataFrame, fetches: DataFrame, max_depth: int = DEFAU
     the lineage (a lost executor re-reads it instead of replaying all levels).
     """
     frontier = roots.select(F.col("root"), F.array().cast("array<int>").alias("ord"),
-                            F.col("root").alias("sitemap_url"), F.array(F.col("root")).alias("anc"))
+                            F.col("root").alias("sitemap_url"), F.array(F.col("root")).alias("anc")).checkpoint()
+    n = frontier.count()
     pages = None
     for depth in range(max_depth + 1):
-        docs = latest_fetches(fetches, frontier, "sitemap_url")
+        docs = latest_fetches(fetches, frontier, "sitemap_url", known_rows=n)
         items = frontier.join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url").select(
             "root", "ord", "anc", F.posexplode(document_items(F.col("body"), cap, compat)).alias("p", "item"))
         items = items.select("root", F.concat("ord", F.array((F.col("p") + 1).cast("int"))).alias("ord"), "anc",
                              F.col("item.kind").alias("kind"), F.col("item.value").alias("value"))
+        if depth < max_depth:
+            # one pass over the level's documents: keep pages and children together
+            items = items.checkpoint()
         found = items.filter(F.col("kind") == "page").select("root", "ord", F.col("value").alias("url"))
         pages = found if pages is None else pages.unionByName(found)
         if depth == max_depth:
             break
         children = items.filter((F.col("kind") == "child") & ~F.array_contains("anc", F.col("value")))
         frontier = children.select("root", "ord", F.col("value").alias("sitemap_url"),
-                                   F.concat("anc", F.array("value")).alias("anc")).checkpoint()
-        if frontier.isEmpty():
+                                   F.concat("anc", F.array("value")).alias("anc"))
+        n = frontier.count()
+        if n == 0:
             break
     return pages.groupBy("root", "url").agg(F.min("ord").alias("ord")).select("root", "ord", "url")
 

@@ -111,8 +111,7 @@ def domain_index_files(spark: SparkSession, sf: str) -> DataFrame:
     for kind 2 (a page, not a sitemap). File 0 is
     ``https://<domain>/sitemap_index.xml``. Output: domain, chunk, url, body."""
     h = hosts(spark, sf).select("host", "base", "kind").dropDuplicates(["host"])
-    u = urlset_files(spark, sf).select("host", "chunk", "url")
-    sm = u.join(h.select("host"), "host").select("host", F.col("chunk").alias("c"), "url")
+    sm = urlset_files(spark, sf).select("host", F.col("chunk").alias("c"), "url")
     home = h.filter(F.col("kind") == 2).select("host", F.lit(0).cast("bigint").alias("c"),
                                                 F.concat(F.col("base"), F.lit("/")).alias("url"))
     entries = sm.unionByName(home).select(
@@ -124,7 +123,33 @@ def domain_index_files(spark: SparkSession, sf: str) -> DataFrame:
                         _index_body(F.col("lines")).alias("body"))
 
 
+_MATERIALIZED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def materialized(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A bound input written once per application to the shared checkpoint
+    folder (as a stored crawl snapshot would be) and reused by every query."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf, name)
+    if key not in _MATERIALIZED:
+        import hashlib
+
+        from ..session import ensure_checkpoint_dir
+
+        folder = ensure_checkpoint_dir(spark).rstrip("/")
+        tag = hashlib.sha1(f"{app}|{sf}|{name}".encode()).hexdigest()[:16]
+        path = f"{folder}/bindings/{name}-{tag}"
+        build(spark, sf).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = spark.read.parquet(path)
+    return _MATERIALIZED[key]
+
+
 def fetches(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawl snapshot (materialised once, see ``materialized``)."""
+    return materialized(spark, sf, "fetches", build_fetches)
+
+
+def build_fetches(spark: SparkSession, sf: str) -> DataFrame:
     """The crawl snapshot. Robots files and sitemaps also have an older, empty
     copy, so readers must keep the newest fetch per URL."""
     h = hosts(spark, sf)

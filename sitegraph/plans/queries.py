@@ -134,7 +134,7 @@ def insight_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _insight_rows(spark: SparkSession, sf: str) -> DataFrame:
-    req = insight_requests(_company_lists(spark, sf))
+    req = insight_requests(_company_lists(spark, sf)).checkpoint()
     rows, _ = generate_insights(req, half_cache(req), echo_model)
     return rows
 

@@ -98,7 +98,7 @@ def malformed_index_items(body: Column) -> Column:
     entries = loc_lines(body)
     idx = F.sequence(F.lit(1), F.size(entries))
     xml_pos = F.filter(idx, lambda i: F.element_at(entries, i).endswith(".xml"))
-    cutoff = F.coalesce(F.element_at(xml_pos, INDEX_CHILDREN), F.size(entries))
+    cutoff = F.coalesce(F.try_element_at(xml_pos, F.lit(INDEX_CHILDREN)), F.size(entries))
     kept = F.filter(idx, lambda i: i <= cutoff)
     return F.when(F.size(entries) == 0, F.array().cast("array<struct<kind:string,value:string>>")).otherwise(
         F.transform(kept, lambda i: F.struct(

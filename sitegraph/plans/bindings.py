@@ -252,3 +252,18 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("batch_id"), F.col("event_id").alias("seq"), status.alias("status"),
         F.when(status == "error", F.concat(F.lit("Worker error: "), F.col("props"))).alias("message"),
         F.when(status == "complete", data).alias("data"), "ts_s")
+
+
+# Breaker call log (B7): 3 failures open it, 6 hours (in microseconds) reset it.
+BREAKER_MAX_FAILURES = 3
+BREAKER_RESET_US = 21600 * 1_000_000
+
+
+def call_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event is a model call of service ``user_id % 10`` at its
+    time (epoch microseconds), failing when the event is an error."""
+    e = table(spark, sf, "events")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return e.select((F.col("user_id") % 10).alias("service"),
+                    F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")).alias("ts"),
+                    F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))

@@ -330,7 +330,30 @@ SELECT job_id,
 FROM ({JOBS}) WHERE status <> 'queued'
 """
 
+BREAKER_REPLAY = """
+WITH RECURSIVE c AS (
+  SELECT user_id % 10 AS service, epoch_us(ts) AS ts, event_id AS id, event_type <> 'error' AS ok,
+         row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts), event_id) AS rn
+  FROM events),
+r AS (
+  SELECT service, rn, id, ts, ok, TRUE AS allowed, CASE WHEN ok THEN 0 ELSE 1 END AS failures,
+         CAST(NULL AS BIGINT) AS open_since
+  FROM c WHERE rn = 1
+  UNION ALL
+  SELECT c.service, c.rn, c.id, c.ts, c.ok,
+         NOT (r.open_since IS NOT NULL AND c.ts - r.open_since <= 21600000000),
+         CASE WHEN r.open_since IS NOT NULL AND c.ts - r.open_since <= 21600000000 THEN r.failures
+              WHEN c.ok THEN 0
+              ELSE (CASE WHEN r.open_since IS NOT NULL THEN 0 ELSE r.failures END) + 1 END,
+         CASE WHEN r.open_since IS NOT NULL AND c.ts - r.open_since <= 21600000000 THEN r.open_since
+              WHEN NOT c.ok AND (CASE WHEN r.open_since IS NOT NULL THEN 0 ELSE r.failures END) + 1 >= 3 THEN c.ts
+         END
+  FROM r JOIN c ON c.service = r.service AND c.rn = r.rn + 1)
+SELECT service, id, ts, ok, allowed, failures, open_since FROM r
+"""
+
 ORACLE = {
+    "breaker_replay": BREAKER_REPLAY,
     "insight_prompts": INSIGHT_PROMPTS,
     "insight_cache_join": INSIGHT_CACHE_JOIN,
     "company_documents": COMPANY_DOCUMENTS,

@@ -18,6 +18,7 @@ from ..operators.sitemaps import (expand_sitemaps, index_children, malformed_ind
                                   urlset_urls)
 from ..operators import jobs as J
 from ..operators import store as S
+from ..operators.breaker import breaker_replay as _breaker_replay
 from ..operators.insights import generate_insights, insight_requests
 from . import bindings as B
 from .pipeline import half_cache
@@ -231,6 +232,11 @@ def status_json(spark: SparkSession, sf: str) -> DataFrame:
     return J.status_json(B.jobs(spark, sf))
 
 
+def breaker_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """T4 (batch): breaker state after every call of the bound call log."""
+    return _breaker_replay(B.call_log(spark, sf), B.BREAKER_MAX_FAILURES, B.BREAKER_RESET_US)
+
+
 REGISTRY = {
     "company_normalize": company_normalize,
     "company_dedupe": company_dedupe,
@@ -258,5 +264,6 @@ REGISTRY = {
     "job_eta": job_eta,
     "queue_sizes": queue_sizes,
     "status_json": status_json,
+    "breaker_replay": breaker_replay,
     "page_links": page_links,
 }

@@ -1,0 +1,48 @@
+import random
+
+from sitegraph.operators.breaker import breaker_replay, breaker_step
+
+
+def simulate(rows, m, reset):
+    out = {}
+    by = {}
+    for s, ts, i, ok in rows:
+        by.setdefault(s, []).append((ts, i, ok))
+    for s, calls in by.items():
+        state = (0, None)
+        for ts, i, ok in sorted(calls):
+            allowed, state = breaker_step(state, ts, ok, m, reset)
+            out[(s, i)] = (allowed, state[0], state[1])
+    return out
+
+
+def run(spark, rows, m, reset):
+    df = spark.createDataFrame(rows, "service string, ts long, id long, ok boolean")
+    got = breaker_replay(df, m, reset, partitions=4).collect()
+    return {(r.service, r.id): (r.allowed, r.failures, r.open_since) for r in got}
+
+
+def test_fixture_table(spark):
+    rows = [("a", 0, 1, False), ("a", 1, 2, False), ("a", 2, 3, False), ("a", 10, 4, True), ("a", 302, 5, True),
+            ("a", 303, 6, False), ("a", 304, 7, True)]
+    got = run(spark, rows, 3, 300)
+    assert got[("a", 3)] == (True, 3, 2)
+    assert got[("a", 4)] == (False, 3, 2)
+    assert got[("a", 5)] == (False, 3, 2)
+    assert got[("a", 6)] == (True, 1, None)
+    assert got[("a", 7)] == (True, 0, None)
+
+
+def test_random_against_sequential(spark):
+    rnd = random.Random(7)
+    rows = []
+    i = 0
+    for s in ["hot", "b", "c"]:
+        t = 0
+        n = 1500 if s == "hot" else 200
+        for _ in range(n):
+            t += rnd.choice([0, 1, 2, 5, 40, 200])
+            i += 1
+            rows.append((s, t, i, rnd.random() < 0.45))
+    for m, reset in [(3, 300), (2, 50), (1, 10)]:
+        assert run(spark, rows, m, reset) == simulate(rows, m, reset)

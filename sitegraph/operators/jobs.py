@@ -58,7 +58,16 @@ def _progress_aggs():
 
 def job_progress(jobs: DataFrame, batch: str = "batch_id") -> DataFrame:
     """G6/H15/H16 per submission: counts, rounded percent and the texts."""
-    g = jobs.groupBy(batch).agg(*_progress_aggs())
+    return progress_columns(jobs.groupBy(batch).agg(*_progress_aggs()), batch)
+
+
+def progress_aggregates(jobs: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """The G6 counters alone (usable as a streaming aggregation)."""
+    return jobs.groupBy(batch).agg(*_progress_aggs())
+
+
+def progress_columns(g: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Percent and texts from ``total, completed, has_errors``."""
     remaining = F.col("total") - F.col("completed")
     pct = F.when(F.col("total") > 0, F.col("completed") / F.col("total") * 100).otherwise(F.lit(0.0))
     status_text = (

@@ -354,6 +354,10 @@ SELECT service, id, ts, ok, allowed, failures, open_since FROM r
 
 ORACLE = {
     "breaker_replay": BREAKER_REPLAY,
+    "stream_dedupe": COMPANY_DEDUPE,
+    "stream_company_upsert": STORE_UPSERT,
+    "stream_status": JOB_PROGRESS,
+    "breaker_stream": BREAKER_REPLAY,
     "insight_prompts": INSIGHT_PROMPTS,
     "insight_cache_join": INSIGHT_CACHE_JOIN,
     "company_documents": COMPANY_DOCUMENTS,

@@ -21,6 +21,7 @@ from ..operators import store as S
 from ..operators.breaker import breaker_replay as _breaker_replay
 from ..operators.insights import generate_insights, insight_requests
 from . import bindings as B
+from . import stream_queries as SQ
 from .pipeline import half_cache
 from .stubs import echo_model
 from .tables import table
@@ -265,5 +266,9 @@ REGISTRY = {
     "queue_sizes": queue_sizes,
     "status_json": status_json,
     "breaker_replay": breaker_replay,
+    "stream_dedupe": SQ.stream_dedupe,
+    "stream_company_upsert": SQ.stream_company_upsert,
+    "stream_status": SQ.stream_status,
+    "breaker_stream": SQ.breaker_stream,
     "page_links": page_links,
 }

@@ -85,8 +85,17 @@ def plural(n: Column, word: str, plural_word: str | None = None) -> Column:
     return F.concat(n.cast("string"), F.lit(" "), F.when(n > 1, F.lit(plural_word or word + "s")).otherwise(F.lit(word)))
 
 
+def epoch_micros(ts_ntz: Column) -> Column:
+    """Epoch microseconds (BIGINT) of a TIMESTAMP_NTZ wall-clock value, read
+    as UTC and independent of the session time zone (date and time fields of
+    an NTZ value involve no zone)."""
+    t = ts_ntz.cast("timestamp_ntz")
+    days = F.unix_date(F.to_date(t)).cast("bigint")
+    sec = F.date_part(F.lit("SECOND"), t)  # seconds with microsecond fraction
+    return (days * 86_400_000_000 + F.hour(t).cast("bigint") * 3_600_000_000
+            + F.minute(t).cast("bigint") * 60_000_000 + (sec * 1_000_000).cast("bigint"))
+
+
 def epoch_seconds(ts_ntz: Column) -> Column:
-    """Epoch seconds (DOUBLE, microsecond precision) of a TIMESTAMP_NTZ,
-    independent of the session time zone."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", epoch, ts_ntz.cast("timestamp_ntz")) / F.lit(1e6)
+    """Epoch seconds (DOUBLE, microsecond precision) of a TIMESTAMP_NTZ."""
+    return epoch_micros(ts_ntz) / F.lit(1e6)

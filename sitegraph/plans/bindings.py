@@ -262,8 +262,8 @@ BREAKER_RESET_US = 21600 * 1_000_000
 def call_log(spark: SparkSession, sf: str) -> DataFrame:
     """Every event is a model call of service ``user_id % 10`` at its
     time (epoch microseconds), failing when the event is an error."""
+    from ..functions.text import epoch_micros
+
     e = table(spark, sf, "events")
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return e.select((F.col("user_id") % 10).alias("service"),
-                    F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")).alias("ts"),
+    return e.select((F.col("user_id") % 10).alias("service"), epoch_micros(F.col("ts")).alias("ts"),
                     F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))

@@ -66,14 +66,21 @@ def latest_fetches(fetches: DataFrame, wanted_urls: DataFrame, url_col: str = "u
     return hit.groupBy("url").agg(newest).select("url", "_f.*")
 
 
-def robots_directives(site_df: DataFrame, fetches: DataFrame) -> DataFrame:
+def robots_url(base: str = "base_domain"):
+    return F.concat(F.col(base), F.lit("/robots.txt"))
+
+
+def robots_directives(site_df: DataFrame, fetches: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """``Sitemap:`` lines of each site's robots.txt (status 200 only),
     in file order. Matching is ``lower(line) startswith 'sitemap:'`` with no
     leading-space tolerance; the value is the stripped text after the first
-    colon. Output: base_domain, dir_pos, sitemap_url."""
-    r = site_df.select("base_domain", F.concat("base_domain", F.lit("/robots.txt")).alias("url"))
-    docs = latest_fetches(fetches, r).filter(F.col("status") == 200)
-    lines = r.join(docs, "url").select("base_domain", F.posexplode(F.split("body", "\n", -1)).alias("dir_pos", "line"))
+    colon. ``docs`` may carry already looked-up fetches (any superset).
+    Output: base_domain, dir_pos, sitemap_url."""
+    r = site_df.select("base_domain", robots_url().alias("url"))
+    if docs is None:
+        docs = latest_fetches(fetches, r)
+    docs = docs.filter(F.col("status") == 200)
+    lines = r.join(docs.select("url", "body"), "url").select("base_domain", F.posexplode(F.split("body", "\n", -1)).alias("dir_pos", "line"))
     return lines.filter(F.lower("line").startswith("sitemap:")).select(
         "base_domain", F.col("dir_pos").cast("int").alias("dir_pos"),
         ustrip(F.substr(F.col("line"), F.lit(9))).alias("sitemap_url"))

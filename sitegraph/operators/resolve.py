@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frontier import latest_fetches, path_frontier, robots_directives
+from .frontier import latest_fetches, path_frontier, robots_directives, robots_url
 from .links import link_array
 from .sitemaps import DEFAULT_MAX_DEPTH, URLSET_CAP, expand_sitemaps, ordered_lists
 
@@ -18,20 +18,21 @@ ROBOTS, WELL_KNOWN, HTML = 0, 1, 2
 SOURCE_NAMES = {ROBOTS: "robots", WELL_KNOWN: "sitemap", HTML: "html"}
 
 
-def sitemap_candidates(site_df: DataFrame, fetches: DataFrame) -> DataFrame:
+def sitemap_candidates(site_df: DataFrame, fetches: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """U2 (sitemap part): robots directives then well-known paths.
     Output: base_domain, source_rank, source_pos, sitemap_url."""
-    robots = robots_directives(site_df, fetches).select(
+    robots = robots_directives(site_df, fetches, docs).select(
         "base_domain", F.lit(ROBOTS).alias("source_rank"), F.col("dir_pos").alias("source_pos"), "sitemap_url")
     paths = path_frontier(site_df).select(
         "base_domain", F.lit(WELL_KNOWN).alias("source_rank"), F.col("path_pos").alias("source_pos"), "sitemap_url")
     return robots.unionByName(paths)
 
 
-def html_source(site_df: DataFrame, fetches: DataFrame, cap: int = LINK_CAP) -> DataFrame:
+def html_source(site_df: DataFrame, fetches: DataFrame, cap: int = LINK_CAP,
+                docs: DataFrame | None = None) -> DataFrame:
     """X5 on each site's home page (no status check, as the reference).
     Output: base_domain, source_rank, source_pos, urls."""
-    home = latest_fetches(fetches, site_df.select(F.col("base_domain").alias("url")))
+    home = docs if docs is not None else latest_fetches(fetches, site_df.select(F.col("base_domain").alias("url")))
     j = site_df.join(home.select(F.col("url").alias("base_domain"), "body"), "base_domain")
     return j.select("base_domain", F.lit(HTML).alias("source_rank"), F.lit(0).alias("source_pos"),
                     link_array(F.col("body"), F.col("base_domain"), F.col("netloc"), cap).alias("urls"))
@@ -47,12 +48,18 @@ def site_url_lists(site_df: DataFrame, fetches: DataFrame, max_depth: int = DEFA
     ``min_by`` aggregate (partial aggregation before the shuffle).
     Output: base_domain, netloc, source, source_pos, urls.
     """
-    cands = sitemap_candidates(site_df, fetches)
+    # the site table is written once; robots files and home pages are looked
+    # up in one pass over the snapshot
+    site_df = site_df.checkpoint()
+    n_sites = site_df.count()
+    first = site_df.select(robots_url().alias("url")).unionByName(site_df.select(F.col("base_domain").alias("url")))
+    docs = latest_fetches(fetches, first, known_rows=2 * n_sites).checkpoint()
+    cands = sitemap_candidates(site_df, fetches, docs)
     roots = cands.select(F.col("sitemap_url").alias("root")).dropDuplicates()
     root_lists = ordered_lists(expand_sitemaps(roots, fetches, max_depth, urlset_cap, compat), "root")
     sm = cands.join(root_lists, cands.sitemap_url == root_lists.root).select(
         "base_domain", "source_rank", "source_pos", "urls")
-    html = html_source(site_df, fetches)
+    html = html_source(site_df, fetches, docs=docs)
     allsrc = sm.unionByName(html).filter(F.size("urls") > 0)
     best = allsrc.groupBy("base_domain").agg(
         F.min_by(F.struct("source_rank", "source_pos", "urls"), F.struct("source_rank", "source_pos")).alias("b"))

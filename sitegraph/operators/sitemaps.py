@@ -62,6 +62,22 @@ def loc_lines(body: Column) -> Column:
     return F.filter(F.transform(lines, one), lambda x: x.isNotNull())
 
 
+def _urlset_from(parsed: Column, body: Column, cap: int | None) -> Column:
+    locs = F.flatten(F.transform(F.coalesce(parsed["url"], F.array()), lambda u: F.coalesce(u["loc"], F.array())))
+    locs = F.filter(F.transform(locs, ustrip), lambda s: s.isNotNull() & (s != ""))
+    good = F.when(_ns_ok(body, "urlset"), locs).otherwise(F.array().cast("array<string>"))
+    urls = F.array_distinct(F.when(parsed["_corrupt"].isNotNull(), loc_lines(body)).otherwise(good))
+    return F.slice(urls, 1, cap) if cap else urls
+
+
+def _children_from(parsed: Column, body: Column, compat: bool) -> Column:
+    locs = F.flatten(F.transform(F.coalesce(parsed["sitemap"], F.array()), lambda u: F.coalesce(u["loc"], F.array())))
+    locs = F.filter(F.transform(locs, ustrip), lambda s: s.isNotNull() & (s != ""))
+    ns = root_namespace(body, "sitemapindex")
+    ok = (ns == "") if compat else ((ns == "") | (ns == SITEMAP_NS))
+    return F.slice(F.when(ok, locs).otherwise(F.array().cast("array<string>")), 1, INDEX_CHILDREN)
+
+
 def urlset_urls(body: Column, cap: int | None = URLSET_CAP) -> Column:
     """X1 (+X3 fallback): ordered unique ``loc`` URLs of a urlset body, first
     ``cap``. Empty ``<loc/>`` elements are dropped; another root namespace
@@ -106,20 +122,33 @@ def malformed_index_items(body: Column) -> Column:
             F.element_at(entries, i).alias("value"))))
 
 
-def document_items(body: Column, cap: int | None = URLSET_CAP, compat: bool = False) -> Column:
-    """One document → ordered items ARRAY<STRUCT<kind, value>>: ``page`` items
-    are URLs, ``child`` items are sitemaps to expand."""
-    kind = doc_kind(body)
-    empty = F.array().cast("array<struct<kind:string,value:string>>")
+_ITEM_ARRAY = "array<struct<kind:string,value:string>>"
+
+
+def parse_documents(docs: DataFrame, body: str = "body", cap: int | None = URLSET_CAP,
+                    compat: bool = False, out: str = "items") -> DataFrame:
+    """One document per row → ``out`` ARRAY<STRUCT<kind, value>> in document
+    order: ``page`` items are URLs, ``child`` items are sitemaps to expand.
+    Each body is parsed once, with the schema of its kind (F3 routing)."""
+    b = F.col(body)
+    kind = doc_kind(b)
+    d = docs.withColumn("_kind", kind)
+    d = d.withColumn("_px", F.when(F.col("_kind") == "urlset", _parsed(b, "urlset", _URLSET_SCHEMA))
+                     .when(F.col("_kind") == "index", F.struct(
+                         F.lit(None).cast("array<struct<loc: array<string>>>").alias("url"),
+                         F.lit(None).cast("string").alias("_corrupt"))))
+    d = d.withColumn("_ix", F.when(F.col("_kind") == "index", _parsed(b, "sitemapindex", _INDEX_SCHEMA)))
 
     def as_items(arr: Column, k: str) -> Column:
         return F.transform(arr, lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value")))
 
-    idx_items = F.when(index_is_corrupt(body), malformed_index_items(body)).otherwise(
-        as_items(index_children(body, compat), "child"))
-    return (F.when(kind == "index", idx_items)
-            .when(kind == "urlset", as_items(urlset_urls(body, cap), "page"))
-            .otherwise(empty))
+    ix = F.col("_ix")
+    idx_items = F.when(ix["_corrupt"].isNotNull(), malformed_index_items(b)).otherwise(
+        as_items(_children_from(ix, b, compat), "child"))
+    items = (F.when(F.col("_kind") == "index", idx_items)
+             .when(F.col("_kind") == "urlset", as_items(_urlset_from(F.col("_px"), b, cap), "page"))
+             .otherwise(F.array().cast(_ITEM_ARRAY)))
+    return d.withColumn(out, items).drop("_kind", "_px", "_ix")
 
 
 def expand_sitemaps(roots: DataFrame, fetches: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
@@ -142,8 +171,9 @@ def expand_sitemaps(roots: DataFrame, fetches: DataFrame, max_depth: int = DEFAU
     pages = None
     for depth in range(max_depth + 1):
         docs = latest_fetches(fetches, frontier, "sitemap_url", known_rows=n)
-        items = frontier.join(docs.select(F.col("url").alias("sitemap_url"), "body"), "sitemap_url").select(
-            "root", "ord", "anc", F.posexplode(document_items(F.col("body"), cap, compat)).alias("p", "item"))
+        parsed = parse_documents(docs.select(F.col("url").alias("sitemap_url"), "body"), "body", cap, compat)
+        items = frontier.join(parsed.select("sitemap_url", "items"), "sitemap_url").select(
+            "root", "ord", "anc", F.posexplode("items").alias("p", "item"))
         items = items.select("root", F.concat("ord", F.array((F.col("p") + 1).cast("int"))).alias("ord"), "anc",
                              F.col("item.kind").alias("kind"), F.col("item.value").alias("value"))
         if depth < max_depth:

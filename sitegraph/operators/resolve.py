@@ -76,10 +76,13 @@ def site_url_lists(site_df: DataFrame, fetches: DataFrame, max_depth: int = DEFA
 
 
 def company_url_lists(companies: DataFrame, lists: DataFrame) -> DataFrame:
-    """Every company keeps its row, with its site's list."""
+    """Every company keeps its row, with its site's list (S14). The list
+    table has one bounded row per site; it is broadcast after a size check,
+    so a site shared by very many companies does not skew the join."""
     from ..functions.text import base_domain
+    from .frontier import checked_broadcast
 
     c = companies.withColumn("base_domain", base_domain(F.col("website_url")))
-    return c.join(lists.drop("netloc"), "base_domain", "left").select(
+    return c.join(checked_broadcast(lists.drop("netloc"), 200_000), "base_domain", "left").select(
         *[x for x in companies.columns], "source", "source_pos",
         F.coalesce("urls", F.array().cast("array<string>")).alias("urls"))

@@ -47,14 +47,35 @@ def prepare_updates(updates: DataFrame, now: float, order: str | None = None) ->
     return u.select(*cols), cols
 
 
-def upsert(store: DataFrame, updates: DataFrame, supplied: list[str]) -> DataFrame:
+SMALL_BATCH_ROWS = 2_000_000
+
+
+def upsert(store: DataFrame, updates: DataFrame, supplied: list[str],
+           small_batch_rows: int = SMALL_BATCH_ROWS) -> DataFrame:
     """Update-or-insert by exact ``company_name``.
 
     A matched row takes every *supplied* column from the update (NULL
     included) and keeps the rest; an unmatched update is inserted with NULL
     for columns it does not supply. Adds ``_matched``, ``_inserted`` and
     ``_modified`` (matched and some supplied column changed, NULL-safe).
+
+    When the batch has at most ``small_batch_rows`` rows (checked), its keys
+    are broadcast: untouched store rows pass through a broadcast anti-join
+    (no shuffle of the store) and only the touched rows meet the batch in the
+    full outer join. Larger batches use one full outer join.
     """
+    n = updates.limit(small_batch_rows + 1).count()
+    if n <= small_batch_rows:
+        keys = F.broadcast(updates.select(KEY).dropDuplicates())
+        untouched = store.join(keys, KEY, "left_anti").select(
+            *DOC_COLUMNS, F.lit(False).alias("_matched"), F.lit(False).alias("_inserted"),
+            F.lit(False).alias("_modified"))
+        touched = store.join(keys, KEY, "left_semi")
+        return untouched.unionByName(_merge(touched, updates, supplied))
+    return _merge(store, updates, supplied)
+
+
+def _merge(store: DataFrame, updates: DataFrame, supplied: list[str]) -> DataFrame:
     s = store.select(*[F.col(c).alias(f"s_{c}") for c in DOC_COLUMNS], F.lit(True).alias("_in_s"))
     u = updates.select(*[F.col(c).alias(f"u_{c}") for c in supplied], F.lit(True).alias("_in_u"))
     j = s.join(u, F.col(f"s_{KEY}") == F.col(f"u_{KEY}"), "full_outer")

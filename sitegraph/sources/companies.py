@@ -36,22 +36,27 @@ def resolve_columns(columns: list[str]) -> tuple[str, str]:
     return company, website
 
 
-def read_company_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_company_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A1/A2: every ``*.csv`` (case-sensitive) under ``path`` with a header
-    row, all cells as strings (never re-typed, S6); a file-order ``_ord``.
-    Multi-line quoted cells are allowed, so a file is one split."""
-    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
+    row, all cells as strings (never re-typed, S6).
+
+    ``_ord`` is the file order ``(file, split start, row)``, which stays
+    correct when a large file is read by many tasks. Quoted cells spanning
+    lines need ``multiline=True``, which makes every file a single task."""
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
               .option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv")
               .option("mode", "PERMISSIVE"))
     try:
         df = reader.csv(path)
     except Exception as e:  # no matching file: Spark cannot infer a schema
         raise ValueError("Invalid file format. Please upload a CSV file.") from e
-    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_ord", F.monotonically_increasing_id())
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_ord", order)
 
 
-def scan_companies(spark: SparkSession, path: str) -> DataFrame:
+def scan_companies(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A1 + P1: ``company, website, _ord`` selected by header resolution."""
-    df = read_company_csv(spark, path)
+    df = read_company_csv(spark, path, multiline)
     company, website = resolve_columns([c for c in df.columns if c not in ("_file", "_ord")])
     return df.select(F.col(f"`{company}`").alias("company"), F.col(f"`{website}`").alias("website"), "_ord")

@@ -90,3 +90,11 @@ def test_write_status_json(spark, tmp_path):
     assert merged == {"job_1": {"status": "complete", "data": {"Company": "A", "Website": "https://a",
                                                                 "Sitemap Complete": "u", "Insight from Prompt": "i"}},
                       "job_2": {"status": "error", "message": "boom"}}
+
+
+def test_multiline_cells(spark, tmp_path):
+    d = tmp_path / "ml"
+    d.mkdir()
+    (d / "c.csv").write_text('Company,Website\n"Two\nLines",a.com\nB,b.com\n')
+    rows = normalize_companies(scan_companies(spark, str(d), multiline=True)).collect()
+    assert [(r.company, r.website_url) for r in rows] == [("Two\nLines", "https://a.com"), ("B", "https://b.com")]

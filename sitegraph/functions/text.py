@@ -99,3 +99,9 @@ def epoch_micros(ts_ntz: Column) -> Column:
 def epoch_seconds(ts_ntz: Column) -> Column:
     """Epoch seconds (DOUBLE, microsecond precision) of a TIMESTAMP_NTZ."""
     return epoch_micros(ts_ntz) / F.lit(1e6)
+
+
+def now_epoch_seconds() -> Column:
+    """The query's current time as epoch seconds (DOUBLE). Pass a
+    literal instead when results must be reproducible."""
+    return F.unix_micros(F.current_timestamp()) / F.lit(1e6)

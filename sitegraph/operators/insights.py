@@ -66,6 +66,9 @@ def _completion_udf(complete_fn: Callable[[str], str], timeout_s: float):
                     except cf.TimeoutError:
                         status.append("timeout")
                         text.append(TIMEOUT_TEXT.format(company=c))
+                        # the late call keeps its thread; later calls get a fresh one
+                        pool.shutdown(wait=False)
+                        pool = cf.ThreadPoolExecutor(max_workers=1)
                     except Exception as e:  # the model's failure becomes text, as in the reference
                         status.append("error")
                         text.append(ERROR_TEXT.format(msg=e))

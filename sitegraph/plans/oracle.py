@@ -357,6 +357,8 @@ ORACLE = {
     "stream_dedupe": COMPANY_DEDUPE,
     "stream_company_upsert": STORE_UPSERT,
     "stream_status": JOB_PROGRESS,
+    "stream_job_status": f"""SELECT job_id, status, CASE WHEN status = 'error' THEN 'Worker error: ' || props END
+                             AS message FROM ({JOBS})""",
     "breaker_stream": BREAKER_REPLAY,
     "insight_prompts": INSIGHT_PROMPTS,
     "insight_cache_join": INSIGHT_CACHE_JOIN,

@@ -269,6 +269,7 @@ REGISTRY = {
     "stream_dedupe": SQ.stream_dedupe,
     "stream_company_upsert": SQ.stream_company_upsert,
     "stream_status": SQ.stream_status,
+    "stream_job_status": SQ.stream_job_status,
     "breaker_stream": SQ.breaker_stream,
     "page_links": page_links,
 }

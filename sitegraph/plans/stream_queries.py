@@ -113,3 +113,30 @@ def breaker_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     _replay(calls, "ts", src, "parquet", start, f"{run}/ckpt")
     return spark.read.parquet(out)
+
+
+def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Each job is first queued, then reaches its final state in a later
+    chunk; the stream keeps the latest state per job."""
+    run = _run_dir(spark, "jobstatus")
+    src, out = f"{run}/in", f"{run}/out"
+    jobs = B.jobs(spark, sf)
+    queued = jobs.select("job_id", (F.col("seq") * 2).alias("seq"), F.lit("queued").alias("status"),
+                         F.lit(None).cast("string").alias("message"))
+    final = jobs.filter(F.col("status") != "queued").select(
+        "job_id", (F.col("seq") * 2 + 1).alias("seq"), "status", "message")
+    # a job's final state arrives one chunk after it was queued
+    log = queued.unionByName(final.withColumn("seq", F.col("seq") + F.lit(2) * _chunk_width(jobs)))
+    schema = log.schema
+
+    def start():
+        return T.job_status_stream(spark.readStream.schema(schema).parquet(src), out)
+
+    _replay(log, "seq", src, "parquet", start, f"{run}/ckpt")
+    return T.latest_status(spark, out)
+
+
+def _chunk_width(jobs: DataFrame):
+    """A shift (in seq units) of about one chunk: (max - min) / CHUNKS."""
+    r = jobs.agg(((F.max("seq") - F.min("seq")) / CHUNKS).cast("long").alias("w")).first()
+    return F.lit(max(int(r.w or 1), 1))

@@ -122,6 +122,24 @@ def latest_progress(spark: SparkSession, out_path: str, batch: str = "batch_id")
     return df.groupBy(batch).agg(last).select(batch, "_p.*")
 
 
+def job_status_stream(jobs_stream: DataFrame, out_path: str):
+    """Latest state per job (``max_by`` over ``seq``, update mode); each
+    micro-batch writes the jobs it changed. Read with ``latest_status``."""
+    latest = jobs_stream.groupBy("job_id").agg(
+        F.max_by(F.struct("seq", "status", "message"), "seq").alias("_s")).select("job_id", "_s.*")
+
+    def run(changed: DataFrame, epoch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+
+    return latest.writeStream.outputMode("update").foreachBatch(run)
+
+
+def latest_status(spark: SparkSession, out_path: str) -> DataFrame:
+    df = spark.read.parquet(out_path)
+    return df.groupBy("job_id").agg(F.max_by(F.struct("status", "message"), "seq").alias("_s")).select(
+        "job_id", "_s.status", "_s.message")
+
+
 # --- T4 --------------------------------------------------------------------------
 
 BREAKER_OUT = "service {t}, id long, ts long, ok boolean, allowed boolean, failures int, open_since long"

@@ -69,9 +69,12 @@ def _chunked(entries: DataFrame, group: str, order: str, value: str) -> DataFram
     """Split each group's entries into files of at most ~MAX_ENTRIES_PER_FILE
     (hash-spread, so no single row holds an unbounded group); within a file
     entries keep ``order``. Output: group, chunk, lines ARRAY<value>."""
+    from ..operators.frontier import checked_broadcast
+
     counts = entries.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     nchunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(MAX_ENTRIES_PER_FILE)))
-    e = entries.join(counts, group).withColumn("chunk", F.pmod(F.xxhash64(F.col(order)), nchunks))
+    # one row per group: broadcast it, so a hot group is not one join partition
+    e = entries.join(checked_broadcast(counts), group).withColumn("chunk", F.pmod(F.xxhash64(F.col(order)), nchunks))
     grouped = e.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_e"))
     return grouped.select(group, "chunk", F.transform("_e", lambda x: x[value]).alias("lines"))
 

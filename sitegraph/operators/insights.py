@@ -59,7 +59,12 @@ def _completion_udf(complete_fn: Callable[[str], str], timeout_s: float):
             for prompts, companies in batches:
                 status, text = [], []
                 for p, c in zip(prompts, companies):
-                    fut = pool.submit(complete_fn, p)
+                    try:
+                        fut = pool.submit(complete_fn, p)
+                    except Exception as e:  # the call could not be started
+                        status.append("error")
+                        text.append(ANALYSIS_ERROR_TEXT.format(msg=e))
+                        continue
                     try:
                         text.append(str(fut.result(timeout=timeout_s)))
                         status.append("ok")

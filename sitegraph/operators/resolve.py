@@ -72,7 +72,9 @@ def site_url_lists(site_df: DataFrame, fetches: DataFrame, max_depth: int = DEFA
         F.col("b.source_pos").alias("source_pos"),
         F.when(F.col("bad_url") | F.col("b").isNull(), F.array().cast("array<string>"))
         .otherwise(F.slice(F.array_distinct("b.urls"), 1, site_cap)).alias("urls"))
-    return out
+    # one bounded row per site, reused by the company join and the insight
+    # requests: written once instead of recomputed per use
+    return out.checkpoint()
 
 
 def company_url_lists(companies: DataFrame, lists: DataFrame) -> DataFrame:

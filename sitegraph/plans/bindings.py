@@ -16,6 +16,28 @@ from .tables import table
 
 HOST_RE = "^[a-z]+://([^/?#]+)"
 
+_MATERIALIZED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def materialized(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A bound input written once per application to the shared checkpoint
+    folder (as a stored crawl snapshot would be) and reused by every query."""
+    app = spark.sparkContext.applicationId
+    key = (app, sf, name)
+    if key not in _MATERIALIZED:
+        import hashlib
+
+        from ..session import ensure_checkpoint_dir
+
+        folder = ensure_checkpoint_dir(spark).rstrip("/")
+        tag = hashlib.sha1(f"{app}|{sf}|{name}".encode()).hexdigest()[:16]
+        path = f"{folder}/bindings/{name}-{tag}"
+        build(spark, sf).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = spark.read.parquet(path)
+    return _MATERIALIZED[key]
+
+
+
 
 def host_of(url: Column) -> Column:
     return F.regexp_extract(url, HOST_RE, 1)
@@ -97,6 +119,11 @@ def _file_url(base: Column, stem: str, chunk: Column) -> Column:
 
 
 def urlset_files(spark: SparkSession, sf: str) -> DataFrame:
+    """B3 files (materialised once, see ``materialized``)."""
+    return materialized(spark, sf, "urlsets", build_urlset_files)
+
+
+def build_urlset_files(spark: SparkSession, sf: str) -> DataFrame:
     """Per host of kind 0/1, the page URLs in ``page_id`` order, one
     ``<url><loc>`` per line. File 0 is ``/sm.xml``. Output: host, base, kind,
     chunk, url, body."""
@@ -109,6 +136,11 @@ def urlset_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def domain_index_files(spark: SparkSession, sf: str) -> DataFrame:
+    """B4 files (materialised once, see ``materialized``)."""
+    return materialized(spark, sf, "domain_indexes", build_domain_index_files)
+
+
+def build_domain_index_files(spark: SparkSession, sf: str) -> DataFrame:
     """Per domain (last two host labels), an index listing every host in
     host order: its sitemap file(s) for kinds 0/1, its root ``https://host/``
     for kind 2 (a page, not a sitemap). File 0 is
@@ -126,27 +158,6 @@ def domain_index_files(spark: SparkSession, sf: str) -> DataFrame:
                         _index_body(F.col("lines")).alias("body"))
 
 
-_MATERIALIZED: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def materialized(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
-    """A bound input written once per application to the shared checkpoint
-    folder (as a stored crawl snapshot would be) and reused by every query."""
-    app = spark.sparkContext.applicationId
-    key = (app, sf, name)
-    if key not in _MATERIALIZED:
-        import hashlib
-
-        from ..session import ensure_checkpoint_dir
-
-        folder = ensure_checkpoint_dir(spark).rstrip("/")
-        tag = hashlib.sha1(f"{app}|{sf}|{name}".encode()).hexdigest()[:16]
-        path = f"{folder}/bindings/{name}-{tag}"
-        build(spark, sf).write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = spark.read.parquet(path)
-    return _MATERIALIZED[key]
-
-
 def fetches(spark: SparkSession, sf: str) -> DataFrame:
     """The crawl snapshot (materialised once, see ``materialized``)."""
     return materialized(spark, sf, "fetches", build_fetches)
@@ -203,6 +214,11 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def store_events(spark: SparkSession, sf: str) -> DataFrame:
+    """B5 rows (materialised once, see ``materialized``)."""
+    return materialized(spark, sf, "store_events", build_store_events)
+
+
+def build_store_events(spark: SparkSession, sf: str) -> DataFrame:
     """B5 rows: company ``Company <user_id>`` (upper-cased on odd event ids),
     with ``half``: 0 for the first half of the events by id (the stored
     snapshot), 1 for the rest (the update batch)."""

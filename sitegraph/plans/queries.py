@@ -161,8 +161,9 @@ def results_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _upserted(spark: SparkSession, sf: str) -> DataFrame:
+    """The upsert result, written once (as the next store snapshot would be)."""
     u, supplied = S.prepare_updates(B.store_updates(spark, sf), now=B.STORE_NOW, order="event_id")
-    return S.upsert(B.store_snapshot(spark, sf), u, supplied)
+    return S.upsert(B.store_snapshot(spark, sf), u, supplied).checkpoint()
 
 
 def _store_view(df: DataFrame) -> DataFrame:

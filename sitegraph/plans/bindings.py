@@ -73,8 +73,11 @@ XML_DECL = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
 def hosts(spark: SparkSession, sf: str) -> DataFrame:
     """Page rows with ``host``, ``base = https://host`` and the host category
-    ``kind = length(host) % 3`` (0: robots → sitemap, 1: well-known index →
-    sitemap, 2: home page only)."""
+    ``kind = length(host) % 3``. Every host gets a robots file, a urlset of
+    all its pages at ``/sm.xml`` and a home page; the kind only decides how
+    the sitemap is reachable: 0 through a robots directive, 1 through the
+    well-known ``/sitemap_index.xml`` (its robots file answers 404), 2 not at
+    all (HTML fallback)."""
     p = table(spark, sf, "pages").select("page_id", "url", "html")
     h = host_of(F.col("url"))
     return p.select("page_id", "url", "html", h.alias("host"), F.concat(F.lit("https://"), h).alias("base"),
@@ -124,10 +127,10 @@ def urlset_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_urlset_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Per host of kind 0/1, the page URLs in ``page_id`` order, one
+    """Per host, all its page URLs in ``page_id`` order, one
     ``<url><loc>`` per line. File 0 is ``/sm.xml``. Output: host, base, kind,
     chunk, url, body."""
-    h = hosts(spark, sf).filter(F.col("kind") < 2)
+    h = hosts(spark, sf)
     files = _chunked(h.select("host", "page_id", "url"), "host", "page_id", "url")
     meta = h.select("host", "base", "kind").dropDuplicates(["host"])
     f = files.join(meta, "host")
@@ -142,14 +145,13 @@ def domain_index_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def build_domain_index_files(spark: SparkSession, sf: str) -> DataFrame:
     """Per domain (last two host labels), an index listing every host in
-    host order: its sitemap file(s) for kinds 0/1, its root ``https://host/``
-    for kind 2 (a page, not a sitemap). File 0 is
-    ``https://<domain>/sitemap_index.xml``. Output: domain, chunk, url, body."""
-    h = hosts(spark, sf).select("host", "base", "kind").dropDuplicates(["host"])
-    sm = urlset_files(spark, sf).select("host", F.col("chunk").alias("c"), "url")
-    home = h.filter(F.col("kind") == 2).select("host", F.lit(0).cast("bigint").alias("c"),
-                                                F.concat(F.col("base"), F.lit("/")).alias("url"))
-    entries = sm.unionByName(home).select(
+    host order: its root ``https://host/`` (a page, not a sitemap) and then
+    its sitemap file(s). File 0 is ``https://<domain>/sitemap_index.xml``.
+    Output: domain, chunk, url, body."""
+    h = hosts(spark, sf).select("host", "base").dropDuplicates(["host"])
+    sm = urlset_files(spark, sf).select("host", (F.col("chunk") + 1).alias("c"), "url")
+    home = h.select("host", F.lit(0).cast("bigint").alias("c"), F.concat(F.col("base"), F.lit("/")).alias("url"))
+    entries = home.unionByName(sm).select(
         F.regexp_extract("host", "([^.]+\\.[^.]+)$", 1).alias("domain"),
         F.struct("host", "c").alias("_ord"), "url")
     files = _chunked(entries, "domain", "_ord", "url")
@@ -173,9 +175,12 @@ def build_fetches(spark: SparkSession, sf: str) -> DataFrame:
     robots_body = F.concat(
         F.lit("User-agent: *\r\n Sitemap: "), F.col("base"), F.lit("/ignored.xml\r\nsitemap: "), F.col("base"),
         F.lit("/missing.xml\r\nSitemap: "), F.col("base"), F.lit("/sm.xml\r\nDisallow: /private\r\n"))
-    robots = meta.filter(F.col("kind") == 0).select(
-        F.concat("base", F.lit("/robots.txt")).alias("url"), F.lit(200).alias("status"),
-        F.lit("text/plain").alias("content_type"), robots_body.alias("body"), ts.alias("fetched_at"))
+    plain_robots = F.lit("User-agent: *\r\nDisallow: /private\r\n")
+    robots = meta.select(
+        F.concat("base", F.lit("/robots.txt")).alias("url"),
+        F.when(F.col("kind") == 1, F.lit(404)).otherwise(F.lit(200)).alias("status"),
+        F.lit("text/plain").alias("content_type"),
+        F.when(F.col("kind") == 2, plain_robots).otherwise(robots_body).alias("body"), ts.alias("fetched_at"))
     urlsets = urlset_files(spark, sf)
     sm = urlsets.select("url", F.lit(200).alias("status"), F.lit("application/xml").alias("content_type"),
                         "body", ts.alias("fetched_at"))
@@ -188,7 +193,7 @@ def build_fetches(spark: SparkSession, sf: str) -> DataFrame:
     dom = domain_index_files(spark, sf).select(
         "url", F.lit(200).alias("status"), F.lit("application/xml").alias("content_type"), "body",
         ts.alias("fetched_at"))
-    home = h.filter(F.col("kind") == 2).groupBy("base").agg(F.min_by("html", "page_id").alias("body")).select(
+    home = h.groupBy("base").agg(F.min_by("html", "page_id").alias("body")).select(
         F.col("base").alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), "body",
         ts.alias("fetched_at"))
     old = robots.unionByName(sm).select(

@@ -77,8 +77,7 @@ CROSS JOIN (VALUES (2, '/missing.xml'), (3, '/sm.xml')) AS d(dir_pos, path)
 def _urlset(cap: int, escaped: bool = False) -> str:
     u = "replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')" if escaped else "url"
     return f"""
-WITH pg AS ({PG}), u AS (SELECT host, {u} AS url, min(page_id) AS first_id FROM pg
-                          WHERE length(host) % 3 < 2 GROUP BY host, {u})
+WITH pg AS ({PG}), u AS (SELECT host, {u} AS url, min(page_id) AS first_id FROM pg GROUP BY host, {u})
 SELECT 'https://' || host || '/sm.xml' AS sitemap_url,
        row_number() OVER (PARTITION BY host ORDER BY first_id) AS pos, url
 FROM u QUALIFY pos <= {cap}
@@ -86,10 +85,10 @@ FROM u QUALIFY pos <= {cap}
 
 
 DOMAIN_ENTRIES = rf"""
-SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain, host,
-       CASE WHEN kind < 2 THEN 'https://' || host || '/sm.xml' ELSE 'https://' || host || '/' END AS entry,
-       row_number() OVER (PARTITION BY regexp_extract(host, '([^.]+\.[^.]+)$', 1) ORDER BY host) AS epos
-FROM ({KINDS})
+SELECT domain, host, entry, row_number() OVER (PARTITION BY domain ORDER BY host, c) AS epos
+FROM (SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain, host, c,
+             'https://' || host || CASE WHEN c = 0 THEN '/' ELSE '/sm.xml' END AS entry
+      FROM ({KINDS}) CROSS JOIN (VALUES (0), (1)) AS t(c))
 """
 
 INDEX_EXPAND = f"""
@@ -132,6 +131,7 @@ SELECT host, row_number() OVER (PARTITION BY host ORDER BY first_ord) AS pos, ur
 SITE_LISTS = f"""
 WITH sm AS ({_urlset(100)}),
 allu AS (SELECT regexp_extract(sitemap_url, '^https://([^/]+)', 1) AS host, pos, url FROM sm
+         WHERE length(regexp_extract(sitemap_url, '^https://([^/]+)', 1)) % 3 < 2
          UNION ALL SELECT host, pos, url FROM ({HOME_LINKS}))
 SELECT host, count(*) AS n_urls, string_agg(url, ', ' ORDER BY pos) AS sitemap_complete,
        string_agg(url, ',' ORDER BY pos) FILTER (WHERE pos <= 100) AS key_urls,

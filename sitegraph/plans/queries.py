@@ -22,7 +22,7 @@ from ..operators.breaker import breaker_replay as _breaker_replay
 from ..operators.insights import generate_insights, insight_requests
 from . import bindings as B
 from . import stream_queries as SQ
-from .pipeline import half_cache
+from .compose import half_cache
 from .stubs import echo_model
 from .tables import table
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitegraph.operators.insights import build_prompt, generate_insights, insight_key, insight_requests
 from sitegraph.plans import bindings as B
 from sitegraph.plans import queries as Q
-from sitegraph.plans.pipeline import process_companies
+from sitegraph.plans.compose import process_companies
 
 
 def model(prompt: str) -> str:

@@ -99,8 +99,12 @@ def generate_insights(requests: DataFrame, cache: DataFrame, complete_fn: Callab
     # the request set is written once: the model input is then fixed even if
     # a later stage is retried, and the lists are not recomputed per use
     requests = requests.checkpoint()
-    cache = cache.dropDuplicates(["key"])
     wanted = requests.select("key", "prompt", "company").dropDuplicates(["key"])
+    # only the cache entries of requested keys are read past the scan: the
+    # durable cache grows without bound, the request set does not
+    from .frontier import checked_broadcast
+
+    cache = cache.join(checked_broadcast(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
     misses = wanted.join(cache, "key", "left_anti")
     if call_partitions:
         misses = misses.repartition(call_partitions, "key")

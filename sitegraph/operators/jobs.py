@@ -41,8 +41,11 @@ def dedupe_results(jobs: DataFrame) -> DataFrame:
 
 def status_lookup(jobs: DataFrame, probes: DataFrame, probe_col: str = "job_id") -> DataFrame:
     """The latest state of each probed job id, or ``not found``."""
-    latest = jobs.groupBy("job_id").agg(F.max_by(F.struct("status", "message"), "seq").alias("_s"))
+    from .frontier import checked_broadcast
+
     p = probes.select(F.col(probe_col).alias("job_id")).dropDuplicates()
+    hit = jobs.join(checked_broadcast(p), "job_id", "left_semi")
+    latest = hit.groupBy("job_id").agg(F.max_by(F.struct("status", "message"), "seq").alias("_s"))
     j = p.join(latest, "job_id", "left")
     return j.select("job_id", F.coalesce(F.col("_s.status"), F.lit(NOT_FOUND)).alias("status"),
                     F.col("_s.message").alias("message"))

@@ -50,7 +50,10 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], scans: list[Scan], r
     summary = d.groupBy("_pid", key).agg(*[_AGG[s.op](s.value).alias(f"_t_{s.out}") for s in scans])
     ws = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select("_pid", key, *[_AGG[s.op](f"_t_{s.out}").over(ws).alias(f"_c_{s.out}") for s in scans])
-    j = d.join(carry, ["_pid", key], "left")
+    # one row per (partition, key): broadcast unless there are very many keys
+    from .frontier import checked_broadcast
+
+    j = d.join(checked_broadcast(carry, 1_000_000), ["_pid", key], "left")
     for s in scans:
         j = j.withColumn(s.out, _combine(s.op, F.col(f"_c_{s.out}"), F.col(f"_l_{s.out}")))
     return j.drop("_pid", *[f"_l_{s.out}" for s in scans], *[f"_c_{s.out}" for s in scans])

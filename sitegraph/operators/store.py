@@ -118,10 +118,15 @@ def latest_per_company(store: DataFrame) -> DataFrame:
 def lookup(store: DataFrame, probes: DataFrame, probe_col: str, field: str) -> DataFrame:
     """F8/L2: for each probe value, the first record with ``field == value``
     (ties by ``company_name``), or NULLs. Batch form of ``find_one``."""
-    s = store.select(F.col(field).alias("_v"), F.struct(*[F.col(c) for c in DOC_COLUMNS]).alias("_d"))
+    from .frontier import checked_broadcast
+
+    p = probes.select(F.col(probe_col).alias("probe")).dropDuplicates()
+    # the store is semi-filtered by the (broadcast, size-checked) probe set
+    # before anything is grouped or shuffled
+    s = store.join(checked_broadcast(p), store[field] == p.probe, "left_semi")
+    s = s.select(F.col(field).alias("_v"), F.struct(*[F.col(c) for c in DOC_COLUMNS]).alias("_d"))
     if field != KEY:
         s = s.groupBy("_v").agg(F.min_by("_d", F.col(f"_d.{KEY}")).alias("_d"))
-    p = probes.select(F.col(probe_col).alias("probe")).dropDuplicates()
     return p.join(s, p.probe == s._v, "left").select("probe", F.col("_d").isNotNull().alias("found"), "_d.*")
 
 

@@ -3,7 +3,7 @@ robots directives (X6, F2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_domain, bad_ipv6_netloc, url_netloc, ustrip
@@ -22,7 +22,7 @@ WELL_KNOWN_PATHS = [
 ]
 
 # Upper bound on the rows of a side that is broadcast after a size check.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def sites(companies: DataFrame, url_col: str = "website_url") -> DataFrame:

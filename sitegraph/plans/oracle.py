@@ -386,5 +386,7 @@ ORACLE = {
     "company_normalize": COMPANY_NORMALIZE,
     "company_dedupe": COMPANY_DEDUPE,
     "job_ack": JOB_ACK,
+    "submission_ack": f"""SELECT 'processing' AS status, count(*) AS n_jobs,
+                              'Processing ' || count(*) || ' companies' AS message FROM ({JOB_ACK})""",
     "page_links": PAGE_LINKS,
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import base_domain, url_netloc
 from ..operators.links import extract_links
-from ..operators.normalize import dedupe_companies, job_ack as _job_ack, normalize_companies
+from ..operators.normalize import dedupe_companies, job_ack as _job_ack, normalize_companies, submission_summary
 from ..operators.frontier import latest_fetches, path_frontier, robots_directives as _robots, sites
 from ..operators.resolve import company_url_lists, site_url_lists as _site_url_lists
 from ..operators.sitemaps import (expand_sitemaps, index_children, malformed_index_items, ordered_lists,
@@ -239,10 +239,16 @@ def breaker_replay(spark: SparkSession, sf: str) -> DataFrame:
     return _breaker_replay(B.call_log(spark, sf), B.BREAKER_MAX_FAILURES, B.BREAKER_RESET_US)
 
 
+def submission_ack(spark: SparkSession, sf: str) -> DataFrame:
+    """The submission acknowledgement (status, job count, message)."""
+    return submission_summary(job_ack(spark, sf))
+
+
 REGISTRY = {
     "company_normalize": company_normalize,
     "company_dedupe": company_dedupe,
     "job_ack": job_ack,
+    "submission_ack": submission_ack,
     "site_frontier": site_frontier,
     "robots_directives": robots_directives,
     "urlset_expand": urlset_expand,

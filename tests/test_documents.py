@@ -134,3 +134,12 @@ def test_links(spark):
     df = spark.createDataFrame([(many,)], "h string")
     got = df.select(link_array(F.col("h"), F.lit("https://a.b"), F.lit("a.b")).alias("l")).first().l
     assert got == [f"https://a.b/{i}" for i in range(100)]
+
+
+def test_bad_ipv6_site_is_an_error(spark):
+    comp = spark.createDataFrame([("https://[::1]/x",), ("https://[oops/",), ("https://ok.b",)], "website_url string")
+    f = fetch_df(spark, [("https://ok.b", 200, '<a href="/p">p</a>')])
+    got = {r.base_domain: (r.source, r.urls) for r in site_url_lists(sites(comp), f).collect()}
+    assert got["https://[oops"] == ("error", [])
+    assert got["https://[::1]"] == ("none", [])
+    assert got["https://ok.b"] == ("html", ["https://ok.b/p"])

@@ -52,12 +52,15 @@ def url_join(base: Column, href: Column) -> Column:
 
     fragment = F.regexp_extract(rest, "^[^#]*#(.*)$", 1)
     before_frag = F.regexp_extract(rest, "^([^#]*)", 1)
-    query = F.regexp_extract(before_frag, "^[^?]*\\?(.*)$", 1)
-    path = F.regexp_extract(before_frag, "^([^?]*)", 1)
 
-    # "//netloc..." : keep as is with the (base) scheme
-    has_netloc = before_frag.startswith("//")
+    # "//netloc..." keeps its netloc with the (base) scheme; "//" followed by
+    # an empty netloc falls back to the base netloc with the rest as the path
+    starts2 = before_frag.startswith("//")
     nl = F.regexp_extract(before_frag, "^//([^/?]*)", 1)
+    has_netloc = starts2 & (nl != "")
+    path_src = F.when(starts2 & (nl == ""), F.substr(before_frag, F.lit(3))).otherwise(before_frag)
+    query = F.regexp_extract(path_src, "^[^?]*\\?(.*)$", 1)
+    path = F.regexp_extract(path_src, "^([^?]*)", 1)
     nl_path = F.regexp_extract(path, "^//[^/]*(.*)$", 1)
     with_netloc = F.concat(scheme, F.lit("://"), nl, nl_path, _suffix(query, fragment))
 

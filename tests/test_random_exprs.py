@@ -81,3 +81,51 @@ def test_line_scans_random(spark):
         assert list(r.l) == py_loc_lines(r.body), repr(r.body)
         # the page/child items keep every page entry; the reference de-duplicates page URLs later
         assert [(i.kind, i.value) for i in r.m] == py_malformed_index(r.body), repr(r.body)
+
+
+def py_urlset(body, cap=100):
+    """Model of the urlset reader: namespaced or plain ``url/loc`` (another
+    namespace gives nothing); empty locs are skipped (documented deviation);
+    a parse error falls back to the line scan."""
+    import xml.etree.ElementTree as ET
+
+    try:
+        root = ET.fromstring(body)
+    except ET.ParseError:
+        found = py_loc_lines(body)
+    else:
+        ns = {"sm": "http://www.sitemaps.org/schemas/sitemap/0.9"}
+        els = root.findall("./sm:url/sm:loc", ns) or root.findall("./url/loc")
+        found = [t for t in ((e.text or "").strip() for e in els) if t]
+    out = []
+    for u in found:
+        if u not in out:
+            out.append(u)
+            if len(out) == cap:
+                break
+    return out
+
+
+LOCS = ["https://a.b/1", "https://a.b/2?x=1&amp;y=2", "  https://a.b/3  ", "<![CDATA[https://c.d/&]]>", "https://a.b/é",
+        "https://a.b/&lt;x&gt;", "\n https://a.b/4\n"]
+
+
+def rand_urlset(rnd):
+    ns = rnd.choice(['xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"', "", 'xmlns="urn:other"'])
+    n = rnd.choice([0, 1, 3, 10, 120])
+    lines = []
+    for i in range(n):
+        loc = rnd.choice(LOCS + [f"https://a.b/p{rnd.randint(0, 150)}"])
+        lines.append(f"<url><loc>{loc}</loc><lastmod>2024</lastmod></url>")
+    body = f'<?xml version="1.0"?>\n<urlset {ns}>\n' + "\n".join(lines) + "\n"
+    return body if rnd.random() < 0.3 else body + "</urlset>"
+
+
+def test_urlset_random(spark):
+    from sitegraph.operators.sitemaps import urlset_urls
+
+    rnd = random.Random(3)
+    bodies = [rand_urlset(rnd) for _ in range(400)]
+    df = spark.createDataFrame([(b,) for b in bodies], "body string")
+    for r in df.select("body", urlset_urls(F.col("body")).alias("u")).collect():
+        assert list(r.u) == py_urlset(r.body), r.body[:300]

@@ -9,6 +9,8 @@ no row is filtered out by them.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .tables import table
 HOST_RE = "^[a-z]+://([^/?#]+)"
 
 _MATERIALIZED: dict[tuple[str, str, str], DataFrame] = {}
+_LOCK = threading.RLock()
 
 
 def materialized(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
@@ -24,16 +27,17 @@ def materialized(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     folder (as a stored crawl snapshot would be) and reused by every query."""
     app = spark.sparkContext.applicationId
     key = (app, sf, name)
-    if key not in _MATERIALIZED:
-        import hashlib
+    with _LOCK:
+        if key not in _MATERIALIZED:
+            import hashlib
 
-        from ..session import ensure_checkpoint_dir
+            from ..session import ensure_checkpoint_dir
 
-        folder = ensure_checkpoint_dir(spark).rstrip("/")
-        tag = hashlib.sha1(f"{app}|{sf}|{name}".encode()).hexdigest()[:16]
-        path = f"{folder}/bindings/{name}-{tag}"
-        build(spark, sf).write.mode("overwrite").parquet(path)
-        _MATERIALIZED[key] = spark.read.parquet(path)
+            folder = ensure_checkpoint_dir(spark).rstrip("/")
+            tag = hashlib.sha1(f"{app}|{sf}|{name}".encode()).hexdigest()[:16]
+            path = f"{folder}/bindings/{name}-{tag}"
+            build(spark, sf).write.mode("overwrite").parquet(path)
+            _MATERIALIZED[key] = spark.read.parquet(path)
     return _MATERIALIZED[key]
 
 

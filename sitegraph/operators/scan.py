@@ -37,12 +37,17 @@ def ordered_scan(df: DataFrame, key: str, order: list[str], scans: list[Scan], r
     of the same key before (``reverse=False``) or after (``reverse=True``)
     the row in ``order``, including the row itself when ``inclusive``.
     ``order`` must be a total order within a key."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ords = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    # the partition tag must be identical in the local scan and in the
-    # summary, so the tagged rows are written once (shared checkpoint folder)
-    d = df.repartitionByRange(n, F.col(key), *ords).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    # Without an explicit count the range exchange starts from the session's
+    # shuffle partitions and AQE merges neighbouring ranges up to its advisory
+    # size, so partitions follow the data volume (merged ranges stay ordered).
+    # The partition tag must be identical in the local scan and in the
+    # summary, so the tagged rows are written once (shared checkpoint folder).
+    if partitions:
+        d = df.repartitionByRange(partitions, F.col(key), *ords)
+    else:
+        d = df.repartitionByRange(F.col(key), *ords)
+    d = d.withColumn("_pid", F.spark_partition_id()).checkpoint()
     w = Window.partitionBy("_pid", key).orderBy(*ords)
     for s in scans:
         frame = w.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)

@@ -35,8 +35,25 @@ def _ranges(df: DataFrame, order: str, n: int = CHUNKS):
     return [(edges[i], edges[i + 1]) for i in range(len(edges) - 1)]
 
 
+def _start(spark: SparkSession, start_query, checkpoint: str, first: bool):
+    """Start one ``availableNow`` run. On the first start the state store is
+    sized to the cluster's cores (the count is then fixed in the checkpoint);
+    the session setting is restored right after."""
+    writer = start_query().option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if not first:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
 def _replay(df: DataFrame, order: str, src: str, fmt: str, start_query, checkpoint: str) -> None:
-    for lo, hi in _ranges(df, order):
+    spark = df.sparkSession
+    for i, (lo, hi) in enumerate(_ranges(df, order)):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (F.col(order) >= lo)
@@ -48,7 +65,7 @@ def _replay(df: DataFrame, order: str, src: str, fmt: str, start_query, checkpoi
             w.option("header", True).option("escape", '"').csv(src)
         else:
             w.parquet(src)
-        q = start_query().option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q = _start(spark, start_query, checkpoint, first=(i == 0))
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(str(q.exception()))

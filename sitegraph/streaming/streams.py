@@ -153,6 +153,10 @@ def breaker_stream(calls: DataFrame, max_failures: int = 3, reset_timeout=300, s
     Memory per group is bounded by the micro-batch size."""
 
     def step(key, batches: Iterator[pd.DataFrame], state):
+        import warnings
+
+        # pandas warns when Arrow output batches hold an all-NA column
+        warnings.filterwarnings("ignore", message=".*concatenation with empty or all-NA.*", category=FutureWarning)
         failures, open_since = state.get if state.exists else (0, None)
         pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
         allowed_l, fail_l, open_l = [], [], []

@@ -35,11 +35,12 @@ def sites(companies: DataFrame, url_col: str = "website_url") -> DataFrame:
 
 
 def path_frontier(site_df: DataFrame) -> DataFrame:
-    """Every site × the 9 well-known paths. The path table is fixed-size,
-    so it is broadcast; the site side streams without a shuffle."""
-    spark = site_df.sparkSession
-    paths = spark.createDataFrame([(i, p) for i, p in enumerate(WELL_KNOWN_PATHS)], "path_pos int, path string")
-    return site_df.crossJoin(F.broadcast(paths)).select(
+    """Every site × the 9 well-known paths. The path list is a fixed
+    literal, so each site row is expanded in place (``inline``): no join and
+    no shuffle."""
+    paths = F.array(*[F.struct(F.lit(i).alias("path_pos"), F.lit(p).alias("path"))
+                      for i, p in enumerate(WELL_KNOWN_PATHS)])
+    return site_df.select("base_domain", F.inline(paths)).select(
         "base_domain", "path_pos", F.concat("base_domain", "path").alias("sitemap_url"))
 
 

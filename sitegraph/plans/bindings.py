@@ -232,12 +232,12 @@ def build_store_events(spark: SparkSession, sf: str) -> DataFrame:
     with ``half``: 0 for the first half of the events by id (the stored
     snapshot), 1 for the rest (the update batch)."""
     e = _events(spark, sf)
-    n = e.agg(F.count(F.lit(1)).alias("_n"))
+    n = e.count()
     name = F.concat(F.lit("Company "), F.col("user_id").cast("string"))
     name = F.when(F.col("event_id") % 2 == 1, F.upper(name)).otherwise(name)
-    return e.crossJoin(F.broadcast(n)).select(
+    return e.select(
         "event_id", "user_id", "event_type", "ts_s", name.alias("company_name"),
-        F.when(F.col("event_id") * 2 < F.col("_n"), F.lit(0)).otherwise(F.lit(1)).alias("half"))
+        F.when(F.col("event_id") * 2 < F.lit(n), F.lit(0)).otherwise(F.lit(1)).alias("half"))
 
 
 def store_snapshot(spark: SparkSession, sf: str) -> DataFrame:

@@ -38,3 +38,14 @@ def test_status_json_escaping(spark):
     assert got["job_1"]["data"] == {"Company": 'Q "x"', "Website": "https://a/\\", "Sitemap Complete": "é",
                                     "Insight from Prompt": "line\nbreak"}
     assert got["job_2"] == {"status": "error", "message": 'bad "id"'}
+
+
+def test_path_frontier_expands_each_site_in_list_order(spark):
+    from sitegraph.operators.frontier import WELL_KNOWN_PATHS, path_frontier
+
+    sites = spark.createDataFrame([("https://a.example",), ("http://b.example:8080",)], "base_domain string")
+    got = sorted((r.base_domain, r.path_pos, r.sitemap_url) for r in path_frontier(sites).collect())
+    want = sorted((b, i, b + p) for b in ("https://a.example", "http://b.example:8080")
+                  for i, p in enumerate(WELL_KNOWN_PATHS))
+    assert got == want
+    assert dict(path_frontier(sites).dtypes)["path_pos"] == "int"

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,8 +37,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, order: list[Column], rank: str = "rank", name: str = "ranked") -> DataFrame:
-    """Add the 0-based position of every row in ``order``.
+def ranked(df: DataFrame, order: list[Column], rank: str = "rank", name: str = "ranked", weight: str | None = None) -> DataFrame:
+    """Add the 0-based position of every row in (ascending) ``order``, or the sum of ``weight`` over the rows before it.
 
     Range partitions are written once. Within a partition the position is a window over its rows, so no task sees
     more than one range; the table of the partitions' starts (one row a partition) is broadcast.
@@ -48,11 +49,19 @@ def ranked(df: DataFrame, order: list[Column], rank: str = "rank", name: str = "
     with_keys = df.withColumns({f"_k{i}": c for i, c in enumerate(order)})
     parts = saved(with_keys.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), name)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select(
+    starts = parts.groupBy("_part").agg(F.sum(weight if weight else F.lit(1)).alias("_n")).select(
         "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     own = Window.partitionBy("_part").orderBy(*keys)
-    out = parts.withColumn("_row", F.row_number().over(own)).join(F.broadcast(starts), "_part")
-    return out.withColumn(rank, F.col("_start") + F.col("_row") - 1).drop("_part", "_start", "_row", *[f"_k{i}" for i in range(len(order))])
+    at = F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if weight else F.row_number().over(own) - 1
+    out = parts.withColumn("_row", at).join(F.broadcast(starts), "_part")
+    return out.withColumn(rank, F.col("_start") + F.col("_row")).drop("_part", "_start", "_row", *[f"_k{i}" for i in range(len(order))])
+
+
+def shared_files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared path and the path in it, for tasks that write files of their own format."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -122,3 +131,27 @@ class Words:
             cut = mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * back + np.uint64(k))
             more.append(np.where(ends - starts > k, cut, np.uint64(0)))
         return (offsets, hashes, *more)
+
+
+BITS = 26
+
+
+def bitmap(df: DataFrame, value: Column, bits: int = BITS) -> np.ndarray:
+    """A bitmap of the low ``bits`` bits of ``value`` over all rows, built by Spark.
+
+    Its size is fixed (2**bits / 8 bytes, 8 MB), whatever the number of rows. A value that is not marked is in no
+    row; a marked one may not be either, so callers use it only where that costs time, never results.
+    """
+    place = (value.bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(1)).alias("_place")
+    blocks = df.select(place).groupBy(F.bitmap_bucket_number("_place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in blocks.toLocalIterator():
+        at = (row["block"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(row["bits"], np.uint8)[:len(out) - at]
+    return out
+
+
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the bitmap marks."""
+    place = values.astype(np.uint64, copy=False) & np.uint64(len(bits) * 8 - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1

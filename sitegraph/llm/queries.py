@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from sitegraph.llm.decontamination import op10_decontamination
+from sitegraph.llm.fingerprints import op6_multiset_fingerprints
+from sitegraph.llm.html_text import op5_main_text
+from sitegraph.llm.licenses import op4_license_scan
+from sitegraph.llm.ngram_join import op2_ngram_join
+from sitegraph.llm.packing import op7_best_fit_packing
 from sitegraph.llm.secrets import op1_secret_scan
 from sitegraph.llm.sharding import op8_stratified_shards
 from sitegraph.llm.toxicity import op9_toxicity
+from sitegraph.llm.warc import op3_warc_archives
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op8_stratified_shards, op9_toxicity, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_ngram_join, op3_warc_archives, op4_license_scan, op5_main_text, op6_multiset_fingerprints,
+    op7_best_fit_packing, op8_stratified_shards, op9_toxicity, op10_decontamination)}
+#: No operator has an oracle: SQL cannot express them; tests/llm checks each against a brute-force version.
 ORACLE: dict[str, str] = {}

@@ -116,9 +116,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents (``doc_id``, ``toxic``); at most ``sample`` rows."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_term_batches, "doc_id long, toxic int, terms array<int>").toArrow().to_pydict()
-    order = sorted(range(len(rows["doc_id"])), key=lambda i: (rows["doc_id"][i], rows["toxic"][i], rows["terms"][i]))
-    return fit_machine([np.array(rows["terms"][i], np.int32) for i in order], np.array([rows["toxic"][i] for i in order], float))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_term_batches, "doc_id long, toxic int, terms array<int>").toArrow().combine_chunks()
+    terms = [t for part in rows.column("terms").chunks for t in np.split(part.flatten().to_numpy(), np.diff(part.offsets.to_numpy()).cumsum()[:-1])] if rows.num_rows else []
+    ids, labelled = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(float)
+    order = sorted(range(len(terms)), key=lambda i: (ids[i], labelled[i], terms[i].tobytes()))
+    return fit_machine([terms[i] for i in order], labelled[order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -13,7 +13,7 @@ A document's set holds the 64-bit hashes of its distinct ``shingle``-word runs.
    number of cells follows the size class (factors of 100/percent), and sets sign for their own class and the next,
    so any two sets that can link sign alike once.
 3. Candidates. Small signature groups give all their pairs. In a large group one hub meets all others; while a group
-   has members of several components, more hubs follow (four times as many each round), until all members that are
+   has members of several components, more hubs follow (``WIDTH`` times as many each round), until all members that are
    no hubs lie in one component. So no link between components is lost and no group is squared when its members
    link with each other.
 4. Verification. A parity bitmap of each set bounds the symmetric difference from below and drops most false
@@ -44,7 +44,7 @@ from sitegraph.llm.components import components
 from sitegraph.plans.tables import table
 
 SHINGLE, PERCENT = 5, 80
-FREQUENT, SMALL_GROUP = 16, 16
+FREQUENT, SMALL_GROUP, WIDTH = 16, 16, 16
 WORDS = Words(bytes(b for b in range(256) if b != 32 and not 9 <= b <= 13))
 ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -229,15 +229,21 @@ class Join:
     def alike(self, na: str, nb: str):
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent)
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that link."""
-        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"), F.col("lead").alias("lead_a"))
-        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"), F.col("lead").alias("lead_b"))
-        met = pairs.select("a", "b").join(a.drop("lead_a"), "a").join(b.drop("lead_b"), "b")
-        near = saved(met.mapInArrow(_near(self.percent), "a long, b long, na long, nb long"), "near")
-        ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "lead"), "node")
+    def near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs ``a, b, na, nb`` that the parity bitmaps leave."""
+        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+        met = pairs.select("a", "b").join(a, "a").join(b, "b")
+        return saved(met.mapInArrow(_near(self.percent), "a long, b long, na long, nb long"), "near")
+
+    def sets(self, some: DataFrame, nodes: DataFrame) -> DataFrame:
+        """``node, tokens``: the whole sets of (at least) ``some`` nodes."""
         place = F.col("node").bitwiseXOR(F.col("lead")).bitwiseXOR(F.shiftleft("lead", 13))
-        sets = saved(self.docs.mapInArrow(_sets(self.shingle, self.broadcast(bitmap(ends, place))), "node long, tokens array<long>"), "sets")
+        wanted = bitmap(some.distinct().join(nodes.select("node", "lead"), "node"), place)
+        return saved(self.docs.mapInArrow(_sets(self.shingle, self.broadcast(wanted)), "node long, tokens array<long>"), "sets")
+
+    def linked(self, near: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that link."""
         both = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
         return both.where(common * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent).select("a", "b").distinct()
@@ -253,9 +259,11 @@ class Join:
         hubs = many.groupBy("sig", "cls").agg(F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node"), "node")).alias("h")).select("sig", "cls", F.col("h.node").alias("node"), F.col("h.n").alias("n"))
         hubs = saved(hubs, "hubs")
         tested = saved(pairs.unionByName(self.met(hubs, many)).distinct(), "pairs")
-        links = saved(self.verified(tested, nodes), "links")
+        near = self.near(tested, nodes)
+        sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")), nodes)
+        links = saved(self.linked(near, sets), "links")
         found = saved(components(links), "components")
-        used, width = hubs.select("sig", "cls", "node"), 4
+        used, width = hubs.select("sig", "cls", "node"), WIDTH
         while True:
             placed = many.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
             counts = placed.groupBy("sig", "cls", "component").agg(F.count("*").alias("size"))
@@ -269,11 +277,11 @@ class Join:
                 return found
             hubs = saved(hubs, "hubs")
             new = saved(self.met(hubs, placed, True).join(tested, ["a", "b"], "left_anti"), "pairs")
-            more = saved(self.verified(new, nodes), "links")
-            links, tested = links.unionByName(more), tested.unionByName(new)
-            used = used.unionByName(hubs.select("sig", "cls", "node"))
-            found = saved(components(links), "components")
-            width *= 4
+            near = self.near(new, nodes)
+            tested, used, width = tested.unionByName(new), used.unionByName(hubs.select("sig", "cls", "node")), width * WIDTH
+            if not near.isEmpty():
+                links = links.unionByName(saved(self.linked(near, sets), "links"))
+                found = saved(components(links), "components")
 
     def met(self, hubs: DataFrame, members: DataFrame, apart: bool = False) -> DataFrame:
         """Hubs with the other members of their groups (``apart``: of other components), as pairs ``a < b``."""

@@ -5,6 +5,8 @@ All helpers take and return ``Column`` objects; none is a Python UDF.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +20,6 @@ def ustrip(c: Column) -> Column:
     return F.regexp_replace(c, _STRIP_RE, "")
 
 
-def is_blank(c: Column) -> Column:
-    """NULL, empty, or whitespace only."""
-    return c.isNull() | (F.length(ustrip(c)) == 0)
-
-
 def with_scheme(url: Column) -> Column:
     """Prepend ``https://`` unless the URL starts with ``http://``/``https://``
     (case-sensitive, so ``HTTP://x`` becomes ``https://HTTP://x``)."""
@@ -31,16 +28,21 @@ def with_scheme(url: Column) -> Column:
     )
 
 
+def _url_cleaned(url: Column) -> Column:
+    """Leading C0 controls and spaces stripped, tab/CR/LF removed."""
+    return F.regexp_replace(F.regexp_replace(url, "[\\t\\r\\n]", ""), "^[\\x00-\\x20]+", "")
+
+
 def base_domain(url: Column) -> Column:
-    """``scheme://netloc`` of an absolute URL (port and userinfo kept)."""
-    return F.regexp_extract(url, "^([^:/?#]+://[^/?#]*)", 1)
+    """``scheme://netloc`` of an absolute URL (port and userinfo kept),
+    cleaned like the netloc so both name the same host."""
+    return F.regexp_extract(_url_cleaned(url), "^([^:/?#]+://[^/?#]*)", 1)
 
 
 def url_netloc(url: Column) -> Column:
     """``urlsplit(url).netloc``: leading C0/space stripped, tab/CR/LF removed,
     optional scheme, then ``//netloc``; empty when there is none."""
-    cleaned = F.regexp_replace(F.regexp_replace(url, "[\\t\\r\\n]", ""), "^[\\x00-\\x20]+", "")
-    return F.regexp_extract(cleaned, "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)", 1)
+    return F.regexp_extract(_url_cleaned(url), "^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//([^/?#]*)", 1)
 
 
 def bad_ipv6_netloc(netloc: Column) -> Column:
@@ -53,26 +55,28 @@ def bad_ipv6_netloc(netloc: Column) -> Column:
     return (has_open != has_close) | (has_open & has_close & ~ok_literal)
 
 
-# The HTML character references decoded in attribute values.
-# (&amp; is decoded last so that "&amp;lt;" stays "&lt;".)
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&#x27;", "'"),
-             ("&#34;", '"'), ("&#x22;", '"'), ("&#38;", "&"), ("&#x26;", "&"), ("&nbsp;", " ")]
+_REFERENCE_RE = "&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};)"
 
 
-def html_unescape(c: Column) -> Column:
-    """Decode the common character references (no numeric code points beyond
-    the listed ones: Spark has no built-in for that)."""
-    out = c
-    for ent, ch in _ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+def _decoded(ref: Column) -> Column:
+    """One character reference as its character; unknown names stay as they
+    are, numbers that are no character become U+FFFD."""
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))], F.lit("apos"), F.lit("'"))
+    body = F.regexp_replace(ref, "^&|;$", "")
+    code = (F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10))
+            .when(body.startswith("#"), F.substr(body, F.lit(2))).cast("long"))
+    known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    char = F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    return F.when(body.startswith("#"), char).otherwise(F.coalesce(F.try_element_at(names, body), ref))
 
 
-def xml_escape(c: Column) -> Column:
-    """Escape text for an XML element body."""
-    out = F.replace(c, F.lit("&"), F.lit("&amp;"))
-    out = F.replace(out, F.lit("<"), F.lit("&lt;"))
-    return F.replace(out, F.lit(">"), F.lit("&gt;"))
+def html_unescape(c: Column) -> Column:
+    """Decode character references in one left-to-right pass (what a decoded
+    reference spells is not decoded again). Numeric references of any code
+    point; names from the standard library's HTML 4 table."""
+    refs = F.regexp_extract_all(c, F.lit(_REFERENCE_RE), 0)
+    parts = F.zip_with(F.split(c, _REFERENCE_RE, -1), refs, lambda text, ref: F.concat(text, F.coalesce(_decoded(ref), F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
 
 
 def js_round(x: Column) -> Column:
@@ -80,11 +84,6 @@ def js_round(x: Column) -> Column:
     return F.floor(x + F.lit(0.5))
 
 
-def plural(n: Column, word: str, plural_word: str | None = None) -> Column:
-    """``n word`` with the plural form when ``n > 1`` (as in the progress text)."""
-    return F.concat(n.cast("string"), F.lit(" "), F.when(n > 1, F.lit(plural_word or word + "s")).otherwise(F.lit(word)))
-
-
 def epoch_micros(ts_ntz: Column) -> Column:
     """Epoch microseconds (BIGINT) of a TIMESTAMP_NTZ wall-clock value, read
     as UTC and independent of the session time zone (date and time fields of

@@ -3,7 +3,7 @@ robots directives (X6, F2)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_domain, bad_ipv6_netloc, url_netloc, ustrip
@@ -21,10 +21,6 @@ WELL_KNOWN_PATHS = [
     "/sitemap/sitemap.xml",
 ]
 
-# Upper bound on the rows of a side that is broadcast after a size check.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
 def sites(companies: DataFrame, url_col: str = "website_url") -> DataFrame:
     """Distinct crawl units ``base_domain, netloc`` (plus ``bad_url`` when the
     netloc would make ``urlparse`` raise, S24)."""
@@ -44,44 +40,31 @@ def path_frontier(site_df: DataFrame) -> DataFrame:
         "base_domain", "path_pos", F.concat("base_domain", "path").alias("sitemap_url"))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows (counted
-    with an early-stopping limit unless the caller knows an upper bound);
-    otherwise leave the join to the planner (sort-merge, or AQE's runtime
-    choice from real sizes)."""
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def latest_fetches(fetches: DataFrame, wanted_urls: DataFrame, url_col: str = "url",
-                   known_rows: int | None = None) -> DataFrame:
-    """A3-A5: the newest fetch of each wanted URL.
-
-    The wanted set (a frontier) is small next to the snapshot, so it is
-    semi-joined first (broadcast after a size check): document bodies are
-    neither shuffled nor de-duplicated unless they are wanted.
-    """
+def latest_fetches(fetches: DataFrame, wanted_urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """A3-A5: the newest fetch of each wanted URL (whole bodies). Only wanted
+    rows pass the semi-join; Spark picks its strategy from real sizes."""
     wanted = wanted_urls.select(F.col(url_col).alias("url")).dropDuplicates()
-    hit = fetches.join(checked_broadcast(wanted, known_rows=known_rows), "url", "left_semi")
-    newest = F.max_by(F.struct("status", "content_type", "body", "fetched_at"), "fetched_at").alias("_f")
-    return hit.groupBy("url").agg(newest).select("url", "_f.*")
+    newest = F.max_by(F.struct("status", "content_type", "body", "fetched_at"), F.struct("fetched_at", F.xxhash64("body"))).alias("_f")
+    return fetches.join(wanted, "url", "left_semi").groupBy("url").agg(newest).select("url", "_f.*")
 
 
 def robots_url(base: str = "base_domain"):
     return F.concat(F.col(base), F.lit("/robots.txt"))
 
 
-def robots_directives(site_df: DataFrame, fetches: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """``Sitemap:`` lines of each site's robots.txt (status 200 only),
-    in file order. Matching is ``lower(line) startswith 'sitemap:'`` with no
-    leading-space tolerance; the value is the stripped text after the first
-    colon. ``docs`` may carry already looked-up fetches (any superset).
+def directive_items(body: Column) -> Column:
+    """X6/F2 in-row: the values of a robots file's ``Sitemap:`` lines, in file
+    order, each with its 0-based line (ARRAY<STRUCT<line, value>>). Matching is
+    ``lower(line) startswith 'sitemap:'`` with no leading-space tolerance."""
+    lines = F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("value")))
+    found = F.filter(lines, lambda x: F.lower(x["value"]).startswith("sitemap:"))
+    return F.transform(found, lambda x: F.struct(x["line"].alias("line"), ustrip(F.substr(x["value"], F.lit(9))).alias("value")))
+
+
+def robots_directives(site_df: DataFrame, fetches: DataFrame) -> DataFrame:
+    """The directives of each site's newest robots.txt, if its status is 200.
     Output: base_domain, dir_pos, sitemap_url."""
     r = site_df.select("base_domain", robots_url().alias("url"))
-    if docs is None:
-        docs = latest_fetches(fetches, r)
-    docs = docs.filter(F.col("status") == 200)
-    lines = r.join(docs.select("url", "body"), "url").select("base_domain", F.posexplode(F.split("body", "\n", -1)).alias("dir_pos", "line"))
-    return lines.filter(F.lower("line").startswith("sitemap:")).select(
-        "base_domain", F.col("dir_pos").cast("int").alias("dir_pos"),
-        ustrip(F.substr(F.col("line"), F.lit(9))).alias("sitemap_url"))
+    docs = latest_fetches(fetches, r).filter(F.col("status") == 200)
+    found = r.join(docs.select("url", "body"), "url").select("base_domain", F.explode(directive_items(F.col("body"))).alias("d"))
+    return found.select("base_domain", F.col("d.line").alias("dir_pos"), F.col("d.value").alias("sitemap_url"))

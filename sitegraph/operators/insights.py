@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROMPT_URLS = 100
-
 # The prompt text around the newline-joined URL list (16-space
 # continuation indent), and the messages for failed / timed-out calls.
 _PROMPT_HEAD = ("You are analyzing a company's online presence based on its sitemap. Below is a list of all the "
@@ -30,18 +28,15 @@ TIMEOUT_TEXT = "AI analysis for {company} timed out. Analysis limited to prevent
 ANALYSIS_ERROR_TEXT = "Error during analysis: {msg}"
 
 
-def prompt_urls(urls: Column) -> Column:
-    return F.slice(urls, 1, PROMPT_URLS)
-
-
 def build_prompt(urls: Column) -> Column:
-    """M1: the fixed template around the first 100 URLs, one per line."""
-    return F.concat(F.lit(_PROMPT_HEAD), F.array_join(prompt_urls(urls), "\n"), F.lit(_PROMPT_TAIL))
+    """M1: the fixed template around the URLs, one per line. A site with more
+    URLs than fit one row has several parts, each with a prompt of its own."""
+    return F.concat(F.lit(_PROMPT_HEAD), F.array_join(urls, "\n"), F.lit(_PROMPT_TAIL))
 
 
 def insight_key(company: Column, urls: Column) -> Column:
-    """M2/H9: md5 hex of ``company:url1,url2,…`` over the first 100 URLs."""
-    return F.md5(F.concat(company, F.lit(":"), F.array_join(prompt_urls(urls), ",")))
+    """M2/H9: md5 hex of ``company:url1,url2,…`` over all URLs of the part."""
+    return F.md5(F.concat(company, F.lit(":"), F.array_join(urls, ",")))
 
 
 def insight_requests(df: DataFrame, company: str = "company", urls: str = "urls") -> DataFrame:
@@ -94,7 +89,9 @@ def generate_insights(requests: DataFrame, cache: DataFrame, complete_fn: Callab
     cached``; only successful calls become cache entries (as in the
     reference). The call results are checkpointed to the shared folder, so a
     model is never asked twice for a key, even when a task is retried later
-    in the plan. ``call_partitions`` bounds the number of concurrent callers.
+    in the plan. Calls are slow and their prompts small, so the misses are
+    dealt out by count, not bytes: to ``call_partitions`` tasks, by default
+    one for each core of the cluster.
     """
     # the request set is written once: the model input is then fixed even if
     # a later stage is retried, and the lists are not recomputed per use
@@ -102,12 +99,9 @@ def generate_insights(requests: DataFrame, cache: DataFrame, complete_fn: Callab
     wanted = requests.select("key", "prompt", "company").dropDuplicates(["key"])
     # only the cache entries of requested keys are read past the scan: the
     # durable cache grows without bound, the request set does not
-    from .frontier import checked_broadcast
-
-    cache = cache.join(checked_broadcast(wanted.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    cache = cache.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
     misses = wanted.join(cache, "key", "left_anti")
-    if call_partitions:
-        misses = misses.repartition(call_partitions, "key")
+    misses = misses.repartition(call_partitions or requests.sparkSession.sparkContext.defaultParallelism, "key")
     call = _completion_udf(complete_fn, timeout_s)
     called = misses.select("key", call(F.col("prompt"), F.col("company")).alias("r")).select(
         "key", F.col("r.status").alias("status"), F.col("r.text").alias("text")).checkpoint()

@@ -1,5 +1,6 @@
-"""Job results and progress over a ``jobs`` table
-``(job_id, batch_id, seq, status, message, data STRUCT<...>, ts)``.
+"""Job results and progress over a ``jobs`` log
+``(job_id, batch_id, seq, status, message, data STRUCT<...>, ts)``: one row per
+state that a job took; its state is the one with the highest ``seq``.
 
 F7 complete only, G2 last-write-wins results, P8 output rows, F9/J9 status
 lookup, G6 progress, G7/H14 time estimate, G8 queue sizes, A11 JSON.
@@ -20,14 +21,36 @@ COMPLETE, ERROR, QUEUED, NOT_FOUND = "complete", "error", "queued", "not found"
 ALL_DONE_TEXT = "All jobs completed! You can now download the results."
 DONE_WITH_ERRORS_TEXT = ("Processing complete. Some companies may have errors, but all available results are "
                          "ready for download.")
+ERROR_PREFIX = "Worker error: "
 ETA_PREFIX = "Estimated time remaining: "
 
 
+def latest_states(jobs: DataFrame) -> DataFrame:
+    """One row per job: its latest state (a ``max_by``, partially aggregated)."""
+    rest = [c for c in jobs.columns if c != "job_id"]
+    return jobs.groupBy("job_id").agg(F.max_by(F.struct(*rest), "seq").alias("_s")).select("job_id", *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
+def outcome_rows(processed: DataFrame, errors: DataFrame) -> DataFrame:
+    """Job rows of processed companies: ``complete`` with the output row as
+    data, ``error`` with the reason. Input: ``_ord, job_id, batch_id`` and the
+    output columns, or ``message``. A company of several parts has a row (and
+    a sequence number) for each."""
+    data = F.struct(*[F.col(f"`{c}`") for c in OUTPUT_COLUMNS])
+    done = processed.select("_ord", "job_id", "batch_id", "part", F.lit(COMPLETE).alias("status"), F.lit(None).cast("string").alias("message"), data.alias("data"))
+    kind = done.schema["data"].dataType
+    failed = errors.select("_ord", "job_id", "batch_id", F.lit(1).alias("part"), F.lit(ERROR).alias("status"),
+                           F.concat(F.lit(ERROR_PREFIX), "message").alias("message"), F.lit(None).cast(kind).alias("data"))
+    return done.unionByName(failed)
+
+
 def output_rows(df: DataFrame, company="company", website="website_url", urls="urls", insight="insight"):
-    """The four output columns; the URL list joined with ``", "``."""
+    """The four output columns; the URL list joined with ``", "``. A
+    list of several parts has a row for each (``Part``)."""
+    part = [F.col("part").alias("Part")] if "part" in df.columns else []
     return df.select(F.col(company).alias("Company"), F.col(website).alias("Website"),
                      F.array_join(F.col(urls), ", ").alias("Sitemap Complete"),
-                     F.col(insight).alias("Insight from Prompt"))
+                     F.col(insight).alias("Insight from Prompt"), *part)
 
 
 def dedupe_results(jobs: DataFrame) -> DataFrame:
@@ -41,10 +64,8 @@ def dedupe_results(jobs: DataFrame) -> DataFrame:
 
 def status_lookup(jobs: DataFrame, probes: DataFrame, probe_col: str = "job_id") -> DataFrame:
     """The latest state of each probed job id, or ``not found``."""
-    from .frontier import checked_broadcast
-
     p = probes.select(F.col(probe_col).alias("job_id")).dropDuplicates()
-    hit = jobs.join(checked_broadcast(p), "job_id", "left_semi")
+    hit = jobs.join(p, "job_id", "left_semi")
     latest = hit.groupBy("job_id").agg(F.max_by(F.struct("status", "message"), "seq").alias("_s"))
     j = p.join(latest, "job_id", "left")
     return j.select("job_id", F.coalesce(F.col("_s.status"), F.lit(NOT_FOUND)).alias("status"),
@@ -61,12 +82,7 @@ def _progress_aggs():
 
 def job_progress(jobs: DataFrame, batch: str = "batch_id") -> DataFrame:
     """G6/H15/H16 per submission: counts, rounded percent and the texts."""
-    return progress_columns(jobs.groupBy(batch).agg(*_progress_aggs()), batch)
-
-
-def progress_aggregates(jobs: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """The G6 counters alone (usable as a streaming aggregation)."""
-    return jobs.groupBy(batch).agg(*_progress_aggs())
+    return progress_columns(latest_states(jobs).groupBy(batch).agg(*_progress_aggs()), batch)
 
 
 def progress_columns(g: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -106,7 +122,7 @@ def job_eta(jobs: DataFrame, batch: str = "batch_id", ts: str = "ts_s", start: s
     """Seconds per finished job × jobs left. ``start``/``now`` default to
     the first and last event time of the submission (epoch seconds)."""
     aggs = _progress_aggs() + [F.min(start or ts).alias("start_s"), F.max(now or ts).alias("now_s")]
-    g = jobs.groupBy(batch).agg(*aggs)
+    g = latest_states(jobs).groupBy(batch).agg(*aggs)
     remaining = F.col("total") - F.col("completed")
     elapsed = F.col("now_s") - F.col("start_s")
     rem_s = elapsed / F.col("completed") * remaining
@@ -119,7 +135,7 @@ def job_eta(jobs: DataFrame, batch: str = "batch_id", ts: str = "ts_s", start: s
 
 def queue_sizes(jobs: DataFrame) -> DataFrame:
     """Pending and finished job counts (one row)."""
-    return jobs.agg(F.count_if(F.col("status") == QUEUED).alias("queue_size"),
+    return latest_states(jobs).agg(F.count_if(F.col("status") == QUEUED).alias("queue_size"),
                     F.count_if(F.col("status") != QUEUED).alias("results_size"))
 
 
@@ -127,7 +143,7 @@ def status_json(jobs: DataFrame) -> DataFrame:
     """One JSON document per finished job (the results map holds no
     queued job): ``{"status":…,"data":{…}}`` when complete,
     ``{"status":"error","message":…}`` otherwise."""
-    jobs = jobs.filter(F.col("status") != QUEUED)
+    jobs = latest_states(jobs).filter(F.col("status") != QUEUED)
     body = F.when(F.col("status") == COMPLETE, F.to_json(F.struct("status", "data"))).otherwise(
         F.to_json(F.struct("status", "message")))
     return jobs.select("job_id", body.alias("json"))

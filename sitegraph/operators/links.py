@@ -18,13 +18,15 @@ SKIP_PREFIXES = ("#", "javascript:", "mailto:", "tel:")
 
 # Content that an HTML parser never reads as tags.
 _COMMENT_RE = "(?s)<!--.*?(?:-->|$)"
-_RAWTEXT_RE = "(?is)<(script|style)\\b[^>]*>.*?(?:</\\1\\s*>|$)"
-# <a ...href=VALUE...>: quoted attribute values are consumed as units so that
-# an "href" inside another attribute's value is not taken.
-_ANCHOR_HREF_RE = (
-    "(?is)<a\\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<![\\w:.\\-])href\\s*=\\s*"
-    "(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
-)
+_RAWTEXT_RE = "(?is)<(script|style)\\b[^<>]*+>.*?(?:</\\1\\s*>|$)"
+# A whole <a ...> tag. Runs are possessive, so matching neither recurses nor
+# backtracks; a quoted value ends where another tag seems to begin, so an
+# unclosed quote costs no more than its own tag.
+_VALUE = "\"(?:[^\"<]++|<(?![A-Za-z/!]))*+\"|'(?:[^'<]++|<(?![A-Za-z/!]))*+'"
+_ANCHOR_RE = f"(?is)<a\\s(?:[^<>\"']++|{_VALUE})*+>"
+# Other attributes with a quoted value, which may spell "href=" inside.
+_OTHER_RE = "(?is)(?<![\\w:.\\-])(?!href\\s*+=)[\\w:.\\-]++\\s*+=\\s*+(?:\"[^\"]*+\"|'[^']*+')"
+_HREF_RE = "(?is)(?<![\\w:.\\-])href\\s*+=\\s*+(\"[^\"]*+\"|'[^']*+'|[^\\s\"'>]++)"
 
 
 def strip_non_markup(html: Column) -> Column:
@@ -35,8 +37,9 @@ def strip_non_markup(html: Column) -> Column:
 def extract_hrefs(html: Column) -> Column:
     """``a[href]`` attribute values in document order, unquoted and with
     character references decoded (ARRAY<STRING>)."""
-    raw = F.regexp_extract_all(strip_non_markup(html), F.lit(_ANCHOR_HREF_RE), 1)
-    return F.transform(raw, lambda v: html_unescape(_unquote(v)))
+    tags = F.regexp_extract_all(strip_non_markup(html), F.lit(_ANCHOR_RE), 0)
+    raw = F.transform(tags, lambda t: F.regexp_extract(F.regexp_replace(t, _OTHER_RE, " "), _HREF_RE, 1))
+    return F.transform(F.filter(raw, lambda v: v != ""), lambda v: html_unescape(_unquote(v)))
 
 
 def _unquote(v: Column) -> Column:
@@ -52,8 +55,8 @@ def keep_href(h: Column) -> Column:
     return cond
 
 
-def link_array(html: Column, base: Column, netloc: Column, cap: int | None = 100) -> Column:
-    """X5 in-row: resolved same-netloc links, first-seen unique, first ``cap``."""
+def link_array(html: Column, base: Column, netloc: Column, cap: int | None = None) -> Column:
+    """X5 in-row: resolved same-netloc links, first-seen unique (the first ``cap`` if given)."""
     hrefs = F.filter(extract_hrefs(html), keep_href)
     resolved = F.transform(hrefs, lambda h: url_join(base, h))
     same = F.filter(resolved, lambda u: url_netloc(u) == netloc)
@@ -62,7 +65,7 @@ def link_array(html: Column, base: Column, netloc: Column, cap: int | None = 100
 
 
 def extract_links(pages: DataFrame, html: str, base: str, netloc: str, keys: list[str],
-                  cap: int | None = 100) -> DataFrame:
+                  cap: int | None = None) -> DataFrame:
     """Long form ``keys..., pos (1-based), url`` of the links of each page."""
     arr = link_array(F.col(html), F.col(base), F.col(netloc), cap)
     return pages.select(*keys, F.posexplode(arr).alias("pos", "url")).withColumn("pos", F.col("pos") + 1)

@@ -33,7 +33,7 @@ def normalize_companies(raw: DataFrame, company: str = "company", website: str =
 def dedupe_companies(df: DataFrame, key: str = "unique_key", order: str = "_ord") -> DataFrame:
     """Keep the first row (smallest ``order``) per key.
 
-    A hash aggregate of ``min(struct(order, ...))``: partial aggregation runs
+    An aggregate of ``min(struct(order, ...))``: partial aggregation runs
     before the shuffle, so a key holding a large share of the rows sends one
     row per map task.
     """

@@ -1,90 +1,93 @@
 """U2 union of the three URL sources, W2 first non-empty source per site,
-G3 ordered unique URLs, G5/W3 the 500 cap, J8 company ⟕ URL list."""
+G3 ordered unique URLs, G5 URL lists in long form, J8 company ⟕ URL list.
+
+Lists are long form (site, position, URL). Where rows of lists are needed
+(prompts, results), a site has numbered parts of at most ``PART_URLS`` URLs
+that together hold every URL, so no row grows with a site.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frontier import latest_fetches, path_frontier, robots_directives, robots_url
-from .links import link_array
-from .sitemaps import DEFAULT_MAX_DEPTH, URLSET_CAP, expand_sitemaps, ordered_lists
+from ..functions.text import base_domain
+from ..session import stored
+from .frontier import path_frontier, robots_url
+from .sitemaps import SITEMAP_KINDS, expand_sitemaps, parse_snapshot, position_path, with_positions
 
-SITE_CAP = 500
-LINK_CAP = 100
+PART_URLS = 1000
 
 # source_rank values (lower wins)
 ROBOTS, WELL_KNOWN, HTML = 0, 1, 2
 SOURCE_NAMES = {ROBOTS: "robots", WELL_KNOWN: "sitemap", HTML: "html"}
 
 
-def sitemap_candidates(site_df: DataFrame, fetches: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+class SiteLists(NamedTuple):
+    sites: DataFrame  # base_domain, netloc, bad_url, source, source_pos
+    urls: DataFrame   # base_domain, pos, url
+
+
+def sitemap_candidates(site_df: DataFrame, edges: DataFrame) -> DataFrame:
     """U2 (sitemap part): robots directives then well-known paths.
     Output: base_domain, source_rank, source_pos, sitemap_url."""
-    robots = robots_directives(site_df, fetches, docs).select(
-        "base_domain", F.lit(ROBOTS).alias("source_rank"), F.col("dir_pos").alias("source_pos"), "sitemap_url")
+    directives = edges.where("kind = 'directive'").select("url", "p", "value")
+    robots = site_df.select("base_domain", robots_url().alias("url")).join(directives, "url").select(
+        "base_domain", F.lit(ROBOTS).alias("source_rank"), F.col("p").alias("source_pos"), F.col("value").alias("sitemap_url"))
     paths = path_frontier(site_df).select(
         "base_domain", F.lit(WELL_KNOWN).alias("source_rank"), F.col("path_pos").alias("source_pos"), "sitemap_url")
     return robots.unionByName(paths)
 
 
-def html_source(site_df: DataFrame, fetches: DataFrame, cap: int = LINK_CAP,
-                docs: DataFrame | None = None) -> DataFrame:
-    """X5 on each site's home page (no status check, as the reference).
-    Output: base_domain, source_rank, source_pos, urls."""
-    home = docs if docs is not None else latest_fetches(fetches, site_df.select(F.col("base_domain").alias("url")))
-    j = site_df.join(home.select(F.col("url").alias("base_domain"), "body"), "base_domain")
-    return j.select("base_domain", F.lit(HTML).alias("source_rank"), F.lit(0).alias("source_pos"),
-                    link_array(F.col("body"), F.col("base_domain"), F.col("netloc"), cap).alias("urls"))
-
-
-def site_url_lists(site_df: DataFrame, fetches: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
-                   urlset_cap: int | None = URLSET_CAP, site_cap: int = SITE_CAP, compat: bool = False) -> DataFrame:
+def site_url_lists(site_df: DataFrame, fetches: DataFrame, max_depth: int | None = None,
+                   urlset_cap: int | None = None, compat: bool = False) -> SiteLists:
     """For each site, the URL list of its first non-empty source in
-    (source_rank, source_pos) order, unique in first-seen order and capped at
-    ``site_cap``. Sites without any URL get an empty list and source ``none``.
-
-    Expansion runs once per distinct sitemap URL; per-site choice is a
-    ``min_by`` aggregate (partial aggregation before the shuffle).
-    Output: base_domain, netloc, source, source_pos, urls.
-    """
-    # the site table is written once; robots files and home pages are looked
-    # up in one pass over the snapshot
-    site_df = site_df.checkpoint()
-    n_sites = site_df.count()
-    first = site_df.select(robots_url().alias("url")).unionByName(site_df.select(F.col("base_domain").alias("url")))
-    docs = latest_fetches(fetches, first, known_rows=2 * n_sites).checkpoint()
-    cands = sitemap_candidates(site_df, fetches, docs)
-    roots = cands.select(F.col("sitemap_url").alias("root")).dropDuplicates()
-    root_lists = ordered_lists(expand_sitemaps(roots, fetches, max_depth, urlset_cap, compat), "root")
-    sm = cands.join(root_lists, cands.sitemap_url == root_lists.root).select(
-        "base_domain", "source_rank", "source_pos", "urls")
-    html = html_source(site_df, fetches, docs=docs)
-    allsrc = sm.unionByName(html).filter(F.size("urls") > 0)
-    best = allsrc.groupBy("base_domain").agg(
-        F.min_by(F.struct("source_rank", "source_pos", "urls"), F.struct("source_rank", "source_pos")).alias("b"))
+    (source_rank, source_pos) order, unique in first-seen order. Sites without
+    any URL have source ``none``, sites whose URL cannot be parsed ``error``.
+
+    The snapshot is parsed once. Only candidates that are sitemaps with
+    entries are expanded; the source is chosen on ``(rank, position)`` alone,
+    and the URLs are joined to the choice."""
+    site_df = stored(site_df, "sites")
+    edges = stored(parse_snapshot(fetches, urlset_cap, compat), "current-edges")
+    good = site_df.where(~F.col("bad_url"))
+    known = edges.where(F.col("kind").isin(*SITEMAP_KINDS)).select(F.col("url").alias("sitemap_url")).distinct()
+    cands = stored(sitemap_candidates(good, edges).join(known, "sitemap_url", "left_semi"), "candidates")
+    tree = stored(expand_sitemaps(cands.select(F.col("sitemap_url").alias("root")).distinct(), edges, max_depth), "tree")
+    filled = tree.select(F.col("root").alias("sitemap_url")).distinct()
+    links = edges.where("kind = 'link'").select(F.col("url").alias("base_domain"), "p", F.col("value").alias("url"))
+    linked = good.select("base_domain").join(links, "base_domain", "left_semi").select(
+        "base_domain", F.lit(HTML).alias("source_rank"), F.lit(0).alias("source_pos"), F.lit(None).cast("string").alias("sitemap_url"))
+    choice = cands.join(filled, "sitemap_url", "left_semi").select("base_domain", "source_rank", "source_pos", "sitemap_url").unionByName(linked)
+    best = stored(choice.groupBy("base_domain").agg(F.min(F.struct("source_rank", "source_pos", "sitemap_url")).alias("b")).select("base_domain", "b.*"), "sources")
+    mapped = best.where(F.col("source_rank") < HTML).join(tree, F.col("sitemap_url") == F.col("root")).select("base_domain", "ord", "url")
+    from_html = best.where(F.col("source_rank") == HTML).select("base_domain").join(links, "base_domain").select("base_domain", position_path(F.col("p")).alias("ord"), "url")
+    urls = stored(with_positions(mapped.unionByName(from_html), "base_domain").select("base_domain", "pos", "url"), "site-urls")
     name = F.lit("none")
     for rank, label in SOURCE_NAMES.items():
-        name = F.when(F.col("b.source_rank") == rank, F.lit(label)).otherwise(name)
-    out = site_df.join(best, "base_domain", "left").select(
-        "base_domain", "netloc",
-        F.when(F.col("bad_url"), F.lit("error")).otherwise(name).alias("source"),
-        F.col("b.source_pos").alias("source_pos"),
-        F.when(F.col("bad_url") | F.col("b").isNull(), F.array().cast("array<string>"))
-        .otherwise(F.slice(F.array_distinct("b.urls"), 1, site_cap)).alias("urls"))
-    # one bounded row per site, reused by the company join and the insight
-    # requests: written once instead of recomputed per use
-    return out.checkpoint()
-
-
-def company_url_lists(companies: DataFrame, lists: DataFrame) -> DataFrame:
-    """Every company keeps its row, with its site's list (S14). The list
-    table has one bounded row per site; it is broadcast after a size check,
-    so a site shared by very many companies does not skew the join."""
-    from ..functions.text import base_domain
-    from .frontier import checked_broadcast
+        name = F.when(F.col("source_rank") == rank, F.lit(label)).otherwise(name)
+    sites = site_df.join(best, "base_domain", "left").select(
+        "base_domain", "netloc", "bad_url", F.when(F.col("bad_url"), F.lit("error")).otherwise(name).alias("source"), "source_pos")
+    return SiteLists(stored(sites, "site-sources"), urls)
+
+
+def url_parts(urls: DataFrame, key: str = "base_domain", part_urls: int = PART_URLS) -> DataFrame:
+    """``key, part`` (from 1)``, urls``: the values in position order,
+    at most ``part_urls`` a row."""
+    part = ((F.col("pos") - 1) / part_urls).cast("int") + 1
+    return urls.groupBy(key, part.alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("urls"))
+
 
+def company_url_lists(companies: DataFrame, lists: SiteLists) -> DataFrame:
+    """Every company keeps its row(s), one per part of its site's list
+    (S14); a company without URLs has part 1 with none. Spark picks the join
+    from real sizes and splits hot sites."""
     c = companies.withColumn("base_domain", base_domain(F.col("website_url")))
-    return c.join(checked_broadcast(lists.drop("netloc"), 200_000), "base_domain", "left").select(
-        *[x for x in companies.columns], "source", "source_pos",
+    of_site = lists.sites.select("base_domain", "source", "source_pos").dropDuplicates(["base_domain"])
+    rows = of_site.join(url_parts(lists.urls), "base_domain", "left")
+    return c.join(rows, "base_domain", "left").select(
+        *companies.columns, "source", "source_pos", F.coalesce("part", F.lit(1)).alias("part"),
         F.coalesce("urls", F.array().cast("array<string>")).alias("urls"))

@@ -1,50 +1,79 @@
 """Sitemap documents: F3 body gate, X1 urlset, X2 index, X3/X4 line-scan
-fallbacks for malformed bodies, F6 ``.xml`` routing, J4 bounded recursive
-expansion and U1 ordered union.
+fallbacks for malformed bodies, F6 ``.xml`` routing, J4 recursive expansion
+and U1 ordered union.
 
 Every document is parsed inside its own row (``from_xml`` is permissive: a
 malformed body yields ``_corrupt`` instead of failing the task), so parsing is
-a narrow transformation; only the recursion joins children to the snapshot.
+a narrow transformation. ``parse_snapshot`` does that once for a whole
+snapshot; the recursion then joins narrow edges, never bodies.
+
+Nothing is cut by default: ``cap`` (URLs per urlset), ``children`` (entries
+per index) and ``max_depth`` are off unless given.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import ustrip
-from .frontier import latest_fetches
+from ..functions.text import base_domain, url_netloc, ustrip
+from ..session import stored
+from .frontier import directive_items
+from .links import link_array
 
-# The sitemaps.org 0.9 namespace and the reference's caps.
+# Fixed value: the sitemaps.org 0.9 namespace.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-URLSET_CAP = 100
-INDEX_CHILDREN = 3
-DEFAULT_MAX_DEPTH = 3
 
 _URLSET_SCHEMA = "url array<struct<loc: array<string>>>, _corrupt string"
 _INDEX_SCHEMA = "sitemap array<struct<loc: array<string>>>, _corrupt string"
 # Python's str.splitlines() boundaries.
 _LINES_RE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+_NO_STRINGS = "array<string>"
+ITEMS = "array<struct<kind:string,value:string>>"
+SITEMAP_KINDS = ("page", "entry", "child")
+# Positions of a document that are numbered together.
+CHUNK = 1000
 
 
 def doc_kind(body: Column) -> Column:
     """``index`` if the body contains ``<sitemapindex``, else ``urlset``
-    if it contains ``<urlset``, else NULL (the content type never decides)."""
-    return F.when(body.contains("<sitemapindex"), F.lit("index")).when(body.contains("<urlset"), F.lit("urlset"))
+    if it contains ``<urlset``, else NULL (the content type never decides).
+    A prefixed root (``<s:urlset``) counts as well."""
+    def has(tag: str) -> Column:
+        return body.contains(f"<{tag}") | body.rlike(f"<[\\w.\\-]+:{tag}\\b")
+
+    return F.when(has("sitemapindex"), F.lit("index")).when(has("urlset"), F.lit("urlset"))
+
+
+def _root(body: Column, tag: str, group: int) -> Column:
+    """Prefix (1) or attributes (2) of the root element, comments skipped."""
+    return F.regexp_extract(F.regexp_replace(body, "(?s)<!--.*?-->", ""), f"<([\\w.\\-]+:)?{tag}\\b([^>]*)>", group)
 
 
 def root_namespace(body: Column, tag: str) -> Column:
-    attrs = F.regexp_extract(body, f"<{tag}\\b([^>]*)>", 1)
-    return F.regexp_extract(attrs, "(?<![\\w:])xmlns\\s*=\\s*[\"']([^\"']*)[\"']", 1)
+    """The namespace of the root element, by its own prefix or the default."""
+    prefix, attributes = F.rtrim(_root(body, tag, 1), F.lit(":")), _root(body, tag, 2)
+    plain = F.regexp_extract(attributes, "(?<![\\w:])xmlns\\s*=\\s*[\"']([^\"']*)[\"']", 1)
+    bound = F.regexp_extract(F.replace(attributes, F.concat(F.lit("xmlns:"), prefix, F.lit("=")), F.lit("\u0001=")), "\u0001=\\s*[\"']([^\"']*)[\"']", 1)
+    return F.when(prefix == "", plain).otherwise(bound)
+
 
+def _without_prefix(body: Column, tag: str) -> Column:
+    """The body with the root's own prefix taken off all its elements."""
+    prefix = _root(body, tag, 1)
+    bare = F.replace(F.replace(body, F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</"))
+    return F.when(body.rlike(f"<[\\w.\\-]+:{tag}\\b") & (prefix != ""), bare).otherwise(body)
 
-def _ns_ok(body: Column, tag: str) -> Column:
+
+def _ns_ok(body: Column, tag: str, compat: bool = False) -> Column:
     ns = root_namespace(body, tag)
-    return (ns == "") | (ns == SITEMAP_NS)
+    return (ns == "") if compat else ((ns == "") | (ns == SITEMAP_NS))
 
 
 def _parsed(body: Column, tag: str, schema: str) -> Column:
-    return F.from_xml(body, schema, {"rowTag": tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    options = {"rowTag": tag, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return F.from_xml(_without_prefix(body, tag), schema, options)
 
 
 def loc_lines(body: Column) -> Column:
@@ -62,139 +91,148 @@ def loc_lines(body: Column) -> Column:
     return F.filter(F.transform(lines, one), lambda x: x.isNotNull())
 
 
+def _locs(entries: Column) -> Column:
+    """The non-empty, stripped ``loc`` texts of parsed entries."""
+    locs = F.flatten(F.transform(F.coalesce(entries, F.array()), lambda u: F.coalesce(u["loc"], F.array())))
+    return F.filter(F.transform(locs, ustrip), lambda s: s.isNotNull() & (s != ""))
+
+
+def _first(items: Column, n: int | None) -> Column:
+    return F.slice(items, 1, n) if n else items
+
+
 def _urlset_from(parsed: Column, body: Column, cap: int | None) -> Column:
-    locs = F.flatten(F.transform(F.coalesce(parsed["url"], F.array()), lambda u: F.coalesce(u["loc"], F.array())))
-    locs = F.filter(F.transform(locs, ustrip), lambda s: s.isNotNull() & (s != ""))
-    good = F.when(_ns_ok(body, "urlset"), locs).otherwise(F.array().cast("array<string>"))
-    urls = F.array_distinct(F.when(parsed["_corrupt"].isNotNull(), loc_lines(body)).otherwise(good))
-    return F.slice(urls, 1, cap) if cap else urls
-
-
-def _children_from(parsed: Column, body: Column, compat: bool) -> Column:
-    locs = F.flatten(F.transform(F.coalesce(parsed["sitemap"], F.array()), lambda u: F.coalesce(u["loc"], F.array())))
-    locs = F.filter(F.transform(locs, ustrip), lambda s: s.isNotNull() & (s != ""))
-    ns = root_namespace(body, "sitemapindex")
-    ok = (ns == "") if compat else ((ns == "") | (ns == SITEMAP_NS))
-    return F.slice(F.when(ok, locs).otherwise(F.array().cast("array<string>")), 1, INDEX_CHILDREN)
-
-
-def urlset_urls(body: Column, cap: int | None = URLSET_CAP) -> Column:
-    """X1 (+X3 fallback): ordered unique ``loc`` URLs of a urlset body, first
-    ``cap``. Empty ``<loc/>`` elements are dropped; another root namespace
-    yields nothing (S11)."""
-    x = _parsed(body, "urlset", _URLSET_SCHEMA)
-    locs = F.flatten(F.transform(F.coalesce(x["url"], F.array()), lambda u: F.coalesce(u["loc"], F.array())))
-    locs = F.filter(F.transform(locs, ustrip), lambda s: s.isNotNull() & (s != ""))
-    good = F.when(_ns_ok(body, "urlset"), locs).otherwise(F.array().cast("array<string>"))
-    urls = F.when(x["_corrupt"].isNotNull(), loc_lines(body)).otherwise(good)
-    urls = F.array_distinct(urls)
-    return F.slice(urls, 1, cap) if cap else urls
-
-
-def index_children(body: Column, compat: bool = False) -> Column:
-    """The first 3 raw child ``loc`` entries of a well-formed index.
-    ``compat=True`` reproduces the reference's namespaced-path typo: a
-    namespaced index then yields no children (S1)."""
-    x = _parsed(body, "sitemapindex", _INDEX_SCHEMA)
-    locs = F.flatten(F.transform(F.coalesce(x["sitemap"], F.array()), lambda u: F.coalesce(u["loc"], F.array())))
-    locs = F.filter(F.transform(locs, ustrip), lambda s: s.isNotNull() & (s != ""))
-    ns = root_namespace(body, "sitemapindex")
-    ok = (ns == "") if compat else ((ns == "") | (ns == SITEMAP_NS))
-    return F.slice(F.when(ok, locs).otherwise(F.array().cast("array<string>")), 1, INDEX_CHILDREN)
+    good = F.when(_ns_ok(body, "urlset"), _locs(parsed["url"])).otherwise(F.array().cast(_NO_STRINGS))
+    return _first(F.array_distinct(F.when(parsed["_corrupt"].isNotNull(), loc_lines(body)).otherwise(good)), cap)
+
+
+def _children_from(parsed: Column, body: Column, compat: bool, children: int | None) -> Column:
+    good = F.when(_ns_ok(body, "sitemapindex", compat), _locs(parsed["sitemap"])).otherwise(F.array().cast(_NO_STRINGS))
+    return _first(good, children)
+
+
+def urlset_urls(body: Column, cap: int | None = None) -> Column:
+    """X1 (+X3 fallback): ordered unique ``loc`` URLs of a urlset body (the
+    first ``cap`` if given). Empty ``<loc/>`` elements are dropped; another
+    root namespace yields nothing (S11)."""
+    return _urlset_from(_parsed(body, "urlset", _URLSET_SCHEMA), body, cap)
+
+
+def index_children(body: Column, compat: bool = False, children: int | None = None) -> Column:
+    """The child ``loc`` entries of a well-formed index (the first
+    ``children`` if given). ``compat=True`` reproduces the original's
+    namespaced-path typo: a namespaced index then yields no children (S1)."""
+    return _children_from(_parsed(body, "sitemapindex", _INDEX_SCHEMA), body, compat, children)
 
 
 def index_is_corrupt(body: Column) -> Column:
     return _parsed(body, "sitemapindex", _INDEX_SCHEMA)["_corrupt"].isNotNull()
 
 
-def malformed_index_items(body: Column) -> Column:
-    """Line scan of a malformed index. Entries ending in ``.xml`` are
-    child sitemaps (at most 3); others are page URLs; nothing after the third
-    child is read. Returns ARRAY<STRUCT<kind, value>> in line order."""
+def malformed_index_items(body: Column, children: int | None = None) -> Column:
+    """Line scan of a malformed index, ARRAY<STRUCT<kind, value>> in
+    line order: entries ending in ``.xml`` are child sitemaps, others page
+    URLs. With ``children``, nothing after that many children is read. One
+    pass over the lines, and one more for the limit."""
     entries = loc_lines(body)
-    idx = F.sequence(F.lit(1), F.size(entries))
-    xml_pos = F.filter(idx, lambda i: F.element_at(entries, i).endswith(".xml"))
-    cutoff = F.coalesce(F.try_element_at(xml_pos, F.lit(INDEX_CHILDREN)), F.size(entries))
-    kept = F.filter(idx, lambda i: i <= cutoff)
-    return F.when(F.size(entries) == 0, F.array().cast("array<struct<kind:string,value:string>>")).otherwise(
-        F.transform(kept, lambda i: F.struct(
-            F.when(F.element_at(entries, i).endswith(".xml"), F.lit("child")).otherwise(F.lit("page")).alias("kind"),
-            F.element_at(entries, i).alias("value"))))
+    items = F.transform(entries, lambda v: F.struct(F.when(v.endswith(".xml"), F.lit("child")).otherwise(F.lit("page")).alias("kind"), v.alias("value")))
+    if not children:
+        return items
+    places = F.filter(F.transform(entries, lambda v, i: F.when(v.endswith(".xml"), i + 1)), lambda i: i.isNotNull())
+    return F.slice(items, F.lit(1), F.coalesce(F.try_element_at(places, F.lit(children)), F.size(entries)))
 
 
-_ITEM_ARRAY = "array<struct<kind:string,value:string>>"
+def _as_items(values: Column, kind: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
 
-def parse_documents(docs: DataFrame, body: str = "body", cap: int | None = URLSET_CAP,
-                    compat: bool = False, out: str = "items") -> DataFrame:
+def parse_documents(docs: DataFrame, body: str = "body", cap: int | None = None, compat: bool = False,
+                    out: str = "items", children: int | None = None) -> DataFrame:
     """One document per row → ``out`` ARRAY<STRUCT<kind, value>> in document
     order: ``page`` items are URLs, ``child`` items are sitemaps to expand.
     Each body is parsed once, with the schema of its kind (F3 routing)."""
     b = F.col(body)
-    kind = doc_kind(b)
-    d = docs.withColumn("_kind", kind)
-    d = d.withColumn("_px", F.when(F.col("_kind") == "urlset", _parsed(b, "urlset", _URLSET_SCHEMA))
-                     .when(F.col("_kind") == "index", F.struct(
-                         F.lit(None).cast("array<struct<loc: array<string>>>").alias("url"),
-                         F.lit(None).cast("string").alias("_corrupt"))))
+    d = docs.withColumn("_kind", doc_kind(b))
+    d = d.withColumn("_px", F.when(F.col("_kind") == "urlset", _parsed(b, "urlset", _URLSET_SCHEMA)))
     d = d.withColumn("_ix", F.when(F.col("_kind") == "index", _parsed(b, "sitemapindex", _INDEX_SCHEMA)))
-
-    def as_items(arr: Column, k: str) -> Column:
-        return F.transform(arr, lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value")))
-
     ix = F.col("_ix")
-    idx_items = F.when(ix["_corrupt"].isNotNull(), malformed_index_items(b)).otherwise(
-        as_items(_children_from(ix, b, compat), "child"))
-    items = (F.when(F.col("_kind") == "index", idx_items)
-             .when(F.col("_kind") == "urlset", as_items(_urlset_from(F.col("_px"), b, cap), "page"))
-             .otherwise(F.array().cast(_ITEM_ARRAY)))
+    of_index = F.when(ix["_corrupt"].isNotNull(), malformed_index_items(b, children)).otherwise(
+        _as_items(_children_from(ix, b, compat, children), "child"))
+    items = (F.when(F.col("_kind") == "index", of_index)
+             .when(F.col("_kind") == "urlset", _as_items(_urlset_from(F.col("_px"), b, cap), "page"))
+             .otherwise(F.array().cast(ITEMS)))
     return d.withColumn(out, items).drop("_kind", "_px", "_ix")
 
 
-def expand_sitemaps(roots: DataFrame, fetches: DataFrame, max_depth: int = DEFAULT_MAX_DEPTH,
-                    cap: int | None = URLSET_CAP, compat: bool = False) -> DataFrame:
+def parse_snapshot(fetches: DataFrame, cap: int | None = None, compat: bool = False, children: int | None = None) -> DataFrame:
+    """One scan of a crawl snapshot's bodies → edges ``url, p, kind, value``
+    of the newest fetch of every URL (``p`` is the position in the document).
+
+    Kinds: ``page`` of urlsets, ``child`` and ``entry`` (a page among the
+    children) of indexes, ``directive`` of robots files (status 200; ``p`` is the line), ``link`` of home pages (URLs that
+    are their own base domain). The bodies are read and parsed where they
+    lie; the newest fetch per URL is then picked on the narrow edges."""
+    docs = parse_documents(fetches.select("url", "status", "body", "fetched_at"), "body", cap, compat, children=children)
+    robots = F.when(F.col("url").endswith("/robots.txt") & (F.col("status") == 200), F.transform(
+        directive_items(F.col("body")), lambda d: F.struct(d["line"].alias("p"), F.lit("directive").alias("kind"), d["value"].alias("value"))))
+    links = F.when(F.col("url") == base_domain(F.col("url")), F.transform(
+        link_array(F.col("body"), F.col("url"), url_netloc(F.col("url"))), lambda v, i: F.struct((i + 1).cast("int").alias("p"), F.lit("link").alias("kind"), v.alias("value"))))
+    of_index = doc_kind(F.col("body")) == "index"
+    sitemap = F.transform("items", lambda x, i: F.struct((i + 1).cast("int").alias("p"), F.when(of_index & (x["kind"] == "page"), "entry").otherwise(x["kind"]).alias("kind"), x["value"].alias("value")))
+    none = F.array().cast("array<struct<p:int,kind:string,value:string>>")
+    version = F.struct("fetched_at", "status", F.xxhash64("body").alias("hash")).alias("version")
+    every = stored(docs.select("url", version, F.explode_outer(F.concat(F.coalesce(sitemap, none), F.coalesce(robots, none), F.coalesce(links, none))).alias("e"))
+                   .select("url", "version", "e.*"), "edges")
+    newest = every.groupBy("url").agg(F.max("version").alias("version"))
+    return every.join(newest, ["url", "version"]).where(F.col("kind").isNotNull()).select("url", "p", "kind", "value").distinct()
+
+
+def position_path(p: Column, chunk: int = CHUNK) -> Column:
+    """The last two steps of a page's position path: its chunk of the document
+    and its place there."""
+    return F.array((p / chunk).cast("int"), (p % chunk).cast("int"))
+
+
+def expand_sitemaps(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Expand every root sitemap URL recursively (index → child → …)
-    up to ``max_depth`` levels below the root. A child already on its own
-    ancestor path is not expanded again, so cycles end (S25). Output long form
-    ``root, ord ARRAY<INT>, url``: ``ord`` is the position path, so sorting by
-    it gives document order with each child's URLs in place; URLs are unique
-    per root (first position wins).
-
-    Each level is one join of the frontier with the snapshot; the frontier
-    grows by at most 3 children per index per level. The frontier is
-    checkpointed to the shared checkpoint folder after each level, which cuts
-    the lineage (a lost executor re-reads it instead of replaying all levels).
-    """
-    frontier = roots.select(F.col("root"), F.array().cast("array<int>").alias("ord"),
-                            F.col("root").alias("sitemap_url"), F.array(F.col("root")).alias("anc")).checkpoint()
-    n = frontier.count()
-    pages = None
-    for depth in range(max_depth + 1):
-        docs = latest_fetches(fetches, frontier, "sitemap_url", known_rows=n)
-        parsed = parse_documents(docs.select(F.col("url").alias("sitemap_url"), "body"), "body", cap, compat)
-        items = frontier.join(parsed.select("sitemap_url", "items"), "sitemap_url").select(
-            "root", "ord", "anc", F.posexplode("items").alias("p", "item"))
-        items = items.select("root", F.concat("ord", F.array((F.col("p") + 1).cast("int"))).alias("ord"), "anc",
-                             F.col("item.kind").alias("kind"), F.col("item.value").alias("value"))
-        if depth < max_depth:
-            # one pass over the level's documents: keep pages and children together
-            items = items.checkpoint()
-        found = items.filter(F.col("kind") == "page").select("root", "ord", F.col("value").alias("url"))
+    until no new child turns up (or ``max_depth`` levels below the root). A
+    sitemap is expanded once per root, where it is first met, so cycles and
+    shared children end (S25). ``edges`` is ``parse_snapshot``'s output.
+
+    Output long form ``root, ord ARRAY<INT>, url``: ``ord`` is the position
+    path (a child's place in each index on the way, then ``position_path``),
+    so sorting by it gives document order with each child's URLs in place; URLs are unique per root (first position wins). Each level is one
+    join of the frontier with the narrow edges, written once."""
+    edges = edges.where(F.col("kind").isin(*SITEMAP_KINDS))
+    step = F.when(F.col("kind") == "page", position_path(F.col("p"), chunk)).when(F.col("kind") == "entry", F.array("p", F.lit(0))).otherwise(F.array("p"))
+    frontier = stored(roots.select("root", F.array().cast("array<int>").alias("ord"), F.col("root").alias("sitemap_url")).distinct(), "frontier")
+    visited, pages, depth = frontier.select("root", "sitemap_url"), None, 0
+    while True:
+        items = stored(frontier.join(edges, frontier.sitemap_url == edges.url).select(
+            "root", F.concat("ord", step).alias("ord"), "kind", "value"), "items")
+        found = items.where("kind <> 'child'").select("root", "ord", F.col("value").alias("url"))
         pages = found if pages is None else pages.unionByName(found)
-        if depth == max_depth:
+        if max_depth is not None and depth >= max_depth:
             break
-        children = items.filter((F.col("kind") == "child") & ~F.array_contains("anc", F.col("value")))
-        frontier = children.select("root", "ord", F.col("value").alias("sitemap_url"),
-                                   F.concat("anc", F.array("value")).alias("anc"))
-        n = frontier.count()
-        if n == 0:
+        children = items.where("kind = 'child'").groupBy("root", F.col("value").alias("sitemap_url")).agg(F.min("ord").alias("ord"))
+        frontier = stored(children.join(visited, ["root", "sitemap_url"], "left_anti").select("root", "ord", "sitemap_url"), "frontier")
+        if frontier.isEmpty():
             break
+        visited = visited.unionByName(frontier.select("root", "sitemap_url"))
+        depth += 1
     return pages.groupBy("root", "url").agg(F.min("ord").alias("ord")).select("root", "ord", "url")
 
 
-def ordered_lists(long_df: DataFrame, key: str, order: str = "ord", value: str = "url",
-                  out: str = "urls") -> DataFrame:
-    """Per key, the values in ``order`` as one ARRAY (callers cap the
-    groups first, so no row grows without bound)."""
-    return long_df.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(out))
+def with_positions(rows: DataFrame, key: str, order: str = "ord", out: str = "pos") -> DataFrame:
+    """Add the 1-based position of each row within its ``key``, by the
+    position path ``order`` (which ends with a chunk and the place in it).
+
+    A key may hold very many rows, so they are counted per chunk; one window
+    adds up a key's chunk counts, the other numbers the few rows of a chunk."""
+    rows = rows.withColumn("_chunk", F.slice(order, F.lit(1), F.size(order) - 1))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_n")).select(
+        F.col(key).alias("_key"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(key, "_chunk").orderBy(order)
+    placed = rows.withColumn("_row", F.row_number().over(own)).join(starts, (F.col(key) == F.col("_key")) & (F.col("_chunk") == F.col("_c")))
+    return placed.withColumn(out, F.col("_start") + F.col("_row")).drop("_chunk", "_row", "_key", "_c", "_start")

@@ -1,4 +1,4 @@
-"""Company document store as versioned Parquet snapshots.
+"""Company document store as versioned hash parts (``PartStore``).
 
 P6 default timestamp, P7 document, A7/A8 upsert (J7 full outer join, S16:
 only supplied columns overwrite, an explicit NULL included), G9 counters,
@@ -10,75 +10,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .parts import PartStore
+
+# A document is found by its name; a list of several parts has one for each.
 KEY = "company_name"
+KEYS = [KEY, "part"]
 DOC_COLUMNS = ["company_name", "website_url", "sitemap_urls", "ai_insights", "last_updated",
-               "company_name_normalized"]
+               "company_name_normalized", "part"]
 DOC_SCHEMA = ("company_name string, website_url string, sitemap_urls array<string>, ai_insights string, "
-              "last_updated double, company_name_normalized string")
+              "last_updated double, company_name_normalized string, part int")
 
 
 def company_documents(rows: DataFrame, now: float, company: str = "company", website: str = "website_url",
                       urls: str = "urls", insight: str = "insight") -> DataFrame:
-    """P7 (+P5, P6): the stored record of each processed company."""
+    """P7 (+P5, P6): the stored record of each processed company, with its
+    place ``_ord`` in the intake, which orders records of one name."""
+    order = ["_ord"] if "_ord" in rows.columns else []
+    part = F.col("part") if "part" in rows.columns else F.lit(1)
     return rows.select(
+        *order,
         F.col(company).alias("company_name"), F.col(website).alias("website_url"),
         F.col(urls).alias("sitemap_urls"), F.col(insight).alias("ai_insights"),
-        F.lit(float(now)).alias("last_updated"), F.lower(F.col(company)).alias("company_name_normalized"))
+        F.lit(float(now)).alias("last_updated"), F.lower(F.col(company)).alias("company_name_normalized"),
+        part.cast("int").alias("part"))
 
 
-def prepare_updates(updates: DataFrame, now: float, order: str | None = None) -> tuple[DataFrame, list[str]]:
+def prepare_updates(updates: DataFrame, now: float, order: str) -> tuple[DataFrame, list[str]]:
     """A8 preparation: default ``last_updated`` (P6), derive the normalised
     name (P5) and keep the last row per key in batch ``order`` (ordered
     ``max_by``, a partial aggregate). Returns (rows, supplied columns)."""
-    cols = [c for c in updates.columns if c in DOC_COLUMNS and c != "company_name_normalized"]
-    u = updates
-    if "last_updated" not in u.columns:
-        u = u.withColumn("last_updated", F.lit(float(now)))
-        cols.append("last_updated")
-    else:
-        u = u.withColumn("last_updated", F.coalesce(F.col("last_updated").cast("double"), F.lit(float(now))))
-    u = u.withColumn("company_name_normalized", F.lower(F.col(KEY)))
-    cols.append("company_name_normalized")
-    if order is not None:
-        last = F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(order)).alias("_u")
-        u = u.groupBy(KEY).agg(last).select("_u.*")
-    else:
-        u = u.select(*cols).dropDuplicates([KEY])
-    return u.select(*cols), cols
-
-
-SMALL_BATCH_ROWS = 2_000_000
-
-
-def upsert(store: DataFrame, updates: DataFrame, supplied: list[str],
-           small_batch_rows: int = SMALL_BATCH_ROWS) -> DataFrame:
-    """Update-or-insert by exact ``company_name``.
+    u = updates if "part" in updates.columns else updates.withColumn("part", F.lit(1))
+    given = F.col("last_updated").cast("double") if "last_updated" in u.columns else F.lit(None).cast("double")
+    u = u.withColumn("last_updated", F.coalesce(given, F.lit(float(now)))).withColumn("company_name_normalized", F.lower(F.col(KEY)))
+    cols = [c for c in DOC_COLUMNS if c in u.columns]
+    last = F.max_by(F.struct(*cols), F.col(order)).alias("_u")
+    return u.groupBy(*KEYS).agg(last).select("_u.*"), cols
+
+
+def upsert(store: DataFrame, updates: DataFrame, supplied: list[str]) -> DataFrame:
+    """Update-or-insert by exact ``company_name`` (and part).
 
     A matched row takes every *supplied* column from the update (NULL
     included) and keeps the rest; an unmatched update is inserted with NULL
     for columns it does not supply. Adds ``_matched``, ``_inserted`` and
     ``_modified`` (matched and some supplied column changed, NULL-safe).
-
-    When the batch has at most ``small_batch_rows`` rows (checked), its keys
-    are broadcast: untouched store rows pass through a broadcast anti-join
-    (no shuffle of the store) and only the touched rows meet the batch in the
-    full outer join. Larger batches use one full outer join.
+    ``upsert_snapshot`` gives it only the parts that the updates touch.
     """
-    n = updates.limit(small_batch_rows + 1).count()
-    if n <= small_batch_rows:
-        keys = F.broadcast(updates.select(KEY).dropDuplicates())
-        untouched = store.join(keys, KEY, "left_anti").select(
-            *DOC_COLUMNS, F.lit(False).alias("_matched"), F.lit(False).alias("_inserted"),
-            F.lit(False).alias("_modified"))
-        touched = store.join(keys, KEY, "left_semi")
-        return untouched.unionByName(_merge(touched, updates, supplied))
     return _merge(store, updates, supplied)
 
 
 def _merge(store: DataFrame, updates: DataFrame, supplied: list[str]) -> DataFrame:
     s = store.select(*[F.col(c).alias(f"s_{c}") for c in DOC_COLUMNS], F.lit(True).alias("_in_s"))
     u = updates.select(*[F.col(c).alias(f"u_{c}") for c in supplied], F.lit(True).alias("_in_u"))
-    j = s.join(u, F.col(f"s_{KEY}") == F.col(f"u_{KEY}"), "full_outer")
+    j = s.join(u, [F.col(f"s_{k}") == F.col(f"u_{k}") for k in KEYS], "full_outer")
     in_s = F.coalesce(F.col("_in_s"), F.lit(False))
     in_u = F.coalesce(F.col("_in_u"), F.lit(False))
     out = []
@@ -86,7 +71,7 @@ def _merge(store: DataFrame, updates: DataFrame, supplied: list[str]) -> DataFra
     for c in DOC_COLUMNS:
         if c in supplied:
             out.append(F.when(in_u, F.col(f"u_{c}")).otherwise(F.col(f"s_{c}")).alias(c))
-            if c != KEY:
+            if c not in KEYS:
                 changed = changed | ~F.col(f"s_{c}").eqNullSafe(F.col(f"u_{c}"))
         else:
             out.append(F.col(f"s_{c}").alias(c))
@@ -112,65 +97,58 @@ def latest_per_company(store: DataFrame) -> DataFrame:
     lu = F.col("last_updated")
     order = F.struct(lu.isNull().alias("n"), (-lu).alias("t"), F.col(KEY).alias("k"))
     best = F.min_by(F.struct(*[F.col(c) for c in DOC_COLUMNS]), order).alias("_d")
-    return store.groupBy("company_name_normalized").agg(best).select("_d.*")
+    return store.groupBy("company_name_normalized", "part").agg(best).select("_d.*")
+
+
+def by_freshness(store: DataFrame) -> DataFrame:
+    """L1: documents from the newest to the oldest; NULL times last, ties by
+    name (a range-partitioned sort)."""
+    return store.orderBy(F.col("last_updated").desc_nulls_last(), *KEYS)
 
 
 def lookup(store: DataFrame, probes: DataFrame, probe_col: str, field: str) -> DataFrame:
     """F8/L2: for each probe value, the first record with ``field == value``
     (ties by ``company_name``), or NULLs. Batch form of ``find_one``."""
-    from .frontier import checked_broadcast
-
     p = probes.select(F.col(probe_col).alias("probe")).dropDuplicates()
-    # the store is semi-filtered by the (broadcast, size-checked) probe set
-    # before anything is grouped or shuffled
-    s = store.join(checked_broadcast(p), store[field] == p.probe, "left_semi")
+    # the store is semi-filtered by the probes before anything is grouped
+    s = store.join(p, store[field] == p.probe, "left_semi")
     s = s.select(F.col(field).alias("_v"), F.struct(*[F.col(c) for c in DOC_COLUMNS]).alias("_d"))
-    if field != KEY:
-        s = s.groupBy("_v").agg(F.min_by("_d", F.col(f"_d.{KEY}")).alias("_d"))
+    s = s.groupBy("_v").agg(F.min_by("_d", F.struct(*[F.col(f"_d.{k}") for k in KEYS])).alias("_d"))
     return p.join(s, p.probe == s._v, "left").select("probe", F.col("_d").isNotNull().alias("found"), "_d.*")
 
 
-# --- A6 / A9: snapshots ------------------------------------------------------
+# --- A6 / A9: versions --------------------------------------------------------
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """A9/A7 persistence: write a new immutable snapshot directory and return
-    its path; readers never see a path being overwritten."""
-    path = f"{root.rstrip('/')}/v={version:08d}"
-    df.select(*DOC_COLUMNS).write.mode("errorifexists").parquet(path)
-    return path
+def open_store(spark: SparkSession, root: str) -> PartStore:
+    return PartStore(spark, root, KEY, DOC_SCHEMA)
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest snapshot version under ``root`` (directory listing only)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    versions = [int(st.getPath().getName()[2:]) for st in fs.listStatus(p)
-                if st.isDirectory() and st.getPath().getName().startswith("v=")]
-    return max(versions) if versions else None
+def write_snapshot(df: DataFrame, root: str, version: int) -> int:
+    """A whole new version (all parts)."""
+    return open_store(df.sparkSession, root).write(df, version)
 
 
-def scan_store(spark: SparkSession, root: str) -> DataFrame:
-    """All documents of the newest snapshot (empty when there is none)."""
-    v = latest_version(spark, root)
-    if v is None:
-        return spark.createDataFrame([], DOC_SCHEMA)
-    return spark.read.parquet(f"{root.rstrip('/')}/v={v:08d}")
+def scan_store(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """All documents of the newest (or a given) version."""
+    return open_store(spark, root).read(version)
 
 
-def reset_store(spark: SparkSession, root: str) -> str:
-    """A new, empty snapshot (full refresh, S19)."""
-    v = latest_version(spark, root)
+def reset_store(spark: SparkSession, root: str) -> int:
+    """A new, empty version (full refresh, S19)."""
+    v = open_store(spark, root).latest()
     return write_snapshot(spark.createDataFrame([], DOC_SCHEMA), root, 0 if v is None else v + 1)
 
 
-def upsert_snapshot(spark: SparkSession, root: str, updates: DataFrame, now: float,
-                    order: str | None = None) -> str:
-    """A7/A8 end to end: read the newest snapshot, upsert, write the next."""
-    v = latest_version(spark, root)
-    store = scan_store(spark, root)
+def upsert_snapshot(spark: SparkSession, root: str, updates: DataFrame, now: float, order: str,
+                    version: int | None = None) -> int:
+    """A7/A8 end to end: upsert the batch into the newest version and commit
+    the next one (or ``version``, based on the newest before it). Only the
+    parts that hold keys of the batch are read and rewritten."""
+    store = open_store(spark, root)
+    base = store.latest(None if version is None else version - 1)
     u, supplied = prepare_updates(updates, now, order)
-    return write_snapshot(documents(upsert(store, u, supplied)), root, 0 if v is None else v + 1)
+    u = stored(u, "store-updates")
+    touched = store.touched(u)
+    before = store.read(base, touched) if base is not None else spark.createDataFrame([], DOC_SCHEMA)
+    after = documents(upsert(before, u, supplied))
+    return store.write(after, (0 if base is None else base + 1) if version is None else version, base, touched)

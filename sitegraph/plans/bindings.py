@@ -98,12 +98,9 @@ def _chunked(entries: DataFrame, group: str, order: str, value: str) -> DataFram
     """Split each group's entries into files of at most ~MAX_ENTRIES_PER_FILE
     (hash-spread, so no single row holds an unbounded group); within a file
     entries keep ``order``. Output: group, chunk, lines ARRAY<value>."""
-    from ..operators.frontier import checked_broadcast
-
     counts = entries.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     nchunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(MAX_ENTRIES_PER_FILE)))
-    # one row per group: broadcast it, so a hot group is not one join partition
-    e = entries.join(checked_broadcast(counts), group).withColumn("chunk", F.pmod(F.xxhash64(F.col(order)), nchunks))
+    e = entries.join(counts, group).withColumn("chunk", F.pmod(F.xxhash64(F.col(order)), nchunks))
     grouped = e.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_e"))
     return grouped.select(group, "chunk", F.transform("_e", lambda x: x[value]).alias("lines"))
 
@@ -213,6 +210,7 @@ def build_fetches(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 STORE_NOW = 1717200000.0
+JOB_DELAY = 500  # jobs that are queued between a job and its end
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,7 +244,7 @@ def store_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     web = F.concat(F.lit("https://c"), F.col("user_id").cast("string"), F.lit(".example.com/"), F.col("event_type"))
     doc = F.struct(F.col("company_name"), web.alias("website_url"), F.array(web).alias("sitemap_urls"),
                    F.col("event_type").alias("ai_insights"), F.col("ts_s").alias("last_updated"),
-                   F.lower("company_name").alias("company_name_normalized"))
+                   F.lower("company_name").alias("company_name_normalized"), F.lit(1).alias("part"))
     return e.groupBy("company_name").agg(F.max_by(doc, F.struct("ts_s", "event_id")).alias("d")).select("d.*")
 
 
@@ -264,9 +262,11 @@ def store_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    """One job per event: id ``job_<event_id>``, submission ``user_id``,
-    order ``event_id``; error → ``error``, signup → ``queued``, else
-    ``complete`` with result data for company ``Company <event_id % 500>``."""
+    """A log of job states, one job per event: id ``job_<event_id>``,
+    submission ``user_id``. Every job is ``queued`` first (``seq`` 2 ×
+    event_id); but for signups its final state follows (``seq`` one higher and
+    a shift of a few jobs, so it comes among later jobs): error → ``error``,
+    else ``complete`` with result data for company ``Company <event_id % 500>``."""
     e = _events(spark, sf)
     status = (F.when(F.col("event_type") == "error", F.lit("error"))
               .when(F.col("event_type") == "signup", F.lit("queued")).otherwise(F.lit("complete")))
@@ -275,23 +275,12 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
     data = F.struct(F.concat(F.lit("Company "), n).alias("Company"), web.alias("Website"),
                     F.concat(web, F.lit("/"), F.col("event_type")).alias("Sitemap Complete"),
                     F.col("props").alias("Insight from Prompt"))
-    return e.select(
+    final = e.select(
         F.concat(F.lit("job_"), F.col("event_id").cast("string")).alias("job_id"),
-        F.col("user_id").alias("batch_id"), F.col("event_id").alias("seq"), status.alias("status"),
+        F.col("user_id").alias("batch_id"), (F.col("event_id") * 2 + 1 + 2 * JOB_DELAY).alias("seq"), status.alias("status"),
         F.when(status == "error", F.concat(F.lit("Worker error: "), F.col("props"))).alias("message"),
         F.when(status == "complete", data).alias("data"), "ts_s")
-
-
-# Breaker call log (B7): 3 failures open it, 6 hours (in microseconds) reset it.
-BREAKER_MAX_FAILURES = 3
-BREAKER_RESET_US = 21600 * 1_000_000
-
-
-def call_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event is a model call of service ``user_id % 10`` at its
-    time (epoch microseconds), failing when the event is an error."""
-    from ..functions.text import epoch_micros
-
-    e = table(spark, sf, "events")
-    return e.select((F.col("user_id") % 10).alias("service"), epoch_micros(F.col("ts")).alias("ts"),
-                    F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))
+    none = F.lit(None).cast(final.schema["data"].dataType)
+    queued = final.select("job_id", "batch_id", (F.col("seq") - 1 - 2 * JOB_DELAY).alias("seq"), F.lit("queued").alias("status"),
+                          F.lit(None).cast("string").alias("message"), none.alias("data"), "ts_s")
+    return queued.unionByName(final.where(F.col("status") != "queued"))

@@ -22,7 +22,7 @@ j AS (
     AND NOT starts_with(href, 'mailto:') AND NOT starts_with(href, 'tel:')),
 d AS (SELECT page_id, url, min(ord) AS first_ord FROM j GROUP BY page_id, url)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first_ord) AS pos, url
-FROM d QUALIFY pos <= 100
+FROM d
 """
 
 B1_COMPANIES = r"""
@@ -74,13 +74,13 @@ CROSS JOIN (VALUES (2, '/missing.xml'), (3, '/sm.xml')) AS d(dir_pos, path)
 """
 
 
-def _urlset(cap: int, escaped: bool = False) -> str:
+def _urlset(escaped: bool = False) -> str:
     u = "replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')" if escaped else "url"
     return f"""
 WITH pg AS ({PG}), u AS (SELECT host, {u} AS url, min(page_id) AS first_id FROM pg GROUP BY host, {u})
 SELECT 'https://' || host || '/sm.xml' AS sitemap_url,
        row_number() OVER (PARTITION BY host ORDER BY first_id) AS pos, url
-FROM u QUALIFY pos <= {cap}
+FROM u
 """
 
 
@@ -93,23 +93,20 @@ FROM (SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS domain, host, c,
 
 INDEX_EXPAND = f"""
 SELECT 'https://' || domain || '/sitemap_index.xml' AS index_url, epos AS pos, entry AS child_url
-FROM ({DOMAIN_ENTRIES}) WHERE epos <= 3
+FROM ({DOMAIN_ENTRIES})
 """
 
 INDEX_MALFORMED = f"""
-WITH e AS ({DOMAIN_ENTRIES}),
-x AS (SELECT domain, epos, entry, sum(CASE WHEN ends_with(entry, '.xml') THEN 1 ELSE 0 END)
-        OVER (PARTITION BY domain ORDER BY epos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
 SELECT 'https://' || domain || '/sitemap_index.xml' AS index_url, epos AS pos,
        CASE WHEN ends_with(entry, '.xml') THEN 'child' ELSE 'page' END AS kind, entry AS url
-FROM x WHERE coalesce(before, 0) < 3
+FROM ({DOMAIN_ENTRIES})
 """
 
 SITEMAP_TREE = f"""
 WITH e AS ({DOMAIN_ENTRIES}),
-u AS ({_urlset(100)}),
+u AS ({_urlset()}),
 j AS (SELECT 'https://' || e.domain || '/sitemap_index.xml' AS root, e.epos, u.pos AS upos, u.url
-      FROM e JOIN u ON u.sitemap_url = e.entry WHERE e.epos <= 3),
+      FROM e JOIN u ON u.sitemap_url = e.entry),
 d AS (SELECT root, url, min(epos * 1000000 + upos) AS o FROM j GROUP BY root, url)
 SELECT root, row_number() OVER (PARTITION BY root ORDER BY o) AS pos, url FROM d
 """
@@ -125,18 +122,17 @@ j AS (SELECT host, 'https://' || host || replace(href, '&amp;', '&') AS url, ord
       WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:')
         AND NOT starts_with(href, 'mailto:') AND NOT starts_with(href, 'tel:')),
 d AS (SELECT host, url, min(ord) AS first_ord FROM j GROUP BY host, url)
-SELECT host, row_number() OVER (PARTITION BY host ORDER BY first_ord) AS pos, url FROM d QUALIFY pos <= 100
+SELECT host, row_number() OVER (PARTITION BY host ORDER BY first_ord) AS pos, url FROM d
 """
 
 SITE_LISTS = f"""
-WITH sm AS ({_urlset(100)}),
+WITH sm AS ({_urlset()}),
 allu AS (SELECT regexp_extract(sitemap_url, '^https://([^/]+)', 1) AS host, pos, url FROM sm
          WHERE length(regexp_extract(sitemap_url, '^https://([^/]+)', 1)) % 3 < 2
          UNION ALL SELECT host, pos, url FROM ({HOME_LINKS}))
-SELECT host, count(*) AS n_urls, string_agg(url, ', ' ORDER BY pos) AS sitemap_complete,
-       string_agg(url, ',' ORDER BY pos) FILTER (WHERE pos <= 100) AS key_urls,
-       string_agg(url, chr(10) ORDER BY pos) FILTER (WHERE pos <= 100) AS prompt_urls
-FROM allu GROUP BY host
+SELECT host, (pos - 1) // 1000 + 1 AS part, count(*) AS n_urls, string_agg(url, ', ' ORDER BY pos) AS sitemap_complete,
+       string_agg(url, ',' ORDER BY pos) AS key_urls, string_agg(url, chr(10) ORDER BY pos) AS prompt_urls
+FROM allu GROUP BY host, part
 """
 
 SITE_URL_LISTS = f"""
@@ -145,7 +141,7 @@ WITH cs AS (SELECT _ord, company, website_url, regexp_extract(website_url, '^[^:
 agg AS ({SITE_LISTS})
 SELECT cs._ord, cs.company, cs.website_url,
        CASE WHEN agg.host IS NULL THEN 'none' WHEN length(cs.host) % 3 = 0 THEN 'robots'
-            WHEN length(cs.host) % 3 = 1 THEN 'sitemap' ELSE 'html' END AS source,
+            WHEN length(cs.host) % 3 = 1 THEN 'sitemap' ELSE 'html' END AS source, coalesce(agg.part, 1) AS part,
        coalesce(agg.n_urls, 0) AS n_urls, coalesce(agg.sitemap_complete, '') AS sitemap_complete
 FROM cs LEFT JOIN agg ON cs.host = agg.host
 """
@@ -158,17 +154,17 @@ from ..operators.insights import _PROMPT_HEAD, _PROMPT_TAIL  # noqa: E402
 from ..operators.jobs import ALL_DONE_TEXT as J_DONE, DONE_WITH_ERRORS_TEXT as J_DONE_ERR  # noqa: E402
 
 LISTS_FULL = f"""
-WITH cs AS (SELECT _ord, company, website_url, regexp_extract(website_url, '^[^:/?#]+://([^/?#]*)', 1) AS host
+WITH cs AS (SELECT _ord, company, website_url, unique_key, regexp_extract(website_url, '^[^:/?#]+://([^/?#]*)', 1) AS host
             FROM ({COMPANY_DEDUPE})),
 agg AS ({SITE_LISTS})
-SELECT cs._ord, cs.company, cs.website_url, coalesce(agg.n_urls, 0) AS n_urls,
+SELECT cs._ord, cs.company, cs.website_url, cs.unique_key, coalesce(agg.part, 1) AS part, coalesce(agg.n_urls, 0) AS n_urls,
        coalesce(agg.sitemap_complete, '') AS sitemap_complete,
        md5(cs.company || ':' || coalesce(agg.key_urls, '')) AS key,
        {_lit(_PROMPT_HEAD)} || coalesce(agg.prompt_urls, '') || {_lit(_PROMPT_TAIL)} AS prompt
 FROM cs LEFT JOIN agg ON cs.host = agg.host
 """
 
-INSIGHT_PROMPTS = f"SELECT _ord, company, key, prompt FROM ({LISTS_FULL})"
+INSIGHT_PROMPTS = f"SELECT _ord, company, part, key, prompt FROM ({LISTS_FULL})"
 
 INSIGHT_ROWS = f"""
 SELECT *, substr(key, 1, 1) < '8' AS cached,
@@ -178,19 +174,48 @@ SELECT *, substr(key, 1, 1) < '8' AS cached,
 FROM ({LISTS_FULL})
 """
 
-INSIGHT_CACHE_JOIN = f"SELECT _ord, company, key, cached, insight FROM ({INSIGHT_ROWS})"
+INSIGHT_CACHE_JOIN = f"SELECT _ord, company, part, key, cached, insight FROM ({INSIGHT_ROWS})"
 
 COMPANY_DOCUMENTS = f"""
-SELECT company AS company_name, website_url, n_urls, sitemap_complete, insight AS ai_insights,
+SELECT _ord, company AS company_name, website_url, part, n_urls, sitemap_complete, insight AS ai_insights,
        1717200000.0::DOUBLE AS last_updated, lower(company) AS company_name_normalized
 FROM ({INSIGHT_ROWS})
 """
 
 RESULTS_ROWS = f"""
 SELECT company AS "Company", website_url AS "Website", sitemap_complete AS "Sitemap Complete",
-       insight AS "Insight from Prompt" FROM ({INSIGHT_ROWS})
+       insight AS "Insight from Prompt", part AS "Part" FROM ({INSIGHT_ROWS})
+"""
+
+# without a cache: every key goes to the (stub) model
+MODEL_ROWS = f"""
+SELECT *, CASE WHEN n_urls = 0 THEN 'Error: Error generating AI insights: no URLs to analyse. Please try again later.'
+            ELSE '- Company Overview: ' || length(prompt) || ' characters' END AS answer
+FROM ({LISTS_FULL})
+"""
+
+BROKEN = f"""
+SELECT _ord + 1000000000000 AS _ord, trim(company) AS company, 'https://[bad-' || company AS website_url
+FROM ({B1_COMPANIES}) WHERE _ord % 7 = 0 AND length(trim(company)) > 0
+"""
+
+PROCESSED_JOBS = f"""
+SELECT _ord, part, 'job_' || sha256('upload-1:' || unique_key) AS job_id, 'complete' AS status, NULL AS message, company,
+       answer AS insight FROM ({MODEL_ROWS})
+UNION ALL
+SELECT _ord, 1 AS part, 'job_' || sha256('upload-1:' || unique_key) AS job_id, 'error' AS status,
+       'Worker error: Invalid URL: ' || website_url AS message, NULL AS company, NULL AS insight
+FROM (SELECT _ord, company, trim(website_url) AS website_url, lower(company) || ':' || lower(trim(website_url)) AS unique_key FROM ({BROKEN}))
+QUALIFY row_number() OVER (PARTITION BY unique_key ORDER BY _ord) = 1
+"""
+
+PROCESSED_STORE = f"""
+SELECT company AS company_name, website_url, part, n_urls, 1717200000.0::DOUBLE AS last_updated FROM ({LISTS_FULL})
+QUALIFY row_number() OVER (PARTITION BY company, part ORDER BY _ord DESC) = 1
 """
 
+UPLOADED = f"SELECT company, website_url, count(*) AS n_rows FROM ({COMPANY_NORMALIZE}) GROUP BY company, website_url"
+
 B5 = """
 SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS ts_s,
        CASE WHEN event_id % 2 = 1 THEN upper('Company ' || user_id) ELSE 'Company ' || user_id END AS company_name,
@@ -255,8 +280,9 @@ SELECT 'website' AS by, w.probe, w1.company_name IS NOT NULL AS found, w1.compan
 FROM webs w LEFT JOIN w1 ON w.probe = w1.website_url
 """
 
+# the latest state of every job (the log also has each job's queued state)
 JOBS = """
-SELECT 'job_' || event_id AS job_id, user_id AS batch_id, event_id AS seq,
+SELECT 'job_' || event_id AS job_id, user_id AS batch_id, event_id * 2 + 1001 AS seq,
        CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'queued' ELSE 'complete' END
          AS status,
        'Company ' || (event_id % 500) AS company, 'https://c' || (event_id % 500) || '.example.com' AS website,
@@ -330,36 +356,22 @@ SELECT job_id,
 FROM ({JOBS}) WHERE status <> 'queued'
 """
 
-BREAKER_REPLAY = """
-WITH RECURSIVE c AS (
-  SELECT user_id % 10 AS service, epoch_us(ts) AS ts, event_id AS id, event_type <> 'error' AS ok,
-         row_number() OVER (PARTITION BY user_id % 10 ORDER BY epoch_us(ts), event_id) AS rn
-  FROM events),
-r AS (
-  SELECT service, rn, id, ts, ok, TRUE AS allowed, CASE WHEN ok THEN 0 ELSE 1 END AS failures,
-         CAST(NULL AS BIGINT) AS open_since
-  FROM c WHERE rn = 1
-  UNION ALL
-  SELECT c.service, c.rn, c.id, c.ts, c.ok,
-         NOT (r.open_since IS NOT NULL AND c.ts - r.open_since <= 21600000000),
-         CASE WHEN r.open_since IS NOT NULL AND c.ts - r.open_since <= 21600000000 THEN r.failures
-              WHEN c.ok THEN 0
-              ELSE (CASE WHEN r.open_since IS NOT NULL THEN 0 ELSE r.failures END) + 1 END,
-         CASE WHEN r.open_since IS NOT NULL AND c.ts - r.open_since <= 21600000000 THEN r.open_since
-              WHEN NOT c.ok AND (CASE WHEN r.open_since IS NOT NULL THEN 0 ELSE r.failures END) + 1 >= 3 THEN c.ts
-         END
-  FROM r JOIN c ON c.service = r.service AND c.rn = r.rn + 1)
-SELECT service, id, ts, ok, allowed, failures, open_since FROM r
-"""
-
 ORACLE = {
-    "breaker_replay": BREAKER_REPLAY,
-    "stream_dedupe": COMPANY_DEDUPE,
+    "stream_dedupe": f"SELECT company, website_url, unique_key FROM ({COMPANY_DEDUPE})",
+    "processed_jobs": PROCESSED_JOBS,
+    "processed_store": PROCESSED_STORE,
+    "uploaded_companies": UPLOADED,
+    "results_csv": f'SELECT "Company", "Website", "Sitemap Complete", "Insight from Prompt" FROM ({RESULTS_DEDUPE})',
+    "store_reset": f"""
+WITH e AS ({B5})
+SELECT company_name, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS ai_insights,
+       coalesce(CASE WHEN event_type = 'signup' THEN NULL ELSE ts_s END, 1717200000.0) AS last_updated,
+       lower(company_name) AS company_name_normalized
+FROM e WHERE half = 1 QUALIFY row_number() OVER (PARTITION BY company_name ORDER BY event_id DESC) = 1""",
     "stream_company_upsert": STORE_UPSERT,
     "stream_status": JOB_PROGRESS,
     "stream_job_status": f"""SELECT job_id, status, CASE WHEN status = 'error' THEN 'Worker error: ' || props END
                              AS message FROM ({JOBS})""",
-    "breaker_stream": BREAKER_REPLAY,
     "insight_prompts": INSIGHT_PROMPTS,
     "insight_cache_join": INSIGHT_CACHE_JOIN,
     "company_documents": COMPANY_DOCUMENTS,
@@ -376,9 +388,8 @@ ORACLE = {
     "status_json": STATUS_JSON,
     "site_frontier": SITE_FRONTIER,
     "robots_directives": ROBOTS_DIRECTIVES,
-    "urlset_expand": _urlset(100),
-    "urlset_expand_cap5": _urlset(5),
-    "urlset_malformed": _urlset(100, escaped=True),
+    "urlset_expand": _urlset(),
+    "urlset_malformed": _urlset(escaped=True),
     "index_expand": INDEX_EXPAND,
     "index_malformed": INDEX_MALFORMED,
     "sitemap_tree": SITEMAP_TREE,

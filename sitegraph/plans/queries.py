@@ -14,15 +14,17 @@ from ..operators.links import extract_links
 from ..operators.normalize import dedupe_companies, job_ack as _job_ack, normalize_companies, submission_summary
 from ..operators.frontier import latest_fetches, path_frontier, robots_directives as _robots, sites
 from ..operators.resolve import company_url_lists, site_url_lists as _site_url_lists
-from ..operators.sitemaps import (expand_sitemaps, index_children, malformed_index_items, ordered_lists,
-                                  urlset_urls)
+from ..operators.sitemaps import (expand_sitemaps, index_children, malformed_index_items, parse_snapshot, urlset_urls,
+                                  with_positions)
 from ..operators import jobs as J
 from ..operators import store as S
-from ..operators.breaker import breaker_replay as _breaker_replay
 from ..operators.insights import generate_insights, insight_requests
+from ..session import stored
+from ..sources.companies import scan_companies
+from ..sources.sinks import write_results_csv
 from . import bindings as B
 from . import stream_queries as SQ
-from .compose import half_cache
+from .compose import half_cache, process_companies
 from .stubs import echo_model
 from .tables import table
 
@@ -31,7 +33,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     """X5/F4/F5/H8 on every page, each page joined against its own root."""
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     p = pages.select("page_id", "html", base_domain(F.col("url")).alias("base"), url_netloc(F.col("url")).alias("netloc"))
-    return extract_links(p, "html", "base", "netloc", ["page_id"], cap=100).select(
+    return extract_links(p, "html", "base", "netloc", ["page_id"]).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "url")
 
 
@@ -71,30 +73,21 @@ def _explode(df: DataFrame, key: str, arr, names=("pos", "url")) -> DataFrame:
     return out.select(key, (F.col("_p") + 1).cast("bigint").alias(names[0]), F.col("_v").alias(names[1]))
 
 
-def _urlset_expand(spark: SparkSession, sf: str, cap: int) -> DataFrame:
-    docs = _docs(spark, sf, B.urlset_files(spark, sf).select("url"))
-    return _explode(docs.withColumnRenamed("url", "sitemap_url"), "sitemap_url", urlset_urls(F.col("body"), cap))
-
-
 def urlset_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """Every bound urlset, first 100 unique URLs."""
-    return _urlset_expand(spark, sf, 100)
-
-
-def urlset_expand_cap5(spark: SparkSession, sf: str) -> DataFrame:
-    """Same with a cap of 5, which bites at every scale."""
-    return _urlset_expand(spark, sf, 5)
+    """The unique URLs of every bound urlset."""
+    docs = _docs(spark, sf, B.urlset_files(spark, sf).select("url"))
+    return _explode(docs.withColumnRenamed("url", "sitemap_url"), "sitemap_url", urlset_urls(F.col("body")))
 
 
 def urlset_malformed(spark: SparkSession, sf: str) -> DataFrame:
     """Every bound urlset with its closing tag cut: line-scan fallback."""
     docs = _docs(spark, sf, B.urlset_files(spark, sf).select("url"))
     cut = F.regexp_replace("body", "</urlset>\\s*$", "")
-    return _explode(docs.withColumnRenamed("url", "sitemap_url"), "sitemap_url", urlset_urls(cut, 100))
+    return _explode(docs.withColumnRenamed("url", "sitemap_url"), "sitemap_url", urlset_urls(cut))
 
 
 def index_expand(spark: SparkSession, sf: str) -> DataFrame:
-    """First 3 children of every bound domain index."""
+    """The children of every bound domain index."""
     docs = _docs(spark, sf, B.domain_index_files(spark, sf).select("url"))
     return _explode(docs.withColumnRenamed("url", "index_url"), "index_url", index_children(F.col("body")),
                     ("pos", "child_url"))
@@ -102,7 +95,7 @@ def index_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_malformed(spark: SparkSession, sf: str) -> DataFrame:
     """Every domain index with its closing tag cut: line scan with
-    ``.xml`` routing and the 3-children stop."""
+    ``.xml`` routing."""
     docs = _docs(spark, sf, B.domain_index_files(spark, sf).select("url"))
     cut = F.regexp_replace("body", "</sitemapindex>\\s*$", "")
     e = _explode(docs.withColumnRenamed("url", "index_url"), "index_url", malformed_index_items(cut), ("pos", "item"))
@@ -112,8 +105,8 @@ def index_malformed(spark: SparkSession, sf: str) -> DataFrame:
 def sitemap_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Recursive expansion of every domain index."""
     roots = B.domain_index_files(spark, sf).select(F.col("url").alias("root"))
-    lists = ordered_lists(expand_sitemaps(roots, B.fetches(spark, sf)), "root")
-    return _explode(lists, "root", F.col("urls"))
+    tree = expand_sitemaps(roots, parse_snapshot(B.fetches(spark, sf)))
+    return with_positions(tree, "root").select("root", "pos", "url")
 
 
 def _company_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,20 +116,20 @@ def _company_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def site_url_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: U2/W2/G3/G5/J5/J8 — every company with the URL list of its
-    site's first non-empty source."""
+    """Flagship: U2/W2/G3/G5/J5/J8 — every company with the URL list (in
+    parts) of its site's first non-empty source."""
     c = _company_lists(spark, sf)
-    return c.select("_ord", "company", "website_url", "source", F.size("urls").cast("bigint").alias("n_urls"),
+    return c.select("_ord", "company", "website_url", "source", F.col("part").cast("bigint").alias("part"), F.size("urls").cast("bigint").alias("n_urls"),
                     F.array_join("urls", ", ").alias("sitemap_complete"))
 
 
 def insight_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """M1/M2/H9 over the flagship lists."""
-    return insight_requests(_company_lists(spark, sf)).select("_ord", "company", "key", "prompt")
+    return insight_requests(_company_lists(spark, sf)).select("_ord", "company", F.col("part").cast("bigint").alias("part"), "key", "prompt")
 
 
 def _insight_rows(spark: SparkSession, sf: str) -> DataFrame:
-    req = insight_requests(_company_lists(spark, sf)).checkpoint()
+    req = stored(insight_requests(_company_lists(spark, sf)), "requests")
     rows, _ = generate_insights(req, half_cache(req), echo_model)
     return rows
 
@@ -144,20 +137,78 @@ def _insight_rows(spark: SparkSession, sf: str) -> DataFrame:
 def insight_cache_join(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the keys answered by the cache, the rest by the
     (stub) model once per distinct key; failures become error text."""
-    return _insight_rows(spark, sf).select("_ord", "company", "key", "cached", "insight")
+    return _insight_rows(spark, sf).select("_ord", "company", F.col("part").cast("bigint").alias("part"), "key", "cached", "insight")
 
 
 def company_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The store record of every processed company."""
     d = S.company_documents(_insight_rows(spark, sf), now=B.STORE_NOW)
-    return d.select("company_name", "website_url", F.size("sitemap_urls").cast("bigint").alias("n_urls"),
+    return d.select("_ord", "company_name", "website_url", F.col("part").cast("bigint").alias("part"), F.size("sitemap_urls").cast("bigint").alias("n_urls"),
                     F.array_join("sitemap_urls", ", ").alias("sitemap_complete"), "ai_insights", "last_updated",
                     "company_name_normalized")
 
 
 def results_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The output rows of every processed company."""
-    return J.output_rows(_insight_rows(spark, sf))
+    return J.output_rows(_insight_rows(spark, sf)).withColumn("Part", F.col("Part").cast("bigint"))
+
+
+def processed_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: companies through the whole chain to their job rows. Rows with a
+    website that cannot be parsed are among them (every 7th page id): these end
+    as errors, without prompt or document."""
+    raw = B.companies_raw(spark, sf)
+    broken = raw.where(F.col("_ord") % 7 == 0).select((F.col("_ord") + 1_000_000_000_000).alias("_ord"), "company", F.concat(F.lit("https://[bad-"), "company").alias("website"))
+    companies = dedupe_companies(normalize_companies(raw.unionByName(broken)))
+    out = process_companies(companies, B.fetches(spark, sf), echo_model, None, B.STORE_NOW, submission="upload-1")
+    return out["jobs"].select("_ord", F.col("part").cast("bigint").alias("part"), "job_id", "status", "message", F.col("data.Company").alias("company"),
+                              F.col("data.`Insight from Prompt`").alias("insight"))
+
+
+def processed_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of that chain in the store: of documents that
+    share a name the last of the intake stays."""
+    companies = company_dedupe(spark, sf)
+    docs = process_companies(companies, B.fetches(spark, sf), echo_model, None, B.STORE_NOW)["documents"]
+    root = SQ._run_dir(spark, "processed-store")
+    S.upsert_snapshot(spark, root, docs, B.STORE_NOW, "_ord")
+    return S.by_freshness(S.scan_store(spark, root)).select("company_name", "website_url", F.col("part").cast("bigint").alias("part"),
+                                                            F.size("sitemap_urls").cast("bigint").alias("n_urls"), "last_updated")
+
+
+def _uploads(spark: SparkSession, sf: str) -> str:
+    """The bound companies as CSV uploads: two files' worth of folders whose
+    headers differ in names and order."""
+    root = SQ._run_dir(spark, "uploads")
+    raw = B.companies_raw(spark, sf)
+    for i, names in enumerate((("Company", "Website"), ("Home URL", "Organization"))):
+        part = raw.where(F.col("_ord") % 2 == i).select(*[F.col("website" if n in ("Website", "Home URL") else "company").alias(n) for n in names])
+        part.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/upload-{i}")
+    return root
+
+
+def uploaded_companies(spark: SparkSession, sf: str) -> DataFrame:
+    """Companies read back from uploaded CSV files, each by its own
+    header, then cleaned."""
+    rows = normalize_companies(scan_companies(spark, _uploads(spark, sf)))
+    return rows.groupBy("company", "website_url").agg(F.count("*").alias("n_rows"))
+
+
+def results_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """A10: the de-duplicated results written as CSV and read back."""
+    path = f"{SQ._run_dir(spark, 'results')}/csv"
+    write_results_csv(J.dedupe_results(B.jobs(spark, sf)).select(*J.OUTPUT_COLUMNS), path)
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def store_reset(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored snapshot, a reset, and the update batch upserted into
+    the empty store."""
+    root = SQ._run_dir(spark, "store-reset")
+    S.write_snapshot(B.store_snapshot(spark, sf), root, 0)
+    S.reset_store(spark, root)
+    S.upsert_snapshot(spark, root, B.store_updates(spark, sf), B.STORE_NOW, "event_id")
+    return S.scan_store(spark, root).select("company_name", "ai_insights", "last_updated", "company_name_normalized")
 
 
 def _upserted(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,11 +285,6 @@ def status_json(spark: SparkSession, sf: str) -> DataFrame:
     return J.status_json(B.jobs(spark, sf))
 
 
-def breaker_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """T4 (batch): breaker state after every call of the bound call log."""
-    return _breaker_replay(B.call_log(spark, sf), B.BREAKER_MAX_FAILURES, B.BREAKER_RESET_US)
-
-
 def submission_ack(spark: SparkSession, sf: str) -> DataFrame:
     """The submission acknowledgement (status, job count, message)."""
     return submission_summary(job_ack(spark, sf))
@@ -252,7 +298,6 @@ REGISTRY = {
     "site_frontier": site_frontier,
     "robots_directives": robots_directives,
     "urlset_expand": urlset_expand,
-    "urlset_expand_cap5": urlset_expand_cap5,
     "urlset_malformed": urlset_malformed,
     "index_expand": index_expand,
     "index_malformed": index_malformed,
@@ -262,6 +307,11 @@ REGISTRY = {
     "insight_cache_join": insight_cache_join,
     "company_documents": company_documents,
     "results_rows": results_rows,
+    "processed_jobs": processed_jobs,
+    "processed_store": processed_store,
+    "uploaded_companies": uploaded_companies,
+    "results_csv": results_csv,
+    "store_reset": store_reset,
     "store_upsert": store_upsert,
     "store_upsert_counts": store_upsert_counts,
     "store_latest": store_latest,
@@ -272,11 +322,9 @@ REGISTRY = {
     "job_eta": job_eta,
     "queue_sizes": queue_sizes,
     "status_json": status_json,
-    "breaker_replay": breaker_replay,
     "stream_dedupe": SQ.stream_dedupe,
     "stream_company_upsert": SQ.stream_company_upsert,
     "stream_status": SQ.stream_status,
     "stream_job_status": SQ.stream_job_status,
-    "breaker_stream": SQ.breaker_stream,
     "page_links": page_links,
 }

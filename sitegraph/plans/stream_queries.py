@@ -51,109 +51,91 @@ def _start(spark: SparkSession, start_query, checkpoint: str, first: bool):
         spark.conf.set(key, old)
 
 
-def _replay(df: DataFrame, order: str, src: str, fmt: str, start_query, checkpoint: str) -> None:
-    spark = df.sparkSession
-    for i, (lo, hi) in enumerate(_ranges(df, order)):
+def _chunks(df: DataFrame, order: str):
+    """The rows of each range of ``order``."""
+    for lo, hi in _ranges(df, order):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (F.col(order) >= lo)
         if hi is not None:
             cond = cond & (F.col(order) < hi)
-        part = df.filter(cond)
-        w = part.write.mode("append")
-        if fmt == "csv":
-            w.option("header", True).option("escape", '"').csv(src)
-        else:
-            w.parquet(src)
-        q = _start(spark, start_query, checkpoint, first=(i == 0))
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(str(q.exception()))
+        yield df.filter(cond)
+
+
+def _finish(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def _replay(df: DataFrame, order: str, src: str, start_query, checkpoint: str) -> None:
+    for i, part in enumerate(_chunks(df, order)):
+        part.write.mode("append").parquet(src)
+        _finish(_start(df.sparkSession, start_query, checkpoint, first=(i == 0)))
 
 
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """Companies arriving as CSV files, keep-first across batches."""
+    """Companies arriving as uploaded CSV files, keep-first across
+    batches. Uploads name and order their columns differently, so every file
+    goes by its own header; file order is intake order."""
     run = _run_dir(spark, "dedupe")
     raw = B.companies_raw(spark, sf).select("company", "website", "_ord")
     src, out = f"{run}/in", f"{run}/out"
+    shapes = [("Company", "Website"), ("Home URL", "Organization"), ("Note", "website", "COMPANY")]
 
     def start():
-        return T.company_stream(spark, src).writeStream.foreachBatch(T.dedupe_batch_writer(out))
+        return T.company_files(spark, src).writeStream.foreachBatch(T.company_batches(T.dedupe_batch_writer(out)))
 
-    _replay(raw, "_ord", src, "csv", start, f"{run}/ckpt")
-    return spark.read.parquet(out).select("_ord", "company", "website_url", "unique_key")
+    for i, part in enumerate(_chunks(raw, "_ord")):
+        names = shapes[i % len(shapes)]
+        cells = {"c": F.col("company"), "o": F.col("company"), "w": F.col("website"), "h": F.col("website"), "n": F.lit("x")}
+        upload = part.repartitionByRange("_ord").sortWithinPartitions("_ord").select(*[cells[n[0].lower()].alias(n) for n in names])
+        # cells keep their blanks: stripping them is the intake's work
+        upload.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(f"{src}/upload-{i:04d}")
+        _finish(_start(spark, start, f"{run}/ckpt", first=(i == 0)))
+    return spark.read.parquet(f"{out}/rows").select("company", "website_url", "unique_key")
 
 
 def stream_company_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """T5: store updates arriving over time, upserted batch by batch."""
     run = _run_dir(spark, "upsert")
     src, root = f"{run}/in", f"{run}/store"
-    B.store_snapshot(spark, sf).select(*T.S.DOC_COLUMNS).write.parquet(f"{root}/v={0:08d}")
+    T.S.write_snapshot(B.store_snapshot(spark, sf), root, 0)
     updates = B.store_updates(spark, sf)
     schema = updates.schema
 
     def start():
         return spark.readStream.schema(schema).parquet(src).writeStream.foreachBatch(
-            T.upsert_batch_writer(root, B.STORE_NOW, order="event_id"))
+            T.upsert_batch_writer(root, B.STORE_NOW, "event_id"))
 
-    _replay(updates, "event_id", src, "parquet", start, f"{run}/ckpt")
-    s = T.latest_snapshot(spark, root)
+    _replay(updates, "event_id", src, start, f"{run}/ckpt")
+    s = T.S.scan_store(spark, root)
     return s.select("company_name", "website_url", F.array_join("sitemap_urls", ", ").alias("sitemap_complete"),
                     "ai_insights", "last_updated", "company_name_normalized")
 
 
-def stream_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Job states arriving over time, progress per submission."""
-    run = _run_dir(spark, "status")
+def _job_states(spark: SparkSession, sf: str, name: str) -> str:
+    """Run the bound job log through the state stream; returns the state's root."""
+    run = _run_dir(spark, name)
     src, out = f"{run}/in", f"{run}/out"
-    jobs = B.jobs(spark, sf).select("job_id", "batch_id", "seq", "status")
-    schema = jobs.schema
+    log = B.jobs(spark, sf).select("job_id", F.col("batch_id").cast("string").alias("batch_id"), "seq", "status", "message")
+    schema = log.schema
 
     def start():
-        return T.progress_stream(spark.readStream.schema(schema).parquet(src), out)
-
-    _replay(jobs, "seq", src, "parquet", start, f"{run}/ckpt")
-    return J.progress_columns(T.latest_progress(spark, out))
+        return spark.readStream.schema(schema).parquet(src).writeStream.foreachBatch(T.job_state_writer(out))
 
+    _replay(log, "seq", src, start, f"{run}/ckpt")
+    return out
 
-def breaker_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """T4 streaming twin of ``breaker_replay``."""
-    run = _run_dir(spark, "breaker")
-    src, out = f"{run}/in", f"{run}/out"
-    calls = B.call_log(spark, sf)
-    schema = calls.schema
-
-    def start():
-        s = T.breaker_stream(spark.readStream.schema(schema).parquet(src), B.BREAKER_MAX_FAILURES,
-                             B.BREAKER_RESET_US, service_type="long")
-        return s.writeStream.format("parquet").option("path", out).outputMode("append")
 
-    _replay(calls, "ts", src, "parquet", start, f"{run}/ckpt")
-    return spark.read.parquet(out)
+def stream_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Job states arriving over time, progress per submission."""
+    progress = T.latest_progress(spark, _job_states(spark, sf, "status"))
+    return J.progress_columns(progress.withColumn("batch_id", F.col("batch_id").cast("long")))
 
 
 def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Each job is first queued, then reaches its final state in a later
-    chunk; the stream keeps the latest state per job."""
-    run = _run_dir(spark, "jobstatus")
-    src, out = f"{run}/in", f"{run}/out"
-    jobs = B.jobs(spark, sf)
-    queued = jobs.select("job_id", (F.col("seq") * 2).alias("seq"), F.lit("queued").alias("status"),
-                         F.lit(None).cast("string").alias("message"))
-    final = jobs.filter(F.col("status") != "queued").select(
-        "job_id", (F.col("seq") * 2 + 1).alias("seq"), "status", "message")
-    # a job's final state arrives one chunk after it was queued
-    log = queued.unionByName(final.withColumn("seq", F.col("seq") + F.lit(2) * _chunk_width(jobs)))
-    schema = log.schema
-
-    def start():
-        return T.job_status_stream(spark.readStream.schema(schema).parquet(src), out)
-
-    _replay(log, "seq", src, "parquet", start, f"{run}/ckpt")
-    return T.latest_status(spark, out)
-
-
-def _chunk_width(jobs: DataFrame):
-    """A shift (in seq units) of about one chunk: (max - min) / CHUNKS."""
-    r = jobs.agg(((F.max("seq") - F.min("seq")) / CHUNKS).cast("long").alias("w")).first()
-    return F.lit(max(int(r.w or 1), 1))
+    """Each job is first queued, then reaches its final state later; the
+    stream keeps the latest state per job."""
+    return T.latest_status(spark, _job_states(spark, sf, "jobstatus"))

@@ -2,61 +2,91 @@
 
 from __future__ import annotations
 
+import csv
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Header keywords, tried in this order.
+# The words that a header is recognised by.
 COMPANY_KEYWORDS = ("company", "name", "organization")
 WEBSITE_KEYWORDS = ("website", "url", "site")
+# The messages for uploads that cannot be used.
+FORMAT_ERROR = "Invalid file format. Please upload a CSV file."
+COLUMNS_ERROR = "Could not find required columns. Your CSV has these columns: {columns}"
 
 
 class ColumnResolutionError(ValueError):
     pass
 
 
+def _header_rank(position: int, name: str, words: tuple[str, ...]) -> tuple[int, int] | None:
+    """How well a header fits a field whose exact name is ``words[0]``: an
+    equal name is best (the last one), then a name that holds one of the
+    words (the first one); ``None`` fits not at all."""
+    name = name.lower()
+    if name == words[0]:
+        return 0, -position
+    return (1, position) if any(w in name for w in words) else None
+
+
 def resolve_columns(columns: list[str]) -> tuple[str, str]:
-    """The company and website columns of a header.
-
-    An exact (case-insensitive) ``company`` / ``website`` wins, the last such
-    one if repeated; otherwise the first header containing one of the
-    keywords. Raises with the column list when either is missing.
-    """
-    company = website = None
-    for c in columns:
-        if c.lower() == "company":
-            company = c
-        elif c.lower() == "website":
-            website = c
-    if company is None:
-        company = next((c for c in columns if any(k in c.lower() for k in COMPANY_KEYWORDS)), None)
-    if website is None:
-        website = next((c for c in columns if any(k in c.lower() for k in WEBSITE_KEYWORDS)), None)
-    if company is None or website is None:
-        raise ColumnResolutionError(f"Could not find required columns. Your CSV has these columns: {list(columns)}")
-    return company, website
-
-
-def read_company_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """A1/A2: every ``*.csv`` (case-sensitive) under ``path`` with a header
-    row, all cells as strings (never re-typed, S6).
+    """The company and website columns of a header, each by
+    ``_header_rank``. Raises with the column list when either is missing."""
+    chosen = []
+    for words in (COMPANY_KEYWORDS, WEBSITE_KEYWORDS):
+        ranked = [(rank, name) for i, name in enumerate(columns) if (rank := _header_rank(i, name, words))]
+        if not ranked:
+            raise ColumnResolutionError(COLUMNS_ERROR.format(columns=list(columns)))
+        chosen.append(min(ranked)[1])
+    return chosen[0], chosen[1]
+
+
+def file_headers(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, list[str]]]:
+    """The first line of every ``*.csv`` (case-sensitive) under ``paths``, as
+    ``(header line, files)``; one entry per distinct header."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(paths)
+    first = (lines.where(F.col("_metadata.file_block_start") == 0)
+             .select(F.col("_metadata.file_path").alias("file"), F.struct(F.monotonically_increasing_id().alias("row"), "value").alias("line"))
+             .groupBy("file").agg(F.min("line").alias("line")))
+    headers: dict[str, list[str]] = {}
+    for r in first.select("file", "line.value").toLocalIterator():
+        headers.setdefault(r["value"].lstrip("\ufeff").rstrip("\r"), []).append(r["file"])
+    return sorted((h, sorted(files)) for h, files in headers.items())
+
+
+def read_company_csv(spark: SparkSession, paths: str | list[str], multiline: bool = False) -> DataFrame:
+    """A1/A2 for files of one header: all cells as strings (never re-typed,
+    S6).
 
     ``_ord`` is the file order ``(file, split start, row)``, which stays
     correct when a large file is read by many tasks. Quoted cells spanning
     lines need ``multiline=True``, which makes every file a single task."""
     reader = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
-              .option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv")
-              .option("mode", "PERMISSIVE"))
-    try:
-        df = reader.csv(path)
-    except Exception as e:  # no matching file: Spark cannot infer a schema
-        raise ValueError("Invalid file format. Please upload a CSV file.") from e
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
     order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("row"))
-    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_ord", order)
+    return reader.csv(paths).withColumn("_ord", order)
 
 
-def scan_companies(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """A1 + P1: ``company, website, _ord`` selected by header resolution."""
-    df = read_company_csv(spark, path, multiline)
-    company, website = resolve_columns([c for c in df.columns if c not in ("_file", "_ord")])
-    return df.select(F.col(f"`{company}`").alias("company"), F.col(f"`{website}`").alias("website"), "_ord")
+def scan_companies(spark: SparkSession, paths: str | list[str], multiline: bool = False) -> DataFrame:
+    """A1 + P1: ``company, website, _ord`` of every ``*.csv`` under ``paths``.
+    Columns are resolved for each header of its own, so files of one upload
+    may name and order them differently. A folder without CSV files is a
+    format error; other read errors stay what they are."""
+    try:
+        headers = file_headers(spark, paths)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        headers = []
+    if not headers:
+        raise ValueError(FORMAT_ERROR)
+    out = None
+    for header, files in headers:
+        names = next(csv.reader([header]), [])
+        company, website = (names.index(c) for c in resolve_columns(names))
+        df = read_company_csv(spark, files, multiline)
+        cells = df.select(F.col(f"`{df.columns[company]}`").alias("company"), F.col(f"`{df.columns[website]}`").alias("website"), "_ord")
+        out = cells if out is None else out.unionByName(cells)
+    return out

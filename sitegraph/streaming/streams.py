@@ -1,178 +1,116 @@
 """Structured Streaming forms of the intake, store and job operators.
 
 T1 companies from a CSV directory, T2 keep-first dedupe across micro-batches,
-T3 job progress as a stateful aggregation, T4 circuit breaker with
-``applyInPandasWithState`` (O(1) state per service), T5 upsert of finished
-companies into versioned snapshots.
+T3 latest job states (and progress from them), T5 upsert of finished companies
+into the versioned store.
 
-Every sink is idempotent on replay: a micro-batch writes to a path named by
-its epoch id (overwrite), and readers only look at earlier epochs.
+State between micro-batches is a ``PartStore`` keyed by hash: a micro-batch
+reads and rewrites only the parts of its own keys. Every sink is idempotent on
+replay: a micro-batch commits the version named by its epoch, based on the
+newest version before it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.breaker import breaker_step
-from ..operators.frontier import checked_broadcast
-from ..operators.jobs import progress_aggregates
-from ..operators.normalize import dedupe_companies, normalize_companies
 from ..operators import store as S
+from ..operators.jobs import _progress_aggs
+from ..operators.normalize import dedupe_companies, normalize_companies
+from ..operators.parts import PartStore
+from ..session import stored
+from ..sources.companies import scan_companies
 
-COMPANY_SCHEMA = "company string, website string, _ord long"
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+# Fixed value: what the binary file source gives (the content is never read here).
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+KEY_SCHEMA = "unique_key string"
+JOB_SCHEMA = "job_id string, batch_id string, seq long, status string, message string"
 
 
-def read_epochs(spark: SparkSession, path: str, before: int | None = None, schema: str | None = None):
-    """Rows written by earlier micro-batches (``epoch=<id>`` folders)."""
-    if not path_exists(spark, path):
-        return None
-    df = spark.read.parquet(path)
-    return df if before is None else df.filter(F.col("epoch") < before)
+# --- T1 / T2 -----------------------------------------------------------------
 
+def company_files(spark: SparkSession, source_dir: str, files_per_batch: int = 1000) -> DataFrame:
+    """The paths of ``*.csv`` files arriving under ``source_dir``. Only
+    paths stream (at most ``files_per_batch`` a micro-batch); the files are
+    then read splittably, each by its own header (``scan_companies``)."""
+    files = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+             .option("maxFilesPerTrigger", files_per_batch).load(source_dir))
+    return files.select("path")
 
-# --- T1 / T2 -----------------------------------------------------------------
 
-def company_stream(spark: SparkSession, source_dir: str, schema: str = COMPANY_SCHEMA) -> DataFrame:
-    """Every ``*.csv`` file arriving in ``source_dir`` (header row)."""
-    return (spark.readStream.schema(schema).option("header", True).option("pathGlobFilter", "*.csv")
-            .option("multiLine", True).option("escape", '"').csv(source_dir))
+def company_batches(handle: Callable[[DataFrame, int], None], multiline: bool = False) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function over ``company_files`` that hands on the
+    companies of the batch's files (``company, website, _ord``)."""
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        paths = sorted(r["path"] for r in batch.collect())  # bounded by files_per_batch
+        if paths:
+            handle(scan_companies(batch.sparkSession, paths, multiline), epoch_id)
 
+    return run
 
-def dedupe_batch_writer(out_path: str):
-    """T2 ``foreachBatch``: normalise, keep the first row per key within the
-    batch (W1), drop keys already kept by an earlier batch, write the rest.
 
-    The earlier keys are probed with the batch's own keys (broadcast after a
-    size check), so the growing key table is scanned, not shuffled."""
+def dedupe_batch_writer(out_path: str) -> Callable[[DataFrame, int], None]:
+    """Normalise, keep the first row per key within the batch (W1), drop
+    keys already kept by an earlier batch, write the rest to
+    ``<out_path>/rows/epoch=<id>``."""
 
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = dedupe_companies(normalize_companies(batch))
-        earlier = read_epochs(spark, out_path, before=epoch_id)
-        if earlier is not None:
-            keys = rows.select("unique_key")
-            seen = earlier.select("unique_key").join(checked_broadcast(keys), "unique_key", "left_semi")
-            rows = rows.join(seen, "unique_key", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+    def run(raw: DataFrame, epoch_id: int) -> None:
+        spark = raw.sparkSession
+        rows = stored(dedupe_companies(normalize_companies(raw)), "intake")
+        keys = PartStore(spark, f"{out_path}/keys", "unique_key", KEY_SCHEMA)
+        base = keys.latest(epoch_id)
+        touched = keys.touched(rows)
+        seen = keys.read(base, touched) if base is not None else spark.createDataFrame([], KEY_SCHEMA)
+        rows.join(seen, "unique_key", "left_anti").write.mode("overwrite").parquet(f"{out_path}/rows/epoch={epoch_id}")
+        keys.write(seen.unionByName(rows.select("unique_key")).distinct(), epoch_id + 1, base, touched)
 
     return run
 
 
 # --- T5 --------------------------------------------------------------------------
 
-def upsert_batch_writer(store_root: str, now: float, order: str | None = None):
-    """T5 ``foreachBatch``: upsert the batch into the newest snapshot that
-    precedes it and write snapshot ``epoch + 1`` (replay rewrites the same
-    version, so the result is idempotent)."""
+def upsert_batch_writer(store_root: str, now: float, order: str) -> Callable[[DataFrame, int], None]:
+    """T5 ``foreachBatch``: upsert the batch; commits version ``epoch + 1``."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        base_v = max((v for v in _versions(spark, store_root) if v <= epoch_id), default=None)
-        store = (spark.read.parquet(f"{store_root}/v={base_v:08d}") if base_v is not None
-                 else spark.createDataFrame([], S.DOC_SCHEMA))
-        u, supplied = S.prepare_updates(batch, now, order)
-        out = S.documents(S.upsert(store, u, supplied))
-        out.write.mode("overwrite").parquet(f"{store_root}/v={epoch_id + 1:08d}")
+        S.upsert_snapshot(batch.sparkSession, store_root, batch, now, order, epoch_id + 1)
 
     return run
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    if not path_exists(spark, root):
-        return []
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [int(st.getPath().getName()[2:]) for st in fs.listStatus(p)
-            if st.isDirectory() and st.getPath().getName().startswith("v=")]
-
-
-def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    v = max(_versions(spark, root))
-    return spark.read.parquet(f"{root}/v={v:08d}")
-
-
 # --- T3 --------------------------------------------------------------------------
 
-def progress_stream(jobs_stream: DataFrame, out_path: str, batch: str = "batch_id"):
-    """Running G6 counters per submission (update mode); each micro-batch
-    writes the submissions it changed. Read with ``latest_progress``."""
-
-    def run(changed: DataFrame, epoch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
-
-    return progress_aggregates(jobs_stream, batch).writeStream.outputMode("update").foreachBatch(run)
-
-
-def latest_progress(spark: SparkSession, out_path: str, batch: str = "batch_id") -> DataFrame:
-    """Newest counters per submission across the written epochs."""
-    df = spark.read.parquet(out_path)
-    last = F.max_by(F.struct("total", "completed", "has_errors"), "epoch").alias("_p")
-    return df.groupBy(batch).agg(last).select(batch, "_p.*")
-
+def _states(spark: SparkSession, root: str) -> PartStore:
+    return PartStore(spark, root, "job_id", JOB_SCHEMA)
 
-def job_status_stream(jobs_stream: DataFrame, out_path: str):
-    """Latest state per job (``max_by`` over ``seq``, update mode); each
-    micro-batch writes the jobs it changed. Read with ``latest_status``."""
-    latest = jobs_stream.groupBy("job_id").agg(
-        F.max_by(F.struct("seq", "status", "message"), "seq").alias("_s")).select("job_id", "_s.*")
 
-    def run(changed: DataFrame, epoch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
-
-    return latest.writeStream.outputMode("update").foreachBatch(run)
-
-
-def latest_status(spark: SparkSession, out_path: str) -> DataFrame:
-    df = spark.read.parquet(out_path)
-    return df.groupBy("job_id").agg(F.max_by(F.struct("status", "message"), "seq").alias("_s")).select(
-        "job_id", "_s.status", "_s.message")
+def job_state_writer(root: str) -> Callable[[DataFrame, int], None]:
+    """T3 ``foreachBatch`` over job states (``JOB_SCHEMA``): keeps the latest
+    state (highest ``seq``) of every job."""
 
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        states = _states(batch.sparkSession, root)
+        latest = F.max_by(F.struct("batch_id", "seq", "status", "message"), "seq").alias("_s")
 
-# --- T4 --------------------------------------------------------------------------
+        def newest(df: DataFrame) -> DataFrame:
+            return df.groupBy("job_id").agg(latest).select("job_id", "_s.*")
 
-BREAKER_OUT = "service {t}, id long, ts long, ok boolean, allowed boolean, failures int, open_since long"
-BREAKER_STATE = "failures int, open_since long"
+        rows = stored(newest(batch.select(*[c.split()[0] for c in JOB_SCHEMA.split(", ")])), "job-states")
+        base, touched = states.latest(epoch_id), states.touched(rows)
+        if base is not None:
+            rows = newest(rows.unionByName(states.read(base, touched)))
+        states.write(rows, epoch_id + 1, base, touched)
 
+    return run
 
-def breaker_stream(calls: DataFrame, max_failures: int = 3, reset_timeout=300, service: str = "service",
-                   service_type: str = "string"):
-    """T4 streaming: per service, the micro-batch's calls in ``(ts, id)``
-    order run through the breaker with the state carried between batches.
-    Memory per group is bounded by the micro-batch size."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state):
-        import warnings
+def latest_status(spark: SparkSession, root: str) -> DataFrame:
+    return _states(spark, root).read().select("job_id", "status", "message")
 
-        # pandas warns when Arrow output batches hold an all-NA column
-        warnings.filterwarnings("ignore", message=".*concatenation with empty or all-NA.*", category=FutureWarning)
-        failures, open_since = state.get if state.exists else (0, None)
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-        allowed_l, fail_l, open_l = [], [], []
-        st = (int(failures), None if open_since is None or pd.isna(open_since) else int(open_since))
-        for ts, ok in zip(pdf["ts"].tolist(), pdf["ok"].tolist()):
-            allowed, st = breaker_step(st, int(ts), bool(ok), max_failures, reset_timeout)
-            allowed_l.append(allowed)
-            fail_l.append(st[0])
-            open_l.append(st[1])
-        state.update((st[0], st[1]))
-        out = pd.DataFrame({"service": pdf["service"].values, "id": pdf["id"].values, "ts": pdf["ts"].values,
-                            "ok": pdf["ok"].values, "allowed": allowed_l, "failures": fail_l,
-                            "open_since": pd.array(open_l, dtype="Int64")})
-        yield out
 
-    c = calls.select(F.col(service).cast(service_type).alias("service"), "id", "ts", "ok")
-    return c.groupBy("service").applyInPandasWithState(step, BREAKER_OUT.format(t=service_type), BREAKER_STATE,
-                                                       "append",
-                                                       GroupStateTimeout.NoTimeout)
+def latest_progress(spark: SparkSession, root: str, batch: str = "batch_id") -> DataFrame:
+    """The G6 counters per submission, of every job's latest state."""
+    return _states(spark, root).read().groupBy(batch).agg(*_progress_aggs())

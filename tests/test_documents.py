@@ -1,5 +1,6 @@
 """Unit goldens for the document operators (FIXTURES §3-§6)."""
 
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegraph.operators.frontier import robots_directives, sites
 from sitegraph.operators.links import link_array
 from sitegraph.operators.resolve import site_url_lists
-from sitegraph.operators.sitemaps import expand_sitemaps, index_children, malformed_index_items, ordered_lists, urlset_urls
+from sitegraph.operators.sitemaps import expand_sitemaps, index_children, malformed_index_items, parse_snapshot, urlset_urls, with_positions
 
 NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 TS = datetime(2024, 6, 1)
@@ -30,7 +31,7 @@ def index(*locs, ns=NS, close=True):
     return head + x + ("</sitemapindex>" if close else "")
 
 
-def urls_of(spark, body, cap=100):
+def urls_of(spark, body, cap=None):
     df = spark.createDataFrame([(body,)], "body string")
     return df.select(urlset_urls(F.col("body"), cap).alias("u")).first().u
 
@@ -44,8 +45,8 @@ def test_urlset_cases(spark):
     assert urls_of(spark, '<q:urlset xmlns:q="urn:x"><q:url><q:loc>z</q:loc></q:url></q:urlset>') == []
     assert urls_of(spark, urlset("1", "2", "1")) == ["1", "2"]
     many = [f"https://a.b/{i}" for i in range(150)]
-    assert urls_of(spark, urlset(*many)) == many[:100]
-    assert urls_of(spark, urlset(*(many[:60] + many))) == many[:100]
+    assert urls_of(spark, urlset(*many)) == many and urls_of(spark, urlset(*many), cap=100) == many[:100]
+    assert urls_of(spark, urlset(*(many[:60] + many))) == many
     assert urls_of(spark, urlset(*many), cap=5) == many[:5]
     assert urls_of(spark, f'<urlset><url><loc>1</loc></url><url><loc/></url><url><loc>2</loc></url></urlset>') == ["1", "2"]
     assert urls_of(spark, "<urlset><url><loc><![CDATA[https://c.d/1]]></loc></url></urlset>") == ["https://c.d/1"]
@@ -64,7 +65,9 @@ def test_urlset_truncated_line_scan(spark):
 def test_index_children_and_compat(spark):
     df = spark.createDataFrame([(index("c1", "c2", "c3", "c4", "c5"),), (index("c1", "c2", ns=None),)], "body string")
     got = [r.c for r in df.select(index_children(F.col("body")).alias("c")).collect()]
-    assert got == [["c1", "c2", "c3"], ["c1", "c2"]]
+    assert got == [["c1", "c2", "c3", "c4", "c5"], ["c1", "c2"]]
+    few = [r.c for r in df.select(index_children(F.col("body"), children=3).alias("c")).collect()]
+    assert few == [["c1", "c2", "c3"], ["c1", "c2"]]
     compat = [r.c for r in df.select(index_children(F.col("body"), compat=True).alias("c")).collect()]
     assert compat == [[], ["c1", "c2"]]
 
@@ -72,12 +75,20 @@ def test_index_children_and_compat(spark):
 def test_malformed_index_routing(spark):
     body = index("a.xml", "b", "c.xml", "d.xml", "e", "f.xml", close=False)
     df = spark.createDataFrame([(body,)], "body string")
-    items = df.select(malformed_index_items(F.col("body")).alias("i")).first().i
-    assert [(i.kind, i.value) for i in items] == [("child", "a.xml"), ("page", "b"), ("child", "c.xml"),
-                                                   ("child", "d.xml")]
+    whole, three = df.select(malformed_index_items(F.col("body")), malformed_index_items(F.col("body"), 3)).first()
+    kinds = [("child", "a.xml"), ("page", "b"), ("child", "c.xml"), ("child", "d.xml"), ("page", "e"), ("child", "f.xml")]
+    assert [(i.kind, i.value) for i in whole] == kinds and [(i.kind, i.value) for i in three] == kinds[:4]
 
 
-def test_recursive_expansion_depth_and_cycles(spark):
+def lists_of(tree):
+    out = {}
+    for r in with_positions(tree, "root").orderBy("root", "pos").collect():
+        out.setdefault(r.root, []).append(r.url)
+        assert r.pos == len(out[r.root])
+    return out
+
+
+def test_recursive_expansion_and_cycles(spark):
     f = fetch_df(spark, [
         ("https://s/i1.xml", 200, index("https://s/i2.xml", "https://s/u1.xml")),
         ("https://s/i2.xml", 200, index("https://s/u2.xml")),
@@ -87,18 +98,60 @@ def test_recursive_expansion_depth_and_cycles(spark):
         ("https://s/m.xml", 200, index("https://s/u1.xml", "https://s/p", "https://s/u2.xml", close=False)),
     ])
     roots = spark.createDataFrame([("https://s/i1.xml",), ("https://s/self.xml",), ("https://s/m.xml",)], "root string")
-    lists = {r.root: r.urls for r in ordered_lists(expand_sitemaps(roots, f), "root").collect()}
+    edges = parse_snapshot(f)
+    lists = lists_of(expand_sitemaps(roots, edges, chunk=2))
     assert lists["https://s/i1.xml"] == ["https://s/b", "https://s/c", "https://s/a"]
     assert lists["https://s/self.xml"] == ["https://s/a", "https://s/b"]
     assert lists["https://s/m.xml"] == ["https://s/a", "https://s/b", "https://s/p", "https://s/c"]
-    shallow = {r.root: r.urls for r in ordered_lists(expand_sitemaps(roots, f, max_depth=1), "root").collect()}
+    shallow = lists_of(expand_sitemaps(roots, edges, max_depth=1))
     assert shallow["https://s/i1.xml"] == ["https://s/a", "https://s/b"]
 
 
+def test_nothing_is_cut(spark):
+    """50 children, 10,000 URLs in one urlset, and a chain of 10 indexes."""
+    chain = [(f"https://s/d{i}.xml", 200, index(f"https://s/d{i + 1}.xml")) for i in range(10)]
+    children = [f"https://s/c{i}.xml" for i in range(50)]
+    f = fetch_df(spark, [*chain, ("https://s/d10.xml", 200, index(*children)),
+                         *[(c, 200, urlset(f"{c}/p")) for c in children[:-1]],
+                         (children[-1], 200, urlset(*[f"https://s/{i}" for i in range(10_000)]))])
+    roots = spark.createDataFrame([("https://s/d0.xml",)], "root string")
+    tree = expand_sitemaps(roots, parse_snapshot(f))
+    rows = with_positions(tree, "root").orderBy("pos").collect()
+    assert [r.url for r in rows] == [f"{c}/p" for c in children[:-1]] + [f"https://s/{i}" for i in range(10_000)]
+    assert [r.pos for r in rows] == list(range(1, 10_050))
+
+
+def test_large_malformed_index(spark):
+    body = index(*[f"https://s/{i}.xml" for i in range(50_000)], close=False)
+    df = spark.createDataFrame([(body,)], "body string")
+    start = time.time()
+    assert df.select(F.size(malformed_index_items(F.col("body"))).alias("n")).first().n == 50_000
+    assert time.time() - start < 15
+
+
+def test_hostile_anchor_tags(spark):
+    long_tag = '<a title="' + "x" * 1_000_000 + '" href="/long">l</a>'
+    attributes = "<a " + " ".join(f'k{i}="v{i}"' for i in range(60_000)) + ' href="/many">m</a>'
+    bare = "<a " + "y" * 1_000_000 + ' href=/bare>b</a>'
+    unclosed = '<a "' * 200_000 + '<a href="/after">a</a>'
+    rows = [(0, long_tag), (1, attributes), (2, bare), (3, unclosed), (4, '<a href="x' + "<p>" * 100_000), (5, "<script " * 100_000 + "<!--" * 10)]
+    start = time.time()
+    got = {r.i: r.l for r in spark.createDataFrame(rows, "i int, h string").select("i", link_array(F.col("h"), F.lit("https://a.b"), F.lit("a.b")).alias("l")).collect()}
+    assert time.time() - start < 30
+    assert got == {0: ["https://a.b/long"], 1: ["https://a.b/many"], 2: ["https://a.b/bare"], 3: ["https://a.b/after"], 4: [], 5: []}
+
+
 ROBOTS = ("User-agent: *\nSitemap: https://a.b/one.xml\n Sitemap: https://a.b/ignored.xml\n"
           "SITEMAP:https://a.b/two.xml\nHost: a.b\n")
 
 
+def chosen(lists):
+    urls = {}
+    for r in lists.urls.orderBy("base_domain", "pos").collect():
+        urls.setdefault(r.base_domain, []).append(r.url)
+    return {r.base_domain: (r.source, urls.get(r.base_domain, [])) for r in lists.sites.collect()}
+
+
 def test_robots_and_source_choice(spark):
     comp = spark.createDataFrame([("https://a.b",), ("https://c.d",), ("https://e.f",)], "website_url string")
     s = sites(comp)
@@ -115,7 +168,7 @@ def test_robots_and_source_choice(spark):
     ])
     d = robots_directives(s, f).orderBy("base_domain", "dir_pos").collect()
     assert [(r.dir_pos, r.sitemap_url) for r in d] == [(1, "https://a.b/one.xml"), (3, "https://a.b/two.xml")]
-    lists = {r.base_domain: (r.source, r.urls) for r in site_url_lists(s, f).collect()}
+    lists = chosen(site_url_lists(s, f))
     assert lists["https://a.b"] == ("robots", ["https://a.b/x"])
     assert lists["https://c.d"] == ("sitemap", ["https://c.d/early"])
     assert lists["https://e.f"] == ("html", ["https://e.f/p"])
@@ -133,13 +186,13 @@ def test_links(spark):
     many = "".join(f'<a href="/{i}">x</a>' for i in range(150))
     df = spark.createDataFrame([(many,)], "h string")
     got = df.select(link_array(F.col("h"), F.lit("https://a.b"), F.lit("a.b")).alias("l")).first().l
-    assert got == [f"https://a.b/{i}" for i in range(100)]
+    assert got == [f"https://a.b/{i}" for i in range(150)]
 
 
 def test_bad_ipv6_site_is_an_error(spark):
     comp = spark.createDataFrame([("https://[::1]/x",), ("https://[oops/",), ("https://ok.b",)], "website_url string")
     f = fetch_df(spark, [("https://ok.b", 200, '<a href="/p">p</a>')])
-    got = {r.base_domain: (r.source, r.urls) for r in site_url_lists(sites(comp), f).collect()}
+    got = chosen(site_url_lists(sites(comp), f))
     assert got["https://[oops"] == ("error", [])
     assert got["https://[::1]"] == ("none", [])
     assert got["https://ok.b"] == ("html", ["https://ok.b/p"])

@@ -3,14 +3,21 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
-from sitegraph.functions.text import bad_ipv6_netloc, html_unescape, url_netloc
+from sitegraph.functions.text import bad_ipv6_netloc, base_domain, html_unescape, url_netloc
 from sitegraph.operators.jobs import status_json
 
 
 def test_html_unescape(spark):
-    rows = [("/p?a=1&amp;b=2",), ("&lt;x&gt; &quot;q&quot; &#39;s&#39;",), ("&amp;lt;",), ("plain",)]
+    rows = [(x,) for x in ("/p?a=1&amp;b=2", "&lt;x&gt; &quot;q&quot; &#39;s&#39;", "&amp;lt;", "plain", "&#38;amp;y", "&#039;", "&eacute;&Eacute;&#233;&#xE9;",
+                            "&#128512;&#x1F600;", "&unknown; &", "&#0;&#xD800;&#1114112;", "&apos;&nbsp;&copy;", "", "a&amp", "&;&#;")]
     got = [r.u for r in spark.createDataFrame(rows, "v string").select(html_unescape(F.col("v")).alias("u")).collect()]
-    assert got == ["/p?a=1&b=2", "<x> \"q\" 's'", "&lt;", "plain"]
+    assert got == ["/p?a=1&b=2", "<x> \"q\" 's'", "&lt;", "plain", "&amp;y", "'", "éÉéé", "😀😀", "&unknown; &", "\ufffd\ufffd\ufffd", "'\u00a0©", "", "a&amp", "&;&#;"]
+
+
+def test_base_domain_names_the_same_host(spark):
+    urls = ["https://a\tb.com/x", " https://a.b/", "https://a.b\n/p"]
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(base_domain(F.col("u")), url_netloc(F.col("u"))).collect()]
+    assert got == [("https://ab.com", "ab.com"), ("https://a.b", "a.b"), ("https://a.b", "a.b")]
 
 
 def test_bad_ipv6_matches_urlsplit(spark):
@@ -34,7 +41,7 @@ def test_status_json_escaping(spark):
         [("job_1", "complete", None, ('Q "x"', "https://a/\\", "é", "line\nbreak")), ("job_2", "error", 'bad "id"', None)],
         "job_id string, status string, message string, "
         "data struct<Company:string,Website:string,`Sitemap Complete`:string,`Insight from Prompt`:string>")
-    got = {r.job_id: json.loads(r.json) for r in status_json(jobs).collect()}
+    got = {r.job_id: json.loads(r.json) for r in status_json(jobs.withColumn("seq", F.lit(1))).collect()}
     assert got["job_1"]["data"] == {"Company": 'Q "x"', "Website": "https://a/\\", "Sitemap Complete": "é",
                                     "Insight from Prompt": "line\nbreak"}
     assert got["job_2"] == {"status": "error", "message": 'bad "id"'}

@@ -1,10 +1,11 @@
 import sys
 import time
 
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
 from sitegraph.operators.insights import build_prompt, generate_insights, insight_key, insight_requests
+from sitegraph.operators import store as S
 from sitegraph.plans import bindings as B
 from sitegraph.plans import queries as Q
 from sitegraph.plans.compose import process_companies
@@ -26,7 +27,7 @@ def test_prompt_and_key(spark):
 
     df = spark.createDataFrame([("Acme", [f"https://a/{i}" for i in range(120)])], "company string, urls array<string>")
     r = df.select(build_prompt(F.col("urls")).alias("p"), insight_key(F.col("company"), F.col("urls")).alias("k")).first()
-    urls = [f"https://a/{i}" for i in range(100)]
+    urls = [f"https://a/{i}" for i in range(120)]
     assert r.k == hashlib.md5(("Acme:" + ",".join(urls)).encode()).hexdigest()
     assert r.p.startswith("You are analyzing a company's online presence") and "\n".join(urls) in r.p
     assert r.p.endswith("- Potential Opportunities:\n                ")
@@ -48,11 +49,34 @@ def test_cache_errors_timeouts(spark):
     assert sorted(r.insight for r in new.collect()) == ["ok:1"]  # only successes are cached
 
 
+def test_misses_use_all_cores(spark):
+    rows = [(f"C{i}", [f"https://c{i}.example/"]) for i in range(400)]
+    req = insight_requests(spark.createDataFrame(rows, "company string, urls array<string>").coalesce(1))
+    empty = spark.createDataFrame([], "key string, insight string")
+    where = lambda prompt: str(TaskContext.get().partitionId())
+    out, _ = generate_insights(req, empty, where)
+    assert len({r.insight for r in out.collect()}) == spark.sparkContext.defaultParallelism > 1
+
+
+def test_errors_get_no_document(spark):
+    comp = spark.createDataFrame([(1, "Acme", "https://a.b", "acme:https://a.b"), (2, "Bad", "https://[bad", "bad:https://[bad"),
+                                  (3, "Acme", "https://c.d", "acme:https://c.d")], "_ord long, company string, website_url string, unique_key string")
+    asked = B.fetches(spark, "/root/testdata/sf0.001").limit(0)
+    out = process_companies(comp, asked, lambda p: "fine", None, now=1.0, submission="s")
+    assert sorted((r._ord, r.status, r.message) for r in out["jobs"].collect()) == [
+        (1, "complete", None), (2, "error", "Worker error: Invalid URL: https://[bad"), (3, "complete", None)]
+    assert out["insights"].where("company = 'Bad'").count() == 0
+    docs = out["documents"]
+    assert sorted(r._ord for r in docs.collect()) == [1, 3]
+    u, _ = S.prepare_updates(docs, 1.0, "_ord")  # documents of one name: the last of the intake
+    assert [(r.company_name, r.website_url) for r in u.collect()] == [("Acme", "https://c.d")]
+
+
 def test_process_companies(spark):
     sf = "/root/testdata/sf0.001"
     comp = Q.company_dedupe(spark, sf)
     out = process_companies(comp, B.fetches(spark, sf), model, None, now=1.0)
     docs = out["documents"]
-    assert docs.count() == comp.count()
+    assert docs.select("_ord").distinct().count() == comp.count()
     assert docs.filter(F.col("last_updated") != 1.0).count() == 0
     assert out["new_cache"].count() == out["insights"].select("key").distinct().count()

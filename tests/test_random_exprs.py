@@ -9,6 +9,7 @@ from sitegraph.functions.text import url_netloc
 from sitegraph.functions.urls import url_join
 from sitegraph.operators.sitemaps import loc_lines, malformed_index_items
 
+NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 PIECES = ["a", "b", "..", ".", "", "x y", "%20", "é", "A", "1", "q=1", "&", ";p", ":", "@", "~"]
 SEPS = ["/", "/", "/", "?", "#", "//"]
 STARTS = ["", "/", "//", "./", "../", "?", "#", "http:", "https:", "HTTPS://h.c/", "mailto:", " ", "\t/", "a:b/"]
@@ -36,96 +37,63 @@ def test_url_join_random(spark):
     assert not bad, bad[:5]
 
 
-def py_loc_lines(body):
-    out = []
-    for line in body.splitlines():
-        if "<loc>" in line and "</loc>" in line:
-            s, e = line.find("<loc>") + 5, line.find("</loc>")
-            if s < e:
-                out.append(line[s:e].strip())
-    return out
+# --- line scans: the generator knows what it planted on each line -------------
 
+def planted_line(rnd):
+    """A line and the URL that its scan gives (None: no URL)."""
+    url = f"https://a.b/{rnd.randrange(10 ** 6)}" + rnd.choice(["", ".xml", "?x=1&amp;y=2", ".xml "])
+    pad = rnd.choice(["", " ", "\t"])
+    shape = rnd.randrange(6)
+    if shape == 0:
+        return f"<url><loc>{pad}{url}{pad}</loc></url>", url.strip()
+    if shape == 1:  # only the first pair of a line counts
+        return f"<loc>{url}</loc><loc>https://other/</loc>", url.strip()
+    if shape == 2:  # a closing tag before the opening one spoils the line
+        return f"</loc><loc>{url}</loc>", None
+    if shape == 3:
+        return f"<loc>{url}", None
+    if shape == 4:
+        return "<loc></loc>", None
+    return rnd.choice(["", "<urlset>", "text", "</url>"]), None
 
-def py_malformed_index(body):
-    items, count = [], 0
-    for line in body.splitlines():
-        if "<loc>" in line and "</loc>" in line and count < 3:
-            s, e = line.find("<loc>") + 5, line.find("</loc>")
-            if s < e:
-                u = line[s:e].strip()
-                if u.endswith(".xml"):
-                    items.append(("child", u))
-                    count += 1
-                else:
-                    items.append(("page", u))
-    return items
 
+def planted_body(rnd):
+    lines = [planted_line(rnd) for _ in range(rnd.randint(0, 12))]
+    return rnd.choice(["\n", "\r\n", "\r"]).join(x for x, _ in lines), [u for _, u in lines if u is not None]
 
-LINE_BITS = ["<loc>", "</loc>", "u1", " u2 ", "x.xml", "y.xml", "<url>", "</url>", "\r", "", "&amp;", " "]
 
-
-def rand_body(rnd):
-    lines = []
-    for _ in range(rnd.randint(0, 12)):
-        lines.append("".join(rnd.choice(LINE_BITS) for _ in range(rnd.randint(0, 6))))
-    return rnd.choice(["\n", "\r\n", "\r"]).join(lines)
-
-
-def test_line_scans_random(spark):
+def test_line_scans_find_what_was_planted(spark):
     rnd = random.Random(5)
-    bodies = [rand_body(rnd) for _ in range(1500)]
-    df = spark.createDataFrame([(b,) for b in bodies], "body string")
-    got = df.select("body", loc_lines(F.col("body")).alias("l"),
-                    malformed_index_items(F.col("body")).alias("m")).collect()
-    for r in got:
-        assert list(r.l) == py_loc_lines(r.body), repr(r.body)
-        # the page/child items keep every page entry; the reference de-duplicates page URLs later
-        assert [(i.kind, i.value) for i in r.m] == py_malformed_index(r.body), repr(r.body)
-
-
-def py_urlset(body, cap=100):
-    """Model of the urlset reader: namespaced or plain ``url/loc`` (another
-    namespace gives nothing); empty locs are skipped (documented deviation);
-    a parse error falls back to the line scan."""
-    import xml.etree.ElementTree as ET
-
-    try:
-        root = ET.fromstring(body)
-    except ET.ParseError:
-        found = py_loc_lines(body)
-    else:
-        ns = {"sm": "http://www.sitemaps.org/schemas/sitemap/0.9"}
-        els = root.findall("./sm:url/sm:loc", ns) or root.findall("./url/loc")
-        found = [t for t in ((e.text or "").strip() for e in els) if t]
-    out = []
-    for u in found:
-        if u not in out:
-            out.append(u)
-            if len(out) == cap:
-                break
-    return out
-
-
-LOCS = ["https://a.b/1", "https://a.b/2?x=1&amp;y=2", "  https://a.b/3  ", "<![CDATA[https://c.d/&]]>", "https://a.b/é",
-        "https://a.b/&lt;x&gt;", "\n https://a.b/4\n"]
-
-
-def rand_urlset(rnd):
-    ns = rnd.choice(['xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"', "", 'xmlns="urn:other"'])
-    n = rnd.choice([0, 1, 3, 10, 120])
-    lines = []
-    for i in range(n):
-        loc = rnd.choice(LOCS + [f"https://a.b/p{rnd.randint(0, 150)}"])
-        lines.append(f"<url><loc>{loc}</loc><lastmod>2024</lastmod></url>")
-    body = f'<?xml version="1.0"?>\n<urlset {ns}>\n' + "\n".join(lines) + "\n"
-    return body if rnd.random() < 0.3 else body + "</urlset>"
-
-
-def test_urlset_random(spark):
+    cases = [planted_body(rnd) for _ in range(1500)]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i int, body string")
+    for r in df.select("i", loc_lines(F.col("body")).alias("l"), malformed_index_items(F.col("body")).alias("m"),
+                       malformed_index_items(F.col("body"), 2).alias("two")).collect():
+        urls = cases[r.i][1]
+        assert list(r.l) == urls, repr(cases[r.i][0])
+        routed = [("child" if u.endswith(".xml") else "page", u) for u in urls]
+        assert [(x.kind, x.value) for x in r.m] == routed
+        children = [i for i, (kind, _) in enumerate(routed) if kind == "child"]
+        assert [(x.kind, x.value) for x in r.two] == (routed[:children[1] + 1] if len(children) > 1 else routed)
+
+
+def planted_urlset(rnd):
+    """A well-formed urlset and its unique URLs in order."""
+    from xml.sax.saxutils import escape
+
+    prefix, declared = rnd.choice([("", ""), ("", f' xmlns="{NS}"'), ("s:", f' xmlns:s="{NS}"'), ("", ' xmlns="urn:other"'), ("q:", ' xmlns:q="urn:other"')])
+    urls = [rnd.choice([f"https://a.b/p{rnd.randint(0, 60)}", "https://a.b/2?x=1&y=2", "https://a.b/é", "https://a.b/<x>"]) for _ in range(rnd.choice([0, 1, 3, 10, 150]))]
+    cell = lambda u: rnd.choice([escape(u), f"<![CDATA[{u}]]>", f"\n {escape(u)}\t"])
+    entries = [f"<{prefix}url><{prefix}loc>{cell(u)}</{prefix}loc><{prefix}lastmod>2024</{prefix}lastmod></{prefix}url>" for u in urls]
+    lead = rnd.choice(["", '<?xml version="1.0"?>\n', '<!-- <urlset xmlns="urn:x"> -->\n'])
+    body = f"{lead}<{prefix}urlset{declared}>" + rnd.choice(["", "\n"]).join([*entries, f"</{prefix}urlset>"])
+    return body, [] if "urn:other" in declared else list(dict.fromkeys(urls))
+
+
+def test_urlsets_give_what_was_planted(spark):
     from sitegraph.operators.sitemaps import urlset_urls
 
     rnd = random.Random(3)
-    bodies = [rand_urlset(rnd) for _ in range(400)]
-    df = spark.createDataFrame([(b,) for b in bodies], "body string")
-    for r in df.select("body", urlset_urls(F.col("body")).alias("u")).collect():
-        assert list(r.u) == py_urlset(r.body), r.body[:300]
+    cases = [planted_urlset(rnd) for _ in range(300)]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i int, body string")
+    for r in df.select("i", urlset_urls(F.col("body")).alias("u")).collect():
+        assert list(r.u) == cases[r.i][1], cases[r.i][0][:300]

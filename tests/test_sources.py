@@ -84,7 +84,7 @@ def test_write_status_json(spark, tmp_path):
         "job_id string, status string, message string, "
         "data struct<Company:string,Website:string,`Sitemap Complete`:string,`Insight from Prompt`:string>")
     out = tmp_path / "status"
-    write_status_json(jobs, str(out))
+    write_status_json(jobs.withColumn("seq", F.lit(1)), str(out))
     lines = [json.loads(x) for f in os.listdir(out) if f.startswith("part") for x in open(os.path.join(out, f))]
     merged = {k: v for d in lines for k, v in d.items()}
     assert merged == {"job_1": {"status": "complete", "data": {"Company": "A", "Website": "https://a",

@@ -1,5 +1,7 @@
 """FIXTURES §8: store upsert / latest and job results / progress / ETA."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from sitegraph.operators import jobs as J
@@ -11,14 +13,15 @@ def store_df(spark, rows):
 
 
 def doc(name, t, insight="i", web="https://w"):
-    return (name, web, [web + "/a"], insight, float(t), name.lower())
+    return (name, web, [web + "/a"], insight, float(t), name.lower(), 1)
 
 
 def test_upsert_semantics(spark):
     store = store_df(spark, [doc("Acme", 1)])
+    ordered = lambda df: df.withColumn("_ord", F.lit(1))
     upd = spark.createDataFrame([("Acme", 2.0, "x"), ("ACME", 3.0, "y")],
                                 "company_name string, last_updated double, ai_insights string")
-    u, supplied = S.prepare_updates(upd, now=99.0)
+    u, supplied = S.prepare_updates(ordered(upd), now=99.0, order="_ord")
     out = {r.company_name: r for r in S.upsert(store, u, supplied).collect()}
     assert out["Acme"].last_updated == 2.0 and out["Acme"].website_url == "https://w"
     assert out["Acme"]._matched and out["Acme"]._modified
@@ -27,11 +30,11 @@ def test_upsert_semantics(spark):
     assert (counts.inserted, counts.modified, counts.matched, counts.total) == (1, 1, 1, 2)
     # an explicit NULL supplied overwrites; unchanged values do not count as modified
     nul = spark.createDataFrame([("Acme", 1.0, None)], "company_name string, last_updated double, ai_insights string")
-    u2, sup2 = S.prepare_updates(nul, now=99.0)
+    u2, sup2 = S.prepare_updates(ordered(nul), now=99.0, order="_ord")
     r = S.upsert(store, u2, sup2).first()
     assert r.ai_insights is None and r._modified
     same = spark.createDataFrame([("Acme", 1.0, "i")], "company_name string, last_updated double, ai_insights string")
-    u3, sup3 = S.prepare_updates(same, now=99.0)
+    u3, sup3 = S.prepare_updates(ordered(same), now=99.0, order="_ord")
     assert not S.upsert(store, u3, sup3).first()._modified
     # missing last_updated defaults to now; last row per key in batch order wins
     batch = spark.createDataFrame([("B", None, "first", 1), ("B", None, "second", 2)],
@@ -43,7 +46,7 @@ def test_upsert_semantics(spark):
 
 def test_latest_per_company(spark):
     rows = [doc("Acme", 2), doc("ACME", 3), doc("acme", 3), doc("Bolt", 1),
-            ("Nul", "w", [], "i", None, None), ("Nul2", "w", [], "i", 5.0, None)]
+            ("Nul", "w", [], "i", None, None, 1), ("Nul2", "w", [], "i", 5.0, None, 1)]
     got = {r.company_name_normalized: r.company_name for r in S.latest_per_company(store_df(spark, rows)).collect()}
     assert got == {"acme": "ACME", "bolt": "Bolt", None: "Nul2"}
 
@@ -55,14 +58,32 @@ def test_lookup(spark):
     assert got == {"https://x": (True, "A"), "https://none": (False, None)}
 
 
+def test_by_freshness(spark):
+    rows = [doc("B", 1), doc("A", 3), doc("C", 3), ("N", "w", [], "i", None, "n", 1)]
+    assert [r.company_name for r in S.by_freshness(store_df(spark, rows)).collect()] == ["A", "C", "B", "N"]
+
+
 def test_snapshots(spark, tmp_path):
     root = str(tmp_path / "store")
     S.reset_store(spark, root)
-    upd = spark.createDataFrame([("Acme", 1.0, "x")], "company_name string, last_updated double, ai_insights string")
-    S.upsert_snapshot(spark, root, upd, now=5.0)
-    S.upsert_snapshot(spark, root, upd.withColumn("ai_insights", F.lit("y")), now=5.0)
-    assert S.latest_version(spark, root) == 2
+    upd = spark.createDataFrame([("Acme", 1.0, "x", 1)], "company_name string, last_updated double, ai_insights string, seq int")
+    S.upsert_snapshot(spark, root, upd, 5.0, "seq")
+    S.upsert_snapshot(spark, root, upd.withColumn("ai_insights", F.lit("y")), 5.0, "seq")
+    assert S.open_store(spark, root).latest() == 2
     assert [r.ai_insights for r in S.scan_store(spark, root).collect()] == ["y"]
+    assert [r.ai_insights for r in S.scan_store(spark, root, 1).collect()] == ["x"] and S.scan_store(spark, root, 0).count() == 0
+
+
+def test_upsert_rewrites_only_its_part(spark, tmp_path):
+    root = str(tmp_path / "store")
+    S.write_snapshot(store_df(spark, [doc(f"c{i}", i) for i in range(300)]), root, 0)
+    upd = spark.createDataFrame([("c7", "new", 1)], "company_name string, ai_insights string, seq int")
+    assert S.upsert_snapshot(spark, root, upd, 5.0, "seq") == 1
+    manifest = S.open_store(spark, root).manifest(1)
+    assert sorted(manifest.values()) == [0] * (len(manifest) - 1) + [1] and len(manifest) > 50
+    assert sorted(p for p in os.listdir(f"{root}/data/v=00000001") if p.startswith("_part")) == [f"_part={next(p for p, v in manifest.items() if v)}"]
+    rows = {r.company_name: r.ai_insights for r in S.scan_store(spark, root).collect()}
+    assert len(rows) == 300 and rows["c7"] == "new" and rows["c8"] == "i"
 
 
 JOB_SCHEMA = ("job_id string, batch_id string, seq long, status string, message string, "
@@ -99,3 +120,14 @@ def test_progress_and_eta(spark):
     none_done = spark.createDataFrame([("j", "c", 1, "queued", None, None, 0.0)], JOB_SCHEMA)
     assert J.job_eta(none_done).first().eta_text == "Estimated time remaining: Calculating..."
     assert J.queue_sizes(jobs).first().asDict() == {"queue_size": 4, "results_size": 4}
+
+
+def test_progress_counts_jobs_not_events(spark):
+    rows = [("j1", "b", 1, "queued", None, None, 1.0), ("j1", "b", 2, "complete", None, ("A", "w", "u", "i"), 2.0),
+            ("j2", "b", 1, "queued", None, None, 1.0)]
+    jobs = spark.createDataFrame(rows, JOB_SCHEMA)
+    p = J.job_progress(jobs).first()
+    assert (p.total, p.completed, p.percent) == (2, 1, 50)
+    assert J.queue_sizes(jobs).first().asDict() == {"queue_size": 1, "results_size": 1}
+    assert [r.job_id for r in J.status_json(jobs).collect()] == ["j1"]
+    assert J.job_eta(jobs).first().total == 2

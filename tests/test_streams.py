@@ -11,29 +11,56 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def new_root(spark):
+    return f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+
+
 def test_dedupe_replay(spark):
-    out = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    out = new_root(spark)
     run = T.dedupe_batch_writer(out)
-    b0 = spark.createDataFrame([("Acme", "acme.com", 1), ("ACME", "acme.com", 2), ("Bolt", "b.com", 3)],
-                               T.COMPANY_SCHEMA)
-    b1 = spark.createDataFrame([("acme", "ACME.com", 4), ("Cid", "c.com", 5)], T.COMPANY_SCHEMA)
+    schema = "company string, website string, _ord long"
+    b0 = spark.createDataFrame([("Acme", "acme.com", 1), ("ACME", "acme.com", 2), ("Bolt", "b.com", 3)], schema)
+    b1 = spark.createDataFrame([("acme", "ACME.com", 4), ("Cid", "c.com", 5)], schema)
     run(b0, 0)
     run(b1, 1)
-    first = rows(spark.read.parquet(out).select("_ord", "company"))
+    kept = lambda: rows(spark.read.parquet(f"{out}/rows").select("_ord", "company"))
+    first = kept()
     run(b1, 1)  # replayed after a failure
-    run(b0, 0)
-    assert rows(spark.read.parquet(out).select("_ord", "company")) == first == [(1, "Acme"), (3, "Bolt"), (5, "Cid")]
+    assert kept() == first == [(1, "Acme"), (3, "Bolt"), (5, "Cid")]
 
 
 def test_upsert_replay(spark):
-    root = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
-    spark.createDataFrame([("A", "w", ["u"], "old", 1.0, "a")], S.DOC_SCHEMA).write.parquet(f"{root}/v=00000000")
+    root = new_root(spark)
+    S.write_snapshot(spark.createDataFrame([("A", "w", ["u"], "old", 1.0, "a", 1)], S.DOC_SCHEMA), root, 0)
     run = T.upsert_batch_writer(root, now=9.0, order="seq")
     b0 = spark.createDataFrame([("A", "x", 1), ("B", "y", 2)], "company_name string, ai_insights string, seq int")
     b1 = spark.createDataFrame([("A", "z", 3)], "company_name string, ai_insights string, seq int")
     run(b0, 0)
     run(b1, 1)
-    first = rows(T.latest_snapshot(spark, root).select("company_name", "ai_insights", "website_url"))
+    seen = lambda: rows(S.scan_store(spark, root).select("company_name", "ai_insights", "website_url"))
+    first = seen()
     run(b1, 1)
-    assert rows(T.latest_snapshot(spark, root).select("company_name", "ai_insights", "website_url")) == first
-    assert first == [("A", "z", "w"), ("B", "y", None)]
+    assert seen() == first == [("A", "z", "w"), ("B", "y", None)]
+
+
+def test_job_states_replay(spark):
+    root = new_root(spark)
+    run = T.job_state_writer(root)
+    b0 = spark.createDataFrame([("j1", "b", 1, "queued", None), ("j2", "b", 1, "queued", None)], T.JOB_SCHEMA)
+    b1 = spark.createDataFrame([("j1", "b", 3, "complete", None), ("j1", "b", 2, "queued", None)], T.JOB_SCHEMA)
+    for batch, epoch in ((b0, 0), (b1, 1), (b1, 1)):
+        run(batch, epoch)
+    assert sorted((r.job_id, r.status) for r in T.latest_status(spark, root).collect()) == [("j1", "complete"), ("j2", "queued")]
+    p = T.latest_progress(spark, root).first()
+    assert (p.total, p.completed) == (2, 1)
+
+
+def test_uploads_go_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Company,Website\nAcme,a.com\n")
+    (tmp_path / "b.csv").write_text("Home URL,Note,Organization\nb.com,x,Bolt\n")
+    got = []
+    handle = lambda df, epoch: got.extend((r.company, r.website) for r in df.orderBy("_ord").collect())
+    q = T.company_files(spark, str(tmp_path)).writeStream.foreachBatch(T.company_batches(handle)).trigger(
+        availableNow=True).option("checkpointLocation", str(tmp_path / "ckpt")).start()
+    q.awaitTermination()
+    assert got == [("Acme", "a.com"), ("Bolt", "b.com")]

@@ -2,7 +2,7 @@
 
 1. Payloads are compared by SHA-1 over the whole table (a grouped maximum): of equal payloads of at least
    ``revisit_bytes``, the one with the largest page_id is the response, the others are revisits of it.
-2. Each record is made once, with its headers and digests, as a gzip member of its own.
+2. Each record is made with its headers and digests as a gzip member of its own, always with the same bytes.
 3. Records are range-sorted by (page_id, url, digest). The sum of the compressed sizes before a record decides its
    file: number ``sum div roll_bytes``. So the files depend on the rows alone, not on partitions or executors, and a
    file exceeds ``roll_bytes`` by less than one record.
@@ -26,15 +26,16 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import ranked, saved, shared_files, shared_path, slices
+from sitegraph.llm.common import bitmap, marked, ranked, shared_files, shared_path, slices
 from sitegraph.plans.tables import table
 
-ROLL_BYTES, DATE = 16 << 20, "2024-01-01T00:00:00Z"
+LEVEL, ROLL_BYTES, DATE = 1, 16 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KEY = ("page_id", "url", "sha1")
 TYPED = "page_id long, url string, sha1 string, member binary, size long"
@@ -67,10 +68,20 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, n: int,
 
 
 def member(data: bytes) -> bytes:
-    return gzip.compress(data, 6, mtime=0)
+    return gzip.compress(data, LEVEL, mtime=0)
 
 
-def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _responses(shared, repeated: bool):
+    """Response records of the rows whose digest the bitmap of repeated payloads marks, or of all others."""
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, payloads in slices(batches, "html"):
+            places = np.array([int(hashlib.sha1(p).hexdigest()[:15], 16) for p in payloads], np.uint64)
+            yield batch.filter(pa.array(marked(shared.value, places) == repeated))
+
+    return lambda batches: _made(chosen(batches))
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, payloads in slices(batches, "html"):
         sha1 = [hashlib.sha1(p) for p in payloads]
         members = [member(record(i, u, p, len(p), s.digest())) for i, u, p, s in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), payloads, sha1)]
@@ -136,8 +147,12 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     html = F.coalesce("html", F.lit(""))
     firsts = pages.where(F.octet_length(html) >= revisit_bytes).groupBy(F.sha1(html.cast("binary")).alias("sha1")).agg(
         F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    made = pages.mapInArrow(_responses, "page_id long, url string, sha1 string, n long, member binary")
-    records = saved(made.join(firsts, "sha1", "left").select("page_id", "url", "sha1", "n", "member", "first").mapInArrow(_typed, TYPED), "records")
+    # only rows of repeated payloads (by a bitmap of fixed size) need to meet their response; the others stay in place
+    shared = spark.sparkContext.broadcast(bitmap(firsts, F.conv(F.substring("sha1", 1, 15), 16, 10).cast("long")))
+    made = [pages.mapInArrow(_responses(shared, x), "page_id long, url string, sha1 string, n long, member binary") for x in (False, True)]
+    again = made[1].join(firsts, "sha1", "left").select("page_id", "url", "sha1", "n", "member", "first").mapInArrow(_typed, TYPED)
+    # made twice, for the sizes and for the files: that costs less than a written copy of all records
+    records = made[0].select("page_id", "url", "sha1", "member", F.octet_length("member").cast("long").alias("size")).unionByName(again)
     order = [F.col(c) for c in KEY]
     placed = ranked(records.select(*KEY, "size"), order, "start", "plan", weight="size").withColumn("file", F.expr(f"start div {roll_bytes}L"))
     # repeated rows share a key, so a key's file is that of its first; a file's least key bounds it (one row a file)
@@ -154,7 +169,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
             numbers = [files[bisect.bisect_right(starts, low(k)) - 1] for k in keys]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], batch.column("member"), pa.array(numbers, pa.int64())], names=[*KEY, "member", "file"])
 
-    dealt = records.mapInArrow(assigned, "page_id long, url string, sha1 string, member binary, file long").repartition(max(1, len(bounds)), "file").sortWithinPartitions("file", *KEY)
+    dealt = records.mapInArrow(assigned, "page_id long, url string, sha1 string, member binary, file long").repartition(max(1, 2 * len(bounds)), "file").sortWithinPartitions("file", *KEY)
     manifest = dealt.select("file", "member").mapInArrow(_write(folder), "file long, name string, records long, bytes long, sha1 string")
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest-uncommitted")
     store.move(f"{root}/manifest-uncommitted", f"{root}/manifest")

@@ -4,7 +4,7 @@ secrets are masked, and the rest is packed into token sequences.
 Each stage takes ``(spark, docs, sf_dir)``; ``docs`` has the columns of ``documents``. ``run`` applies the stages to
 ``documents``, writing each result to the shared folder and reading it again, so a lost executor repeats a part of
 one stage only. A document is judged by what reaches the stage: the near-duplicate groups are those of the documents
-that are left, and the toxicity model is fitted on the labelled documents of the stage's input.
+that are left, and the toxicity model is fitted on the labelled documents of the stage's input (held-out ones excepted).
 
 Defined results: documents with null, empty or wordless texts pass every filter (they link with nothing and hold no
 benchmark words; their score is that of no terms); repeated rows of one doc_id are one document after stage 2 if their
@@ -23,7 +23,7 @@ ORACLE_SQL = None  # no stage can be expressed in SQL; tests/llm checks run() ag
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.reject(docs, model)
 
 

@@ -3,8 +3,8 @@
 A document's set holds the 64-bit hashes of its distinct ``shingle``-word runs. Two sets link when
 ``100 * |both| >= percent * |either|``. Work is done per distinct set (exact copies share one node), as follows.
 
-1. Classes. Shingles in a hash-ordered prefix of every set are counted over all documents. Those in more than
-   ``FREQUENT`` documents form the frequent class, kept as a fixed-size bitmap (a false mark only moves a shingle
+1. Classes. Shingles in a hash-ordered prefix of every set are counted over all documents, and all others of the sets
+   that lack rare ones there. Those in more than ``FREQUENT`` documents form the frequent class, kept as a fixed-size bitmap (a false mark only moves a shingle
    to the frequent class, which is consistent for all documents and so costs no link).
 2. Prefixes. All sets are ordered by (class, hash), rare first. With at most ``e`` shingles of a set missing in a
    partner, a prefix covers a link if its coverage exceeds ``e``: a rare shingle covers 1 and is a signature by
@@ -85,14 +85,15 @@ def size_classes(percent: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
-    """The signatures of a set, given which of its shingles are frequent."""
+def signatures(s: np.ndarray, frequent: np.ndarray, percent: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of a set, given which of its shingles are frequent: single rare shingles, and pairs of frequent
+    ones. If there are pairs, the singles are all of the set's rare shingles."""
     n = len(s)
     need = errors(n, percent) + 1
     rare = s[~frequent][:need]
+    out, common = [np.zeros(0, np.uint64)], s[frequent]
     if len(rare) == need:
-        return rare
-    out, common = [rare], s[frequent]
+        return rare, out[0]
     own = int(np.searchsorted(classes, n, "right")) - 1
     for scheme in (own, own + 1):
         cells = max(1, int(classes[scheme - 1]) // 8) if scheme else 1
@@ -108,7 +109,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int, classes: np.nd
             if not same.any():
                 break
             out.append(mix(tokens[:-lag][same] * ODD[41] + tokens[lag:][same] * ODD[42] + ODD[scheme % 32]))
-    return np.unique(np.concatenate(out))
+    return rare, np.unique(np.concatenate(out))
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -128,48 +129,61 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _counted(shingle: int, percent: int) -> Callable:
-    """The shingles to count: a little more than each set's plain prefix."""
+def _counted(shingle: int, percent: int, shared=None) -> Callable:
+    """The shingles to count: a little more than each set's plain prefix. With the frequent ones of these, the other
+    shingles of the sets whose prefix must go on beyond what was counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches):
-            parts = [s[:errors(len(s), percent) + 1 + len(s) // 14] for s in shingle_sets(texts, shingle) if len(s)]
+            parts = []
+            for s in shingle_sets(texts, shingle):
+                need = errors(len(s), percent) + 1
+                counted = need + len(s) // 14
+                if not shared:
+                    parts.append(s[:counted])
+                elif len(s) > counted and np.count_nonzero(~marked(shared.value, s[:counted])) < need:
+                    parts.append(s[counted:])
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(parts)))], names=["token"])
     return run
 
 
-FEATURES = "doc_id long, node long, n long, sigs array<long>, bits binary"
+FEATURES = "doc_id long, node long, n long, rare long, sigs array<long>, bits binary"
 
 
 def _features(shingle: int, percent: int, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = size_classes(percent)
         for batch, texts in slices(batches):
-            nodes, sizes, sigs, bits = [], [], [], []
+            nodes, sizes, rare, sigs, bits = [], [], [], [], []
             for s in shingle_sets(texts, shingle):
                 n = len(s)
                 nodes.append(node_of(s) if n else None)
                 sizes.append(n)
-                sigs.append(signed(signatures(s, marked(shared.value, s), percent, classes)) if n > 1 else np.zeros(0, np.int64))
+                singles, pairs = signatures(s, marked(shared.value, s), percent, classes) if n > 1 else (s[:0], s[:0])
+                rare.append(len(singles))
+                sigs.append(signed(np.concatenate([singles, pairs])))
                 bits.append(parity(s) if n > 1 else None)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(rare, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs))), pa.array(bits, pa.binary())],
-                names=["doc_id", "node", "n", "sigs", "bits"])
+                names=["doc_id", "node", "n", "rare", "sigs", "bits"])
     return run
 
 
 def _members(shared) -> Callable:
-    """(sig, node, n) of the signatures that the bitmap marks."""
+    """(sig, node, n, rare, single) of the signatures that the bitmap marks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("sigs")
             flat = column.flatten().to_numpy()
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            offsets, rare = column.offsets.to_numpy(), batch.column("rare").to_numpy()
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             keep = marked(shared.value, flat.view(np.uint64))
+            single = (np.arange(len(flat)) + offsets[0] - offsets[rows] < rare[rows])[keep]
             rows = pa.array(rows[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column("node").take(rows), batch.column("n").take(rows)], names=["sig", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *[batch.column(c).take(rows) for c in ("node", "n", "rare")], pa.array(single)],
+                                             names=["sig", "node", "n", "rare", "single"])
     return run
 
 
@@ -215,19 +229,36 @@ class Join:
 
     def classes(self) -> DataFrame:
         """``doc_id, node, n`` and the signatures of every row."""
-        tokens = self.docs.mapInArrow(_counted(self.shingle, self.percent), "token long")
-        frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT)
-        return saved(self.docs.mapInArrow(_features(self.shingle, self.percent, self.broadcast(bitmap(frequent, F.col("token")))), FEATURES), "features")
+        def frequent(shared=None) -> np.ndarray:
+            tokens = self.docs.mapInArrow(_counted(self.shingle, self.percent, shared), "token long")
+            return bitmap(tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT), F.col("token"))
+
+        first = frequent()
+        both = first | frequent(self.broadcast(first))
+        return saved(self.docs.mapInArrow(_features(self.shingle, self.percent, self.broadcast(both)), FEATURES), "features")
 
     def members(self, features: DataFrame) -> DataFrame:
-        """``sig, node, n, size``: the members of every signature of several nodes."""
+        """``sig, node, n, size, own, degree``: the members of every signature of several nodes.
+
+        ``own`` counts shingles that no partner of the group has. In a group of a pair signature every member signs
+        with all its rare shingles, so a rare shingle that no other node signs with is in none of them. ``degree`` is
+        the number of a node's groups: the members that most others resemble are in the most."""
         shared = features.select("node", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-        rows = saved(features.where("node is not null").select("node", "n", "sigs").mapInArrow(_members(self.broadcast(bitmap(shared, F.col("sig")))), "sig long, node long, n long").distinct(), "members")
+        rows = features.where("node is not null").select("node", "n", "rare", "sigs").mapInArrow(
+            _members(self.broadcast(bitmap(shared, F.col("sig")))), "sig long, node long, n long, rare long, single boolean")
+        rows = saved(rows.distinct(), "members")
         groups = rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-        return saved(rows.join(groups, "sig"), "groups")
-
-    def alike(self, na: str, nb: str):
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent)
+        rows = saved(rows.join(groups, "sig"), "groups")
+        known = rows.groupBy("node").agg(F.count("*").alias("degree"), F.count_if("single").alias("met"))
+        own = F.when(F.col("single"), F.lit(0)).otherwise(F.col("rare") - F.col("met"))
+        return rows.join(known, "node").select("sig", "node", "n", "size", own.alias("own"), "degree")
+
+    def alike(self, a: str, b: str):
+        """Whether two members can link by their sizes and by the shingles that only they have. With ``common``
+        shingles they link if ``(100 + p) common >= p (na + nb)``, and ``common <= n - own`` on either side."""
+        na, nb = F.col(f"n{a}"), F.col(f"n{b}")
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & (
+            F.least(na - F.col(f"own{a}"), nb - F.col(f"own{b}")) * (100 + self.percent) >= (na + nb) * self.percent)
 
     def near(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """The pairs ``a, b, na, nb`` that the parity bitmaps leave."""
@@ -250,14 +281,16 @@ class Join:
 
     def links(self, features: DataFrame, nodes: DataFrame) -> DataFrame:
         """``node, component`` of the nodes that link with another."""
-        members = self.members(features)
+        members = saved(self.members(features), "all-members")
         few = members.where(F.col("size") <= SMALL_GROUP)
-        pairs = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na")).join(few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb")), "sig").where(F.col("a") < F.col("b")).where(self.alike("na", "nb")).select("a", "b")
+        side = lambda x: few.select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"own{x}"))
+        pairs = side("a").join(side("b"), "sig").where(F.col("a") < F.col("b")).where(self.alike("a", "b")).select("a", "b")
         starts = size_classes(self.percent).tolist()
         own = F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= F.col("n"))) - 1
-        many = saved(members.where(F.col("size") > SMALL_GROUP).withColumn("own", own).select("sig", F.explode(F.array("own", F.col("own") + 1)).alias("cls"), "node", "n"), "large-groups")
-        hubs = many.groupBy("sig", "cls").agg(F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node"), "node")).alias("h")).select("sig", "cls", F.col("h.node").alias("node"), F.col("h.n").alias("n"))
-        hubs = saved(hubs, "hubs")
+        many = members.where(F.col("size") > SMALL_GROUP).withColumn("c", own)
+        many = saved(many.select("sig", F.explode(F.array("c", F.col("c") + 1)).alias("cls"), "node", "n", "own", "degree"), "large-groups")
+        hubs = many.groupBy("sig", "cls").agg(F.max_by(F.struct("node", "n", "own"), F.struct("degree", F.xxhash64("node"), "node")).alias("h"))
+        hubs = saved(hubs.select("sig", "cls", "h.*"), "hubs")
         tested = saved(pairs.unionByName(self.met(hubs, many)).distinct(), "pairs")
         near = self.near(tested, nodes)
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")), nodes)
@@ -272,7 +305,7 @@ class Join:
             left = placed.where("component <> most").join(used, ["sig", "cls", "node"], "left_anti")
             left = saved(left, "outsiders")
             number = left.groupBy("sig", "cls").agg(F.count("*").alias("left"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("least"))
-            hubs = left.join(number, ["sig", "cls"]).where(F.col("node").eqNullSafe(F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("left")) < width)).select("sig", "cls", "node", "n", "component")
+            hubs = left.join(number, ["sig", "cls"]).where(F.col("node").eqNullSafe(F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("left")) < width)).select("sig", "cls", "node", "n", "own", "component")
             if left.isEmpty():
                 return found
             hubs = saved(hubs, "hubs")
@@ -280,13 +313,16 @@ class Join:
             near = self.near(new, nodes)
             tested, used, width = tested.unionByName(new), used.unionByName(hubs.select("sig", "cls", "node")), width * WIDTH
             if not near.isEmpty():
-                links = links.unionByName(saved(self.linked(near, sets), "links"))
-                found = saved(components(links), "components")
+                more = saved(self.linked(near, sets), "links")
+                if not more.isEmpty():
+                    links = links.unionByName(more)
+                    found = saved(components(links), "components")
 
     def met(self, hubs: DataFrame, members: DataFrame, apart: bool = False) -> DataFrame:
         """Hubs with the other members of their groups (``apart``: of other components), as pairs ``a < b``."""
-        h = hubs.select("sig", "cls", F.col("node").alias("hub"), F.col("n").alias("nh"), *([F.col("component").alias("ch")] if apart else []))
-        met = members.join(h, ["sig", "cls"]).where("hub <> node").where(self.alike("n", "nh"))
+        h = hubs.select("sig", "cls", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("own").alias("ownh"), *([F.col("component").alias("ch")] if apart else []))
+        m = members.select("sig", "cls", "node", F.col("n").alias("nm"), F.col("own").alias("ownm"), *(["component"] if apart else []))
+        met = m.join(h, ["sig", "cls"]).where("hub <> node").where(self.alike("h", "m"))
         if apart:
             met = met.where("component <> ch")
         return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()

@@ -354,19 +354,23 @@ def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     Members of groups are few beside the other rows: a bitmap of their ids (fixed size) splits the table, and only
     the part it marks is joined and shuffled.
     """
+    tag = "__copies_"
+    while any(c.startswith(tag) for c in docs.columns):
+        tag = f"_{tag}"
+    doc_key, set_key, stays, hash_key = (f"{tag}{x}" for x in ("doc", "set", "stays", "hash"))
     found = saved(similar_documents(docs, shingle, percent).where("set_id is not null").select("doc_id", "set_id", "component"), "found")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "set_id")).alias("first")
     groups = found.groupBy("component").agg(first, F.count("*").alias("rows")).where("rows > 1")
     members = found.distinct().join(groups, "component").select(
-        F.col("doc_id").alias("_doc"), F.col("set_id").alias("_set"), (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.set_id") == F.col("set_id"))).alias("_stays"))
+        F.col("doc_id").alias(doc_key), F.col("set_id").alias(set_key), (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.set_id") == F.col("set_id"))).alias(stays))
     members = saved(members, "group-members")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(members, F.xxhash64("_doc")))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(members, F.xxhash64(doc_key)))
     names, schema = docs.columns, docs.schema
-    hashed = docs.withColumn("_hash", F.xxhash64("doc_id"))
+    hashed = docs.withColumn(hash_key, F.xxhash64("doc_id"))
 
     def parts(batches: Iterator[pa.RecordBatch], inside: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = marked(shared.value, batch.column("_hash").to_numpy().view(np.uint64))
+            hit = marked(shared.value, batch.column(hash_key).to_numpy().view(np.uint64))
             yield batch.filter(pa.array(hit == inside)).select(names)
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,12 +379,12 @@ def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(parts(batches, True)):
             ids = [node_of(s) if len(s) else None for s in shingle_sets(texts, shingle)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*names, "_set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*names, set_key])
 
-    placed = hashed.mapInArrow(suspects, T.StructType([*schema.fields, T.StructField("_set", T.LongType())])).alias("d").join(
-        members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m._doc")) & (F.col("d._set") == F.col("m._set")), "left").select("d.*", "_stays")
-    others = placed.where("_stays is null").select(*names)
-    once = placed.where("_stays").dropDuplicates(["doc_id", "_set"]).select(*names)
+    placed = hashed.mapInArrow(suspects, T.StructType([*schema.fields, T.StructField(set_key, T.LongType())])).alias("d").join(
+        members.alias("m"), F.col("d.doc_id").eqNullSafe(F.col(f"m.{doc_key}")) & (F.col(f"d.{set_key}") == F.col(f"m.{set_key}")), "left").select("d.*", stays)
+    others = placed.where(F.col(stays).isNull()).select(*names)
+    once = placed.where(F.col(stays)).dropDuplicates(["doc_id", set_key]).select(*names)
     return hashed.mapInArrow(outside, schema).unionByName(others).unionByName(once)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from sitegraph.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -67,12 +68,13 @@ def shared_files(path: str) -> tuple[fs.FileSystem, str]:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of about ``SLICE_BYTES`` of whole texts: the slice's rows and their UTF-8 texts (null: empty)."""
     for batch in batches:
-        texts = batch.column(text).cast(pa.binary()).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= SLICE_BYTES or i == len(texts) - 1:
-                yield batch.slice(at, i + 1 - at), [x or b"" for x in texts[at:i + 1]]
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= SLICE_BYTES or i == len(sizes) - 1:
+                part = batch.slice(at, i + 1 - at)
+                yield part, [x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()]
                 at, size = i + 1, 0
 
 

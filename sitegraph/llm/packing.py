@@ -41,7 +41,7 @@ class Encoder:
     """Ids as the tokenizer's file gives them; texts without special tokens take a faster equal path."""
 
     def __init__(self, file: str):
-        self.whole = Tokenizer.from_str(file)
+        self.file, self.whole = file, None  # the file's own encoder is large and made when first needed
         spec = json.loads(file)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
@@ -52,6 +52,7 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
+            self.whole = self.whole or Tokenizer.from_str(self.file)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

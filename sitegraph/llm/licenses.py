@@ -1,11 +1,17 @@
 """Operator 4: licence scans by Dice coefficient over word bigrams.
 
-A text is compared with licence templates unit by unit: each line, each sentence of a line, and the text as a whole
-(a licence file spread over lines). Unit and template are normalised (letters and digits, lower case) to their sets of
+A text is compared with licence templates unit by unit: each line, each sentence of a line, the text as a whole
+(a licence file spread over lines), and runs of consecutive pieces, where a piece is what lies between two line or
+sentence ends (licences and notices that are wrapped or in paragraphs inside a longer text). Unit and template are normalised (letters and digits, lower case) to their sets of
 word bigrams ``A`` and ``B``; they match if ``2 |A & B| / (|A| + |B|) >= threshold``.
 Since ``|A & B| <= min(|A|, |B|)``, only templates with ``t/(2-t) |A| <= |B| <= (2-t)/t |A|`` are candidates; among
 those, an index of template bigrams yields the ones that share any.
 
+A run has at most ``(2-t)/t`` times the words of the template. Since ``|A & B| >= t/(2-t) |B|``, runs start only where
+that many bigrams of the template lie within so many words. Of overlapping runs that match, the one with the most
+bigrams in common counts (BSD-3-Clause, not the BSD-2-Clause inside it); a licence that the text matches as a whole keeps
+that coefficient. Lines and sentences that overlap a matching run over several lines are no units of their own.
+
 The templates are a fixed, small table (a few KB) inside the code. Whole texts are scanned in one narrow pass
 without a shuffle.
 
@@ -17,7 +23,9 @@ once with its best coefficient; ties go to the licence listed first; only doc_id
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,40 +88,104 @@ class Templates:
         sizes = [len(s) for _, s in self.sets]
         self.least, self.most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
         self.vocabulary = {w for g in self.index for w in g}
+        #: per template: the least number of its bigrams in a match, and the most words of a run
+        self.need = [max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9)) for n in sizes]
+        self.reach = [int(len(normal_words(text.encode())) * (2 - threshold) / threshold) for _, text in templates]
 
-    def match(self, words: list[bytes], best: dict[int, float]) -> None:
-        """Raise ``best`` (licence number: coefficient) by the best licence of one unit."""
+    def match(self, words: list[bytes], best: dict[int, float]) -> int:
+        """Raise ``best`` (licence number: coefficient) by the best licence of one unit, which is returned (or -1)."""
         if len(words) < 2 or len(words) <= self.least:
-            return
+            return -1
         unit = bigrams(words)
-        n = len(unit)
-        if not self.least <= n <= self.most:
-            return
-        top, licence = 0.0, -1
+        if not self.least <= len(unit) <= self.most:
+            return -1
+        top, licence, _ = self.likest(unit)
+        if top > best.get(licence, 0.0):
+            best[licence] = top
+        return licence
+
+    def likest(self, unit: set[tuple[bytes, bytes]]) -> tuple[float, int, int]:
+        """The best coefficient that reaches the threshold, its licence and the bigrams in common (else 0, -1, 0)."""
+        n, top, licence, common = len(unit), 0.0, -1, 0
         for i in sorted({i for g in unit & self.index.keys() for i in self.index[g]}):
             name, own = self.sets[i]
             if n * self.threshold <= (2 - self.threshold) * len(own) and len(own) * self.threshold <= (2 - self.threshold) * n:
-                dice = 2 * len(unit & own) / (n + len(own))
+                both = len(unit & own)
+                dice = 2 * both / (n + len(own))
                 if dice >= self.threshold and dice > top:
-                    top, licence = dice, name
-        if top > best.get(licence, 0.0):
-            best[licence] = top
+                    top, licence, common = dice, name, both
+        return top, licence, common
+
+    def runs(self, text: bytes, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """First word, end, licence and coefficient of the runs of pieces that match, without overlaps."""
+        index, places = self.index, {}
+        for k, g in enumerate(zip(words, words[1:])):
+            if g in index:
+                for i in index[g]:
+                    places.setdefault(i, []).append(k)
+        dense = {}
+        for i, at in places.items():
+            need, reach = self.need[i], self.reach[i]
+            if starts := [k for k, last in zip(at, at[need - 1:]) if last - k < reach]:
+                dense[i] = starts
+        if not dense:
+            return []
+        first = [0]  # the first word of every piece with words, and the end
+        for line in text.split(b"\n"):
+            for piece in SENTENCE.split(line):
+                if n := len(normal_words(piece)):
+                    first.append(first[-1] + n)
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for i, starts in dense.items():
+            own, at, need, reach = self.sets[i][1], places[i], self.need[i], self.reach[i]
+            for p in sorted({bisect_right(first, k) - 1 for k in starts}):
+                a = first[p]
+                stop = bisect_right(first, a + reach) - 1  # the last piece boundary in reach
+                if bisect_left(at, first[stop] - 1) - bisect_left(at, a) < need:
+                    continue
+                unit, both, done = set(), 0, a
+                for q in range(p + 1, stop + 1):
+                    for g in zip(words[done:first[q] - 1], words[done + 1:first[q]]):
+                        if g not in unit:
+                            unit.add(g)
+                            both += g in own
+                    done = first[q] - 1
+                    if (p, q) not in found and 2 * both >= self.threshold * (len(unit) + len(own)):
+                        found[p, q] = self.likest(unit)
+        out, taken = [], bytearray(len(first))
+        for (p, q), (dice, licence, _) in sorted(found.items(), key=lambda x: (-x[1][2], -x[1][0], x[0][1] - x[0][0], x[0])):
+            if licence >= 0 and not any(taken[p:q]):
+                taken[p:q] = b"\1" * (q - p)
+                out.append((first[p], first[q], licence, dice))
+        return sorted(out)
 
     def scan(self, text: bytes) -> dict[int, float]:
         """The matching licences of a text with their best coefficients."""
         best: dict[int, float] = {}
-        lines = text.split(b"\n")
+        lines, words = text.split(b"\n"), normal_words(text)
+        runs = self.runs(text, words)
+        whole = self.match(words, best) if len(lines) > 1 else -1
+        for _, _, licence, dice in runs:
+            if licence != whole and dice > best.get(licence, 0.0):
+                best[licence] = dice
+        at, starts = 0, [a for a, _, _, _ in runs]
         for line in lines:
             words = normal_words(line)
+            first = start = at
+            at += len(words)
             if self.vocabulary.isdisjoint(words):
                 continue
-            self.match(words, best)
+            near = runs[max(0, bisect_right(starts, first) - 1):bisect_left(starts, at)]
+            wrapped = [(a, b) for a, b, _, _ in near if first < b and (a < first or at < b)]
+            if not wrapped:
+                self.match(words, best)
             sentences = SENTENCE.split(line)
             if len(sentences) > 1:
                 for sentence in sentences:
-                    self.match(normal_words(sentence), best)
-        if len(lines) > 1:
-            self.match(normal_words(text), best)
+                    words = normal_words(sentence)
+                    if not any(a < start + len(words) and start < b for a, b in wrapped):
+                        self.match(words, best)
+                    start += len(words)
         return best
 
 

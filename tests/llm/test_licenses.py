@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from sitegraph.llm import licenses as L
 
@@ -33,3 +34,24 @@ def test_against_all_templates(spark, docs, sf_docs):
 
 def test_empty(no_docs):
     assert L.scan_documents(no_docs).count() == 0
+
+
+def test_wrapped_licences_inside_longer_texts():
+    known = L.Templates()
+    before = " ".join(f"A long article {i} about thing{i} stands here{i}. It has{i} some sentences{i} of{i} kind{i}." for i in range(40)) + " "
+    after = before.replace("A long", "More prose").replace("It has", "They follow")
+    for name, text in L.TEMPLATES:
+        for width in (40, 70, 80):
+            for whole in (before + text + " " + after, before.strip() + "\n\n" + text + "\n\n" + after):
+                wrapped = "\n".join(textwrap.fill(part, width) for part in whole.split("\n"))
+                assert [known.names[i] for i in known.scan(wrapped.encode())] == [name], (name, width)
+    mit = L.TEMPLATES[3][1].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    paragraphs = before + "\n\n" + mit + "\n\n" + after
+    assert {known.names[i]: d for i, d in known.scan(paragraphs.encode()).items()} == {"MIT": 1.0}
+    assert {known.names[i]: d for i, d in known.scan((before + L.TEMPLATES[6][1] + " " + after).encode()).items()} == {"Apache-2.0": 1.0}
+
+
+def test_runs_end_on_repeated_lines():
+    text = "permission is hereby granted\nunder the terms of the\n" * 20_000
+    assert L.Templates().scan(text.encode()) == {}
+    assert len(L.Templates().scan(b"All rights\nreserved.\nOther words here.\n" * 20_000)) == 1

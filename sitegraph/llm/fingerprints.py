@@ -6,7 +6,7 @@ and deleted by subtracting it, and equal multisets of paragraphs have equal fing
 
 * 1 lane modulo 2**60 counts paragraphs, 1 counts clauses;
 * 4 lanes modulo 2**60 add the SHA-256 of the paragraph, 60 bits each: they decide equality;
-* 128 lanes modulo 2**14, four to a word (16 bits apart, so no lane carries into another), add the hash bits of the paragraph's clauses. The bits of two unrelated
+* 128 lanes modulo 2**30, two to a word (32 bits apart, so no lane carries into another), add the hash bits of the paragraph's clauses. The bits of two unrelated
   clauses agree by chance, so the centred lanes of two documents correlate as far as they share clauses:
   ``likeness`` is that correlation (0 to 1).
 
@@ -27,8 +27,8 @@ from sitegraph.llm.common import ranked
 from sitegraph.plans.tables import table
 
 WIDE, WIDE_BITS = 4, 60
-WORDS = 32  # of four 14-bit lanes
-ONES, FIELDS = 0x0001000100010001, 0x3FFF3FFF3FFF3FFF
+WORDS = 64  # of two 30-bit lanes
+ONES, FIELDS = 0x0000000100000001, 0x3FFFFFFF3FFFFFFF
 WIDE_MASK = (1 << WIDE_BITS) - 1
 CLAUSE_END = r"(?<=[.!?;:,])\s+|\n"
 LEAST = -(1 << 63)
@@ -51,7 +51,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     for i in range(WIDE):
         lanes.append(_sum(F.col("_wide"), lambda h, i=i: F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("long"), WIDE_MASK))
     for hashes in ("_one", "_two"):
-        for k in range(16):
+        for k in range(32):
             lanes.append(_sum(F.col(hashes), lambda h, k=k: F.shiftrightunsigned(h, k).bitwiseAND(_long(ONES)), FIELDS))
     return df.withColumn(name, F.array(*lanes)).drop("_wide", "_one", "_two")
 
@@ -70,11 +70,12 @@ def combined(a: str | Column, b: str | Column, sign: int = 1) -> Column:
 
 
 def _centred(fp: str) -> Column:
-    """The 128 lanes as sums of +1 and -1; a lane that went around is lifted by the clause count."""
+    """The 128 lanes as sums of +1 and -1. A lane counts clauses, of which no text has 2**30 (a string is at most 2**31
+    bytes, a clause and its end at least 2), so no lane has gone around."""
     count = F.element_at(fp, 2).cast("double")
     lanes = F.flatten(F.transform(F.slice(fp, 3 + WIDE, WORDS), lambda w: F.array(
-        *[F.shiftrightunsigned(w, s).bitwiseAND(_long(0x3FFF)).cast("double") for s in (0, 16, 32, 48)])))
-    return F.transform(lanes, lambda s: (s + F.round((count / 2 - s) / 16384) * 16384) * 2 - count)
+        *[F.shiftrightunsigned(w, s).bitwiseAND(_long(0x3FFFFFFF)).cast("double") for s in (0, 32)])))
+    return F.transform(lanes, lambda s: s * 2 - count)
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:

@@ -61,6 +61,13 @@ def test_lanes_go_around(spark):
     assert P.with_likeness(df, "fa", "fb", "near").first()["near"] > 0.99
 
 
+def test_many_equal_clauses(spark):
+    """A clause that is repeated more often than a narrow lane counts, and two thirds of it."""
+    df = spark.createDataFrame([("0, " * 20_000, "0, " * 13_334), ("0, " * 20_000, "0, " * 20_000 + "1")], "a string, b string")
+    df = P.with_fingerprint(P.with_fingerprint(df, "a", "fa"), "b", "fb")
+    assert all(r["near"] > 0.99 for r in P.with_likeness(df, "fa", "fb", "near").collect())
+
+
 def test_no_python(spark):
     plan = P.op6_multiset_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

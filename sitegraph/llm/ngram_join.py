@@ -44,6 +44,7 @@ from sitegraph.llm.components import components
 from sitegraph.plans.tables import table
 
 SHINGLE, PERCENT = 5, 80
+NO_ID = -1  # stands for a null id in the bitmap of sets; an id of -1 only marks more
 FREQUENT, SMALL_GROUP, WIDTH, FIRST_GROUPS = 16, 16, 16, 8
 WORDS = Words(bytes(b for b in range(256) if b != 32 and not 9 <= b <= 13))
 ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -201,12 +202,15 @@ def _near(percent: int) -> Callable:
 def _sets(shingle: int, shared) -> Callable:
     """The whole sets of the documents that the bitmap of (node, doc_id) marks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat a doc_id and its set, or share the null id, count once a task
         for batch, texts in slices(batches):
             nodes, sets = [], []
             for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts, shingle)):
-                if len(s) and doc_id is not None:
+                if len(s):
                     node = node_of(s)
-                    if marked(shared.value, np.array([_place(node, doc_id)], np.int64).view(np.uint64))[0]:
+                    place = _place(node, NO_ID if doc_id is None else doc_id)
+                    if node not in seen and marked(shared.value, np.array([place], np.int64).view(np.uint64))[0]:
+                        seen.add(node)
                         nodes.append(node)
                         sets.append(signed(s))
             if nodes:
@@ -269,7 +273,8 @@ class Join:
 
     def sets(self, some: DataFrame, nodes: DataFrame) -> DataFrame:
         """``node, tokens``: the whole sets of (at least) ``some`` nodes."""
-        place = F.col("node").bitwiseXOR(F.col("lead")).bitwiseXOR(F.shiftleft("lead", 13))
+        lead = F.coalesce("lead", F.lit(NO_ID).cast("long"))  # null if no row of the set has an id
+        place = F.col("node").bitwiseXOR(lead).bitwiseXOR(F.shiftleft(lead, 13))
         wanted = bitmap(some.distinct().join(nodes.select("node", "lead"), "node"), place)
         return saved(self.docs.mapInArrow(_sets(self.shingle, self.broadcast(wanted)), "node long, tokens array<long>"), "sets")
 

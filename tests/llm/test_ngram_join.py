@@ -65,6 +65,17 @@ def test_crowds_match_all_pairs(spark):
     assert run(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == key(brute(rows))
 
 
+def test_near_copies_without_ids(spark):
+    base = [f"n{i}" for i in range(100)]
+    near = lambda k, name="z": " ".join([*base[:k], f"{name}{k}", *base[k + 1:]])
+    other = lambda k: near(k).replace("n", "m")
+    rows = [(None, near(3)), (None, near(3)), (5, near(50)), (None, other(9)), (None, other(60)), *[(None, near(i, "q").replace("n", "g")) for i in range(30)], (7, near(40, "r").replace("n", "g"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert run(df) == key(brute(rows))
+    left = [r["doc_id"] for r in J.without_copies(df).collect()]
+    assert sorted(left, key=repr) == [5, 7, None]
+
+
 def test_sf(sf_docs):
     assert run(sf_docs) == key(brute([(r["doc_id"], r["text"]) for r in sf_docs.collect()]))
 

@@ -7,8 +7,10 @@ end. Every layer carries, per character, the span of the original text that it c
 layers are reported by that span.
 
 Defined results: a null or empty text has no findings; equal findings of several layers count once; texts are
-scanned whole. Only the decompressed size of one compressed layer is bounded (``max_layer``, a defence against
-decompression bombs); ``n_limited`` reports layers that met it, in no text can it change the base findings.
+scanned whole. Base64 that is wrapped over lines is joined; all members of compressed data are read. Compressed data
+that inflates to more than ``max_layer`` bytes is scanned as a stream in windows of that size that overlap, so memory is
+bounded and nothing is cut off; ``n_limited`` reports such layers. Only an encoded run inside them that is longer than
+the overlap and lies across the end of a window is seen in two parts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +41,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run up to the end of its line and lines of such runs alone, the last perhaps before a closing mark.
+WRAPPED = re.compile(r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*+(?:\r?\n|\r?\Z|["'`)\]},;<])))+={0,2}""")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 HEX_RUN = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 BASE64_RUN = bytes(120 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
-MAX_LAYER = 64 << 20
+MAX_LAYER, OVERLAP, CHUNK = 64 << 20, 1 << 16, 1 << 20
 Span = tuple[int, int, int]  # start, kind, end: in the order of the result
 
 
@@ -119,21 +125,55 @@ def _escapes(run: str) -> list[tuple[str, int, int]] | None:
     return [("�" if 0xD800 <= ord(c) < 0xE000 else c, a, b) for c, a, b in out]
 
 
-def _inflated(raw: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """Decompressed data and whether the limit cut it; None if it isn't compressed."""
+def _decompressor(raw: bytes):
     if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-        kinds = (lambda: zlib.decompressobj(47),)
-    elif raw[:3] == b"BZh":
-        kinds = (bz2.BZ2Decompressor,)
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        kinds = (lambda: lzma.LZMADecompressor(memlimit=256 << 20),)
-    else:
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=256 << 20)
+    return None
+
+
+def _members(raw: bytes) -> Iterator[bytes]:
+    """The decompressed data of all members (padding between them may be zeros), in chunks, as far as it is sound."""
+    while (stream := _decompressor(raw)) is not None:
+        data, out = raw, b""
+        while not stream.eof:
+            try:
+                out = stream.decompress(data, CHUNK)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            data = getattr(stream, "unconsumed_tail", b"")
+            if out:
+                yield out
+            elif not stream.eof and not data:
+                return
+        raw = stream.unused_data.lstrip(b"\0")
+
+
+def _inflated(raw: bytes, limit: int) -> Iterator[tuple[bytes, bool]] | None:
+    """Decompressed data in overlapping windows of ``limit`` bytes, and whether the window is the first of several;
+    None if it isn't compressed."""
+    members = _members(raw)
+    if (first := next(members, None)) is None:
         return None
-    try:
-        data = kinds[0]().decompress(raw, limit + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    return data[:limit], len(data) > limit
+
+    def windows() -> Iterator[tuple[bytes, bool]]:
+        data, overlap, several = bytearray(first), min(OVERLAP, limit // 2), False
+        for chunk in members:
+            data += chunk
+            while len(data) > limit:
+                yield bytes(data[:limit]), not several
+                several = True
+                del data[:limit - overlap]
+        while len(data) > limit:
+            yield bytes(data[:limit]), not several
+            several = True
+            del data[:limit - overlap]
+        yield bytes(data), False
+
+    return windows()
 
 
 def _readable(raw: bytes) -> str | None:
@@ -145,53 +185,90 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _decoded(layer: Layer, pieces: list[tuple[int, int]], limit: int) -> Iterator[tuple[Layer, bool]] | None:
+    """The layers of a base64 run in ``pieces`` of the text; None if it holds nothing readable."""
+    body = "".join(layer.text[a:b] for a, b in pieces).replace("-", "+").replace("_", "/")
+    body = body[:len(body) - 1] if len(body) % 4 == 1 else body
+    try:
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+    except (binascii.Error, ValueError):
+        return None
+    a, b = layer.origin(pieces[0][0], pieces[-1][1])
+    if (inflated := _inflated(raw, limit)) is not None:
+        texts = ((data.decode("utf-8", "replace"), cut) for data, cut in inflated)
+        return ((Layer(t, np.broadcast_to(np.int32(a), len(t)), np.broadcast_to(np.int32(b), len(t))), cut) for t, cut in texts)
+    if (text := _readable(raw)) is None:
+        return None
+    lengths = np.fromiter((len(c.encode()) for c in text), np.int32, len(text))
+    last = np.cumsum(lengths)
+    at = np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in pieces])
+    lo = at[(last - lengths) // 3 * 4]
+    hi = at[np.minimum((last + 2) // 3 * 4, len(at)) - 1]
+    start, end = layer.spans() if layer.start is not None else (None, None)
+    return iter([(Layer(text, lo if start is None else start[lo], hi + 1 if end is None else end[hi]), False)])
+
+
+def _wrapped(pieces: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Blocks of lines as wrapped at one width: the first line may begin elsewhere, the last may be shorter."""
+    while len(pieces) > 1:
+        width, n = pieces[1][1] - pieces[1][0], 2
+        if pieces[0][1] - pieces[0][0] <= width:
+            while n < len(pieces) and pieces[n - 1][1] - pieces[n - 1][0] == width >= pieces[n][1] - pieces[n][0]:
+                n += 1
+        yield pieces[:n]
+        pieces = pieces[n:]
+
+
 def _base64(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:
+    joined, ends = [], []  # the wrapped runs
+    if "\n" in layer.text:
+        for m in WRAPPED.finditer(layer.text):
+            for pieces in _wrapped([r.span() for r in RUN.finditer(layer.text, m.start(), m.end())]):
+                for some in (pieces, pieces[:-1]):  # the last line may be a word that follows
+                    if len(some) > 1 and (found := _decoded(layer, some, limit)) is not None:
+                        joined.append(some[0][0])
+                        ends.append(some[-1][1])
+                        yield from found
+                        break
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        body = body[:len(body) - 1] if len(body) % 4 == 1 else body
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        a, b = layer.origin(m.start(), m.end())
-        if (inflated := _inflated(raw, limit)) is not None:
-            text = inflated[0].decode("utf-8", "replace")
-            yield Layer(text, np.full(len(text), a, np.int32), np.full(len(text), b, np.int32)), inflated[1]
-        elif (text := _readable(raw)) is not None:
-            lengths = np.fromiter((len(c.encode()) for c in text), np.int32, len(text))
-            last = np.cumsum(lengths)
-            lo = m.start() + (last - lengths) // 3 * 4
-            hi = np.minimum(m.start() + (last + 2) // 3 * 4, m.end())
-            start, end = layer.spans() if layer.start is not None else (None, None)
-            yield Layer(text, lo.astype(np.int32) if start is None else start[lo], hi.astype(np.int32) if end is None else end[hi - 1]), False
+        a, b = m.start(), m.start() + len(m[0].rstrip("="))
+        k = bisect_right(joined, a) - 1
+        if (k < 0 or b > ends[k]) and (found := _decoded(layer, [(a, b)], limit)) is not None:
+            yield from found
 
 
 def findings(text: str, max_layer: int = MAX_LAYER) -> tuple[list[Span], set[Span], int, int]:
     """Base findings, all findings (mapped to the text), layers scanned, and layers that met ``max_layer``."""
     base = scan(text)
-    found, work, seen, layers, limited = set(base), [Layer(text)], set(), 0, 0
+    found, seen, layers, limited = set(base), set(), 0, 0
+
+    def inner(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
+        if "%" in layer.text:
+            yield _replaced(layer, PERCENT, _percent), False
+        if "\\" in layer.text or "&#" in layer.text:
+            yield _replaced(layer, ESCAPE, _escapes), False
+        if b"x" * 16 in layer.text.encode("utf-8", "surrogatepass").translate(BASE64_RUN):
+            yield from _base64(layer, max_layer)
+
+    work = [iter([(Layer(text), False)])]  # depth first, so one window of a large layer is held at a time
     while work:
-        layer = work.pop()
-        layers += 1
+        layer, cut = next(work[-1], (None, None))
+        if cut is None:
+            work.pop()
+            continue
+        limited += cut
+        if layer is None or (layer.start is not None and not layer.text):
+            continue
         if layer.start is not None:
+            key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.origin(0, len(layer.text)))
+            if key in seen:
+                continue
+            seen.add(key)
             for a, kind, b in scan(layer.text):
                 lo, hi = layer.origin(a, b)
                 found.add((lo, kind, hi))
-        inner: list[Layer | None] = []
-        if "%" in layer.text:
-            inner.append(_replaced(layer, PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
-            inner.append(_replaced(layer, ESCAPE, _escapes))
-        if b"x" * 16 in layer.text.encode("utf-8", "surrogatepass").translate(BASE64_RUN):
-            for decoded, cut in _base64(layer, max_layer):
-                inner.append(decoded)
-                limited += cut
-        for x in inner:
-            if x is not None and x.text:
-                key = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *x.origin(0, len(x.text)))
-                if key not in seen:
-                    seen.add(key)
-                    work.append(x)
+        layers += 1
+        work.append(inner(layer))
     return base, found, layers, limited
 
 

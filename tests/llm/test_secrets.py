@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from urllib.parse import quote
@@ -62,6 +64,35 @@ def test_cycles_and_bombs_end():
     assert S.findings(quote("%25" * 2000))[2] < 10
 
 
+def test_wrapped_base64():
+    filler = "".join(f"line {i * 7919} of some filler text\n" for i in range(40))
+    for data in ((filler + SECRET + "\n" + filler).encode(), *(pack((filler + SECRET).encode()) for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress))):
+        flat = base64.b64encode(data).decode()
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\n    "):
+                lines = end.join(flat[i:i + width] for i in range(0, len(flat), width))
+                for text in (f"key: |{end}{lines}{end}Thanks", f"-----BEGIN X-----{end}{lines}{end}-----END X-----", f'data = "{lines}"; more'):
+                    base, found, _, _ = S.findings(text)
+                    assert not [x for x in base if x[1] == 0] and any(k == 0 for _, k, _ in found), (width, end, text[:20])
+                    assert "[REDACTED]" in S.redact(text)
+    token = "token = abcdef123456"
+    for pad in range(30, 70):  # the secret lies across a line end
+        flat = base64.b64encode(("x" * pad + " " + token + " " + "y" * 40).encode()).decode()
+        text = flat[:64] + "\n" + flat[64:128] + ("\n" + flat[128:] if flat[128:] else "")
+        (a, _, b), = S.findings(text)[1]
+        assert token in base64.b64decode("".join((text[:a] + text[a:b]).split()) + "====").decode("latin-1") and b - a < 40
+
+
+def test_all_members_and_all_of_a_large_layer():
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        text = base64.b64encode(pack(b"first member") + pack(SECRET.encode())).decode()
+        assert [k for _, k, _ in S.findings(text)[1]] == [0]
+        for at in (100, 99_990, 1_500_000):
+            large = base64.b64encode(pack(b"a b\n" * (at // 4) + b" " + SECRET.encode() + b" " + b"c d\n" * 400_000)).decode()
+            _, found, _, limited = S.findings(large, max_layer=100_000)
+            assert [k for _, k, _ in found] == [0] and limited == 1
+
+
 def test_redaction(docs):
     rows = {r["doc_id"]: r for r in S.redact_documents(docs).collect() if r["doc_id"] is not None}
     assert rows[1]["text"].startswith("[REDACTED] and [REDACTED]\nalpha") and rows[1]["n_chars"] == len(rows[1]["text"])

@@ -20,6 +20,12 @@ A document's set holds the 64-bit hashes of its distinct ``shingle``-word runs.
    candidates; the rest meet with their whole sets.
 5. Components of the verified links; a document's component is named by its least doc_id.
 
+6. All links, on request. Components need no links between members that are already together; the exact pass tests all
+   pairs of every large group: groups with equal members count once, a group is dealt into blocks by hash (at most
+   ``BLOCK`` members or ``BLOCK_TOKENS`` shingles), and every two blocks meet in a task's cell with their whole sets. With
+   the verified pairs of the small groups these are all links between distinct sets. This work does grow with the
+   square of a group's size, as its links can.
+
 Signatures, candidates and links are written tables. Nothing that grows with the data is collected or broadcast.
 Set identity uses 64-bit hashes: a wrong link needs colliding shingles inside one candidate pair.
 
@@ -44,6 +50,7 @@ from sitegraph.llm.components import components
 from sitegraph.plans.tables import table
 
 SHINGLE, PERCENT = 5, 80
+BLOCK, BLOCK_TOKENS, COLUMNS = 64, 1 << 19, 8192
 NO_ID = -1  # stands for a null id in the bitmap of sets; an id of -1 only marks more
 FREQUENT, SMALL_GROUP, WIDTH, FIRST_GROUPS = 16, 16, 16, 8
 WORDS = Words(bytes(b for b in range(256) if b != 32 and not 9 <= b <= 13))
@@ -219,6 +226,33 @@ def _sets(shingle: int, shared) -> Callable:
     return run
 
 
+def _cell(percent: int) -> Callable:
+    """The pairs ``a < b`` of a cell that link: of its two blocks with each other, or of its only block."""
+    def run(cell: pa.Table) -> pa.Table:
+        nodes, where = np.unique(cell.column("node").to_numpy(), return_index=True)
+        cell = cell.take(pa.array(where)).combine_chunks()
+        block, tokens = cell.column("block").to_numpy(), cell.column("tokens").combine_chunks()
+        sizes = np.diff(tokens.offsets.to_numpy())
+        _, token, count = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, shared = np.repeat(np.arange(len(nodes)), sizes), count[token] > 1
+        place = np.cumsum(count > 1) - 1
+        row, token = row[shared], place[token[shared]]
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        common = np.zeros((len(nodes), len(nodes)))
+        for at in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+            lo, hi = np.searchsorted(token, (at, at + COLUMNS))
+            part = np.zeros((len(nodes), COLUMNS), np.float32)
+            part[row[lo:hi], token[lo:hi] - at] = 1
+            common += part @ part.T
+        links = common * (100 + percent) >= (sizes[:, None] + sizes[None, :]) * percent
+        if cell.column("i")[0].as_py() != cell.column("j")[0].as_py():
+            links &= block[:, None] != block[None, :]
+        a, b = np.nonzero(np.triu(links, 1))
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+    return run
+
+
 def _place(node: int, doc_id: int) -> int:
     """As ``node ^ doc_id ^ (doc_id << 13)`` on 64 bits."""
     return ((node ^ doc_id ^ (doc_id << 13)) + (1 << 63)) % (1 << 64) - (1 << 63)
@@ -302,6 +336,7 @@ class Join:
         near = self.near(tested, nodes)
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")), nodes)
         links = saved(self.linked(near, sets), "links")
+        self.many, self.whole, self.verified = many, sets, links
         found = saved(components(links), "components")
         used, width = hubs.select("sig", "cls", "node").limit(0), WIDTH
         while True:
@@ -334,9 +369,23 @@ class Join:
             met = met.where("component <> ch")
         return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
-    def run(self) -> DataFrame:
+    def all_links(self) -> DataFrame:
+        """All links ``a < b`` between distinct sets (after ``links``)."""
+        can = self.many.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * self.percent)  # else no set is near enough
+        group = can.groupBy("sig", "cls").agg(F.count("*").alias("m"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "node")).alias("h2"))
+        once = group.where("m > 1").groupBy("m", "h1", "h2").agg(F.min_by(F.struct("sig", "cls", "most"), F.struct("sig", "cls")).alias("g"))
+        blocks = F.ceil(F.col("m") / F.expr(f"greatest(2, least({BLOCK}, {BLOCK_TOKENS} div g.most))"))
+        once = once.select("g.sig", "g.cls", blocks.cast("int").alias("blocks"))
+        dealt = can.join(once, ["sig", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = dealt.select("sig", "cls", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        cells = dealt.join(self.whole, "node").groupBy("sig", "cls", "i", "j").applyInArrow(_cell(self.percent), "a long, b long")
+        return saved(saved(cells, "cell-links").unionByName(self.verified).distinct(), "all-links")
+
+    def run(self, count: bool = False) -> DataFrame:
         """``doc_id, n_shingles, component_id, set_id, component``: the last two name the distinct set and the
-        component by a set's hash (null without words), whatever the doc_ids."""
+        component by a set's hash (null without words), whatever the doc_ids. With ``count`` also ``n_links``: the
+        number of other distinct sets that the document's set links with."""
         features = self.classes()
         nodes = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bits").alias("bits"))
         nodes = saved(nodes, "nodes")
@@ -344,14 +393,27 @@ class Join:
         placed = nodes.select("node", "lead").join(found, "node", "left").select("node", "lead", F.coalesce("component", "node").alias("component"))
         names = placed.groupBy("component").agg(F.min("lead").alias("component_id"))
         named = saved(placed.join(names, "component").select("node", "component", "component_id"), "named")
-        rows = features.select("doc_id", "n", "node").join(named, "node", "left")
+        rows, more = features.select("doc_id", "n", "node").join(named, "node", "left"), []
+        if count:
+            ends = self.all_links().select(F.explode(F.array("a", "b")).alias("node"))
+            rows = rows.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
+            more = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                           F.col("node").alias("set_id"), "component")
+                           F.col("node").alias("set_id"), "component", *more)
+
+
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, count: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, set_id, component`` (and ``n_links`` with ``count``)."""
+    return Join(docs, shingle, percent).run(count)
 
 
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, set_id, component``."""
-    return Join(docs, shingle, percent).run()
+def document_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """All links between distinct sets, ``a < b`` by the ``set_id`` of ``similar_documents``."""
+    join = Join(docs, shingle, percent)
+    features = join.classes()
+    nodes = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    join.links(features, saved(nodes, "nodes"))
+    return join.all_links()
 
 
 def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -396,4 +458,4 @@ def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents"), count=True)

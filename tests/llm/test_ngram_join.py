@@ -76,6 +76,18 @@ def test_near_copies_without_ids(spark):
     assert sorted(left, key=repr) == [5, 7, None]
 
 
+def test_all_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)  # several blocks a group
+    rows = [*crowd(4, 90), (900, crowd(4, 90)[1][1]), (901, None)]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").split()
+        sets[i] = frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4))
+    want = {i: sum(100 * len(s & t) >= 80 * len(s | t) for t in set(sets.values()) if t != s and s) for i, s in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in J.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), count=True).collect()}
+    assert got == want and max(want.values()) > 2 * J.SMALL_GROUP
+
+
 def test_sf(sf_docs):
     assert run(sf_docs) == key(brute([(r["doc_id"], r["text"]) for r in sf_docs.collect()]))
 

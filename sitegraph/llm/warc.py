@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sitegraph.llm.common import bitmap, marked, ranked, shared_files, shared_path, slices
 from sitegraph.plans.tables import table
 
-LEVEL, ROLL_BYTES, DATE = 1, 16 << 20, "2024-01-01T00:00:00Z"
+LEVEL, ROLL_BYTES, DATE = 6, 16 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 KEY = ("page_id", "url", "sha1")
 TYPED = "page_id long, url string, sha1 string, member binary, size long"

@@ -61,3 +61,9 @@ def test_files_do_not_depend_on_partitions(spark, pages):
 def test_empty(spark, pages):
     folder = shared_path(spark, "warc-test")
     assert W.write_archives(pages.limit(0), folder).count() == 0 and W.read_archives(spark, folder).count() == 0
+
+
+def test_compression_level():
+    from sitegraph.llm import warc
+
+    assert warc.LEVEL == 6

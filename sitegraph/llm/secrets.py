@@ -210,13 +210,14 @@ def _decoded(layer: Layer, pieces: list[tuple[int, int]], limit: int) -> Iterato
 
 def _wrapped(pieces: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
     """Blocks of lines as wrapped at one width: the first line may begin elsewhere, the last may be shorter."""
-    while len(pieces) > 1:
-        width, n = pieces[1][1] - pieces[1][0], 2
-        if pieces[0][1] - pieces[0][0] <= width:
+    at = 0
+    while len(pieces) - at > 1:
+        width, n = pieces[at + 1][1] - pieces[at + 1][0], at + 2
+        if pieces[at][1] - pieces[at][0] <= width:
             while n < len(pieces) and pieces[n - 1][1] - pieces[n - 1][0] == width >= pieces[n][1] - pieces[n][0]:
                 n += 1
-        yield pieces[:n]
-        pieces = pieces[n:]
+        yield pieces[at:n]
+        at = n
 
 
 def _base64(layer: Layer, limit: int) -> Iterator[tuple[Layer, bool]]:

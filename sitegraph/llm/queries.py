@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sitegraph.llm.decontamination import op10_decontamination
 from sitegraph.llm.fingerprints import op6_multiset_fingerprints
+from sitegraph.llm.hard_negatives import SQL as HARD_NEGATIVES, op11_hard_negatives
 from sitegraph.llm.html_text import op5_main_text
 from sitegraph.llm.licenses import op4_license_scan
 from sitegraph.llm.ngram_join import op2_ngram_join
@@ -15,6 +16,6 @@ from sitegraph.llm.warc import op3_warc_archives
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_ngram_join, op3_warc_archives, op4_license_scan, op5_main_text, op6_multiset_fingerprints,
-    op7_best_fit_packing, op8_stratified_shards, op9_toxicity, op10_decontamination)}
-#: No operator has an oracle: SQL cannot express them; tests/llm checks each against a brute-force version.
-ORACLE: dict[str, str] = {}
+    op7_best_fit_packing, op8_stratified_shards, op9_toxicity, op10_decontamination, op11_hard_negatives)}
+#: The other operators have no oracle; tests/llm checks each against a brute-force version.
+ORACLE: dict[str, str] = {"op11_hard_negatives": HARD_NEGATIVES}

@@ -9,7 +9,7 @@ All are aggregates with partial (map-side) combine, or equi-joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import js_round
@@ -122,7 +122,11 @@ def job_eta(jobs: DataFrame, batch: str = "batch_id", ts: str = "ts_s", start: s
     """Seconds per finished job × jobs left. ``start``/``now`` default to
     the first and last event time of the submission (epoch seconds)."""
     aggs = _progress_aggs() + [F.min(start or ts).alias("start_s"), F.max(now or ts).alias("now_s")]
-    g = latest_states(jobs).groupBy(batch).agg(*aggs)
+    return eta_columns(latest_states(jobs).groupBy(batch).agg(*aggs), batch)
+
+
+def eta_columns(g: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """The estimate from ``total, completed, start_s, now_s``."""
     remaining = F.col("total") - F.col("completed")
     elapsed = F.col("now_s") - F.col("start_s")
     rem_s = elapsed / F.col("completed") * remaining
@@ -133,6 +137,43 @@ def job_eta(jobs: DataFrame, batch: str = "batch_id", ts: str = "ts_s", start: s
                     F.when(F.col("completed") > 0, rem_s).alias("remaining_seconds"), text.alias("eta_text"))
 
 
+COUNTER_SCHEMA = "batch_id string, total long, completed long, errors long, queued long, first_s double, last_s double"
+COUNTER_MERGE = {"total": "sum", "completed": "sum", "errors": "sum", "queued": "sum", "first_s": "min", "last_s": "max"}
+
+
+def counter_changes(new: DataFrame, old: DataFrame) -> DataFrame:
+    """G6–G8 by retraction: what the ``new`` states of some jobs change in the
+    counters of their submissions (``COUNTER_SCHEMA``). The jobs' ``old``
+    states subtract, the new ones add; first and last times only widen."""
+    def signed(states: DataFrame, sign: int) -> DataFrame:
+        def n(when: Column, name: str) -> Column:
+            return F.sum(F.when(when, sign).otherwise(0)).alias(name)
+
+        status = F.col("status")
+        return states.groupBy("batch_id").agg(
+            n(F.lit(True), "total"), n(status.isin(COMPLETE, ERROR), "completed"), n(status == ERROR, "errors"), n(status == QUEUED, "queued"),
+            F.min("ts_s").alias("first_s"), F.max("ts_s").alias("last_s"))
+
+    both = signed(new, 1).unionByName(signed(old, -1))
+    return both.groupBy("batch_id").agg(*[getattr(F, kind)(c).alias(c) for c, kind in COUNTER_MERGE.items()])
+
+
+def progress_of(counters: DataFrame) -> DataFrame:
+    """G6 of kept counters: one row read per submission."""
+    live = counters.where("total > 0").withColumn("has_errors", F.col("errors") > 0)
+    return progress_columns(live.select("batch_id", "total", "completed", "has_errors"))
+
+
+def eta_of(counters: DataFrame) -> DataFrame:
+    """G7 of kept counters."""
+    return eta_columns(counters.where("total > 0").withColumnsRenamed({"first_s": "start_s", "last_s": "now_s"}))
+
+
+def queue_sizes_of(counters: DataFrame) -> DataFrame:
+    """G8 of kept counters."""
+    return counters.agg(F.coalesce(F.sum("queued"), F.lit(0)).alias("queue_size"), F.coalesce(F.sum(F.col("total") - F.col("queued")), F.lit(0)).alias("results_size"))
+
+
 def queue_sizes(jobs: DataFrame) -> DataFrame:
     """Pending and finished job counts (one row)."""
     return latest_states(jobs).agg(F.count_if(F.col("status") == QUEUED).alias("queue_size"),

@@ -1,4 +1,5 @@
-"""Company document store as versioned hash parts (``PartStore``).
+"""Company document store as a log-structured table (``LogStore``), with a
+second one as an index from websites to names.
 
 P6 default timestamp, P7 document, A7/A8 upsert (J7 full outer join, S16:
 only supplied columns overwrite, an explicit NULL included), G9 counters,
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .parts import PartStore
+from .log_store import LogStore
 
 # A document is found by its name; a list of several parts has one for each.
 KEY = "company_name"
@@ -55,7 +56,6 @@ def upsert(store: DataFrame, updates: DataFrame, supplied: list[str]) -> DataFra
     included) and keeps the rest; an unmatched update is inserted with NULL
     for columns it does not supply. Adds ``_matched``, ``_inserted`` and
     ``_modified`` (matched and some supplied column changed, NULL-safe).
-    ``upsert_snapshot`` gives it only the parts that the updates touch.
     """
     return _merge(store, updates, supplied)
 
@@ -119,13 +119,28 @@ def lookup(store: DataFrame, probes: DataFrame, probe_col: str, field: str) -> D
 
 # --- A6 / A9: versions --------------------------------------------------------
 
-def open_store(spark: SparkSession, root: str) -> PartStore:
-    return PartStore(spark, root, KEY, DOC_SCHEMA)
+def open_store(spark: SparkSession, root: str, **settings: int) -> LogStore:
+    return LogStore(spark, f"{root.rstrip('/')}/documents", KEYS, DOC_SCHEMA, **settings)
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> int:
-    """A whole new version (all parts)."""
-    return open_store(df.sparkSession, root).write(df, version)
+def open_index(spark: SparkSession, root: str, **settings: int) -> LogStore:
+    """Which names had a document with a website, up to now: entries outlive a
+    change of the website, so readers check the document."""
+    return LogStore(spark, f"{root.rstrip('/')}/websites", ["website_url", KEY], f"website_url string, {KEY} string", **settings)
+
+
+def _index(spark: SparkSession, root: str, rows: DataFrame, **settings: int) -> None:
+    """Add the websites of ``rows``. Runs before the documents' commit: an
+    entry without its document does no harm, a missing entry would."""
+    found = rows.where("website_url is not null").select("website_url", KEY).distinct()
+    open_index(spark, root, **settings).append(found)
+
+
+def write_snapshot(df: DataFrame, root: str, version: int | None = None, **settings: int) -> int:
+    """A whole new version."""
+    df = stored(df, "store-snapshot")
+    _index(df.sparkSession, root, df, **settings)
+    return open_store(df.sparkSession, root, **settings).replace(df, version)
 
 
 def scan_store(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -135,20 +150,32 @@ def scan_store(spark: SparkSession, root: str, version: int | None = None) -> Da
 
 def reset_store(spark: SparkSession, root: str) -> int:
     """A new, empty version (full refresh, S19)."""
-    v = open_store(spark, root).latest()
-    return write_snapshot(spark.createDataFrame([], DOC_SCHEMA), root, 0 if v is None else v + 1)
+    return open_store(spark, root).replace(spark.createDataFrame([], DOC_SCHEMA))
 
 
 def upsert_snapshot(spark: SparkSession, root: str, updates: DataFrame, now: float, order: str,
-                    version: int | None = None) -> int:
-    """A7/A8 end to end: upsert the batch into the newest version and commit
-    the next one (or ``version``, based on the newest before it). Only the
-    parts that hold keys of the batch are read and rewritten."""
-    store = open_store(spark, root)
-    base = store.latest(None if version is None else version - 1)
+                    version: int | None = None, **settings: int) -> int:
+    """A7/A8 end to end: append the batch to the newest version and commit the
+    next one (or ``version``, based on the newest before it). The batch's own
+    rows are all that is written, but for compaction."""
     u, supplied = prepare_updates(updates, now, order)
-    u = stored(u, "store-updates")
-    touched = store.touched(u)
-    before = store.read(base, touched) if base is not None else spark.createDataFrame([], DOC_SCHEMA)
-    after = documents(upsert(before, u, supplied))
-    return store.write(after, (0 if base is None else base + 1) if version is None else version, base, touched)
+    if "website_url" in supplied:
+        u = stored(u, "store-updates")
+        _index(spark, root, u, **settings)
+    return open_store(spark, root, **settings).append(u, version, [*supplied, "part", "company_name_normalized"])
+
+
+def find(spark: SparkSession, root: str, probes: DataFrame, probe_col: str, field: str) -> DataFrame:
+    """F8/L2 on the stored documents, by ``company_name`` or ``website_url``:
+    only the buckets of the probed names are read; names of websites come from
+    the buckets of the probed websites in the index."""
+    p = probes.select(F.col(probe_col).alias("probe")).dropDuplicates()
+    docs, names = open_store(spark, root), p
+    if field == "website_url":
+        index = open_index(spark, root)
+        entries = index.read(buckets=index.buckets_of(p, F.col("probe")))
+        names = stored(entries.join(p, entries["website_url"] == p["probe"], "left_semi").select(F.col(KEY).alias("probe")).distinct(), "store-names")
+    read = docs.read(buckets=docs.buckets_of(names, F.col("probe")))
+    if field == "website_url":
+        read = read.join(names.select(F.col("probe").alias("_name")), F.col(KEY) == F.col("_name"), "left_semi")
+    return lookup(read, p, "probe", field)

@@ -284,3 +284,15 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
     queued = final.select("job_id", "batch_id", (F.col("seq") - 1 - 2 * JOB_DELAY).alias("seq"), F.lit("queued").alias("status"),
                           F.lit(None).cast("string").alias("message"), none.alias("data"), "ts_s")
     return queued.unionByName(final.where(F.col("status") != "queued"))
+
+
+def submissions(spark: SparkSession, sf: str, uploads: int) -> DataFrame:
+    """Company rows of ``uploads`` uploads: one per event, ``Company
+    <user_id>`` (upper-cased on odd event ids) with a website per event type;
+    equal shares of the events by id make up the uploads."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    n = e.count()
+    name = F.concat(F.lit("Company "), F.col("user_id").cast("string"))
+    name = F.when(F.col("event_id") % 2 == 1, F.upper(name)).otherwise(name)
+    web = F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit(".example.com/"), F.col("event_type"))
+    return e.select(F.col("event_id").alias("_ord"), name.alias("company"), web.alias("website"), F.floor(F.col("event_id") * uploads / F.lit(n)).cast("int").alias("upload"))

@@ -150,6 +150,7 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+from .stream_queries import KEEP_MINUTES, UPLOAD_MINUTES  # noqa: E402
 from ..operators.insights import _PROMPT_HEAD, _PROMPT_TAIL  # noqa: E402
 from ..operators.jobs import ALL_DONE_TEXT as J_DONE, DONE_WITH_ERRORS_TEXT as J_DONE_ERR  # noqa: E402
 
@@ -356,7 +357,39 @@ SELECT job_id,
 FROM ({JOBS}) WHERE status <> 'queued'
 """
 
+STORE_COMPACTION = f"""
+SELECT s.*, t.stage FROM ({STORE_UPSERT}) s CROSS JOIN (VALUES ('deltas'), ('compacted')) AS t(stage)
+"""
+
+# One upload after the other: the watermark before an upload is the greatest time so far less the delay. A key is kept
+# if its upload is ahead of the watermark and no kept row of the key is still remembered.
+STREAM_DEDUPE_WITHIN = f"""
+WITH RECURSIVE sent AS (
+  SELECT upload, minute, max(minute) OVER (ORDER BY upload ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {KEEP_MINUTES} AS mark
+  FROM (VALUES {", ".join(f"({i}, {m})" for i, m in enumerate(UPLOAD_MINUTES))}) AS u(upload, minute)),
+r AS (
+  SELECT event_id AS _ord, CASE WHEN event_id % 2 = 1 THEN upper('Company ' || user_id) ELSE 'Company ' || user_id END AS company,
+         'https://c' || user_id || '.example.com/' || event_type AS website_url,
+         CAST(floor(event_id * {len(UPLOAD_MINUTES)} / count(*) OVER ()) AS INTEGER) AS upload FROM events),
+f AS (
+  SELECT upload, lower(company) || ':' || lower(website_url) AS unique_key, min(_ord) AS _ord FROM r GROUP BY upload, unique_key),
+keys AS (SELECT DISTINCT unique_key FROM f),
+walk AS (
+  SELECT -1 AS upload, unique_key, CAST(NULL AS INTEGER) AS last, false AS kept FROM keys
+  UNION ALL
+  SELECT upload, unique_key, CASE WHEN keep THEN minute ELSE last END, keep FROM (
+    SELECT s.upload, w.unique_key, w.last, s.minute,
+           f._ord IS NOT NULL AND coalesce(s.minute > s.mark, true) AND coalesce(w.last + {KEEP_MINUTES} <= s.mark, w.last IS NULL) AS keep
+    FROM walk w JOIN sent s ON s.upload = w.upload + 1 LEFT JOIN f ON f.upload = s.upload AND f.unique_key = w.unique_key))
+SELECT w.upload, w.unique_key, f._ord, r.company, r.website_url
+FROM walk w JOIN f ON w.kept AND f.upload = w.upload AND f.unique_key = w.unique_key JOIN r ON r._ord = f._ord
+"""
+
 ORACLE = {
+    "store_compaction": STORE_COMPACTION,
+    "stream_eta": JOB_ETA,
+    "stream_queue_sizes": QUEUE_SIZES,
+    "stream_dedupe_within": STREAM_DEDUPE_WITHIN,
     "stream_dedupe": f"SELECT company, website_url, unique_key FROM ({COMPANY_DEDUPE})",
     "processed_jobs": PROCESSED_JOBS,
     "processed_store": PROCESSED_STORE,

@@ -237,18 +237,35 @@ def store_latest(spark: SparkSession, sf: str) -> DataFrame:
     return _store_view(S.latest_per_company(S.documents(_upserted(spark, sf))))
 
 
+def store_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    """The update batch in many small ones, appended to a store of
+    small buckets: read through its deltas, and again after compaction."""
+    root, settings = SQ._run_dir(spark, "store-compaction"), {"bucket_rows": 64, "max_deltas": 4}
+    S.write_snapshot(B.store_snapshot(spark, sf), root, 0, **settings)
+    updates = stored(B.store_updates(spark, sf), "updates")
+    for part in SQ._chunks(updates, "event_id", 6):
+        S.upsert_snapshot(spark, root, part, B.STORE_NOW, "event_id", **settings)
+    store = S.open_store(spark, root, **settings)
+    before, after = store.latest(), store.compact()
+    both = [_store_view(store.read(v)).withColumn("stage", F.lit(name)) for v, name in ((before, "deltas"), (after, "compacted"))]
+    return both[0].unionByName(both[1])
+
+
 def store_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """F8/L2: find-one by exact name (both spellings and an unknown
-    lower-case one per user) and by website."""
-    store = S.documents(_upserted(spark, sf))
+    """F8/L2: find-one in the stored documents by exact name (both spellings
+    and an unknown lower-case one per user) and by website, through the
+    buckets of the probes."""
+    root = SQ._run_dir(spark, "store-lookup")
+    S.write_snapshot(B.store_snapshot(spark, sf), root, 0)
+    S.upsert_snapshot(spark, root, B.store_updates(spark, sf), B.STORE_NOW, "event_id")
     users = table(spark, sf, "events").select("user_id").dropDuplicates()
     base = F.concat(F.lit("Company "), F.col("user_id").cast("string"))
     names = users.select(F.explode(F.array(base, F.upper(base), F.lower(base))).alias("probe"))
     web = users.select(F.explode(F.array(
         F.concat(F.lit("https://c"), F.col("user_id").cast("string"), F.lit(".example.com/view")),
         F.concat(F.lit("https://c"), F.col("user_id").cast("string"), F.lit(".example.com/none")))).alias("probe"))
-    by_name = S.lookup(store, names, "probe", "company_name").withColumn("by", F.lit("name"))
-    by_web = S.lookup(store, web, "probe", "website_url").withColumn("by", F.lit("website"))
+    by_name = S.find(spark, root, names, "probe", "company_name").withColumn("by", F.lit("name"))
+    by_web = S.find(spark, root, web, "probe", "website_url").withColumn("by", F.lit("website"))
     cols = ["by", "probe", "found", "company_name", "website_url", "ai_insights", "last_updated"]
     return by_name.select(*cols).unionByName(by_web.select(*cols))
 
@@ -316,6 +333,7 @@ REGISTRY = {
     "store_upsert_counts": store_upsert_counts,
     "store_latest": store_latest,
     "store_lookup": store_lookup,
+    "store_compaction": store_compaction,
     "results_dedupe": results_dedupe,
     "job_status_lookup": job_status_lookup,
     "job_progress": job_progress,
@@ -326,5 +344,8 @@ REGISTRY = {
     "stream_company_upsert": SQ.stream_company_upsert,
     "stream_status": SQ.stream_status,
     "stream_job_status": SQ.stream_job_status,
+    "stream_eta": SQ.stream_eta,
+    "stream_queue_sizes": SQ.stream_queue_sizes,
+    "stream_dedupe_within": SQ.stream_dedupe_within,
     "page_links": page_links,
 }

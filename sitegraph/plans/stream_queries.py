@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import jobs as J
-from ..session import ensure_checkpoint_dir
+from ..operators.normalize import normalize_companies
+from ..session import ensure_checkpoint_dir, stored
 from ..streaming import streams as T
 from . import bindings as B
 
@@ -36,24 +37,26 @@ def _ranges(df: DataFrame, order: str, n: int = CHUNKS):
 
 
 def _start(spark: SparkSession, start_query, checkpoint: str, first: bool):
-    """Start one ``availableNow`` run. On the first start the state store is
-    sized to the cluster's cores (the count is then fixed in the checkpoint);
-    the session setting is restored right after."""
+    """Start one ``availableNow`` run with state in RocksDB. On the first
+    start the state store is sized to the cluster's cores (the count is then
+    fixed in the checkpoint); the session settings are restored right after."""
     writer = start_query().option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if not first:
-        return writer.start()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    settings = {"spark.sql.streaming.stateStore.providerClass": T.ROCKSDB}
+    if first:
+        settings["spark.sql.shuffle.partitions"] = str(max(1, spark.sparkContext.defaultParallelism))
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
-def _chunks(df: DataFrame, order: str):
+def _chunks(df: DataFrame, order: str, n: int = CHUNKS):
     """The rows of each range of ``order``."""
-    for lo, hi in _ranges(df, order):
+    for lo, hi in _ranges(df, order, n):
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (F.col(order) >= lo)
@@ -116,26 +119,69 @@ def stream_company_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _job_states(spark: SparkSession, sf: str, name: str) -> str:
-    """Run the bound job log through the state stream; returns the state's root."""
+    """Run the bound job log through the state stream; returns the tables' root."""
     run = _run_dir(spark, name)
     src, out = f"{run}/in", f"{run}/out"
-    log = B.jobs(spark, sf).select("job_id", F.col("batch_id").cast("string").alias("batch_id"), "seq", "status", "message")
+    log = B.jobs(spark, sf).select("job_id", F.col("batch_id").cast("string").alias("batch_id"), "seq", "status", "message", "ts_s")
     schema = log.schema
 
     def start():
-        return spark.readStream.schema(schema).parquet(src).writeStream.foreachBatch(T.job_state_writer(out))
+        return T.job_state_query(spark.readStream.schema(schema).parquet(src), out)
 
     _replay(log, "seq", src, start, f"{run}/ckpt")
     return out
 
 
 def stream_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Job states arriving over time, progress per submission."""
-    progress = T.latest_progress(spark, _job_states(spark, sf, "status"))
-    return J.progress_columns(progress.withColumn("batch_id", F.col("batch_id").cast("long")))
+    """Job states arriving over time, progress polled from the counters."""
+    return J.progress_of(T.counters(spark, _job_states(spark, sf, "status"))).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def stream_eta(spark: SparkSession, sf: str) -> DataFrame:
+    """G7 polled from the counters of that stream."""
+    return J.eta_of(T.counters(spark, _job_states(spark, sf, "eta"))).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def stream_queue_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """G8 polled from the counters of that stream."""
+    return J.queue_sizes_of(T.counters(spark, _job_states(spark, sf, "queue")))
 
 
 def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
     """Each job is first queued, then reaches its final state later; the
-    stream keeps the latest state per job."""
+    stream's state keeps the newest one per job."""
     return T.latest_status(spark, _job_states(spark, sf, "jobstatus"))
+
+
+#: When the uploads of ``stream_dedupe_within`` were sent (minutes), in the order they arrive, and how long a key is kept.
+UPLOAD_MINUTES, KEEP_MINUTES = (0, 60, 150, 240, 192, 30, 360, 432, 174, 540, 582, 780), 180
+
+
+def stream_dedupe_within(spark: SparkSession, sf: str) -> DataFrame:
+    """T2 within a watermark: uploads (one per twelfth of the events) arrive
+    one by one, two of them too late. A company is kept again once its state
+    has expired; of an upload's rows of one key the first stays."""
+    run = _run_dir(spark, "dedupe-within")
+    src, out = f"{run}/in", f"{run}/out"
+    uploads = F.array(*[F.lit(m) for m in UPLOAD_MINUTES])
+    rows = dedupe_uploads(B.submissions(spark, sf, len(UPLOAD_MINUTES)), uploads)
+    rows = stored(rows, "submissions")
+    schema = rows.schema
+
+    def start():
+        kept = T.keep_first_within(spark.readStream.schema(schema).parquet(src), "sent", f"{KEEP_MINUTES} minutes")
+        return kept.select("unique_key", "upload").writeStream.outputMode("append").format("parquet").option("path", out)
+
+    for i in range(len(UPLOAD_MINUTES)):
+        rows.where(F.col("upload") == i).write.mode("append").parquet(src)
+        _finish(_start(spark, start, f"{run}/ckpt", first=(i == 0)))
+    kept = spark.read.schema("unique_key string, upload int").parquet(out)
+    first = kept.join(rows, ["unique_key", "upload"]).groupBy("unique_key", "upload").agg(F.min(F.struct("_ord", "company", "website_url")).alias("_f"))
+    return first.select("upload", "unique_key", "_f._ord", "_f.company", "_f.website_url")
+
+
+def dedupe_uploads(raw: DataFrame, minutes) -> DataFrame:
+    """Clean the rows of each upload; ``sent`` is the upload's time."""
+    sent = F.timestamp_seconds(F.lit(int(B.STORE_NOW)) + F.element_at(minutes, F.col("upload") + 1) * 60)
+    clean = normalize_companies(raw.withColumn("_ord", F.struct("_ord", "upload")))
+    return clean.select(F.col("_ord._ord").alias("_ord"), F.col("_ord.upload").alias("upload"), "company", "website_url", "unique_key").withColumn("sent", sent)

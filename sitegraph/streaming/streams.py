@@ -1,13 +1,15 @@
 """Structured Streaming forms of the intake, store and job operators.
 
-T1 companies from a CSV directory, T2 keep-first dedupe across micro-batches,
-T3 latest job states (and progress from them), T5 upsert of finished companies
-into the versioned store.
-
-State between micro-batches is a ``PartStore`` keyed by hash: a micro-batch
-reads and rewrites only the parts of its own keys. Every sink is idempotent on
-replay: a micro-batch commits the version named by its epoch, based on the
-newest version before it.
+T1 companies from a CSV directory, T2 keep-first dedupe (for ever, or within a
+watermark), T3 latest job states and progress, T5 upsert of finished companies
+into the store.
+
+The newest state of every job and the keys within a watermark are kept in
+Spark's state store. What must outlive a query or be looked up (documents,
+keys kept for ever, job states, counters) are ``LogStore`` tables, to which a
+micro-batch appends its own rows. Every sink is idempotent on replay: a
+micro-batch commits the version named by its epoch, based on the newest
+version before it.
 """
 
 from __future__ import annotations
@@ -17,17 +19,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import jobs as J
 from ..operators import store as S
-from ..operators.jobs import _progress_aggs
+from ..operators.log_store import LogStore
 from ..operators.normalize import dedupe_companies, normalize_companies
-from ..operators.parts import PartStore
 from ..session import stored
 from ..sources.companies import scan_companies
 
 # Fixed value: what the binary file source gives (the content is never read here).
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 KEY_SCHEMA = "unique_key string"
-JOB_SCHEMA = "job_id string, batch_id string, seq long, status string, message string"
+JOB_SCHEMA = "job_id string, batch_id string, seq long, status string, message string, ts_s double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 # --- T1 / T2 -----------------------------------------------------------------
@@ -60,16 +63,27 @@ def dedupe_batch_writer(out_path: str) -> Callable[[DataFrame, int], None]:
     def run(raw: DataFrame, epoch_id: int) -> None:
         spark = raw.sparkSession
         rows = stored(dedupe_companies(normalize_companies(raw)), "intake")
-        keys = PartStore(spark, f"{out_path}/keys", "unique_key", KEY_SCHEMA)
+        keys = LogStore(spark, f"{out_path}/keys", ["unique_key"], KEY_SCHEMA)
         base = keys.latest(epoch_id)
-        touched = keys.touched(rows)
-        seen = keys.read(base, touched) if base is not None else spark.createDataFrame([], KEY_SCHEMA)
-        rows.join(seen, "unique_key", "left_anti").write.mode("overwrite").parquet(f"{out_path}/rows/epoch={epoch_id}")
-        keys.write(seen.unionByName(rows.select("unique_key")).distinct(), epoch_id + 1, base, touched)
+        if base is not None:
+            rows = rows.join(keys.read(base, keys.buckets_of(rows, version=base)), "unique_key", "left_anti")
+        path = f"{out_path}/rows/epoch={epoch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        keys.append(spark.read.schema(rows.schema).parquet(path).select("unique_key"), epoch_id + 1)
 
     return run
 
 
+def keep_first_within(companies: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """T2 with state that expires: the first row per key within ``delay`` of
+    event time. A key's state goes when the watermark (the greatest event time
+    of earlier micro-batches less ``delay``) passes its first row's time plus
+    ``delay``; the key may then come again. Rows at or behind the watermark
+    are late and dropped. Of rows that come in one micro-batch any may be the
+    first, so ``event_time`` should be that of the upload, not of the row."""
+    return companies.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["unique_key"])
+
+
 # --- T5 --------------------------------------------------------------------------
 
 def upsert_batch_writer(store_root: str, now: float, order: str) -> Callable[[DataFrame, int], None]:
@@ -83,34 +97,47 @@ def upsert_batch_writer(store_root: str, now: float, order: str) -> Callable[[Da
 
 # --- T3 --------------------------------------------------------------------------
 
-def _states(spark: SparkSession, root: str) -> PartStore:
-    return PartStore(spark, root, "job_id", JOB_SCHEMA)
+def _states(spark: SparkSession, root: str) -> LogStore:
+    return LogStore(spark, f"{root}/states", ["job_id"], JOB_SCHEMA)
+
+
+def _counters(spark: SparkSession, root: str) -> LogStore:
+    return LogStore(spark, f"{root}/counters", ["batch_id"], J.COUNTER_SCHEMA, merge=J.COUNTER_MERGE)
+
+
+def newest_states(log: DataFrame) -> DataFrame:
+    """The newest state (highest ``seq``) of every job of a stream of job
+    states (``JOB_SCHEMA``): a stateful aggregate, for update mode."""
+    rest = [c.split()[0] for c in JOB_SCHEMA.split(", ")][1:]
+    return log.groupBy("job_id").agg(F.max_by(F.struct(*rest), "seq").alias("_s")).select("job_id", "_s.*")
 
 
 def job_state_writer(root: str) -> Callable[[DataFrame, int], None]:
-    """T3 ``foreachBatch`` over job states (``JOB_SCHEMA``): keeps the latest
-    state (highest ``seq``) of every job."""
+    """The sink of ``newest_states``: appends the changed states to the table
+    of states, and what they change in the submissions' counters (G6–G8) to
+    the table of counters."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        states = _states(batch.sparkSession, root)
-        latest = F.max_by(F.struct("batch_id", "seq", "status", "message"), "seq").alias("_s")
+        spark = batch.sparkSession
+        states, version = _states(spark, root), epoch_id + 1
+        new = stored(batch.select(*states.columns), "job-states")
+        base = states.latest(epoch_id)
+        old = states.read(base, states.buckets_of(new, version=base)).join(new.select("job_id"), "job_id", "left_semi") if base is not None else new.limit(0)
+        _counters(spark, root).append(J.counter_changes(new, old), version)
+        states.append(new, version)
 
-        def newest(df: DataFrame) -> DataFrame:
-            return df.groupBy("job_id").agg(latest).select("job_id", "_s.*")
+    return run
 
-        rows = stored(newest(batch.select(*[c.split()[0] for c in JOB_SCHEMA.split(", ")])), "job-states")
-        base, touched = states.latest(epoch_id), states.touched(rows)
-        if base is not None:
-            rows = newest(rows.unionByName(states.read(base, touched)))
-        states.write(rows, epoch_id + 1, base, touched)
 
-    return run
+def job_state_query(log: DataFrame, root: str):
+    """The streaming write (start it with a checkpoint of its own)."""
+    return newest_states(log).writeStream.outputMode("update").foreachBatch(job_state_writer(root))
 
 
 def latest_status(spark: SparkSession, root: str) -> DataFrame:
     return _states(spark, root).read().select("job_id", "status", "message")
 
 
-def latest_progress(spark: SparkSession, root: str, batch: str = "batch_id") -> DataFrame:
-    """The G6 counters per submission, of every job's latest state."""
-    return _states(spark, root).read().groupBy(batch).agg(*_progress_aggs())
+def counters(spark: SparkSession, root: str) -> DataFrame:
+    """The kept counters: what a poll of progress, estimate or queue reads."""
+    return _counters(spark, root).read()

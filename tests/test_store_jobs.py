@@ -74,16 +74,24 @@ def test_snapshots(spark, tmp_path):
     assert [r.ai_insights for r in S.scan_store(spark, root, 1).collect()] == ["x"] and S.scan_store(spark, root, 0).count() == 0
 
 
-def test_upsert_rewrites_only_its_part(spark, tmp_path):
-    root = str(tmp_path / "store")
-    S.write_snapshot(store_df(spark, [doc(f"c{i}", i) for i in range(300)]), root, 0)
-    upd = spark.createDataFrame([("c7", "new", 1)], "company_name string, ai_insights string, seq int")
-    assert S.upsert_snapshot(spark, root, upd, 5.0, "seq") == 1
-    manifest = S.open_store(spark, root).manifest(1)
-    assert sorted(manifest.values()) == [0] * (len(manifest) - 1) + [1] and len(manifest) > 50
-    assert sorted(p for p in os.listdir(f"{root}/data/v=00000001") if p.startswith("_part")) == [f"_part={next(p for p, v in manifest.items() if v)}"]
-    rows = {r.company_name: r.ai_insights for r in S.scan_store(spark, root).collect()}
-    assert len(rows) == 300 and rows["c7"] == "new" and rows["c8"] == "i"
+def names_of(spark, root, probes, field, **settings):
+    p = spark.createDataFrame([(x,) for x in probes], "p string")
+    return {r.probe: r.company_name for r in S.find(spark, root, p, "p", field).collect()}
+
+
+def test_find_reads_the_probed_buckets_only(spark, tmp_path):
+    root, small = str(tmp_path / "store"), {"bucket_rows": 16, "max_deltas": 2}
+    S.write_snapshot(store_df(spark, [doc(f"c{i}", i, web=f"https://w{i % 50}") for i in range(400)]), root, 0, **small)
+    store = S.open_store(spark, root, **small)
+    assert len(store.manifest(0)["base"]["buckets"]) == 32
+    probe = spark.createDataFrame([("c7",)], "p string")
+    files = store.read(buckets=store.buckets_of(probe, F.col("p"))).inputFiles()
+    assert len(files) == 1 < len(store.read().inputFiles())
+    assert names_of(spark, root, ["c7", "C7"], "company_name") == {"c7": "c7", "C7": None}
+    assert names_of(spark, root, ["https://w7", "https://none"], "website_url") == {"https://w7": "c107", "https://none": None}
+    moved = spark.createDataFrame([("c107", "https://new", 1), ("c7", "https://w7", 2)], "company_name string, website_url string, seq int")
+    S.upsert_snapshot(spark, root, moved, 5.0, "seq", **small)  # the index entry of c107 is stale now
+    assert names_of(spark, root, ["https://w7", "https://new"], "website_url") == {"https://w7": "c157", "https://new": "c107"}
 
 
 JOB_SCHEMA = ("job_id string, batch_id string, seq long, status string, message string, "
@@ -122,6 +130,22 @@ def test_progress_and_eta(spark):
     assert J.queue_sizes(jobs).first().asDict() == {"queue_size": 4, "results_size": 4}
 
 
+def test_counters_follow_every_change(spark, tmp_path):
+    from sitegraph.streaming import streams as T
+
+    log = [("j1", "b", 1, "queued", None, 1.0), ("j2", "b", 2, "queued", None, 2.0), ("j3", "c", 3, "queued", None, 3.0), ("j1", "b", 4, "complete", None, 4.0),
+           ("j2", "b", 5, "error", "x", 5.0), ("j3", "b", 6, "queued", None, 6.0), ("j2", "b", 7, "complete", None, 7.0), ("j4", "d", 8, "complete", None, 8.0)]
+    write = T.job_state_writer(str(tmp_path))
+    for i in range(len(log)):
+        new = spark.createDataFrame(log[i:i + 1], T.JOB_SCHEMA)
+        write(new, i)
+        write(new, i)  # replayed
+        whole = spark.createDataFrame(log[:i + 1], T.JOB_SCHEMA)
+        kept = T.counters(spark, str(tmp_path))
+        assert sorted(map(tuple, J.progress_of(kept).collect())) == sorted(map(tuple, J.job_progress(whole).collect()))
+        assert J.queue_sizes_of(kept).first() == J.queue_sizes(whole).first()
+
+
 def test_progress_counts_jobs_not_events(spark):
     rows = [("j1", "b", 1, "queued", None, None, 1.0), ("j1", "b", 2, "complete", None, ("A", "w", "u", "i"), 2.0),
             ("j2", "b", 1, "queued", None, None, 1.0)]

@@ -39,8 +39,11 @@ def insight_key(company: Column, urls: Column) -> Column:
     return F.md5(F.concat(company, F.lit(":"), F.array_join(urls, ",")))
 
 
-def insight_requests(df: DataFrame, company: str = "company", urls: str = "urls") -> DataFrame:
-    """Adds ``key`` and ``prompt`` columns."""
+def insight_requests(df: DataFrame, company: str = "company", urls: str = "urls", limit: int | None = None) -> DataFrame:
+    """Adds ``key`` and ``prompt`` columns. With ``limit``, a company has one
+    request, of its first so many URLs (at most those of a part)."""
+    if limit:
+        df = df.where("part = 1").withColumn(urls, F.slice(urls, 1, limit))
     return df.withColumn("key", insight_key(F.col(company), F.col(urls))).withColumn(
         "prompt", build_prompt(F.col(urls)))
 

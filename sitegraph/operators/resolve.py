@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base_domain
 from ..session import stored
 from .frontier import path_frontier, robots_url
-from .sitemaps import SITEMAP_KINDS, expand_sitemaps, parse_snapshot, position_path, with_positions
+from .sitemaps import Limits, Snapshot, expand_sitemaps, position_path, with_positions
 
 PART_URLS = 1000
 
@@ -30,41 +30,51 @@ class SiteLists(NamedTuple):
     urls: DataFrame   # base_domain, pos, url
 
 
-def sitemap_candidates(site_df: DataFrame, edges: DataFrame) -> DataFrame:
-    """U2 (sitemap part): robots directives then well-known paths.
+def robots_candidates(site_df: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The sitemaps that the sites' robots files name.
     Output: base_domain, source_rank, source_pos, sitemap_url."""
-    directives = edges.where("kind = 'directive'").select("url", "p", "value")
-    robots = site_df.select("base_domain", robots_url().alias("url")).join(directives, "url").select(
+    robots = site_df.select("base_domain", robots_url().alias("url"))
+    return robots.join(snapshot.edges(robots, ("directive",)), "url").select(
         "base_domain", F.lit(ROBOTS).alias("source_rank"), F.col("p").alias("source_pos"), F.col("value").alias("sitemap_url"))
-    paths = path_frontier(site_df).select(
-        "base_domain", F.lit(WELL_KNOWN).alias("source_rank"), F.col("path_pos").alias("source_pos"), "sitemap_url")
-    return robots.unionByName(paths)
+
+
+def path_candidates(site_df: DataFrame) -> DataFrame:
+    """The well-known paths of the sites, as ``robots_candidates``."""
+    return path_frontier(site_df).select("base_domain", F.lit(WELL_KNOWN).alias("source_rank"), F.col("path_pos").alias("source_pos"), "sitemap_url")
+
+
+def _first_filled(cands: DataFrame, snapshot: Snapshot, max_depth: int | None) -> tuple[DataFrame, DataFrame]:
+    """The first candidate of each site that yields URLs, and these URLs."""
+    cands = stored(cands, "candidates")
+    tree = stored(expand_sitemaps(cands.select(F.col("sitemap_url").alias("root")).distinct(), snapshot.edges, max_depth), "tree")
+    filled = tree.select(F.col("root").alias("sitemap_url")).distinct()
+    best = cands.join(filled, "sitemap_url", "left_semi").groupBy("base_domain").agg(F.min(F.struct("source_rank", "source_pos", "sitemap_url")).alias("b")).select("base_domain", "b.*")
+    best = stored(best, "sources")
+    return best, best.join(tree, F.col("sitemap_url") == F.col("root")).select("base_domain", "ord", "url")
 
 
 def site_url_lists(site_df: DataFrame, fetches: DataFrame, max_depth: int | None = None,
-                   urlset_cap: int | None = None, compat: bool = False) -> SiteLists:
+                   limits: Limits = Limits(), compat: bool = False) -> SiteLists:
     """For each site, the URL list of its first non-empty source in
     (source_rank, source_pos) order, unique in first-seen order. Sites without
     any URL have source ``none``, sites whose URL cannot be parsed ``error``.
 
-    The snapshot is parsed once. Only candidates that are sitemaps with
-    entries are expanded; the source is chosen on ``(rank, position)`` alone,
-    and the URLs are joined to the choice."""
+    Sources are tried one after the other, each for the sites that are still
+    without URLs: robots files, then well-known paths, then home pages. Only
+    the newest bodies that a stage asks for are parsed. With ``limits``, a
+    list ends with its first so many URLs (L3, W3)."""
     site_df = stored(site_df, "sites")
-    edges = stored(parse_snapshot(fetches, urlset_cap, compat), "current-edges")
-    good = site_df.where(~F.col("bad_url"))
-    known = edges.where(F.col("kind").isin(*SITEMAP_KINDS)).select(F.col("url").alias("sitemap_url")).distinct()
-    cands = stored(sitemap_candidates(good, edges).join(known, "sitemap_url", "left_semi"), "candidates")
-    tree = stored(expand_sitemaps(cands.select(F.col("sitemap_url").alias("root")).distinct(), edges, max_depth), "tree")
-    filled = tree.select(F.col("root").alias("sitemap_url")).distinct()
-    links = edges.where("kind = 'link'").select(F.col("url").alias("base_domain"), "p", F.col("value").alias("url"))
-    linked = good.select("base_domain").join(links, "base_domain", "left_semi").select(
-        "base_domain", F.lit(HTML).alias("source_rank"), F.lit(0).alias("source_pos"), F.lit(None).cast("string").alias("sitemap_url"))
-    choice = cands.join(filled, "sitemap_url", "left_semi").select("base_domain", "source_rank", "source_pos", "sitemap_url").unionByName(linked)
-    best = stored(choice.groupBy("base_domain").agg(F.min(F.struct("source_rank", "source_pos", "sitemap_url")).alias("b")).select("base_domain", "b.*"), "sources")
-    mapped = best.where(F.col("source_rank") < HTML).join(tree, F.col("sitemap_url") == F.col("root")).select("base_domain", "ord", "url")
-    from_html = best.where(F.col("source_rank") == HTML).select("base_domain").join(links, "base_domain").select("base_domain", position_path(F.col("p")).alias("ord"), "url")
-    urls = stored(with_positions(mapped.unionByName(from_html), "base_domain").select("base_domain", "pos", "url"), "site-urls")
+    snapshot = Snapshot(fetches, limits, compat)
+    good = site_df.where(~F.col("bad_url")).select("base_domain").distinct()
+    by_robots, robots_urls = _first_filled(robots_candidates(good, snapshot), snapshot, max_depth)
+    left = good.join(by_robots, "base_domain", "left_anti")
+    by_path, path_urls = _first_filled(path_candidates(left), snapshot, max_depth)
+    left = left.join(by_path, "base_domain", "left_anti")
+    links = snapshot.edges(left.select(F.col("base_domain").alias("url")), ("link",)).select(F.col("url").alias("base_domain"), position_path(F.col("p")).alias("ord"), F.col("value").alias("url"))
+    by_links = links.select("base_domain", F.lit(HTML).alias("source_rank"), F.lit(0).alias("source_pos")).distinct()
+    best = by_robots.unionByName(by_path).drop("sitemap_url").unionByName(by_links)
+    placed = with_positions(robots_urls.unionByName(path_urls).unionByName(links), "base_domain").select("base_domain", "pos", "url")
+    urls = stored(placed.where(F.col("pos") <= limits.site) if limits.site else placed, "site-urls")
     name = F.lit("none")
     for rank, label in SOURCE_NAMES.items():
         name = F.when(F.col("source_rank") == rank, F.lit(label)).otherwise(name)

@@ -4,15 +4,19 @@ and U1 ordered union.
 
 Every document is parsed inside its own row (``from_xml`` is permissive: a
 malformed body yields ``_corrupt`` instead of failing the task), so parsing is
-a narrow transformation. ``parse_snapshot`` does that once for a whole
-snapshot; the recursion then joins narrow edges, never bodies.
+a narrow transformation. ``parse_snapshot`` does that once for the newest
+fetch of every URL of a snapshot; the recursion then joins narrow edges, never
+bodies. ``Snapshot.edges`` parses the bodies of wanted URLs alone.
 
-Nothing is cut by default: ``cap`` (URLs per urlset), ``children`` (entries
-per index) and ``max_depth`` are off unless given.
+Nothing is cut by default: ``Limits`` (URLs per urlset, entries per index,
+links per page, …) and ``max_depth`` are off unless given.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,10 +36,24 @@ _LINES_RE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _NO_STRINGS = "array<string>"
 ITEMS = "array<struct<kind:string,value:string>>"
 SITEMAP_KINDS = ("page", "entry", "child")
+KINDS = ("page", "entry", "child", "directive", "link")
 # Positions of a document that are numbered together.
 CHUNK = 1000
 
 
+class Limits(NamedTuple):
+    """The first so many of each; ``None`` is no limit."""
+    urlset: int | None = None    # URLs of a urlset
+    children: int | None = None  # children of an index
+    links: int | None = None     # links of a home page
+    site: int | None = None      # URLs of a site's list
+    prompt: int | None = None    # URLs in a prompt
+
+
+# The limits of a crawl that looks at the beginnings only.
+SHORT = Limits(urlset=100, children=3, links=100, site=500, prompt=100)
+
+
 def doc_kind(body: Column) -> Column:
     """``index`` if the body contains ``<sitemapindex``, else ``urlset``
     if it contains ``<urlset``, else NULL (the content type never decides).
@@ -164,27 +182,71 @@ def parse_documents(docs: DataFrame, body: str = "body", cap: int | None = None,
     return d.withColumn(out, items).drop("_kind", "_px", "_ix")
 
 
-def parse_snapshot(fetches: DataFrame, cap: int | None = None, compat: bool = False, children: int | None = None) -> DataFrame:
-    """One scan of a crawl snapshot's bodies → edges ``url, p, kind, value``
-    of the newest fetch of every URL (``p`` is the position in the document).
+EDGE = "array<struct<p:int,kind:string,value:string>>"
+
+
+def newest_versions(fetches: DataFrame) -> DataFrame:
+    """``url, fetched_at, status, n`` of every URL's newest fetch; ``n`` > 1
+    where rows tie on all three. Bodies are not read."""
+    seen = fetches.groupBy("url", "fetched_at", "status").agg(F.count(F.lit(1)).alias("n"))
+    return seen.groupBy("url").agg(F.max(F.struct("fetched_at", "status", "n")).alias("v")).select("url", "v.*")
+
+
+def document_edges(docs: DataFrame, kinds: tuple[str, ...], limits: Limits = Limits(), compat: bool = False) -> DataFrame:
+    """The edges ``p, kind, value`` of each document (``url, status, body, n``)
+    as ``url, n, hash, e``; nothing that belongs to other ``kinds`` is parsed."""
+    parts, none = [], F.array().cast(EDGE)
+    if set(kinds) & set(SITEMAP_KINDS):
+        docs = parse_documents(docs, "body", limits.urlset, compat, children=limits.children)
+        of_index = doc_kind(F.col("body")) == "index"
+        parts.append(F.transform("items", lambda x, i: F.struct((i + 1).cast("int").alias("p"), F.when(of_index & (x["kind"] == "page"), "entry").otherwise(x["kind"]).alias("kind"), x["value"].alias("value"))))
+    if "directive" in kinds:
+        parts.append(F.when(F.col("url").endswith("/robots.txt") & (F.col("status") == 200), F.transform(
+            directive_items(F.col("body")), lambda d: F.struct(d["line"].alias("p"), F.lit("directive").alias("kind"), d["value"].alias("value")))))
+    if "link" in kinds:
+        home = F.when(F.col("url") == base_domain(F.col("url")), F.col("body"))  # other bodies are not tokenised
+        parts.append(F.transform(link_array(home, F.col("url"), url_netloc(F.col("url")), limits.links), lambda v, i: F.struct(
+            (i + 1).cast("int").alias("p"), F.lit("link").alias("kind"), v.alias("value"))))
+    every = F.concat(*[F.coalesce(x.cast(EDGE), none) for x in parts])
+    return docs.select("url", "n", F.when(F.col("n") > 1, F.xxhash64("body")).alias("hash"), F.explode_outer(every).alias("e"))
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """One document per URL: of fetches that tie, the one with the greatest
+    hash of its body."""
+    single = edges.where("n = 1 and e is not null").select("url", "e.*")
+    tied = edges.where("n > 1")
+    chosen = tied.groupBy("url").agg(F.max("hash").alias("_hash"))
+    return single.unionByName(tied.join(chosen, "url").where("hash = _hash and e is not null").select("url", "e.*").distinct())
+
+
+class Snapshot:
+    """A crawl snapshot read by need: ``edges`` parses the newest bodies of
+    the wanted URLs alone."""
+
+    def __init__(self, fetches: DataFrame, limits: Limits = Limits(), compat: bool = False):
+        self.fetches, self.limits, self.compat = fetches.select("url", "status", "body", "fetched_at"), limits, compat
+        self.newest = stored(newest_versions(fetches), "newest")
+
+    def documents(self, urls: DataFrame) -> DataFrame:
+        """``url, status, body, n``: the newest fetch(es) of ``urls(url)``."""
+        wanted = self.newest.join(urls.select("url").distinct(), "url", "left_semi")
+        return self.fetches.join(wanted, ["url", "fetched_at", "status"])
+
+    def edges(self, urls: DataFrame, kinds: tuple[str, ...] = SITEMAP_KINDS) -> DataFrame:
+        return stored(_settled(document_edges(self.documents(urls), kinds, self.limits, self.compat)), "edges")
+
+
+def parse_snapshot(fetches: DataFrame, cap: int | None = None, compat: bool = False, children: int | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """One scan of a crawl snapshot's newest bodies → edges ``url, p, kind,
+    value`` (``p`` is the position in the document).
 
     Kinds: ``page`` of urlsets, ``child`` and ``entry`` (a page among the
     children) of indexes, ``directive`` of robots files (status 200; ``p`` is the line), ``link`` of home pages (URLs that
-    are their own base domain). The bodies are read and parsed where they
-    lie; the newest fetch per URL is then picked on the narrow edges."""
-    docs = parse_documents(fetches.select("url", "status", "body", "fetched_at"), "body", cap, compat, children=children)
-    robots = F.when(F.col("url").endswith("/robots.txt") & (F.col("status") == 200), F.transform(
-        directive_items(F.col("body")), lambda d: F.struct(d["line"].alias("p"), F.lit("directive").alias("kind"), d["value"].alias("value"))))
-    links = F.when(F.col("url") == base_domain(F.col("url")), F.transform(
-        link_array(F.col("body"), F.col("url"), url_netloc(F.col("url"))), lambda v, i: F.struct((i + 1).cast("int").alias("p"), F.lit("link").alias("kind"), v.alias("value"))))
-    of_index = doc_kind(F.col("body")) == "index"
-    sitemap = F.transform("items", lambda x, i: F.struct((i + 1).cast("int").alias("p"), F.when(of_index & (x["kind"] == "page"), "entry").otherwise(x["kind"]).alias("kind"), x["value"].alias("value")))
-    none = F.array().cast("array<struct<p:int,kind:string,value:string>>")
-    version = F.struct("fetched_at", "status", F.xxhash64("body").alias("hash")).alias("version")
-    every = stored(docs.select("url", version, F.explode_outer(F.concat(F.coalesce(sitemap, none), F.coalesce(robots, none), F.coalesce(links, none))).alias("e"))
-                   .select("url", "version", "e.*"), "edges")
-    newest = every.groupBy("url").agg(F.max("version").alias("version"))
-    return every.join(newest, ["url", "version"]).where(F.col("kind").isNotNull()).select("url", "p", "kind", "value").distinct()
+    are their own base domain). The newest fetch per URL is picked from times
+    and status; older bodies and unwanted ``kinds`` are not parsed."""
+    docs = fetches.select("url", "status", "body", "fetched_at").join(newest_versions(fetches), ["url", "fetched_at", "status"])
+    return _settled(stored(document_edges(docs, kinds, Limits(urlset=cap, children=children), compat), "edges"))
 
 
 def position_path(p: Column, chunk: int = CHUNK) -> Column:
@@ -193,22 +255,24 @@ def position_path(p: Column, chunk: int = CHUNK) -> Column:
     return F.array((p / chunk).cast("int"), (p % chunk).cast("int"))
 
 
-def expand_sitemaps(roots: DataFrame, edges: DataFrame, max_depth: int | None = None, chunk: int = CHUNK) -> DataFrame:
+def expand_sitemaps(roots: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], max_depth: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Expand every root sitemap URL recursively (index → child → …)
     until no new child turns up (or ``max_depth`` levels below the root). A
     sitemap is expanded once per root, where it is first met, so cycles and
-    shared children end (S25). ``edges`` is ``parse_snapshot``'s output.
+    shared children end (S25). ``edges`` is ``parse_snapshot``'s output, or gives the edges of a level's URLs
+    (``Snapshot.edges``).
 
     Output long form ``root, ord ARRAY<INT>, url``: ``ord`` is the position
     path (a child's place in each index on the way, then ``position_path``),
     so sorting by it gives document order with each child's URLs in place; URLs are unique per root (first position wins). Each level is one
     join of the frontier with the narrow edges, written once."""
-    edges = edges.where(F.col("kind").isin(*SITEMAP_KINDS))
+    lookup = edges if callable(edges) else lambda urls: edges.where(F.col("kind").isin(*SITEMAP_KINDS))
     step = F.when(F.col("kind") == "page", position_path(F.col("p"), chunk)).when(F.col("kind") == "entry", F.array("p", F.lit(0))).otherwise(F.array("p"))
     frontier = stored(roots.select("root", F.array().cast("array<int>").alias("ord"), F.col("root").alias("sitemap_url")).distinct(), "frontier")
     visited, pages, depth = frontier.select("root", "sitemap_url"), None, 0
     while True:
-        items = stored(frontier.join(edges, frontier.sitemap_url == edges.url).select(
+        level = lookup(frontier.select(F.col("sitemap_url").alias("url")))
+        items = stored(frontier.join(level, frontier.sitemap_url == level.url).select(
             "root", F.concat("ord", step).alias("ord"), "kind", "value"), "items")
         found = items.where("kind <> 'child'").select("root", "ord", F.col("value").alias("url"))
         pages = found if pages is None else pages.unionByName(found)
@@ -236,3 +300,12 @@ def with_positions(rows: DataFrame, key: str, order: str = "ord", out: str = "po
     own = Window.partitionBy(key, "_chunk").orderBy(order)
     placed = rows.withColumn("_row", F.row_number().over(own)).join(starts, (F.col(key) == F.col("_key")) & (F.col("_chunk") == F.col("_c")))
     return placed.withColumn(out, F.col("_start") + F.col("_row")).drop("_chunk", "_row", "_key", "_c", "_start")
+
+
+def first_of(rows: DataFrame, key: str, n: int, order: str = "ord", ties: bool = False, out: str = "pos") -> DataFrame:
+    """The first ``n`` rows of each ``key`` by ``order``, numbered in
+    ``out``; with ``ties``, also the rows that tie with the last of them. A
+    ranked window with a limit: every task hands on ``n`` rows a key."""
+    own = Window.partitionBy(key).orderBy(order)
+    rank = (F.rank() if ties else F.row_number()).over(own)
+    return rows.withColumn(out, rank).where(F.col(out) <= n)

@@ -13,13 +13,14 @@ from ..operators.insights import generate_insights, insight_requests
 from ..operators.jobs import OUTPUT_COLUMNS, outcome_rows
 from ..operators.normalize import job_id
 from ..operators.resolve import company_url_lists, site_url_lists
+from ..operators.sitemaps import Limits
 from ..operators.store import company_documents
 from ..session import stored
 
 
 def process_companies(companies: DataFrame, fetches: DataFrame, complete_fn: Callable[[str], str],
                       cache: DataFrame | None, now: float, max_depth: int | None = None,
-                      call_partitions: int | None = None, submission: str = "") -> dict[str, DataFrame]:
+                      call_partitions: int | None = None, submission: str = "", limits: Limits = Limits()) -> dict[str, DataFrame]:
     """Returns ``lists`` (company + URL list parts), ``insights`` (+ key,
     prompt, insight, cached), ``documents`` (store records with ``_ord``),
     ``jobs`` (a ``complete`` or ``error`` row per company) and ``new_cache``
@@ -27,9 +28,9 @@ def process_companies(companies: DataFrame, fetches: DataFrame, complete_fn: Cal
 
     A company whose website cannot be parsed ends as an ``error`` job: it gets
     no prompt, no model call and no document."""
-    lists = stored(company_url_lists(companies, site_url_lists(sites(companies), fetches, max_depth=max_depth)), "lists")
+    lists = stored(company_url_lists(companies, site_url_lists(sites(companies), fetches, max_depth=max_depth, limits=limits)), "lists")
     bad = F.col("source") == "error"
-    req = insight_requests(lists.where(~bad))
+    req = insight_requests(lists.where(~bad), limit=limits.prompt)
     spark = companies.sparkSession
     if cache is None:
         cache = spark.createDataFrame([], "key string, insight string")

@@ -385,7 +385,25 @@ SELECT w.upload, w.unique_key, f._ord, r.company, r.website_url
 FROM walk w JOIN f ON w.kept AND f.upload = w.upload AND f.unique_key = w.unique_key JOIN r ON r._ord = f._ord
 """
 
+# the limits of the query: 3 URLs of a urlset, 4 links of a page, 3 URLs of a list, 2 of a prompt
+LIMITED_PROMPTS = f"""
+WITH sm AS ({_urlset()}),
+allu AS (SELECT regexp_extract(sitemap_url, '^https://([^/]+)', 1) AS host, pos, url FROM sm
+         WHERE length(regexp_extract(sitemap_url, '^https://([^/]+)', 1)) % 3 < 2 AND pos <= 3
+         UNION ALL SELECT host, pos, url FROM ({HOME_LINKS}) WHERE pos <= 3),
+agg AS (SELECT host, count(*) AS n_urls, string_agg(url, ',' ORDER BY pos) FILTER (pos <= 2) AS key_urls,
+               string_agg(url, chr(10) ORDER BY pos) FILTER (pos <= 2) AS prompt_urls FROM allu GROUP BY host),
+cs AS (SELECT _ord, company, regexp_extract(website_url, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM ({COMPANY_DEDUPE}))
+SELECT cs._ord, cs.company, CASE WHEN agg.host IS NULL THEN 'none' WHEN length(cs.host) % 3 = 0 THEN 'robots'
+            WHEN length(cs.host) % 3 = 1 THEN 'sitemap' ELSE 'html' END AS source, coalesce(agg.n_urls, 0) AS n_urls,
+       md5(cs.company || ':' || coalesce(agg.key_urls, '')) AS key,
+       {_lit(_PROMPT_HEAD)} || coalesce(agg.prompt_urls, '') || {_lit(_PROMPT_TAIL)} AS prompt
+FROM cs LEFT JOIN agg ON cs.host = agg.host
+"""
+
 ORACLE = {
+    "sitemap_top": f"SELECT root, pos, url FROM ({SITEMAP_TREE}) WHERE pos <= 5",
+    "limited_prompts": LIMITED_PROMPTS,
     "store_compaction": STORE_COMPACTION,
     "stream_eta": JOB_ETA,
     "stream_queue_sizes": QUEUE_SIZES,

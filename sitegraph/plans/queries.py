@@ -14,8 +14,8 @@ from ..operators.links import extract_links
 from ..operators.normalize import dedupe_companies, job_ack as _job_ack, normalize_companies, submission_summary
 from ..operators.frontier import latest_fetches, path_frontier, robots_directives as _robots, sites
 from ..operators.resolve import company_url_lists, site_url_lists as _site_url_lists
-from ..operators.sitemaps import (expand_sitemaps, index_children, malformed_index_items, parse_snapshot, urlset_urls,
-                                  with_positions)
+from ..operators.sitemaps import (SITEMAP_KINDS, Limits, expand_sitemaps, first_of, index_children, malformed_index_items, parse_snapshot,
+                                  urlset_urls, with_positions)
 from ..operators import jobs as J
 from ..operators import store as S
 from ..operators.insights import generate_insights, insight_requests
@@ -105,10 +105,29 @@ def index_malformed(spark: SparkSession, sf: str) -> DataFrame:
 def sitemap_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Recursive expansion of every domain index."""
     roots = B.domain_index_files(spark, sf).select(F.col("url").alias("root"))
-    tree = expand_sitemaps(roots, parse_snapshot(B.fetches(spark, sf)))
+    tree = expand_sitemaps(roots, parse_snapshot(B.fetches(spark, sf), kinds=SITEMAP_KINDS))
     return with_positions(tree, "root").select("root", "pos", "url")
 
 
+def sitemap_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five URLs of every domain index's expansion."""
+    roots = B.domain_index_files(spark, sf).select(F.col("url").alias("root"))
+    tree = expand_sitemaps(roots, parse_snapshot(B.fetches(spark, sf), kinds=SITEMAP_KINDS))
+    return first_of(tree, "root", 5).select("root", F.col("pos").cast("bigint").alias("pos"), "url")
+
+
+#: L3: small enough to show on the bound snapshot.
+LIMITS = Limits(urlset=3, children=1, links=4, site=3, prompt=2)
+
+
+def limited_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """L3/W3 from end to end: lists and prompts of the first URLs only."""
+    companies = company_dedupe(spark, sf)
+    lists = company_url_lists(companies, _site_url_lists(sites(companies), B.fetches(spark, sf), limits=LIMITS))
+    return insight_requests(lists.withColumn("listed", F.size("urls")), limit=LIMITS.prompt).select(
+        "_ord", "company", "source", F.col("listed").cast("bigint").alias("n_urls"), "key", "prompt")
+
+
 def _company_lists(spark: SparkSession, sf: str) -> DataFrame:
     companies = company_dedupe(spark, sf)
     lists = _site_url_lists(sites(companies), B.fetches(spark, sf))
@@ -319,6 +338,8 @@ REGISTRY = {
     "index_expand": index_expand,
     "index_malformed": index_malformed,
     "sitemap_tree": sitemap_tree,
+    "sitemap_top": sitemap_top,
+    "limited_prompts": limited_prompts,
     "site_url_lists": site_url_lists,
     "insight_prompts": insight_prompts,
     "insight_cache_join": insight_cache_join,

@@ -154,12 +154,12 @@ def stream_job_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: When the uploads of ``stream_dedupe_within`` were sent (minutes), in the order they arrive, and how long a key is kept.
-UPLOAD_MINUTES, KEEP_MINUTES = (0, 60, 150, 240, 192, 30, 360, 432, 174, 540, 582, 780), 180
+UPLOAD_MINUTES, KEEP_MINUTES = (0, 75, 210, 300, 252, 30, 480, 720), 180
 
 
 def stream_dedupe_within(spark: SparkSession, sf: str) -> DataFrame:
-    """T2 within a watermark: uploads (one per twelfth of the events) arrive
-    one by one, two of them too late. A company is kept again once its state
+    """T2 within a watermark: uploads (one per eighth of the events) arrive
+    one by one, one of them too late. A company is kept again once its state
     has expired; of an upload's rows of one key the first stays."""
     run = _run_dir(spark, "dedupe-within")
     src, out = f"{run}/in", f"{run}/out"

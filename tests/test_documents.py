@@ -3,12 +3,13 @@
 import time
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitegraph.operators.frontier import robots_directives, sites
-from sitegraph.operators.links import link_array
+from sitegraph.operators.links import anchor_hrefs, attribute_text, link_array
 from sitegraph.operators.resolve import site_url_lists
-from sitegraph.operators.sitemaps import expand_sitemaps, index_children, malformed_index_items, parse_snapshot, urlset_urls, with_positions
+from sitegraph.operators.sitemaps import SHORT, Limits, Snapshot, expand_sitemaps, first_of, index_children, malformed_index_items, parse_snapshot, urlset_urls, with_positions
 
 NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 TS = datetime(2024, 6, 1)
@@ -189,6 +190,86 @@ def test_links(spark):
     assert got == [f"https://a.b/{i}" for i in range(150)]
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<a title="a > b" href="/1">x</a><a href=\'/2\'>y</a>', ["/1", "/2"]),
+    ('<a href="/1>x</a><a href="/2">y</a>', ["/1>x</a><a href="]),  # the quote is closed by the next one
+    ('<a href="/never closed>x</a> text', []),
+    ('<a title=\'it"s\' href=/q?a=b&c>x</a>', ["/q?a=b&c"]),
+    ('<a href=/1/>x</a><a/href="/2"/>y</a><A HREF = "/3" href="/4">z</A>', ["/1/", "/2", "/3"]),
+    ('<a href>x</a><a href=>y</a><a href="">z</a><a name="href=/no">n</a>', ["", "", ""]),
+    ("<script><!-- <script> <a href='/no'> </script> <a href='/no'> --></script><a href='/1'>x</a>", ["/1"]),
+    ("<script>if (a<b) '<a href=/no>' </scripty></SCRIPT ><a href='/1'>x</a>", ["/1"]),
+    ("<title><a href='/no'></title><textarea><a href='/no'></textarea><style><a href='/no'></style><a href='/1'>", ["/1"]),
+    ("<!-- <a href='/no'> --!><a href='/1'><!--><a href='/2'><!---><a href='/3'><!doctype a><a href='/4'></ a><a href='/5'>", ["/1", "/2", "/3", "/4", "/5"]),
+    ("<script><a href='/no'>", []),
+    ("<!-- <a href='/no'>", []),
+    ("a < b <a href='/1'> <3 <abbr href='/no'> </a href='/no'>", ["/1"]),
+    ('<a href="/a?x=1&copy=2&copy&amp;lt=3&notit;&not;&CounterClockwiseContourIntegral;&#x41;&#66&#0;&#x80;">', ["/a?x=1&copy=2\u00a9&lt=3&notit;\u00ac\u2233AB\ufffd\u20ac"]),
+    ("", []), ("<", []), ("<a", []), ("</", []), ("<!", []), ("<a href='/1'", []),
+])
+def test_tokeniser(html, want):
+    assert anchor_hrefs(html) == want
+
+
+@pytest.mark.parametrize("piece", ["<", "<a ", "<!--", "</", "<script>", "<a href='", "<a b=\"c\" ", "<title>", "<script><!--<script>", "&amp", "<a\t=", "--!", "<!---"])
+def test_tokeniser_is_linear(piece):
+    start = time.time()
+    anchor_hrefs(piece * 100_000)
+    anchor_hrefs("<script>" + piece * 100_000)
+    attribute_text(piece * 100_000)
+    assert time.time() - start < 5
+
+
+def test_only_the_bodies_asked_for_are_parsed(spark):
+    s = sites(spark.createDataFrame([("https://a.b",), ("https://c.d",), ("https://e.f",)], "website_url string"))
+    old = [("https://a.b/two.xml", urlset("https://a.b/old")), ("https://e.f", "<a href=/old>")]
+    f = fetch_df(spark, [
+        ("https://a.b/robots.txt", 200, ROBOTS), ("https://a.b/two.xml", 200, urlset("https://a.b/x")),
+        ("https://a.b/sitemap.xml", 200, urlset("https://a.b/never")), ("https://a.b", 200, "<a href=/never>"),
+        ("https://c.d/sitemap_index.xml", 200, index("https://c.d/u.xml")), ("https://c.d/u.xml", 200, urlset("https://c.d/1")), ("https://c.d", 200, "<a href=/never>"),
+        ("https://e.f", 200, "<a href=/p>"), ("https://other/sitemap.xml", 200, urlset("https://other/never"))])
+    f = f.unionByName(spark.createDataFrame([(u, 200, "x", b, datetime(2020, 1, 1)) for u, b in old], f.schema))
+    parsed = []
+    documents = Snapshot.documents
+
+    def seen(self, urls):
+        docs = documents(self, urls)
+        parsed.extend((r.url, r.body) for r in docs.collect())
+        return docs
+
+    Snapshot.documents = seen
+    try:
+        assert {k: v[1] for k, v in chosen(site_url_lists(s, f)).items()} == {"https://a.b": ["https://a.b/x"], "https://c.d": ["https://c.d/1"], "https://e.f": ["https://e.f/p"]}
+    finally:
+        Snapshot.documents = documents
+    assert sorted(u for u, _ in parsed) == ["https://a.b/robots.txt", "https://a.b/two.xml", "https://c.d/sitemap_index.xml", "https://c.d/u.xml", "https://e.f"]
+    assert not any("old" in b for _, b in parsed)
+
+
+def test_fetches_that_tie(spark):
+    rows = [("https://s/u.xml", 200, urlset("https://s/1", "https://s/2")), ("https://s/u.xml", 200, urlset("https://s/3")), ("https://s/u.xml", 200, urlset("https://s/3"))]
+    got = [(r.p, r.value) for r in parse_snapshot(fetch_df(spark, rows)).orderBy("p").collect()]
+    assert got in ([(1, "https://s/1"), (2, "https://s/2")], [(1, "https://s/3")])
+
+
+def test_limits(spark):
+    s = sites(spark.createDataFrame([("https://a.b",), ("https://e.f",)], "website_url string"))
+    f = fetch_df(spark, [("https://a.b/sitemap.xml", 200, index("https://a.b/1.xml", "https://a.b/2.xml", "https://a.b/3.xml")),
+                         *[(f"https://a.b/{k}.xml", 200, urlset(*[f"https://a.b/{k}/{i}" for i in range(9)])) for k in (1, 2, 3)],
+                         ("https://e.f", 200, "".join(f"<a href=/{i}>" for i in range(9)))])
+    got = chosen(site_url_lists(s, f, limits=Limits(urlset=4, children=2, links=3, site=6)))
+    assert got["https://a.b"][1] == [f"https://a.b/1/{i}" for i in range(4)] + [f"https://a.b/2/{i}" for i in range(2)]
+    assert got["https://e.f"][1] == [f"https://e.f/{i}" for i in range(3)]
+    assert site_url_lists(s, f, limits=SHORT).urls.count() == 27 + 9
+
+
+def test_first_of_each_group(spark):
+    rows = spark.createDataFrame([("a", i // 2) for i in range(8)] + [("b", 5)], "k string, ord int")
+    assert sorted((r.k, r.pos, r.ord) for r in first_of(rows, "k", 3).collect()) == [("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("b", 1, 5)]
+    assert sorted((r.k, r.pos) for r in first_of(rows, "k", 3, ties=True).collect()) == [("a", 1), ("a", 1), ("a", 3), ("a", 3), ("b", 1)]
+    assert "WindowGroupLimit" in first_of(rows, "k", 3)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bad_ipv6_site_is_an_error(spark):
     comp = spark.createDataFrame([("https://[::1]/x",), ("https://[oops/",), ("https://ok.b",)], "website_url string")
     f = fetch_df(spark, [("https://ok.b", 200, '<a href="/p">p</a>')])

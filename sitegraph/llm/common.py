@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from sitegraph.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, PIECE_BYTES = 1 << 20, 1 << 18
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -35,7 +36,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables whose successors exist. The collections let Spark's cleaner remove the shuffle files of
+    the jobs that made them."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.saved_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:
+        sc._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to ``rows``: a batch of whole texts is held several times, on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def ranked(df: DataFrame, order: list[Column], rank: str = "rank", name: str = "ranked", weight: str | None = None) -> DataFrame:
@@ -117,6 +139,26 @@ class Words:
         """``(offsets, hashes)``: text ``i`` has the words ``offsets[i]:offsets[i + 1]``; with ``prefixes``, also
         the hashes of each word's first so many bytes (0 for words that are not longer)."""
         data = b" " + b" ".join(texts).translate(self.table) + b" "
+        parts = [self._part(data[a:b], a, prefixes) for a, b in self._cuts(data)]
+        starts, *hashes = (np.concatenate(x) for x in zip(*parts))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        offsets = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]) + 1)
+        return (offsets, *hashes)
+
+    @staticmethod
+    def _cuts(data: bytes) -> Iterator[tuple[int, int]]:
+        """Pieces of about ``PIECE_BYTES`` that begin and end with a space (a longer word makes a longer piece)."""
+        at = 0
+        while at < len(data) - 1:
+            end = len(data) - 1
+            if at + PIECE_BYTES < end:
+                end = data.rfind(b" ", at + 1, at + PIECE_BYTES)
+                end = data.find(b" ", at + PIECE_BYTES) if end < 0 else end
+            yield at, end + 1
+            at = end
+
+    def _part(self, data: bytes, at: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+        """The places and hashes of the words of a piece that lies at ``at``."""
         raw = np.frombuffer(data, np.uint8)
         space = raw == 32
         starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
@@ -126,13 +168,13 @@ class Words:
         np.cumsum(self.values[raw] * self.powers[:len(raw)], out=sums[1:])
         back = self.inverses[starts]
         hashes = mix((sums[ends] - sums[starts]) * back)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        offsets = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]) + 1)
         more = []
         for k in prefixes:
             cut = mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * back + np.uint64(k))
             more.append(np.where(ends - starts > k, cut, np.uint64(0)))
-        return (offsets, hashes, *more)
+        if len(raw) > 4 * PIECE_BYTES:  # not kept for the sake of one very long word
+            self.powers = self.inverses = np.ones(1, np.uint64)
+        return (starts + at, hashes, *more)
 
 
 BITS = 26

@@ -20,11 +20,9 @@ A document's set holds the 64-bit hashes of its distinct ``shingle``-word runs.
    candidates; the rest meet with their whole sets.
 5. Components of the verified links; a document's component is named by its least doc_id.
 
-6. All links, on request. Components need no links between members that are already together; the exact pass tests all
-   pairs of every large group: groups with equal members count once, a group is dealt into blocks by hash (at most
-   ``BLOCK`` members or ``BLOCK_TOKENS`` shingles), and every two blocks meet in a task's cell with their whole sets. With
-   the verified pairs of the small groups these are all links between distinct sets. This work does grow with the
-   square of a group's size, as its links can.
+6. All links, on request. A link lies within a component. A component of two sets is one link; the sets of a larger one
+   are dealt into blocks by hash (about ``BLOCK`` sets or ``BLOCK_TOKENS`` shingles), and every two blocks meet in a cell with their whole sets. A set
+   is sent once per block of its component. This work grows with the square of a component, as its links can.
 
 Signatures, candidates and links are written tables. Nothing that grows with the data is collected or broadcast.
 Set identity uses 64-bit hashes: a wrong link needs colliding shingles inside one candidate pair.
@@ -45,12 +43,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitegraph.llm.common import Words, bitmap, marked, mix, saved, signed, slices
+from sitegraph.llm.common import Words, bitmap, discard, marked, mix, saved, signed, slices, small_batches
 from sitegraph.llm.components import components
 from sitegraph.plans.tables import table
 
 SHINGLE, PERCENT = 5, 80
-BLOCK, BLOCK_TOKENS, COLUMNS = 64, 1 << 19, 8192
+BLOCK, BLOCK_TOKENS, COLUMNS = 128, 1 << 20, 8192
 NO_ID = -1  # stands for a null id in the bitmap of sets; an id of -1 only marks more
 FREQUENT, SMALL_GROUP, WIDTH, FIRST_GROUPS = 16, 16, 16, 8
 WORDS = Words(bytes(b for b in range(256) if b != 32 and not 9 <= b <= 13))
@@ -263,7 +261,19 @@ class Join:
 
     def __init__(self, docs: DataFrame, shingle: int, percent: int):
         self.docs, self.shingle, self.percent = docs.select("doc_id", "text"), shingle, percent
-        self.broadcast = docs.sparkSession.sparkContext.broadcast
+        self.shared: list = []
+        small_batches(docs.sparkSession)
+
+    def broadcast(self, value):
+        """A broadcast that lives until ``written``."""
+        self.shared.append(self.docs.sparkSession.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def written(self, made):
+        """``made`` (a written table or a value), without the broadcasts it was made with."""
+        while self.shared:
+            self.shared.pop().destroy()
+        return made
 
     def classes(self) -> DataFrame:
         """``doc_id, node, n`` and the signatures of every row."""
@@ -272,8 +282,8 @@ class Join:
             return bitmap(tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > FREQUENT), F.col("token"))
 
         first = frequent()
-        both = first | frequent(self.broadcast(first))
-        return saved(self.docs.mapInArrow(_features(self.shingle, self.percent, self.broadcast(both)), FEATURES), "features")
+        both = first | self.written(frequent(self.broadcast(first)))
+        return self.written(saved(self.docs.mapInArrow(_features(self.shingle, self.percent, self.broadcast(both)), FEATURES), "features"))
 
     def members(self, features: DataFrame) -> DataFrame:
         """``sig, node, n, size, own, degree``: the members of every signature of several nodes.
@@ -284,12 +294,15 @@ class Join:
         shared = features.select("node", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
         rows = features.where("node is not null").select("node", "n", "rare", "sigs").mapInArrow(
             _members(self.broadcast(bitmap(shared, F.col("sig")))), "sig long, node long, n long, rare long, single boolean")
-        rows = saved(rows.distinct(), "members")
+        rows = self.written(saved(rows.distinct(), "members"))
         groups = rows.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-        rows = saved(rows.join(groups, "sig"), "groups")
+        rows, before = saved(rows.join(groups, "sig"), "groups"), rows
+        discard(before)
         known = rows.groupBy("node").agg(F.count("*").alias("degree"), F.count_if("single").alias("met"))
         own = F.when(F.col("single"), F.lit(0)).otherwise(F.col("rare") - F.col("met"))
-        return rows.join(known, "node").select("sig", "node", "n", "size", own.alias("own"), "degree")
+        out = saved(rows.join(known, "node").select("sig", "node", "n", "size", own.alias("own"), "degree"), "all-members")
+        discard(rows)
+        return out
 
     def alike(self, a: str, b: str):
         """Whether two members can link by their sizes and by the shingles that only they have. With ``common``
@@ -310,7 +323,7 @@ class Join:
         lead = F.coalesce("lead", F.lit(NO_ID).cast("long"))  # null if no row of the set has an id
         place = F.col("node").bitwiseXOR(lead).bitwiseXOR(F.shiftleft(lead, 13))
         wanted = bitmap(some.distinct().join(nodes.select("node", "lead"), "node"), place)
-        return saved(self.docs.mapInArrow(_sets(self.shingle, self.broadcast(wanted)), "node long, tokens array<long>"), "sets")
+        return self.written(saved(self.docs.mapInArrow(_sets(self.shingle, self.broadcast(wanted)), "node long, tokens array<long>"), "sets"))
 
     def linked(self, near: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs ``a, b`` that link."""
@@ -320,7 +333,7 @@ class Join:
 
     def links(self, features: DataFrame, nodes: DataFrame) -> DataFrame:
         """``node, component`` of the nodes that link with another."""
-        members = saved(self.members(features), "all-members")
+        members = self.members(features)
         few = members.where(F.col("size") <= SMALL_GROUP)
         side = lambda x: few.select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"own{x}"))
         pairs = side("a").join(side("b"), "sig").where(F.col("a") < F.col("b")).where(self.alike("a", "b")).select("a", "b")
@@ -333,10 +346,12 @@ class Join:
         # a node meets the hubs of a few of its groups first: that finds most links; the rounds below cover all groups
         share = F.shiftrightunsigned(F.xxhash64("sig"), 33).cast("double") / F.lit(float(1 << 31))
         tested = saved(pairs.unionByName(self.met(hubs, many.where(share * F.col("degree") < FIRST_GROUPS))).distinct(), "pairs")
+        discard(members)
         near = self.near(tested, nodes)
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")), nodes)
         links = saved(self.linked(near, sets), "links")
-        self.many, self.whole, self.verified = many, sets, links
+        discard(near)
+        self.whole, self.sizes = sets, nodes.select("node", "n")
         found = saved(components(links), "components")
         used, width = hubs.select("sig", "cls", "node").limit(0), WIDTH
         while True:
@@ -349,9 +364,11 @@ class Join:
             number = left.groupBy("sig", "cls").agg(F.count("*").alias("left"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("least"))
             hubs = left.join(number, ["sig", "cls"]).where(F.col("node").eqNullSafe(F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("left")) < width)).select("sig", "cls", "node", "n", "own", "component")
             if left.isEmpty():
+                discard(many, placed, left)
                 return found
             hubs = saved(hubs, "hubs")
             new = saved(self.met(hubs, placed, True).join(tested, ["a", "b"], "left_anti"), "pairs")
+            discard(placed, left)
             near = self.near(new, nodes)
             tested, used, width = tested.unionByName(new), used.unionByName(hubs.select("sig", "cls", "node")), width * WIDTH
             if not near.isEmpty():
@@ -369,18 +386,19 @@ class Join:
             met = met.where("component <> ch")
         return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
-    def all_links(self) -> DataFrame:
-        """All links ``a < b`` between distinct sets (after ``links``)."""
-        can = self.many.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * self.percent)  # else no set is near enough
-        group = can.groupBy("sig", "cls").agg(F.count("*").alias("m"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "node")).alias("h2"))
-        once = group.where("m > 1").groupBy("m", "h1", "h2").agg(F.min_by(F.struct("sig", "cls", "most"), F.struct("sig", "cls")).alias("g"))
-        blocks = F.ceil(F.col("m") / F.expr(f"greatest(2, least({BLOCK}, {BLOCK_TOKENS} div g.most))"))
-        once = once.select("g.sig", "g.cls", blocks.cast("int").alias("blocks"))
-        dealt = can.join(once, ["sig", "cls"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    def all_links(self, found: DataFrame) -> DataFrame:
+        """All links ``a < b`` between distinct sets, given the components that ``links`` found. A link lies within a
+        component, so a component's members meet in blocks: a set is sent once per block of its own component."""
+        placed = found.join(self.sizes, "node")
+        sizes = placed.groupBy("component").agg(F.count("*").alias("m"), F.max("n").alias("most"))
+        members = placed.join(sizes, "component").select("node", "component", "m", "most")
+        two = members.where("m = 2").groupBy("component").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+        blocks = F.ceil(F.col("m") / F.expr(f"greatest(2, least({BLOCK}, {BLOCK_TOKENS} div most))")).cast("int")
+        dealt = members.where("m > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select("sig", "cls", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        cells = dealt.join(self.whole, "node").groupBy("sig", "cls", "i", "j").applyInArrow(_cell(self.percent), "a long, b long")
-        return saved(saved(cells, "cell-links").unionByName(self.verified).distinct(), "all-links")
+        dealt = dealt.select("component", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        cells = dealt.join(self.whole, "node").groupBy("component", "i", "j").applyInArrow(_cell(self.percent), "a long, b long")
+        return saved(two.unionByName(cells).distinct(), "all-links")
 
     def run(self, count: bool = False) -> DataFrame:
         """``doc_id, n_shingles, component_id, set_id, component``: the last two name the distinct set and the
@@ -395,7 +413,7 @@ class Join:
         named = saved(placed.join(names, "component").select("node", "component", "component_id"), "named")
         rows, more = features.select("doc_id", "n", "node").join(named, "node", "left"), []
         if count:
-            ends = self.all_links().select(F.explode(F.array("a", "b")).alias("node"))
+            ends = self.all_links(found).select(F.explode(F.array("a", "b")).alias("node"))
             rows = rows.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
             more = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -412,8 +430,7 @@ def document_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     join = Join(docs, shingle, percent)
     features = join.classes()
     nodes = features.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    join.links(features, saved(nodes, "nodes"))
-    return join.all_links()
+    return join.all_links(join.links(features, saved(nodes, "nodes")))
 
 
 def without_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import Words, slices
+from sitegraph.llm.common import Words, slices, small_batches
 from sitegraph.plans.tables import table
 
 BITS, FACTORS, SAMPLE, THRESHOLD, PREFIXES = 18, 6, 20_000, 0.3, (4, 5, 6)
@@ -136,6 +136,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (same columns) without those that score ``threshold`` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -401,7 +401,16 @@ SELECT cs._ord, cs.company, CASE WHEN agg.host IS NULL THEN 'none' WHEN length(c
 FROM cs LEFT JOIN agg ON cs.host = agg.host
 """
 
+UPLOADED_MULTILINE = f"""
+WITH t AS (SELECT regexp_replace(company || ', "of"' || chr(10) || 'branch ' || (_ord % 3), '^\\s+', '') AS company, trim(website) AS website
+           FROM ({B1_COMPANIES}))
+SELECT company, CASE WHEN starts_with(website, 'http://') OR starts_with(website, 'https://') THEN website ELSE 'https://' || website END AS website_url,
+       count(*) AS n_rows
+FROM t WHERE length(website) > 0 GROUP BY ALL
+"""
+
 ORACLE = {
+    "uploaded_multiline": UPLOADED_MULTILINE,
     "sitemap_top": f"SELECT root, pos, url FROM ({SITEMAP_TREE}) WHERE pos <= 5",
     "limited_prompts": LIMITED_PROMPTS,
     "store_compaction": STORE_COMPACTION,

@@ -213,6 +213,18 @@ def uploaded_companies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("company", "website_url").agg(F.count("*").alias("n_rows"))
 
 
+def uploaded_multiline(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 with line breaks in quoted cells: read by records, each with its
+    place in the file."""
+    root = SQ._run_dir(spark, "multiline")
+    raw = B.companies_raw(spark, sf)
+    name = F.concat("company", F.lit(', "of"\nbranch '), (F.col("_ord") % 3).cast("string"))
+    raw.select(name.alias("Company"), F.lit("first\n\nthird, line").alias("Note"), F.col("website").alias("Website")).write.option("header", True).option(
+        "quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/upload")
+    rows = normalize_companies(scan_companies(spark, root, multiline=True))
+    return rows.groupBy("company", "website_url").agg(F.count("*").alias("n_rows"))
+
+
 def results_csv(spark: SparkSession, sf: str) -> DataFrame:
     """A10: the de-duplicated results written as CSV and read back."""
     path = f"{SQ._run_dir(spark, 'results')}/csv"
@@ -348,6 +360,7 @@ REGISTRY = {
     "processed_jobs": processed_jobs,
     "processed_store": processed_store,
     "uploaded_companies": uploaded_companies,
+    "uploaded_multiline": uploaded_multiline,
     "results_csv": results_csv,
     "store_reset": store_reset,
     "store_upsert": store_upsert,

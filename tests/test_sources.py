@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitegraph.operators.normalize import dedupe_companies, job_ack, normalize_companies, submission_summary
-from sitegraph.sources.companies import ColumnResolutionError, resolve_columns, scan_companies
+from sitegraph.sources.companies import ColumnResolutionError, csv_records, resolve_columns, scan_companies
 from sitegraph.sources.sinks import write_results_csv, write_status_json
 
 EDGE_CSV = '''Company,Website,Note
@@ -96,5 +96,33 @@ def test_multiline_cells(spark, tmp_path):
     d = tmp_path / "ml"
     d.mkdir()
     (d / "c.csv").write_text('Company,Website\n"Two\nLines",a.com\nB,b.com\n')
-    rows = normalize_companies(scan_companies(spark, str(d), multiline=True)).collect()
+    rows = normalize_companies(scan_companies(spark, str(d), multiline=True)).orderBy("_ord").collect()
     assert [(r.company, r.website_url) for r in rows] == [("Two\nLines", "https://a.com"), ("B", "https://b.com")]
+
+
+def test_multiline_records_are_found_by_many_tasks(spark, tmp_path):
+    import csv
+    import random
+
+    r = random.Random(5)
+    cell = lambda: "".join(r.choice(["a", "é", '"', "\n", ",", " ", "x\r\ny", "\n\n", "'", "long text "]) for _ in range(r.randint(0, 40)))
+    rows = [(f"c{i}", cell() or "-", f"w{i}.com{cell()}") for i in range(1500)]
+    rows[700] = ("c700", "z\n" * 20_000, "w700.com")  # over several splits
+    d = tmp_path / "in"
+    d.mkdir()
+    with open(d / "big.csv", "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\n")
+        w.writerow(["Company", "Note\nof two lines", "Website"])
+        w.writerows(rows)
+    (d / "other.csv").write_bytes(b'\xef\xbb\xbfHome URL,Organization\r\nb.com,"Bolt\r\n& Co"\r\n\r\nd.com,Dee')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        records = csv_records(spark, str(d))
+        assert records.select("block").distinct().count() > 20
+        got = [(x.company, x.website) for x in scan_companies(spark, str(d), multiline=True).orderBy("_ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(a, c) for a, _, c in rows] + [("Bolt\r\n& Co", "b.com"), ("Dee", "d.com")]
+    whole = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(str(d / "big.csv"))
+    assert [(x[0], x[2]) for x in whole.collect()] == got[:1500]

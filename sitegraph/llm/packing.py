@@ -23,10 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from sitegraph.llm.common import ranked, saved, slices
 from sitegraph.plans.tables import table
@@ -48,10 +46,14 @@ class Encoder:
         others = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
         ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in self.special}
+        import tiktoken  # here, so that the other operators work without it
+
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
+            from tokenizers import Tokenizer
+
             self.whole = self.whole or Tokenizer.from_str(self.file)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)

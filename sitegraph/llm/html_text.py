@@ -16,9 +16,9 @@ from __future__ import annotations
 import html as references
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sitegraph.llm.common import slices
 from sitegraph.plans.tables import table
 
-RAW = frozenset("script style noscript template title textarea select svg math iframe object button".split())
+RAW = frozenset("script style noscript template title textarea select svg iframe button".split())
 MARK = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
 VALUE = re.compile(r"=\s*+([\"'])")
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -50,20 +50,29 @@ INSIDE = 3.0  # what names inside an article say counts against this
 CHAIN, SAME, FAR = 1.2, 0.6, 0.35
 
 
+#: Names that tell of a state (``has-sidebar``, ``search-enabled``) say nothing about what a container holds.
+STATE = re.compile(r"^(?:has|no|not|with|without)[-_]|[-_](?:enabled|disabled)$", re.I)
+
+
 @dataclass
 class Block:
     text: str
     score: float
-    path: tuple[int, ...]  # the containers' numbers
+    holder: int  # the container's number
 
 
 @dataclass
 class Container:
     tag: str
     number: int
-    score: float
+    parent: int
+    depth: int
     article: bool
-    children: int = field(default=0)
+    sure: float      # what its tag and kind names say
+    doubtful: float  # what ``form`` and unkind names say: not believed of a container that holds the page's main part
+    heading: bool    # whether a main part may begin here
+    size: int = 0    # characters of text
+    score: float = 0.0
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
@@ -98,32 +107,38 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield start, at, "", False, ""
 
 
-def opened(tag: str, attributes: str, parent: Container | None, number: int) -> Container:
-    """A container with the score that its blocks inherit."""
-    inside = parent is not None and parent.article
-    score = parent.score if parent else 0.0
-    score += HEADER if tag == "header" and not inside else TAGS.get(tag, 0.0) if not (tag == "article" and inside) else 0.0
+def opened(tag: str, attributes: str, parent: Container, number: int) -> Container:
+    """A container with what its tag and names say about its content."""
+    sure = HEADER if tag == "header" and not parent.article else TAGS.get(tag, 0.0) if not (tag == "article" and parent.article) else 0.0
+    doubtful = 0.0
+    if tag == "form":
+        sure, doubtful = 0.0, sure
     if attributes:
         if STYLE_HIDDEN.search(attributes):
-            score -= 9.0
+            sure -= 9.0
         names = set()
         for m in ATTRIBUTE.finditer(attributes):
             if m[1].lower() == "hidden":
                 names.add("hidden")
-            else:
-                names.update(x.lower() for x in NAME.findall(m[2] or m[3] or m[4] or ""))
-        if names:
-            worst = min((NEGATIVE[x] for x in names if x in NEGATIVE), default=0.0)
-            score += worst if worst else max((POSITIVE[x] for x in names if x in POSITIVE), default=0.0)
-    return Container(tag, number, max(-14.0, min(8.0, score)), inside or tag in ("article", "main"))
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order."""
+            elif tag not in ("html", "body"):  # theirs are about the page
+                for word in (m[2] or m[3] or m[4] or "").split():
+                    if not STATE.search(word):
+                        names.update(x.lower() for x in NAME.findall(word))
+        worst = min((NEGATIVE[x] for x in names if x in NEGATIVE), default=0.0)
+        doubtful += worst
+        sure += 0.0 if worst else max((POSITIVE[x] for x in names if x in POSITIVE), default=0.0)
+    heading = tag in ("h1", "main") or (tag == "article" and doubtful == 0)
+    return Container(tag, number, parent.number, parent.depth + 1, parent.article or tag in ("article", "main"), sure, doubtful, heading)
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Container]]:
+    """The page's text blocks in order, and its containers by number. Time and memory are linear in the page, however
+    deep it is nested."""
     out: list[Block] = []
-    stack = [Container("html", 0, 0.0, False)]
+    all_of = [Container("html", 0, 0, 0, False, 0.0, 0.0, False)]
+    stack, open_tags = [all_of[0]], Counter()
     parts: list[str] = []
-    linked = at = numbers = 0
+    linked = at = 0
     in_link = False
 
     def flush() -> None:
@@ -131,7 +146,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, stack[-1].score + text_score(text, linked, stack[-1].tag), tuple(c.number for c in stack)))
+                out.append(Block(text, text_score(text, linked, stack[-1].tag), stack[-1].number))
+                stack[-1].size += len(text)
             parts.clear()
         linked = 0
 
@@ -142,30 +158,37 @@ def blocks_of(page: str) -> list[Block]:
             if in_link:
                 linked += len(piece)
 
+    def close(i: int) -> None:
+        for c in stack[i:]:
+            open_tags[c.tag] -= 1
+        del stack[i:]
+
     for start, end, tag, closing, attributes in tags(page):
         add(page[at:start])
         at = end
         if tag in BLOCKS:
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+                if open_tags[tag]:
+                    i = len(stack) - 1
+                    while stack[i].tag != tag:
+                        i -= 1
+                    close(i)
             elif tag not in VOID:
                 if stack[-1].tag == "p":
-                    stack.pop()
-                if tag in ENDS:
+                    close(len(stack) - 1)
+                if tag in ENDS and any(open_tags[x] for x in ENDS[tag]):
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i].tag in ENDS[tag]:
-                            del stack[i:]
+                            close(i)
                             break
                         if stack[i].tag in HOLDERS:
                             break
-                numbers += 1
                 if tag == "body":
-                    stack = stack[:1]
-                stack.append(opened(tag, attributes, stack[-1], numbers))
+                    close(1)
+                all_of.append(opened(tag, attributes, stack[-1], len(all_of)))
+                stack.append(all_of[-1])
+                open_tags[tag] += 1
         elif tag == "a":
             in_link = not closing
         elif tag == "br":
@@ -174,7 +197,15 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
     add(page[at:])
     flush()
-    return out
+    for c in reversed(all_of[1:]):
+        all_of[c.parent].size += c.size
+        all_of[c.parent].heading |= c.heading
+    for c in all_of[1:]:
+        believed = 0.0 if c.heading and 2 * c.size > all_of[0].size else c.doubtful
+        c.score = max(-14.0, min(8.0, all_of[c.parent].score + c.sure + believed))
+    for b in out:
+        b.score += all_of[b.holder].score
+    return out, all_of
 
 
 def text_score(text: str, linked: int, tag: str) -> float:
@@ -191,20 +222,26 @@ def text_score(text: str, linked: int, tag: str) -> float:
     return score
 
 
-def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def distance(a: Container, b: Container, all_of: list[Container]) -> int:
+    """The steps between two containers, by way of their nearest common one."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = all_of[a.parent]
+        else:
+            b = all_of[b.parent]
+        steps += 1
+    return steps
+
+
+def smoothness(blocks: list[Block], all_of: list[Container]) -> list[tuple[int, int, float]]:
     """Edges between neighbours, and between a container's successive own blocks."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            same = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                same += 1
-            steps = len(a) + len(b.path) - 2 * same
+            steps = distance(all_of[blocks[i - 1].holder], all_of[b.holder], all_of)
             edges.append((i - 1, i, max(FAR, CHAIN * math.exp(-0.35 * max(0, steps - 2)))))
-        holder = b.path[:-1] or b.path
+        holder = all_of[b.holder].parent
         before = last.get(holder)
         if before is not None and before != i - 1:
             edges.append((before, i, SAME))
@@ -263,10 +300,10 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
 
 
 def main_text(page: str) -> str:
-    blocks = blocks_of(page)
+    blocks, all_of = blocks_of(page)
     if not blocks:
         return ""
-    content = minimum_cut([b.score for b in blocks], smoothness(blocks))
+    content = minimum_cut([b.score for b in blocks], smoothness(blocks, all_of))
     return "\n".join(b.text for b, keep in zip(blocks, content) if keep)
 
 

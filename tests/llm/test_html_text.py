@@ -3,6 +3,8 @@ import math
 import random
 import time
 
+import pytest
+
 from sitegraph.llm import html_text as H
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><header><a href=/>Site</a></header>
@@ -18,6 +20,38 @@ def test_page():
     assert H.main_text(PAGE[:PAGE.index("Last one") + 12]).endswith("Short.\nLast one end")
 
 
+ARTICLE = """<article><h1>A title of some words</h1><p>The first paragraph is long enough to be the text of an article, with a full stop.</p>
+<p>The second paragraph goes on about the same thing, and ends here as well.</p></article>"""
+PLAIN = "A title of some words\nThe first paragraph is long enough to be the text of an article, with a full stop.\nThe second paragraph goes on about the same thing, and ends here as well."
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<body class="no-sidebar">', "</body>"), ('<body class="has-sidebar header-fixed">', "</body>"), ('<body class="single with-ads">', "</body>"), ('<body class="post-template search-enabled">', "</body>"),
+    ('<html class="no-js cookie-banner"><body id="comments-page">', "</body></html>"), ("<form action=x>", "</form>"), ('<div class="sidebar-layout">', "</div>"), ('<div class="with-sidebar">', "</div>"),
+])
+def test_names_of_the_page_are_not_its_content(open_, close):
+    menu = '<nav><a href="/a">Home</a></nav>'
+    assert H.main_text(open_ + menu + ARTICLE + "<footer>Imprint</footer>" + close) == PLAIN
+    assert H.main_text(open_ + ARTICLE.replace("<article>", '<article class="post has-ads">') + close) == PLAIN
+
+
+def test_long_comments_stay_out():
+    comments = '<section id="comments">' + "<div><p>I read this with joy and would like to say so at some length here.</p></div>" * 20 + "</section>"
+    assert H.main_text(f"<body>{ARTICLE}{comments}</body>") == PLAIN
+
+
+def test_text_in_formulas_and_objects():
+    assert H.main_text(ARTICLE.replace("the same thing", "<math><mi>x</mi></math> and <object>y</object>")) == PLAIN.replace("the same thing", "x and y")
+
+
+@pytest.mark.parametrize("page", ["<div>some text of a block here, " * 100_000, "<blockquote>" * 50_000 + "<td>x</td></p>" * 50_000, "<div>" * 50_000 + "text. " + "</div>" * 50_000 + "<p>more.</p>" * 10])
+def test_deep_pages_are_linear(page):
+    start = time.process_time()
+    H.blocks_of(page)
+    H.smoothness(*H.blocks_of(page))
+    assert time.process_time() - start < 10
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "<p>", "</p>", "<!--", "<script>", "<a href=\"x", "<p class='>text", "&#xZZ;&unknown;"):
         H.main_text(page)

@@ -243,3 +243,23 @@ def remove_spans(text: bytes, mark: bytearray, span: int) -> bytes:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_words(text: str) -> str:
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all(coalesce({lower}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+SQL = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_sql_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT item, w, least(len(w), {WINDOW}) AS n, unnest(range(len(w) - least(len(w), {WINDOW}) + 1)) AS p FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[p + 1:p + n], ' ') AS k FROM bw),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words("text")} AS w FROM documents),
+dn AS (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS p FROM d JOIN (SELECT DISTINCT n FROM windows) s ON len(w) >= n),
+hits AS (SELECT r, p, n, item FROM (SELECT r, p, n, array_to_string(w[p + 1:p + n], ' ') AS k FROM dn) x JOIN windows USING (n, k)),
+marked AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(m.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.list, '')) AS items_sha256, coalesce(m.n_hit, 0) > 0 AND {COVERAGE} * coalesce(m.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN marked m ON m.r = d.r LEFT JOIN items i ON i.r = d.r
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitegraph.llm.decontamination import op10_decontamination
+from sitegraph.llm.decontamination import SQL as DECONTAMINATION, op10_decontamination
 from sitegraph.llm.fingerprints import op6_multiset_fingerprints
 from sitegraph.llm.hard_negatives import SQL as HARD_NEGATIVES, op11_hard_negatives
 from sitegraph.llm.html_text import op5_main_text
@@ -21,4 +21,4 @@ QUERIES = {f.__name__: f for f in (
     op7_best_fit_packing, op8_stratified_shards, op9_toxicity, op10_decontamination, op11_hard_negatives,
     op12_merkle_manifest, op13_private_data)}
 #: The other operators have no oracle; tests/llm checks each against a brute-force version.
-ORACLE: dict[str, str] = {"op11_hard_negatives": HARD_NEGATIVES, "op12_merkle_manifest": MERKLE}
+ORACLE: dict[str, str] = {"op10_decontamination": DECONTAMINATION, "op11_hard_negatives": HARD_NEGATIVES, "op12_merkle_manifest": MERKLE}

@@ -57,6 +57,7 @@ class Automaton:
             if 0 < len(ws) < window:
                 self.short[state].append((len(ws), item))
         self.shorter: list[list[tuple[int, str]] | None] = [None] * len(self.next)
+        self.homes: dict[int, int] = {}  # states above a window's, to the window's
 
     def _extend(self, last: int, w: bytes) -> int:
         if (known := self.next[last].get(w)) is not None:
@@ -99,6 +100,17 @@ class Automaton:
             state = self.link[state]
         return state
 
+    def _window_state(self, state: int) -> int:
+        """The state of the last ``window`` words. Each way up the suffix links is walked once, so repeated words cost
+        no more than others."""
+        way, at = [], state
+        while at not in self.homes and self.length[self.link[at]] >= self.window:
+            way.append(at)
+            at = self.link[at]
+        at = self.homes.get(at, at)
+        self.homes.update(dict.fromkeys(way, at))
+        return at
+
     def _short_at(self, state: int) -> list[tuple[int, str]]:
         """Short items that end in the state or in a suffix of it."""
         if (out := self.shorter[state]) is None:
@@ -129,10 +141,7 @@ class Automaton:
             if matched >= window:
                 mark = mark or bytearray(len(ws))
                 mark[i + 1 - window:i + 1] = b"\1" * window
-                at = state
-                while lengths[link[at]] >= window:
-                    at = link[at]
-                items |= self.ids[at]
+                items |= self.ids[self._window_state(state)]
             if any_short:
                 for n, item in self._short_at(state):
                     if n <= matched:

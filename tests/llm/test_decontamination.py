@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from sitegraph.llm import decontamination as D
 
@@ -78,3 +79,11 @@ def test_awkward_rows(spark, docs, no_docs):
     assert cut[5] == "alpha beta gamma delta epsilon zeta eta theta iota kappa  xi omicron pi rho sigma tau upsilon" and cut[2] is None
     assert D.contamination(docs, benchmark.limit(0)).where("n_hit > 0 or contaminated").count() == 0
     assert D.contamination(no_docs, benchmark).count() == 0
+
+
+def test_repeated_words_are_linear():
+    for text in (b"na " * 100_000, b"to be " * 50_000):
+        start = time.process_time()
+        n, mark, items = D.document_hits(text + b"end " + text, [D.Automaton([("1", text)])])
+        assert time.process_time() - start < 15
+        assert n == 200_001 and mark.count(1) == 200_000 and items == {"1"}

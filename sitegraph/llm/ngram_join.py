@@ -12,12 +12,14 @@ A document's set holds the 64-bit hashes of its distinct ``shingle``-word runs.
    in a cell is a signature. Losing a shingle loses at most 1 of coverage, so a linked pair shares a signature. The
    number of cells follows the size class (factors of 100/percent), and sets sign for their own class and the next,
    so any two sets that can link sign alike once.
-3. Candidates. Small signature groups give all their pairs. In a large group one hub meets all others; while a group
-   has members of several components, more hubs follow (``WIDTH`` times as many each round), until all members that are
-   no hubs lie in one component. So no link between components is lost and no group is squared when its members
-   link with each other.
+3. Candidates. Small signature groups give all their pairs. Large groups of nearly the same members (equal under two
+   minimum hashes) become one, so members that share many signatures meet about once. In a large group one hub meets
+   all others; while a group has members of several components, more hubs follow (``WIDTH`` times as many each round),
+   until all members that are no hubs lie in one component. So no link between components is lost and no group is
+   squared when its members link with each other.
 4. Verification. A parity bitmap of each set bounds the symmetric difference from below and drops most false
-   candidates; the rest meet with their whole sets.
+   candidates (of large groups in the join itself, on bitmaps folded to ``LANES`` longs); the rest meet with their
+   whole sets.
 5. Components of the verified links; a document's component is named by its least doc_id.
 
 6. All links, on request. A link lies within a component. A component of two sets is one link; the sets of a larger one
@@ -36,6 +38,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +54,7 @@ from sitegraph.plans.tables import table
 SHINGLE, PERCENT = 5, 80
 BLOCK, BLOCK_TOKENS, COLUMNS = 128, 1 << 20, 8192
 NO_ID = -1  # stands for a null id in the bitmap of sets; an id of -1 only marks more
-FREQUENT, SMALL_GROUP, WIDTH, FIRST_GROUPS = 16, 16, 16, 8
+FREQUENT, SMALL_GROUP, WIDTH, LANES = 16, 16, 16, 16
 WORDS = Words(bytes(b for b in range(256) if b != 32 and not 9 <= b <= 13))
 ODD = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -120,7 +124,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int, classes: np.nd
 
 def parity(s: np.ndarray) -> bytes:
     """Per place of a bitmap with at least as many places as members: the parity of the members there."""
-    places = max(64, 1 << (len(s) - 1).bit_length())
+    places = max(64 * LANES, 1 << (len(s) - 1).bit_length())
     return np.packbits((np.bincount(((s >> np.uint64(17)) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -153,6 +157,15 @@ def _counted(shingle: int, percent: int, shared=None) -> Callable:
     return run
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parity bitmaps folded to ``LANES`` longs."""
+    for batch in batches:
+        rows = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, LANES)) if x else np.zeros(LANES, np.int64) for x in batch.column("bits").to_pylist()]
+        lanes = np.array(rows, np.int64).reshape(-1, LANES)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(lanes[:, i]) for i in range(LANES)]], names=["node", *FOLDED])
+
+
+FOLDED = [f"p{i}" for i in range(LANES)]
 FEATURES = "doc_id long, node long, n long, rare long, sigs array<long>, bits binary"
 
 
@@ -340,12 +353,10 @@ class Join:
         starts = size_classes(self.percent).tolist()
         own = F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= F.col("n"))) - 1
         many = members.where(F.col("size") > SMALL_GROUP).withColumn("c", own)
-        many = saved(many.select("sig", F.explode(F.array("c", F.col("c") + 1)).alias("cls"), "node", "n", "own", "degree"), "large-groups")
-        hubs = many.groupBy("sig", "cls").agg(F.max_by(F.struct("node", "n", "own"), F.struct("degree", F.xxhash64("node"), "node")).alias("h"))
+        many = self.merged(many.select("sig", F.explode(F.array("c", F.col("c") + 1)).alias("cls"), "node", "n", "own", "degree"), nodes)
+        hubs = many.groupBy("sig", "cls").agg(F.max_by(F.struct("node", "n", "own", *FOLDED), F.struct("degree", F.xxhash64("node"), "node")).alias("h"))
         hubs = saved(hubs.select("sig", "cls", "h.*"), "hubs")
-        # a node meets the hubs of a few of its groups first: that finds most links; the rounds below cover all groups
-        share = F.shiftrightunsigned(F.xxhash64("sig"), 33).cast("double") / F.lit(float(1 << 31))
-        tested = saved(pairs.unionByName(self.met(hubs, many.where(share * F.col("degree") < FIRST_GROUPS))).distinct(), "pairs")
+        tested = saved(pairs.unionByName(self.met(hubs, many)).distinct(), "pairs")
         discard(members)
         near = self.near(tested, nodes)
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")), nodes)
@@ -362,7 +373,7 @@ class Join:
             left = placed.where("component <> most").join(used, ["sig", "cls", "node"], "left_anti")
             left = saved(left, "outsiders")
             number = left.groupBy("sig", "cls").agg(F.count("*").alias("left"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("least"))
-            hubs = left.join(number, ["sig", "cls"]).where(F.col("node").eqNullSafe(F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("left")) < width)).select("sig", "cls", "node", "n", "own", "component")
+            hubs = left.join(number, ["sig", "cls"]).where(F.col("node").eqNullSafe(F.col("least")) | (F.pmod(F.xxhash64("node"), F.col("left")) < width)).select("sig", "cls", "node", "n", "own", "component", *FOLDED)
             if left.isEmpty():
                 discard(many, placed, left)
                 return found
@@ -377,11 +388,26 @@ class Join:
                     links = links.unionByName(more)
                     found = saved(components(links), "components")
 
+    def merged(self, many: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The large groups with those of nearly the same members made one (``sig`` names the new group), and the folded
+        parities of the members. Groups with the same least member under two hashes are united, which keeps every pair
+        of members. ``own`` is the least of a member's: two members that link share a group, where it holds for both."""
+        many = saved(many, "large-groups")
+        least = many.groupBy("sig", "cls").agg(F.xxhash64(F.min(F.xxhash64("node")), F.min(F.xxhash64(F.lit(1), "node"))).alias("to"), F.count("*").alias("size")).where("size > 1")
+        rows = many.join(least, ["sig", "cls"]).groupBy(F.col("to").alias("sig"), "cls", "node").agg(F.first("n").alias("n"), F.min("own").alias("own"), F.max("degree").alias("degree"))
+        folded = many.select("node").distinct().join(nodes.select("node", "bits"), "node").mapInArrow(_folded, ", ".join(f"{c} long" for c in ["node", *FOLDED]))
+        out = saved(rows.join(folded, "node"), "merged-groups")
+        discard(many)
+        return out
+
     def met(self, hubs: DataFrame, members: DataFrame, apart: bool = False) -> DataFrame:
         """Hubs with the other members of their groups (``apart``: of other components), as pairs ``a < b``."""
-        h = hubs.select("sig", "cls", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("own").alias("ownh"), *([F.col("component").alias("ch")] if apart else []))
-        m = members.select("sig", "cls", "node", F.col("n").alias("nm"), F.col("own").alias("ownm"), *(["component"] if apart else []))
-        met = m.join(h, ["sig", "cls"]).where("hub <> node").where(self.alike("h", "m"))
+        h = hubs.select("sig", "cls", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("own").alias("ownh"), *[F.col(p).alias(f"h{p}") for p in FOLDED], *([F.col("component").alias("ch")] if apart else []))
+        m = members.select("sig", "cls", "node", F.col("n").alias("nm"), F.col("own").alias("ownm"), *FOLDED, *(["component"] if apart else []))
+        # the same bound as in _near: |both| >= p/(100+p) (na+nb) leaves a difference of at most (100-p)/(100+p) (na+nb)
+        differ = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"h{p}"))) for p in FOLDED])
+        close = differ * (100 + self.percent) <= (F.col("nh") + F.col("nm")) * (100 - self.percent)
+        met = m.join(h, ["sig", "cls"]).where("hub <> node").where(self.alike("h", "m")).where(close)
         if apart:
             met = met.where("component <> ch")
         return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()

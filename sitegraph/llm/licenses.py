@@ -15,7 +15,8 @@ that coefficient. Lines and sentences that overlap a matching run over several l
 The templates are a fixed, small table (a few KB) inside the code. Whole texts are scanned in one narrow pass
 without a shuffle.
 
-A unit counts for the licence that it resembles most (notices of related licences differ by a word).
+A unit counts for the licence that it resembles most. Licences that differ by a version or a word only are told apart
+by these: a template matches no unit that lacks its version numbers, or whose ``VARIANTS`` are others than its own.
 
 Defined results: null and empty texts and texts of one word match nothing; a licence that several units match counts
 once with its best coefficient; ties go to the licence listed first; only doc_id and text are read.
@@ -54,14 +55,21 @@ TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    *((f"CC-{code}-{version}", text) for version, place in (("4.0", "International"), ("3.0", "Unported"), ("2.0", "Generic"))
+      for code, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                         ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+      for text in (f"Licensed under CC {code} {version}.", f"This work is licensed under a Creative Commons {name if version == '4.0' else name.replace('Derivatives', 'Derivs')} {version} {place} License.")),
     ("proprietary", "All rights reserved."),
 )
+#: Words that one licence of a family has and others lack.
+VARIANTS = frozenset(b"affero lesser sharealike noncommercial noderivatives noderivs sa nc nd endorse".split())
+BEFORE_VERSION = VARIANTS | {b"version", b"v", b"by", b"attribution"}
 WORD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 10 if b == 10 else 46 if b in b".!?" else 32 for b in range(256))
 SENTENCE = re.compile(rb"(?<=[.!?])\s+(?=[A-Z])")
 
@@ -74,6 +82,15 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(WORD).replace(b".", b" ").split()
 
 
+def versions(grams: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
+    """The bigrams that name a version."""
+    return {(a, b) for a, b in grams if b.isdigit() and (a.isdigit() or a in BEFORE_VERSION)}
+
+
+def variants(grams: set[tuple[bytes, bytes]]) -> set[bytes]:
+    return {w for g in grams for w in g if w in VARIANTS}
+
+
 class Templates:
     """Templates by bigram, with the bounds of size."""
 
@@ -85,6 +102,7 @@ class Templates:
         for i, (_, s) in enumerate(self.sets):
             for g in s:
                 self.index.setdefault(g, []).append(i)
+        self.versions, self.variants = [versions(s) for _, s in self.sets], [variants(s) for _, s in self.sets]
         sizes = [len(s) for _, s in self.sets]
         self.least, self.most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
         self.vocabulary = {w for g in self.index for w in g}
@@ -112,7 +130,7 @@ class Templates:
             if n * self.threshold <= (2 - self.threshold) * len(own) and len(own) * self.threshold <= (2 - self.threshold) * n:
                 both = len(unit & own)
                 dice = 2 * both / (n + len(own))
-                if dice >= self.threshold and dice > top:
+                if dice >= self.threshold and dice > top and self.versions[i] <= unit and self.variants[i] == variants(unit):
                     top, licence, common = dice, name, both
         return top, licence, common
 

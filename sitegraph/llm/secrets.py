@@ -6,8 +6,13 @@ layer that was seen before at the same place is not entered again (cycle detecti
 end. Every layer carries, per character, the span of the original text that it came from; findings in decoded
 layers are reported by that span.
 
+Of escapes inside escapes, the first ``ESCAPE_LAYERS`` layers are scanned each; from there on they are decoded to the end
+in one linear pass and its result is scanned, so a text of nested escapes takes linear time. Findings hold no escape,
+so only one that a deeper layer destroys (hex digits taken up by a completed escape) shows in the skipped layers alone.
+
 Defined results: a null or empty text has no findings; equal findings of several layers count once; texts are
-scanned whole. Base64 that is wrapped over lines is joined; all members of compressed data are read. Compressed data
+scanned whole. Decoded base64 is a layer if it is
+UTF-8 with at most 5 % control characters. Base64 that is wrapped over lines is joined; all members of compressed data are read. Compressed data
 that inflates to more than ``max_layer`` bytes is scanned as a stream in windows of that size that overlap, so memory is
 bounded and nothing is cut off; ``n_limited`` reports such layers. Only an encoded run inside them that is longer than
 the overlap and lies across the end of a window is seen in two parts.
@@ -19,9 +24,11 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -40,6 +47,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+#: An escape at the end of a stretch; all escapes have at most ten characters and end in one of ``CLOSING``.
+LAST = re.compile(r"(?:&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|%([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8}))\Z")
+CLOSING = frozenset("0123456789abcdefABCDEF;")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: A run up to the end of its line and lines of such runs alone, the last perhaps before a closing mark.
 WRAPPED = re.compile(r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*+(?:\r?\n|\r?\Z|["'`)\]},;<])))+={0,2}""")
@@ -47,6 +57,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 HEX_RUN = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 BASE64_RUN = bytes(120 if chr(b).isascii() and (chr(b).isalnum() or chr(b) in "+/_-") else 32 for b in range(256))
 MAX_LAYER, OVERLAP, CHUNK = 64 << 20, 1 << 16, 1 << 20
+#: Escape layers right above one another that are scanned each; below them escapes are decoded to the end at once.
+ESCAPE_LAYERS = 4
 Span = tuple[int, int, int]  # start, kind, end: in the order of the result
 
 
@@ -83,19 +95,51 @@ class Layer:
 
 def _replaced(layer: Layer, runs: re.Pattern, decode) -> Layer | None:
     """The layer with every run decoded; a run's characters all come from the part that ``decode`` names."""
-    text, parts, starts, ends, at = layer.text, [], [], [], 0
+    text, out, lo, hi, at = layer.text, io.StringIO(), array("i"), array("i"), 0
     start, end = layer.spans()
+
+    def kept(to: int) -> None:
+        out.write(text[at:to])
+        lo.frombytes(start[at:to].tobytes())
+        hi.frombytes(end[at:to].tobytes())
+
     for m in runs.finditer(text):
         chars = decode(m[0])
         if not chars:
             continue
-        parts += [text[at:m.start()], "".join(c for c, _, _ in chars)]
-        starts += [start[at:m.start()], np.array([start[m.start() + a] for _, a, _ in chars], np.int32)]
-        ends += [end[at:m.start()], np.array([end[m.start() + b - 1] for _, _, b in chars], np.int32)]
+        kept(m.start())
+        out.write("".join(c for c, _, _ in chars))
+        lo.frombytes(start[np.array([a for _, a, _ in chars]) + m.start()].tobytes())
+        hi.frombytes(end[np.array([b for _, _, b in chars]) + (m.start() - 1)].tobytes())
         at = m.end()
-    if not parts:
+    if not at:
         return None
-    return Layer("".join([*parts, text[at:]]), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
+    kept(len(text))
+    return Layer(out.getvalue(), np.frombuffer(lo, np.int32), np.frombuffer(hi, np.int32))
+
+
+def _cascaded(layer: Layer) -> Layer | None:
+    """The layer with its escapes decoded from left to right until none is left: a decoded character may complete
+    the next escape. Every step shortens the text, so the time is linear. Bytes beyond ASCII become one character each
+    (no finding holds any)."""
+    if not (PERCENT.search(layer.text) or ESCAPE.search(layer.text)):
+        return None
+    chars, lo, hi = [], array("i"), array("i")
+    start, end = layer.spans()
+    for at in range(0, len(layer.text), CHUNK):
+        piece = slice(at, at + CHUNK)
+        for c, a, b in zip(layer.text[piece], start[piece].tolist(), end[piece].tolist()):
+            while True:
+                chars.append(c)
+                lo.append(a)
+                hi.append(b)
+                if c not in CLOSING or (m := LAST.search("".join(chars[-10:]))) is None:
+                    break
+                n, code = len(m[0]), int(m[1]) if m[1] else int(next(x for x in m.groups() if x), 16)
+                c = chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd"
+                a, b = min(lo[-n:]), max(hi[-n:])
+                del chars[-n:], lo[-n:], hi[-n:]
+    return Layer("".join(chars), np.frombuffer(lo, np.int32), np.frombuffer(hi, np.int32))
 
 
 def _percent(run: str) -> list[tuple[str, int, int]] | None:
@@ -243,17 +287,20 @@ def findings(text: str, max_layer: int = MAX_LAYER) -> tuple[list[Span], set[Spa
     base = scan(text)
     found, seen, layers, limited = set(base), set(), 0, 0
 
-    def inner(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
-        if "%" in layer.text:
-            yield _replaced(layer, PERCENT, _percent), False
-        if "\\" in layer.text or "&#" in layer.text:
-            yield _replaced(layer, ESCAPE, _escapes), False
+    def inner(layer: Layer, depth: int) -> Iterator[tuple[Layer | None, bool, int]]:
+        if "%" in layer.text or "\\" in layer.text or "&#" in layer.text:
+            if depth < ESCAPE_LAYERS:
+                yield _replaced(layer, PERCENT, _percent), False, depth + 1
+                yield _replaced(layer, ESCAPE, _escapes), False, depth + 1
+            else:
+                yield _cascaded(layer), False, depth
         if b"x" * 16 in layer.text.encode("utf-8", "surrogatepass").translate(BASE64_RUN):
-            yield from _base64(layer, max_layer)
+            for decoded, cut in _base64(layer, max_layer):
+                yield decoded, cut, 0
 
-    work = [iter([(Layer(text), False)])]  # depth first, so one window of a large layer is held at a time
+    work = [iter([(Layer(text), False, 0)])]  # depth first, so one window of a large layer is held at a time
     while work:
-        layer, cut = next(work[-1], (None, None))
+        layer, cut, depth = next(work[-1], (None, None, 0))
         if cut is None:
             work.pop()
             continue
@@ -269,7 +316,7 @@ def findings(text: str, max_layer: int = MAX_LAYER) -> tuple[list[Span], set[Spa
                 lo, hi = layer.origin(a, b)
                 found.add((lo, kind, hi))
         layers += 1
-        work.append(inner(layer))
+        work.append(inner(layer, depth))
     return base, found, layers, limited
 
 

@@ -3,7 +3,9 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -64,6 +66,63 @@ def test_cycles_and_bombs_end():
     assert S.findings(quote("%25" * 2000))[2] < 10
 
 
+def every_layer(text):
+    """Findings of all escape layers, one after another to the fixpoint (texts alone)."""
+    seen, work, out = set(), [text], set()
+    while work:
+        t = work.pop()
+        if t in seen:
+            continue
+        seen.add(t)
+        out |= {(k, t[a:b]) for a, k, b in S.scan(t)}
+        work += [re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), t),
+                 re.sub(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});", lambda m: chr(int(m[3]) if m[3] else int(m[1] or m[2], 16)), t)]
+    return out
+
+
+def test_nested_escapes():
+    def percent(t):
+        return "".join(f"%{ord(c):02x}" for c in t)
+
+    def unicode(t):
+        return "".join(f"\\u{ord(c):04x}" for c in t)
+
+    wraps = (percent, unicode, lambda t: quote(t, safe=""), lambda t: t.replace("%", "%25").replace("\\", "\\x5c"), lambda t: "".join(f"&#{ord(c)};" for c in t))
+    rng = random.Random(4)
+    for depth in range(1, 9):
+        for _ in range(6):
+            text = SECRET
+            for _ in range(depth):
+                wrap = rng.choice(wraps)
+                text = wrap(text) if len(text) < 20_000 else quote(text)
+            whole = f"héad ({text}) tail"
+            found = S.findings(whole)[1]
+            assert any(k == "assign" for k, _ in ((S.KINDS[k], t) for k, t in every_layer(whole)))
+            assert any(k == 0 and 6 <= a < b <= 6 + len(text) for a, k, b in found), whole[:80]
+
+
+def test_cascade_is_the_fixpoint():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["%", "25", "2", "5", "\\x", "\\u00", "41", "&#", "37;", "x25;", "a", " "]) for _ in range(rng.randrange(1, 40)))
+        layer = S._cascaded(S.Layer(text))
+        if layer is None:
+            assert not S.PERCENT.search(text) and not S.ESCAPE.search(text)
+            continue
+        assert not S.PERCENT.search(layer.text) and not S.ESCAPE.search(layer.text)
+        assert len(layer.text) == len(layer.start) == len(layer.end) and layer.start[0] == 0 and layer.end[-1] == len(text)
+        assert (layer.start[1:] == layer.end[:-1]).all()  # the spans tile the text
+
+
+def test_long_nested_escapes_end():
+    start = time.monotonic()
+    text = "%" + "25" * 250_000 + "74oken=abcdef123456"
+    base, found, layers, _ = S.findings(text)
+    assert (0, 0, len(text)) in found and layers < 20
+    assert any(k == 0 for _, k, _ in S.findings("\\x5c" + "x5c" * 100_000 + "x74oken=abcdef123456")[1])
+    assert time.monotonic() - start < 30
+
+
 def test_wrapped_base64():
     filler = "".join(f"line {i * 7919} of some filler text\n" for i in range(40))
     for data in ((filler + SECRET + "\n" + filler).encode(), *(pack((filler + SECRET).encode()) for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress))):

@@ -9,7 +9,8 @@ arrays of term numbers (no texts). Terms are screened by a chi-square test on th
 model has a fixed size (2**18 x (1 + factors) floats), so it is broadcast. Scoring reads every document whole.
 
 Defined results: null and empty texts get the score of no terms; null labels are ignored; of several labels of a
-document the largest counts; without labelled rows of both classes the model is constant (the labelled share, or 0).
+document the largest counts; of several rows of a doc_id one is fitted (that with the least hash of its text), so the
+bound holds for rows as well; without labelled rows of both classes the model is constant (the labelled share, or 0).
 """
 
 from __future__ import annotations
@@ -113,10 +114,12 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the labelled documents (``doc_id``, ``toxic``); at most ``sample`` rows."""
+    """A model from the labelled documents (``doc_id``, ``toxic``); at most ``sample`` rows, one a doc_id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_term_batches, "doc_id long, toxic int, terms array<int>").toArrow().combine_chunks()
+    text = F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")  # a repeated id counts once, by one of its texts
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(text)
+    rows = own.select("doc_id", "text", "toxic").mapInArrow(_term_batches, "doc_id long, toxic int, terms array<int>").toArrow().combine_chunks()
     terms = [t for part in rows.column("terms").chunks for t in np.split(part.flatten().to_numpy(), np.diff(part.offsets.to_numpy()).cumsum()[:-1])] if rows.num_rows else []
     ids, labelled = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(float)
     order = sorted(range(len(terms)), key=lambda i: (ids[i], labelled[i], terms[i].tobytes()))

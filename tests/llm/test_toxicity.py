@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -37,6 +39,35 @@ def test_pairs_are_learned():
     assert 0.5 * ((v.sum(0) ** 2).sum() - (v ** 2).sum()) > 0.3
 
 
+def plain_score(model, text):
+    """The machine written out: every term, every pair of terms."""
+    z, terms = model.bias, T.terms_of([text])[0].tolist()
+    for i, a in enumerate(terms):
+        z += float(model.weights[a])
+        for b in terms[i + 1:]:
+            z += sum(float(x) * float(y) for x, y in zip(model.factors[a], model.factors[b]))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_by_all_pairs(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = T.fit(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in T.score(docs, model).collect()}
+    short = sorted(texts, key=lambda i: (len(texts[i]), i))[:150]
+    assert all(abs(got[i] - plain_score(model, texts[i])) < 1e-4 for i in short) and len({round(got[i], 6) for i in short}) > 20
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", texts[short[-1]])
+    low = [w.lower() for w in words]
+    assert len(set(T.terms_of([texts[short[-1]]])[0].tolist())) <= len({(0, w) for w in low} | {(n, w[:n]) for n in T.PREFIXES for w in low if len(w) > n})
+
+
+def test_repeated_ids_are_fitted_once(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    again = docs.unionByName(docs.where("doc_id < 40")).unionByName(docs.where("doc_id < 40"))
+    a, b = T.fit(docs, labels), T.fit(again, labels)
+    assert a.bias == b.bias and (a.weights == b.weights).all() and (a.factors == b.factors).all()
+
+
 def test_awkward_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (5, 0), (5, None), (2, 0), (7, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = T.fit(docs, labels)

@@ -12,7 +12,7 @@ from sitegraph.llm.ngram_join import op2_ngram_join
 from sitegraph.llm.packing import op7_best_fit_packing
 from sitegraph.llm.private_data import op13_private_data
 from sitegraph.llm.secrets import op1_secret_scan
-from sitegraph.llm.sharding import op8_stratified_shards
+from sitegraph.llm.sharding import SQL as SHARDS, op8_stratified_shards
 from sitegraph.llm.toxicity import op9_toxicity
 from sitegraph.llm.warc import op3_warc_archives
 
@@ -21,4 +21,5 @@ QUERIES = {f.__name__: f for f in (
     op7_best_fit_packing, op8_stratified_shards, op9_toxicity, op10_decontamination, op11_hard_negatives,
     op12_merkle_manifest, op13_private_data)}
 #: The other operators have no oracle; tests/llm checks each against a brute-force version.
-ORACLE: dict[str, str] = {"op10_decontamination": DECONTAMINATION, "op11_hard_negatives": HARD_NEGATIVES, "op12_merkle_manifest": MERKLE}
+ORACLE: dict[str, str] = {
+    "op8_stratified_shards": SHARDS, "op10_decontamination": DECONTAMINATION, "op11_hard_negatives": HARD_NEGATIVES, "op12_merkle_manifest": MERKLE}

@@ -192,14 +192,19 @@ def newest_versions(fetches: DataFrame) -> DataFrame:
     return seen.groupBy("url").agg(F.max(F.struct("fetched_at", "status", "n")).alias("v")).select("url", "v.*")
 
 
+def _numbered(items: str, page: str) -> Column:
+    """Items with their places, ``page`` items named ``page``. What depends on
+    the whole document stays out of the lambda, which runs once an item."""
+    return F.transform(items, lambda x, i: F.struct((i + 1).cast("int").alias("p"), F.when(x["kind"] == "page", page).otherwise(x["kind"]).alias("kind"), x["value"].alias("value")))
+
+
 def document_edges(docs: DataFrame, kinds: tuple[str, ...], limits: Limits = Limits(), compat: bool = False) -> DataFrame:
     """The edges ``p, kind, value`` of each document (``url, status, body, n``)
     as ``url, n, hash, e``; nothing that belongs to other ``kinds`` is parsed."""
     parts, none = [], F.array().cast(EDGE)
     if set(kinds) & set(SITEMAP_KINDS):
         docs = parse_documents(docs, "body", limits.urlset, compat, children=limits.children)
-        of_index = doc_kind(F.col("body")) == "index"
-        parts.append(F.transform("items", lambda x, i: F.struct((i + 1).cast("int").alias("p"), F.when(of_index & (x["kind"] == "page"), "entry").otherwise(x["kind"]).alias("kind"), x["value"].alias("value"))))
+        parts.append(F.when(doc_kind(F.col("body")) == "index", _numbered("items", "entry")).otherwise(_numbered("items", "page")))
     if "directive" in kinds:
         parts.append(F.when(F.col("url").endswith("/robots.txt") & (F.col("status") == 200), F.transform(
             directive_items(F.col("body")), lambda d: F.struct(d["line"].alias("p"), F.lit("directive").alias("kind"), d["value"].alias("value")))))

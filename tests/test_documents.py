@@ -246,6 +246,16 @@ def test_only_the_bodies_asked_for_are_parsed(spark):
     assert not any("old" in b for _, b in parsed)
 
 
+def test_large_documents_take_time_in_proportion(spark):
+    """The kind of a document is told once, not once for each of its items."""
+    urls = [f"https://s/some/longer/path/of/a/page/{i}" for i in range(20_000)]
+    f = fetch_df(spark, [("https://s/u.xml", 200, urlset(*urls)), ("https://s/m.xml", 200, index(*urls[:10_000], "https://s/u.xml", close=False))])
+    start = time.time()
+    got = parse_snapshot(f).groupBy("url", "kind").agg(F.count("*"), F.min("p"), F.max("p")).collect()
+    assert {tuple(r) for r in got} == {("https://s/u.xml", "page", 20_000, 1, 20_000), ("https://s/m.xml", "entry", 10_000, 1, 10_000), ("https://s/m.xml", "child", 1, 10_001, 10_001)}
+    assert time.time() - start < 20
+
+
 def test_fetches_that_tie(spark):
     rows = [("https://s/u.xml", 200, urlset("https://s/1", "https://s/2")), ("https://s/u.xml", 200, urlset("https://s/3")), ("https://s/u.xml", 200, urlset("https://s/3"))]
     got = [(r.p, r.value) for r in parse_snapshot(fetch_df(spark, rows)).orderBy("p").collect()]

@@ -1,17 +1,17 @@
 """Operator 13: personal data by patterns and a linear-chain conditional random field.
 
 The four base patterns (``email``, ``ip``, ``card``, ``phone``) are matched over the whole text. A conditional random
-field then labels the tokens around every digit, ``@`` and spelled-out dot (``KINDS`` in begin / inside / outside
-form) by features of word shape, number groups and neighbours, decoded by Viterbi in numpy batches. It finds what the
+field then labels the tokens of the text (``KINDS`` in begin / inside / outside form) by features of word shape, number groups and neighbours, decoded by Viterbi in numpy batches. It finds what the
 patterns leave out: ``jane (at) mail (dot) org``, ``(020) 555-0199``, ``10[.]0[.]0[.]1``, card numbers with other
 separators. A decoded span is kept if its digits or parts fit its kind (``fits``) and it overlaps no base span.
 
 The field is trained from a small labelled table (``labelled``): sentences made by rule from templates and fillers,
 with the marked parts as labels. The model depends on that table alone and is a few thousand weights.
 
-Defined results: a null or empty text has no findings; texts are read whole. Tokens more than ``REACH`` characters
-from every trigger are outside. Lines, and stretches of ``BLOCK`` tokens in a line, are decoded apart (a stretch with
-``MARGIN`` tokens on both sides), so a very long line costs time and memory in proportion.
+Defined results: a null or empty text has no findings; texts are read whole. Lines, and stretches of ``BLOCK`` tokens
+in a line, are decoded apart (a stretch with ``MARGIN`` tokens on both sides), so a very long line costs time and memory
+in proportion. All tokens of a line are decoded; only lines where no span at all could fit its kind (``able``) are not,
+as whatever their labels they have no findings.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +37,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]++")
-MARK, SPELLED = re.compile("[0-9@]+"), re.compile(r"(?i:\bdot\b)")
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\n|\S")
-REACH, BLOCK, MARGIN, BATCH = 64, 256, 48, 128
+TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+BLOCK, MARGIN, BATCH = 256, 48, 128
 Span = tuple[int, int, int]  # kind, start, end: in the order of the result
 
 
@@ -383,6 +381,10 @@ def fitted(size: int = 1200, seed: int = 13) -> Field:
 
 AT = re.compile(r"\s*[\[({<]?\s*(?:(?i:\bat\b)|@)\s*[\])}>]?\s*")
 DOT = re.compile(r"\s*[\[({<]?\s*(?:(?i:\bdot\b)|\.)\s*[\])}>]?\s*")
+#: What every span of a kind holds (see ``fits``): linear searches that miss none.
+DIGITS = re.compile("[0-9]+")
+FOUR = re.compile(r"(?<![0-9])[0-9]++(?:\s*+[\[({<]?\s*+(?:(?i:\bdot\b)|\.)\s*+[\])}>]?\s*+[0-9]++){3}")
+NAMED = re.compile(r"(?:(?i:\bat\b)|@)\s*+[\])}>]?\s*+[A-Za-z0-9-]{1,320}\s*+[\[({<]?\s*+(?:(?i:\bdot\b)|\.)")
 WHOLE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
@@ -399,39 +401,24 @@ def fits(kind: int, found: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
-def _windows(text: str) -> Iterator[tuple[int, int]]:
-    """Merged stretches of the text about its triggers, widened to whole words (by ``REACH`` at most)."""
-    start = end = -1
-    marks = MARK.finditer(text)
-    spelled = SPELLED.finditer(text) if "dot" in text.lower() else iter(())
-    for m in merge(marks, spelled, key=lambda m: m.start()):
-        if start >= 0 and m.start() <= end + REACH:
-            end = m.end() + REACH
-            continue
-        if start >= 0:
-            yield start, min(end, len(text))
-        start, end = max(0, m.start() - REACH), m.end() + REACH
-    if start >= 0:
-        yield start, min(end, len(text))
+def able(line: str) -> bool:
+    """Whether a line can hold a span that ``fits``: nine digits (a card or phone number), four numbers with dots, or an
+    address's at sign, a name and a dot. No other line can, whatever its labels."""
+    return sum(map(len, DIGITS.findall(line))) >= 9 or FOUR.search(line) is not None or NAMED.search(line) is not None
 
 
 def lines_of(text: str) -> Iterator[Tokens]:
-    """The tokens about the triggers of a text, by lines and in stretches of at most ``BLOCK`` tokens and margins."""
-    for a, b in _windows(text):
-        while a > 0 and b - a < REACH * 4 and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        t = Tokens([], [], [])
-        for m in TOKEN.finditer(text, a, b):
-            if m[0] == "\n":
-                if t.words:
-                    yield t
-                    t = Tokens([], [], [])
-                continue
-            t.words.append(m[0])
-            t.starts.append(m.start())
-            t.ends.append(m.end())
-        if t.words:
+    """All tokens of a text, by lines; lines that are not ``able`` are left out."""
+    at = 0
+    for line in text.split("\n"):
+        if able(line):
+            t = Tokens([], [], [])
+            for m in TOKEN.finditer(text, at, at + len(line)):
+                t.words.append(m[0])
+                t.starts.append(m.start())
+                t.ends.append(m.end())
             yield t
+        at += len(line) + 1
 
 
 def _stretches(t: Tokens) -> Iterator[tuple[Tokens, int, int]]:

@@ -107,6 +107,33 @@ def test_examples(text, want):
     assert [(P.KINDS[k], text[a:b]) for k, a, b in P.added([text], [base], P.fitted())[0]] == want
 
 
+def test_addresses_without_digits_or_spelled_dots():
+    text = "no line here\n\nWrite to jane (at) mail.org for details."
+    assert [text[a:b] for _, a, b in P.added([text], [[]], P.fitted())[0]] == ["jane (at) mail.org"]
+
+
+def test_all_tokens_of_a_line_are_decoded():
+    line = "word " * 400 + "call (555) 123-4567 " + "word " * 400
+    assert [t.words for t in P.lines_of(f"x\n{line}\ny")] == [P.TOKEN.findall(line)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "x-", "at", "AT", "@", "(", ")", "[", "]", "dot", "Dot", ".", " ", "  ", "-", "1", "25", "4111111", "111111", "com", "_", "é"]), max_size=14))
+def test_lines_left_out_can_hold_nothing(parts):
+    line = "".join(parts)
+    if not P.able(line):
+        assert not any(P.fits(k, line[a:b]) for k in range(4) for a in range(len(line)) for b in range(a + 1, len(line) + 1))
+
+
+@pytest.mark.parametrize("piece", ["at ", "at-", "@", "@ ", "@a ", "1.", "1 ", "1.1.1x", "1   ", "1" * 50, "at a", "[", " "])
+def test_searches_of_lines_are_linear(piece):
+    line = piece * (100_000 // len(piece))
+    start = time.time()
+    P.able(line)
+    P.able("@" + line + "x")
+    assert time.time() - start < 3
+
+
 def test_documents(spark, docs, no_docs):
     rows = {r.doc_id: r for r in P.scan_documents(docs).collect()}
     assert P.scan_documents(docs).count() == docs.count() and P.scan_documents(no_docs).count() == 0

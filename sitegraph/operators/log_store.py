@@ -5,7 +5,10 @@ Layout under ``root``:
 
 * ``data/<version>-<id>``: immutable files. A *delta* holds the rows of one
   batch, with a bit per column that the batch supplied; the *base* holds whole
-  rows in ``_bucket=<n>`` folders, by the leading bits of the key's hash.
+  rows in ``_bucket=<n>`` folders, by the leading bits of the key's hash. Where
+  small buckets are many, a folder (then named by its leading bits) holds
+  several, so folders, files and tasks are few: at most ``2 ** FOLDER_BITS``,
+  or one for each ``BUCKET_ROWS`` rows.
 * ``manifest/v<version>.json``: which base and which deltas make up a version;
   written last, by an atomic rename. A repeated version (a replayed
   micro-batch) replaces its manifest; files are never overwritten, so readers
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET_ROWS, MAX_DELTAS, KEEP = 1 << 20, 8, 32
+FOLDER_BITS = 6
 
 
 class LogStore:
@@ -153,9 +157,12 @@ class LogStore:
         parts = []
         if manifest["base"]:
             base = manifest["base"]
-            paths = [f"{self.root}/{base['path']}/_bucket={n}" for n in base["buckets"] if buckets is None or n in buckets]
+            inner = base["depth"] - base.get("bits", base["depth"])  # bits of a bucket below its folder's
+            wanted = set(base["buckets"]) if buckets is None else set(base["buckets"]) & set(buckets)
+            paths = [f"{self.root}/{base['path']}/_bucket={n}" for n in sorted({n >> inner for n in wanted})]
             if paths:
-                parts.append(self.spark.read.schema(self.schema).parquet(*paths))
+                rows = self.spark.read.schema(self.schema).parquet(*paths)
+                parts.append(rows.where(self.bucket(base["depth"]).isin(sorted(wanted))) if inner and buckets is not None else rows)
         if manifest["deltas"]:
             deltas = self._deltas(manifest["deltas"])
             if buckets is not None:
@@ -180,16 +187,20 @@ class LogStore:
         return f"data/{version:08d}-{uuid.uuid4().hex[:12]}/{kind}"
 
     def _base(self, rows: DataFrame, version: int, at_most: int) -> dict | None:
-        path, depth = self._new(version, "base"), 0
+        path, depth, least = self._new(version, "base"), 0, FOLDER_BITS
         while at_most > self.bucket_rows << depth:
             depth += 1
-        dealt = rows.select(*self.columns).withColumn("_bucket", self.bucket(depth))
-        dealt = (dealt.repartition(1 << depth, "_bucket") if depth else dealt).sortWithinPartitions("_bucket", *self.keys)
+        while at_most > BUCKET_ROWS << least:
+            least += 1
+        bits = min(depth, least)
+        dealt = rows.select(*self.columns).withColumn("_bucket", self.bucket(bits))
+        dealt = (dealt.repartition(1 << bits, "_bucket") if bits else dealt).sortWithinPartitions("_bucket", *([self.bucket(depth)] if bits < depth else []), *self.keys)
         (dealt.write.option(f"parquet.bloom.filter.enabled#{self.keys[0]}", "true")
-         .option(f"parquet.bloom.filter.expected.ndv#{self.keys[0]}", str(max(min(at_most, self.bucket_rows), 1)))
+         .option(f"parquet.bloom.filter.expected.ndv#{self.keys[0]}", str(max(min(at_most, self.bucket_rows << (depth - bits)), 1)))
          .partitionBy("_bucket").parquet(f"{self.root}/{path}"))
-        filled = {r["_bucket"]: r["count"] for r in self.spark.read.schema(f"{self.schema}, _bucket int").parquet(f"{self.root}/{path}").groupBy("_bucket").count().collect()}
-        return {"path": path, "depth": depth, "rows": sum(filled.values()), "buckets": sorted(filled)} if filled else None
+        written = self.spark.read.schema(self.schema).parquet(f"{self.root}/{path}")
+        filled = {r["n"]: r["count"] for r in written.groupBy(self.bucket(depth).alias("n")).count().collect()}
+        return {"path": path, "depth": depth, "bits": bits, "rows": sum(filled.values()), "buckets": sorted(filled)} if filled else None
 
     def _delta(self, rows: DataFrame, version: int) -> dict | None:
         path = self._new(version, "delta")

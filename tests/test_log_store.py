@@ -75,6 +75,21 @@ def test_buckets_double_as_the_table_grows(spark, tmp_path):
     assert sizes == sorted(sizes) and sizes[-1] >= 3 and store.read().count() == 600
 
 
+def test_small_buckets_share_folders(spark, tmp_path):
+    """Folders, files and tasks do not grow with the buckets; a bucket is read from its folder alone."""
+    store = open_(spark, str(tmp_path), bucket_rows=4)
+    store.replace(spark.range(2000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("x").alias("a"), F.col("id").alias("b"), F.lit(1).alias("n"), F.lit(0.5).alias("low")))
+    base = store.manifest(0)["base"]
+    assert base["depth"] == 9 and len(base["buckets"]) > 400 and base["rows"] == 2000
+    assert len(store.read().inputFiles()) <= 64 and store.read().count() == 2000
+    some = store.buckets_of(spark.createDataFrame([("k5",), ("k77",)], "k string"))
+    read = store.read(buckets=some)
+    assert len(some) == 2 and len(read.inputFiles()) <= 2
+    every = store.read().select("k", store.bucket(9).alias("n"))
+    assert {r.k for r in read.collect()} == {r.k for r in every.where(F.col("n").isin(some)).collect()}
+    assert {"k5", "k77"} <= {r.k for r in read.collect()}
+
+
 def test_old_versions_go(spark, tmp_path):
     store = open_(spark, str(tmp_path), keep=3, max_deltas=2)
     for v in range(8):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegraph.llm.common import bitmap, marked, ranked, shared_files, shared_path, slices
+from sitegraph.llm.common import bitmap, marked, ranked, saved, shared_files, shared_path, slices
 from sitegraph.plans.tables import table
 
 LEVEL, ROLL_BYTES, DATE = 6, 16 << 20, "2024-01-01T00:00:00Z"
@@ -151,10 +151,11 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     shared = spark.sparkContext.broadcast(bitmap(firsts, F.conv(F.substring("sha1", 1, 15), 16, 10).cast("long")))
     made = [pages.mapInArrow(_responses(shared, x), "page_id long, url string, sha1 string, n long, member binary") for x in (False, True)]
     again = made[1].join(firsts, "sha1", "left").select("page_id", "url", "sha1", "n", "member", "first").mapInArrow(_typed, TYPED)
-    # made twice, for the sizes and for the files: that costs less than a written copy of all records
+    # made twice, for the sizes and for the files: that costs less than a written copy of all records; the sizes are
+    # written, as ranges are sampled before they are sorted
     records = made[0].select("page_id", "url", "sha1", "member", F.octet_length("member").cast("long").alias("size")).unionByName(again)
     order = [F.col(c) for c in KEY]
-    placed = ranked(records.select(*KEY, "size"), order, "start", "plan", weight="size").withColumn("file", F.expr(f"start div {roll_bytes}L"))
+    placed = ranked(saved(records.select(*KEY, "size"), "warc-sizes"), order, "start", "plan", weight="size").withColumn("file", F.expr(f"start div {roll_bytes}L"))
     # repeated rows share a key, so a key's file is that of its first; a file's least key bounds it (one row a file)
     keyed = placed.groupBy(*KEY).agg(F.min("file").alias("file"))
     bounds = sorted(((tuple(r["least"]), r["file"]) for r in keyed.groupBy("file").agg(F.min(F.struct(*KEY)).alias("least")).collect()), key=lambda x: x[1])

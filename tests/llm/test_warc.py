@@ -51,6 +51,15 @@ def test_round_trip(spark, pages, roll, least):
         assert (len(data), hashlib.sha1(data).hexdigest()) == (r["bytes"], r["sha1"]) and gzip.decompress(data).startswith(b"WARC/1.1\r\n")
 
 
+def test_sizes_are_sorted_from_a_written_table(spark, pages, monkeypatch):
+    """Sampling the ranges of the sort does not make every record once more."""
+    given, ranked = [], W.ranked
+    monkeypatch.setattr(W, "ranked", lambda df, *a, **k: (given.append(df), ranked(df, *a, **k))[1])
+    W.write_archives(pages, shared_path(spark, "warc-test"), 700)
+    assert len(given) == 1 and len(given[0].inputFiles()) > 0 and given[0].count() == len(PAGES)
+    assert "MapInArrow" not in given[0]._jdf.queryExecution().toString()
+
+
 def test_files_do_not_depend_on_partitions(spark, pages):
     sums = []
     for n in (1, 7):

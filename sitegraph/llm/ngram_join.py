@@ -46,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.group import GroupedData
 
 from sitegraph.llm.common import Words, bitmap, discard, marked, mix, saved, signed, slices, small_batches
 from sitegraph.llm.components import components
@@ -237,33 +238,48 @@ def _sets(shingle: int, shared) -> Callable:
     return run
 
 
+def _cell_links(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of a cell, and the places ``a < b`` of those that link: of its two blocks with each other, or of its
+    only block."""
+    nodes, where = np.unique(cell.column("node").to_numpy(), return_index=True)
+    cell = cell.take(pa.array(where)).combine_chunks()
+    block, tokens = cell.column("block").to_numpy(), cell.column("tokens").combine_chunks()
+    sizes = np.diff(tokens.offsets.to_numpy())
+    _, token, count = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(nodes)), sizes), count[token] > 1
+    place = np.cumsum(count > 1) - 1
+    row, token = row[shared], place[token[shared]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    common = np.zeros((len(nodes), len(nodes)))
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        lo, hi = np.searchsorted(token, (at, at + COLUMNS))
+        part = np.zeros((len(nodes), COLUMNS), np.float32)
+        part[row[lo:hi], token[lo:hi] - at] = 1
+        common += part @ part.T
+    links = common * (100 + percent) >= (sizes[:, None] + sizes[None, :]) * percent
+    if cell.column("i")[0].as_py() != cell.column("j")[0].as_py():
+        links &= block[:, None] != block[None, :]
+    return nodes, *np.nonzero(np.triu(links, 1))
+
+
 def _cell(percent: int) -> Callable:
-    """The pairs ``a < b`` of a cell that link: of its two blocks with each other, or of its only block."""
+    """The pairs ``a < b`` of a cell that link."""
     def run(cell: pa.Table) -> pa.Table:
-        nodes, where = np.unique(cell.column("node").to_numpy(), return_index=True)
-        cell = cell.take(pa.array(where)).combine_chunks()
-        block, tokens = cell.column("block").to_numpy(), cell.column("tokens").combine_chunks()
-        sizes = np.diff(tokens.offsets.to_numpy())
-        _, token, count = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(len(nodes)), sizes), count[token] > 1
-        place = np.cumsum(count > 1) - 1
-        row, token = row[shared], place[token[shared]]
-        order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        common = np.zeros((len(nodes), len(nodes)))
-        for at in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
-            lo, hi = np.searchsorted(token, (at, at + COLUMNS))
-            part = np.zeros((len(nodes), COLUMNS), np.float32)
-            part[row[lo:hi], token[lo:hi] - at] = 1
-            common += part @ part.T
-        links = common * (100 + percent) >= (sizes[:, None] + sizes[None, :]) * percent
-        if cell.column("i")[0].as_py() != cell.column("j")[0].as_py():
-            links &= block[:, None] != block[None, :]
-        a, b = np.nonzero(np.triu(links, 1))
+        nodes, a, b = _cell_links(cell, percent)
         return pa.table({"a": nodes[a], "b": nodes[b]})
     return run
 
 
+def _cell_counts(percent: int) -> Callable:
+    """The nodes of a cell with the number of their links there: a row a node, however many links it has."""
+    def run(cell: pa.Table) -> pa.Table:
+        nodes, a, b = _cell_links(cell, percent)
+        links = np.bincount(a, minlength=len(nodes)) + np.bincount(b, minlength=len(nodes))
+        return pa.table({"node": nodes[links > 0], "links": links[links > 0]})
+    return run
+
+
 def _place(node: int, doc_id: int) -> int:
     """As ``node ^ doc_id ^ (doc_id << 13)`` on 64 bits."""
     return ((node ^ doc_id ^ (doc_id << 13)) + (1 << 63)) % (1 << 64) - (1 << 63)
@@ -412,19 +428,31 @@ class Join:
             met = met.where("component <> ch")
         return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
-    def all_links(self, found: DataFrame) -> DataFrame:
-        """All links ``a < b`` between distinct sets, given the components that ``links`` found. A link lies within a
-        component, so a component's members meet in blocks: a set is sent once per block of its own component."""
+    def cells(self, found: DataFrame) -> tuple[DataFrame, GroupedData]:
+        """The members of components of two sets, and those of larger ones in cells, given the components that ``links``
+        found. A link lies within a component, so a component's members meet in blocks: a set is sent once per block of
+        its own component, and every pair meets in one cell."""
         placed = found.join(self.sizes, "node")
         sizes = placed.groupBy("component").agg(F.count("*").alias("m"), F.max("n").alias("most"))
         members = placed.join(sizes, "component").select("node", "component", "m", "most")
-        two = members.where("m = 2").groupBy("component").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
         blocks = F.ceil(F.col("m") / F.expr(f"greatest(2, least({BLOCK}, {BLOCK_TOKENS} div most))")).cast("int")
         dealt = members.where("m > 2").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         dealt = dealt.select("component", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        cells = dealt.join(self.whole, "node").groupBy("component", "i", "j").applyInArrow(_cell(self.percent), "a long, b long")
-        return saved(two.unionByName(cells).distinct(), "all-links")
+        return members.where("m = 2").select("node", "component"), dealt.join(self.whole, "node").groupBy("component", "i", "j")
+
+    def all_links(self, found: DataFrame) -> DataFrame:
+        """All links ``a < b`` between distinct sets, given the components that ``links`` found."""
+        two, cells = self.cells(found)
+        two = two.groupBy("component").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+        return saved(two.unionByName(cells.applyInArrow(_cell(self.percent), "a long, b long")).distinct(), "all-links")
+
+    def link_counts(self, found: DataFrame) -> DataFrame:
+        """``node, n_links`` of the nodes that link with another, given the components that ``links`` found. Links are
+        counted in their cells, so none of them becomes a row."""
+        two, cells = self.cells(found)
+        counts = two.select("node", F.lit(1).cast("long").alias("links")).unionByName(cells.applyInArrow(_cell_counts(self.percent), "node long, links long"))
+        return saved(counts.groupBy("node").agg(F.sum("links").alias("n_links")), "link-counts")
 
     def run(self, count: bool = False) -> DataFrame:
         """``doc_id, n_shingles, component_id, set_id, component``: the last two name the distinct set and the
@@ -439,8 +467,7 @@ class Join:
         named = saved(placed.join(names, "component").select("node", "component", "component_id"), "named")
         rows, more = features.select("doc_id", "n", "node").join(named, "node", "left"), []
         if count:
-            ends = self.all_links(found).select(F.explode(F.array("a", "b")).alias("node"))
-            rows = rows.join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node", "left")
+            rows = rows.join(self.link_counts(found), "node", "left")
             more = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")]
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                            F.col("node").alias("set_id"), "component", *more)

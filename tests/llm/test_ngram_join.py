@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sitegraph.llm import ngram_join as J
@@ -88,6 +89,24 @@ def test_all_links_are_counted(spark, monkeypatch):
     assert got == want and max(want.values()) > 2 * J.SMALL_GROUP
 
 
+def test_links_are_counted_without_a_row_a_link(spark, monkeypatch):
+    """A cell hands on a row a node; the counts are those of the links as a table."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    made = []
+    monkeypatch.setattr(J, "saved", lambda df, name, real=J.saved: made.append((name, real(df, name))) or made[-1][1])
+    docs = spark.createDataFrame(crowd(6, 90), "doc_id long, text string").repartition(3)
+    got = {r["set_id"]: r["n_links"] for r in J.similar_documents(docs, count=True).collect()}
+    tables = {name: df for name, df in made}
+    assert "all-links" not in tables and tables["link-counts"].count() <= len(got)
+    want = {}
+    for a, b in J.document_links(docs).collect():
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    assert {k: n for k, n in got.items() if n} == want and sum(want.values()) > 10 * len(want)
+    cell = pa.table({"node": pa.array(range(40)), "block": [0] * 40, "i": [0] * 40, "j": [0] * 40, "tokens": pa.array([[1, 2, 3]] * 40, pa.list_(pa.int64()))})
+    counts = J._cell_counts(80)(cell)
+    assert counts.to_pydict() == {"node": list(range(40)), "links": [39] * 40} and J._cell(80)(cell).num_rows == 780
+
+
 def test_sf(sf_docs):
     assert run(sf_docs) == key(brute([(r["doc_id"], r["text"]) for r in sf_docs.collect()]))
 

@@ -225,6 +225,13 @@ def _settled(edges: DataFrame) -> DataFrame:
     return single.unionByName(tied.join(chosen, "url").where("hash = _hash and e is not null").select("url", "e.*").distinct())
 
 
+def _dealt(docs: DataFrame) -> DataFrame:
+    """Documents dealt over tasks by URL: one file of a snapshot may hold many
+    large sitemaps, and parsing them is the work. A set number of tasks, as
+    sitemaps compress so well that AQE would put them together again."""
+    return docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "url")
+
+
 class Snapshot:
     """A crawl snapshot read by need: ``edges`` parses the newest bodies of
     the wanted URLs alone."""
@@ -236,7 +243,7 @@ class Snapshot:
     def documents(self, urls: DataFrame) -> DataFrame:
         """``url, status, body, n``: the newest fetch(es) of ``urls(url)``."""
         wanted = self.newest.join(urls.select("url").distinct(), "url", "left_semi")
-        return self.fetches.join(wanted, ["url", "fetched_at", "status"])
+        return _dealt(self.fetches.join(wanted, ["url", "fetched_at", "status"]))
 
     def edges(self, urls: DataFrame, kinds: tuple[str, ...] = SITEMAP_KINDS) -> DataFrame:
         return stored(_settled(document_edges(self.documents(urls), kinds, self.limits, self.compat)), "edges")
@@ -250,7 +257,7 @@ def parse_snapshot(fetches: DataFrame, cap: int | None = None, compat: bool = Fa
     children) of indexes, ``directive`` of robots files (status 200; ``p`` is the line), ``link`` of home pages (URLs that
     are their own base domain). The newest fetch per URL is picked from times
     and status; older bodies and unwanted ``kinds`` are not parsed."""
-    docs = fetches.select("url", "status", "body", "fetched_at").join(newest_versions(fetches), ["url", "fetched_at", "status"])
+    docs = _dealt(fetches.select("url", "status", "body", "fetched_at").join(newest_versions(fetches), ["url", "fetched_at", "status"]))
     return _settled(stored(document_edges(docs, kinds, Limits(urlset=cap, children=children), compat), "edges"))
 
 

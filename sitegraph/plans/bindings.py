@@ -100,7 +100,8 @@ def _chunked(entries: DataFrame, group: str, order: str, value: str) -> DataFram
     entries keep ``order``. Output: group, chunk, lines ARRAY<value>."""
     counts = entries.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     nchunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(MAX_ENTRIES_PER_FILE)))
-    e = entries.join(counts, group).withColumn("chunk", F.pmod(F.xxhash64(F.col(order)), nchunks))
+    # dealt by file: the join's dealing by group would put a hot group's files in one task
+    e = entries.join(counts, group).withColumn("chunk", F.pmod(F.xxhash64(F.col(order)), nchunks)).repartition(group, "chunk")
     grouped = e.groupBy(group, "chunk").agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("_e"))
     return grouped.select(group, "chunk", F.transform("_e", lambda x: x[value]).alias("lines"))
 

@@ -10,6 +10,7 @@ from sitegraph.operators.frontier import robots_directives, sites
 from sitegraph.operators.links import anchor_hrefs, attribute_text, link_array
 from sitegraph.operators.resolve import site_url_lists
 from sitegraph.operators.sitemaps import SHORT, Limits, Snapshot, expand_sitemaps, first_of, index_children, malformed_index_items, parse_snapshot, urlset_urls, with_positions
+from sitegraph.plans import bindings
 
 NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 TS = datetime(2024, 6, 1)
@@ -287,3 +288,33 @@ def test_bad_ipv6_site_is_an_error(spark):
     assert got["https://[oops"] == ("error", [])
     assert got["https://[::1]"] == ("none", [])
     assert got["https://ok.b"] == ("html", ["https://ok.b/p"])
+
+
+def test_documents_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    """Sitemaps that lie in one file are parsed by several tasks."""
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda i: F.concat(F.lit("<url><loc>https://s/"), F.sha2(F.concat_ws("-", "id", i), 256), F.lit("</loc></url>"))), "\n"), F.lit("</urlset>"))
+    docs = spark.range(16).select(F.concat(F.lit("https://s/m"), "id", F.lit(".xml")).alias("url"), F.lit(200).alias("status"), F.lit("application/xml").alias("content_type"), body.alias("body"), F.lit(TS).alias("fetched_at"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/fetches")
+    fetches = spark.read.parquet(f"{tmp_path}/fetches")
+    snapshot = Snapshot(fetches)
+    tasks = snapshot.documents(fetches.select("url")).groupBy(F.spark_partition_id()).agg(F.max(F.length("body"))).collect()
+    assert len(tasks) > 1
+    assert snapshot.edges(fetches.select("url")).count() == parse_snapshot(fetches).count() == 160_000
+
+
+def test_files_of_a_hot_host_are_made_by_several_tasks(spark, monkeypatch):
+    """The bound sitemap files are dealt by file, not by host."""
+    monkeypatch.setattr(bindings, "MAX_ENTRIES_PER_FILE", 100)
+    entries = spark.range(2_000).select(F.lit("h").alias("host"), F.col("id").alias("page_id"), F.concat(F.lit("https://h/"), "id").alias("url"))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # the counts of very many hosts are not broadcast
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = bindings._chunked(entries, "host", "page_id", "url").select("*", F.spark_partition_id().alias("t")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.t for r in rows}) > 1 and len(rows) == 20
+    assert sorted(u for r in rows for u in r.lines) == sorted(f"https://h/{i}" for i in range(2_000))
+    assert all(r.lines == sorted(r.lines, key=lambda u: int(u[10:])) for r in rows)

@@ -305,7 +305,7 @@ def test_documents_of_one_file_are_dealt_over_tasks(spark, tmp_path):
 def test_files_of_a_hot_host_are_made_by_several_tasks(spark, monkeypatch):
     """The bound sitemap files are dealt by file, not by host."""
     monkeypatch.setattr(bindings, "MAX_ENTRIES_PER_FILE", 100)
-    entries = spark.range(2_000).select(F.lit("h").alias("host"), F.col("id").alias("page_id"), F.concat(F.lit("https://h/"), "id").alias("url"))
+    entries = spark.range(2_000).select(F.concat(F.lit("h"), F.col("id") % 1).alias("host"), F.col("id").alias("page_id"), F.concat(F.lit("https://h/"), "id").alias("url"))
     settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # the counts of very many hosts are not broadcast
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():

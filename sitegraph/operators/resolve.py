@@ -93,11 +93,13 @@ def url_parts(urls: DataFrame, key: str = "base_domain", part_urls: int = PART_U
 
 def company_url_lists(companies: DataFrame, lists: SiteLists) -> DataFrame:
     """Every company keeps its row(s), one per part of its site's list
-    (S14); a company without URLs has part 1 with none. Spark picks the join
-    from real sizes and splits hot sites."""
+    (S14); a company without URLs has part 1 with none. Companies with lists
+    are met by an inner join, so that Spark picks the smaller side from real
+    sizes and splits hot sites (it splits no right side of a left join)."""
+    of_site = lists.sites.select(F.col("base_domain").alias("_site"), "source", "source_pos").dropDuplicates(["_site"])
     c = companies.withColumn("base_domain", base_domain(F.col("website_url")))
-    of_site = lists.sites.select("base_domain", "source", "source_pos").dropDuplicates(["base_domain"])
-    rows = of_site.join(url_parts(lists.urls), "base_domain", "left")
-    return c.join(rows, "base_domain", "left").select(
-        *companies.columns, "source", "source_pos", F.coalesce("part", F.lit(1)).alias("part"),
-        F.coalesce("urls", F.array().cast("array<string>")).alias("urls"))
+    c = stored(c.join(of_site, F.col("base_domain") == F.col("_site"), "left").select(*companies.columns, "source", "source_pos", "_site"), "company-sites")
+    listed = c.join(url_parts(lists.urls.withColumnRenamed("base_domain", "_site"), "_site"), "_site")
+    bare = c.join(lists.urls.select(F.col("base_domain").alias("_site")).distinct(), "_site", "left_anti").withColumn(
+        "part", F.lit(1)).withColumn("urls", F.array().cast("array<string>"))
+    return listed.unionByName(bare).select(*companies.columns, "source", "source_pos", "part", "urls")

@@ -122,14 +122,14 @@ LIMITS = Limits(urlset=3, children=1, links=4, site=3, prompt=2)
 
 def limited_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """L3/W3 from end to end: lists and prompts of the first URLs only."""
-    companies = company_dedupe(spark, sf)
+    companies = stored(company_dedupe(spark, sf), "companies")
     lists = company_url_lists(companies, _site_url_lists(sites(companies), B.fetches(spark, sf), limits=LIMITS))
     return insight_requests(lists.withColumn("listed", F.size("urls")), limit=LIMITS.prompt).select(
         "_ord", "company", "source", F.col("listed").cast("bigint").alias("n_urls"), "key", "prompt")
 
 
 def _company_lists(spark: SparkSession, sf: str) -> DataFrame:
-    companies = company_dedupe(spark, sf)
+    companies = stored(company_dedupe(spark, sf), "companies")
     lists = _site_url_lists(sites(companies), B.fetches(spark, sf))
     return company_url_lists(companies, lists)
 

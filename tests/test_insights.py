@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitegraph.operators.insights import build_prompt, generate_insights, insight_key, insight_requests
 from sitegraph.operators import store as S
+from sitegraph.operators.resolve import SiteLists, company_url_lists
 from sitegraph.plans import bindings as B
 from sitegraph.plans import queries as Q
 from sitegraph.plans.compose import process_companies
@@ -80,3 +81,51 @@ def test_process_companies(spark):
     assert docs.select("_ord").distinct().count() == comp.count()
     assert docs.filter(F.col("last_updated") != 1.0).count() == 0
     assert out["new_cache"].count() == out["insights"].select("key").distinct().count()
+
+
+def counted(df):
+    """``df`` and the number of its rows that were ever computed."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_lists_read_the_companies_once(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    companies, seen = counted(Q.company_dedupe(spark, sf).localCheckpoint())
+    monkeypatch.setattr(Q, "company_dedupe", lambda spark, sf: companies)
+    assert Q.site_url_lists(spark, sf).count() > 0
+    n = seen.value
+    assert n == companies.count()
+
+
+def test_hot_site_is_spread(spark):
+    """A list of many parts is not brought into one task, and companies with
+    unknown, empty or no sites keep their row."""
+    urls = spark.createDataFrame([("https://hot", i + 1, f"https://hot/{i}") for i in range(20_000)] + [("https://a", 1, "https://a/x"), ("https://lost", 1, "https://lost/x")],
+                                 "base_domain string, pos long, url string")
+    found = spark.createDataFrame([("https://hot", "hot", False, "robots", 0), ("https://a", "a", False, "html", 0), ("https://b", "b", False, "none", None)],
+                                  "base_domain string, netloc string, bad_url boolean, source string, source_pos int")
+    companies = spark.createDataFrame([(1, "Hot", "https://hot"), (2, "Hot", "https://hot"), (2, "Hot", "https://hot"), (3, "A", "https://a/"), (4, "B", "https://b"),
+                                       (5, "Lost", "https://lost"), (6, "Nowhere", "https://n"), (7, "Null", None), (None, None, "https://a")], "_ord long, company string, website_url string")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = company_url_lists(companies, SiteLists(found, urls)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    hot = [r for r in rows if r.website_url == "https://hot"]
+    assert len({r.task for r in hot}) > 1
+    assert sorted((r._ord, r.part) for r in hot) == sorted((o, p) for o in (1, 2, 2) for p in range(1, 21))
+    assert [u for r in sorted(hot, key=lambda r: r.part) if r._ord == 1 for u in r.urls] == [f"https://hot/{i}" for i in range(20_000)]
+    others = sorted(((r._ord, r.company, r.source, r.source_pos, r.part, r.urls) for r in rows if r not in hot), key=str)
+    assert others == sorted([(3, "A", "html", 0, 1, ["https://a/x"]), (4, "B", "none", None, 1, []), (5, "Lost", None, None, 1, []),
+                             (6, "Nowhere", None, None, 1, []), (7, "Null", None, None, 1, []), (None, None, "html", 0, 1, ["https://a/x"])], key=str)

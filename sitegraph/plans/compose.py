@@ -27,7 +27,8 @@ def process_companies(companies: DataFrame, fetches: DataFrame, complete_fn: Cal
     (entries to append to the durable cache).
 
     A company whose website cannot be parsed ends as an ``error`` job: it gets
-    no prompt, no model call and no document."""
+    no prompt, no model call and no document. The companies are read once."""
+    companies = stored(companies, "companies")
     lists = stored(company_url_lists(companies, site_url_lists(sites(companies), fetches, max_depth=max_depth, limits=limits)), "lists")
     bad = F.col("source") == "error"
     req = insight_requests(lists.where(~bad), limit=limits.prompt)

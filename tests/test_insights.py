@@ -1,6 +1,7 @@
 import sys
 import time
 
+import pytest
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
@@ -95,6 +96,14 @@ def counted(df):
     return df.mapInPandas(count, df.schema), seen
 
 
+@pytest.mark.parametrize("out", ["jobs", "documents"])
+def test_companies_are_read_once(spark, out):
+    sf = "/root/testdata/sf0.001"
+    companies, seen = counted(Q.company_dedupe(spark, sf).localCheckpoint())
+    assert process_companies(companies, B.fetches(spark, sf), model, None, now=1.0)[out].count() > 0
+    assert seen.value == Q.company_dedupe(spark, sf).count()
+
+
 def test_lists_read_the_companies_once(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     companies, seen = counted(Q.company_dedupe(spark, sf).localCheckpoint())

@@ -177,8 +177,10 @@ def processed_jobs(spark: SparkSession, sf: str) -> DataFrame:
     website that cannot be parsed are among them (every 7th page id): these end
     as errors, without prompt or document."""
     raw = B.companies_raw(spark, sf)
-    broken = raw.where(F.col("_ord") % 7 == 0).select((F.col("_ord") + 1_000_000_000_000).alias("_ord"), "company", F.concat(F.lit("https://[bad-"), "company").alias("website"))
-    companies = dedupe_companies(normalize_companies(raw.unionByName(broken)))
+    asked = F.struct("_ord", "company", "website")
+    broken = F.struct((F.col("_ord") + 1_000_000_000_000).alias("_ord"), "company", F.concat(F.lit("https://[bad-"), "company").alias("website"))
+    rows = raw.select(F.inline(F.when(F.col("_ord") % 7 == 0, F.array(asked, broken)).otherwise(F.array(asked))))
+    companies = dedupe_companies(normalize_companies(rows))
     out = process_companies(companies, B.fetches(spark, sf), echo_model, None, B.STORE_NOW, submission="upload-1")
     return out["jobs"].select("_ord", F.col("part").cast("bigint").alias("part"), "job_id", "status", "message", F.col("data.Company").alias("company"),
                               F.col("data.`Insight from Prompt`").alias("insight"))

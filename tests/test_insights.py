@@ -113,6 +113,21 @@ def test_lists_read_the_companies_once(spark, monkeypatch):
     assert n == companies.count()
 
 
+def test_processed_jobs_read_the_pages_once(spark, monkeypatch):
+    """Rows with a good and with a broken website come from one scan."""
+    sf = "/root/testdata/sf0.001"
+    B.fetches(spark, sf)
+    rows = [(7, "a.b", "a.b"), (14, " A.B", "https://a.b"), (15, "c.d", "c.d"), (None, "e.f", "e.f"), (21, None, "g.h"), (28, "i.j", None)]
+    raw, seen = counted(spark.createDataFrame(rows, "_ord long, company string, website string"))
+    monkeypatch.setattr(B, "companies_raw", lambda spark, sf: raw)
+    got = {(r._ord, r.status, r.company, r.message) for r in Q.processed_jobs(spark, sf).collect()}
+    assert got == {(7, "complete", "a.b", None), (15, "complete", "c.d", None), (None, "complete", "e.f", None),
+                   (1_000_000_000_007, "error", None, "Worker error: Invalid URL: https://[bad-a.b"),
+                   (1_000_000_000_014, "error", None, "Worker error: Invalid URL: https://[bad- A.B"),
+                   (1_000_000_000_028, "error", None, "Worker error: Invalid URL: https://[bad-i.j")}
+    assert seen.value == len(rows)
+
+
 def test_hot_site_is_spread(spark):
     """A list of many parts is not brought into one task, and companies with
     unknown, empty or no sites keep their row."""
